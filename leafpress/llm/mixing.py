@@ -25,7 +25,7 @@ from leafpress.llm.shared import cut, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 BLOCKS_PER_SOURCE = 2_000
 MAX_BLOCK = 1_024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,9 +71,9 @@ def apportion(units: DataFrame, share: str, key: Sequence[str], seats: Column) -
     best = W.orderBy(F.col("_quotient").desc(), *[F.col(c).asc_nulls_last() for c in key], "_k")
     won = tried.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= F.col("_rest"))
     won = won.groupBy(*key).agg(F.count(F.lit(1)).alias("_won"))
-    same = None
+    same = F.lit(True)
     for c in key:
-        same = (x := F.col(f"u.{c}").eqNullSafe(F.col(f"w.{c}"))) if same is None else same & x
+        same &= F.col(f"u.{c}").eqNullSafe(F.col(f"w.{c}"))
     out = out.alias("u").join(won.alias("w"), same, "left").select("u.*", F.col("w._won"))
     return out.withColumn("quota", F.col("_base") + F.coalesce(F.col("_won"), F.lit(0))).drop("_seats", "_n", "_all", "_base", "_rest", "_won")
 
