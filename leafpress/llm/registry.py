@@ -9,9 +9,11 @@ from leafpress.llm.pii import op2_personal_data
 from leafpress.llm.quality import op3_quality_rules
 from leafpress.llm.secrets import op8_secret_scan
 from leafpress.llm.simhash import op9_simhash_near_dedup
+from leafpress.llm.substrings import op5_substring_dedup
+from leafpress.llm.suffixes import op4_suffix_array_dedup
 from leafpress.llm.tokens import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_quality_rules, op6_decontaminate, op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_quality_rules, op4_suffix_array_dedup, op5_substring_dedup, op6_decontaminate, op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources)}
 
 ORACLES = {
     "op7_chat_format": r"""
