@@ -20,6 +20,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from leafpress.llm.shared import blocks, cut, partitions, table
 
 TOKENIZER = "byte_bpe_50k.json"
 OVER = 1024
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
 #: Code points whose class (letter, number, space) the splitter's tables and this library's agree on; tested over all of Unicode.
 AGREED = regex.compile(r"[\x00-՗ -⁯₠-ꟍ]*+")
 
@@ -90,56 +91,85 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER)
     def frequencies(batches):
         from pyspark import TaskContext
 
-        task, k = TaskContext.get().partitionId(), 0
+        task, k, make = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         for b in batches:
             for texts in blocks(b.column(1), CHUNK_BYTES):
                 known: dict[str, int] = {}
-                places, times, ends, special = [], [], [], []
+                places, times, sizes, special = [], [], [], []
                 for text in b.column(1).slice(int(texts.rows[0]), len(texts)).to_pylist():
                     pre, n = pre_tokens(text or "", path)
                     counted = Counter(pre)
                     places += [known.setdefault(p, len(known)) for p in counted]
                     times += counted.values()
-                    ends.append(len(places))
+                    sizes.append(len(counted))
                     special.append(n)
-                packed = np.concatenate([np.array(x, np.uint32) for x in (ends, special, places, times)])
+                packed = make.compress(pack(np.array(places, np.int64), np.array(times, np.int64), np.array(sizes, np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([(task << 32) + k], pa.int64()),
                         pa.array([b.column(0).slice(int(texts.rows[0]), len(texts)).to_pylist()], pa.list_(b.schema.field(0).type)),
                         pa.array([np.diff(texts.offsets)], pa.list_(pa.int64())),
+                        pa.array([sizes], pa.list_(pa.int32())),
+                        pa.array([special], pa.list_(pa.int32())),
                         pa.array([list(known)], pa.list_(pa.string())),
-                        pa.array([packed.tobytes()], pa.binary()),
+                        pa.array([packed], pa.binary()),
                     ],
-                    ["chunk", "ids", "n_bytes", "pre", "packed"],
+                    ["chunk", "ids", "n_bytes", "sizes", "special", "pre", "packed"],
                 )
                 k += 1
 
-    chunks = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, ids array<{kind}>, n_bytes array<long>, pre array<string>, packed binary"))
+    chunks = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>, pre array<string>, packed binary"))
 
     def pieces(batches):
+        """Streams over rows sorted by pre-token: each distinct one is tokenised where it begins."""
+        last, n = None, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_pieces(b.column(0).to_pylist(), path), pa.int32())], ["pre", "pieces"])
-
-    used = chunks.select("chunk", F.posexplode("pre").alias("place", "pre"))
-    counted = used.select("pre").distinct().mapInArrow(pieces, "pre string, pieces int")
-    back = used.join(counted, "pre").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("p")).select("chunk", F.col("p.pieces").alias("pieces"))
+            if not b.num_rows:
+                continue
+            coded = b.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            known = distinct[0] == last
+            counts = [*([n] if known else []), *count_pieces(distinct[1:] if known else distinct, path)]
+            last, n = distinct[-1], counts[-1]
+            each = np.array(counts, np.int32)[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(each)], ["chunk", "place", "pieces"])
+
+    used = chunks.select(F.posexplode("pre").alias("place", "pre"), "chunk").select("pre", "chunk", "place")
+    counted = used.repartition(partitions(spark), "pre").sortWithinPartitions("pre").mapInArrow(pieces, "chunk long, place int, pieces int")
+    back = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("p")).select("chunk", F.col("p.pieces").alias("pieces"))
 
     def sums(batches):
+        make = zstandard.ZstdDecompressor()
         for b in batches:
-            for r in range(b.num_rows):
-                ids, sizes, packed, got = (b.column(i)[r] for i in range(4))
-                lengths = sizes.values.to_numpy(zero_copy_only=False)
-                n, data = len(lengths), np.frombuffer(packed.as_py(), np.uint32).astype(np.int64)
-                ends, special, rest = data[:n], data[n : 2 * n], data[2 * n :]
-                m = len(rest) // 2
+            for ids, lengths, sizes, special, packed, got in zip(*b.columns, strict=True):
+                sizes = sizes.values.to_numpy().astype(np.int64)
+                places, times = unpack(make.decompress(packed.as_buffer()), sizes)
                 each = got.values.to_numpy(zero_copy_only=False).astype(np.int64) if got.is_valid else np.zeros(0, np.int64)
-                total = np.concatenate([[0], np.cumsum(each[rest[:m]] * rest[m:])])
-                tokens = total[ends] - total[np.concatenate([[0], ends[:-1]])] + special
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(lengths), pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    whole = chunks.select("chunk", "ids", "n_bytes", "packed").join(back, "chunk", "left").repartition(partitions(spark), "chunk")
-    return whole.select("ids", "n_bytes", "packed", "pieces").mapInArrow(sums, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+                total = np.concatenate([[0], np.cumsum(each[places] * times)])
+                ends = np.cumsum(sizes)
+                tokens = total[ends] - total[ends - sizes] + special.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([ids.values, lengths.values, pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    whole = chunks.drop("pre").join(back, "chunk", "left").select("ids", "n_bytes", "sizes", "special", "packed", "pieces")
+    return whole.mapInArrow(sums, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+
+
+def pack(places: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Each document's places in ascending order as differences, then the frequencies, as little-endian uint32."""
+    order = np.lexsort((places, np.repeat(np.arange(len(sizes)), sizes)))
+    places = places[order]
+    steps = np.diff(places, prepend=0)
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[begin] = places[begin]
+    return steps.astype("<u4").tobytes() + times[order].astype("<u4").tobytes()
+
+
+def unpack(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    steps, times = np.frombuffer(data, "<u4").astype(np.int64).reshape(2, -1)
+    total = np.cumsum(steps)
+    begin = np.cumsum(sizes) - sizes
+    before = np.where(sizes > 0, total[np.minimum(begin, max(0, len(total) - 1))] - steps[np.minimum(begin, max(0, len(steps) - 1))], 0) if len(total) else np.zeros(len(sizes), np.int64)
+    return total - np.repeat(before, sizes), times
 
 
 def op1_token_counts(spark, sf_dir):
