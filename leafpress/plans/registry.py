@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from leafpress.plans import text_plans
+
+_PLANS = (text_plans,)
+QUERIES = {k: f for m in _PLANS for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _PLANS for k, s in m.ORACLES.items()}
