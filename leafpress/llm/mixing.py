@@ -81,7 +81,7 @@ def apportion(units: DataFrame, share: str, key: Sequence[str], seats: Column) -
 def drawn(to: Column, quota: Column, blocks: Column, start: Column) -> Column:
     """How many of the first ``to`` blocks a systematic draw of ``quota`` out of ``blocks`` takes, in exact integers."""
     whole = lambda x: (x.cast("decimal(19,0)") * quota.cast("decimal(19,0)") - F.pmod(x.cast("decimal(19,0)") * quota.cast("decimal(19,0)"), blocks.cast("decimal(19,0)"))) / blocks.cast("decimal(19,0)")
-    return F.when(blocks > 0, whole(to + start).cast("long") - whole(start).cast("long")).otherwise(F.lit(0).cast("long"))
+    return whole(to + start).cast("long") - whole(start).cast("long")
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -97,14 +97,14 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST,
     shards = shards.withColumn("total", F.sum("share").over(every)).withColumn("units", F.size(F.collect_set("source").over(every)) + F.lit(1))
     shards = shards.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / F.col("units") / BLOCKS_PER_SOURCE))).cast("long"))
     shards = cut(apportion(shards, "share", ["source", "shard"], F.round(F.col("total") / F.col("block")).cast("long")))
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
+    shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
     in_shard = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(in_shard))
     placed = placed.alias("r").join(shards.select("source", "shard", "block", "blocks", "quota").alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard"))).select("r.*", "q.block", "q.blocks", "q.quota")
     full, rest = F.floor(F.col("quota") / F.col("blocks")), F.col("quota") % F.col("blocks")
     start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.col("blocks"))
     upto = lambda c: drawn(c, F.col("rest"), F.col("blocks"), F.col("start"))
-    placed = placed.withColumn("full", F.coalesce(full, F.lit(0))).withColumn("rest", F.coalesce(rest, F.lit(0))).withColumn("start", F.coalesce(start, F.lit(0)))
+    placed = placed.withColumn("full", full).withColumn("rest", rest).withColumn("start", start)
     tokens = lambda at: (  # noqa: E731  drawn tokens before position `at` of the shard
         upto(F.floor(at / F.col("block"))) * F.col("block") + (at % F.col("block")) * (upto(F.floor(at / F.col("block")) + 1) - upto(F.floor(at / F.col("block"))))
     )
