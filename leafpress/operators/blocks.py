@@ -62,18 +62,27 @@ def joined_content(blocks: DataFrame, sep: str = "\n") -> DataFrame:
     return blocks.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), sep).alias("content"))
 
 
-def summary(artifacts: DataFrame) -> DataFrame:
-    """The summary text of an artifact: labels, counts and a preview."""
-    more = F.length("content") > PREVIEW_CHARS
+#: Fixed value: how block types are called in summaries.
+TYPE_LABELS = {"heading": "Heading", "paragraph": "Paragraph", "list_item": "ListItem", "table": "Table", "image_reference": "Image", "text_block": "TextBlock", "textbox": "Textbox", "slide": "Slide"}
+
+
+def summary(artifacts: DataFrame, types: str = "types") -> DataFrame:
+    """The summary text of an artifact: name, type, path, title, counts by block type, reader and a preview.
+
+    ``types`` names an array of the blocks' types; ``sheets``, ``page_count``, ``provider_id`` and ``parse_ms`` are
+    used where the table has them.
+    """
+    have, label = set(artifacts.columns), F.create_map(*[F.lit(x) for kv in TYPE_LABELS.items() for x in kv])
+    named = lambda text, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(text), F.col(c).cast("string"))) if c in have else F.lit(None).cast("string")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?")) if c in have else F.lit("?")
+    kinds = F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(F.lit("  - "), F.coalesce(F.try_element_at(label, t), t), F.lit(": "), F.size(F.filter(types, lambda x: x == t)).cast("string")))
+    listed = lambda head, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n{head}\n"), F.array_join(rows, "\n")))
     text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Name: "), "name"),
-        F.concat(F.lit("Type: "), F.upper("artifact_type")),
-        F.concat(F.lit("Blocks: "), F.size("lines").cast("string")),
-        F.when(F.size("lines") > 0, F.concat(F.lit("  paragraph: "), F.size("lines").cast("string"))),
-        F.lit(""),
-        F.concat(F.left("content", F.lit(PREVIEW_CHARS)), F.when(more, F.lit("\n…")).otherwise(F.lit(""))),
-    )
+        "\n", F.concat(F.lit("文件："), "name"), F.concat(F.lit("类型："), F.upper("artifact_type")), F.concat(F.lit("路径："), "path"), named("标题：", "title"), listed("结构：", kinds),
+        listed("Sheets：", F.transform("sheets", lambda x: F.concat(F.lit("  - "), F.coalesce(x, F.lit("(unnamed)"))))) if "sheets" in have else F.lit(None).cast("string"),
+        named("Pages：", "page_count"), F.lit("\n解析信息："), F.concat(F.lit("  - Adapter: "), known("provider_id")), F.concat(F.lit("  - 耗时: "), known("parse_ms"), F.lit(" ms")), F.concat(F.lit("  - Artifact ID: "), "artifact_id"),
+        F.when(F.col("content") != "", F.concat(F.lit("\n内容预览：\n"), F.left("content", F.lit(PREVIEW_CHARS)))), F.when(F.length("content") > PREVIEW_CHARS, F.lit("…（预览已截断）")),
+    )
     return artifacts.select("artifact_id", text.alias("summary"))
 
 

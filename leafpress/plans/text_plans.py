@@ -94,7 +94,7 @@ def content_joined(spark, sf_dir):
 
 
 def artifact_summary(spark, sf_dir):
-    return B.summary(artifacts(spark, sf_dir))
+    return B.summary(artifacts(spark, sf_dir).withColumns({"types": F.transform("lines", lambda x: F.lit("paragraph")), "provider_id": F.lit("text.read")}))
 
 
 def preview_model(spark, sf_dir):
@@ -174,7 +174,9 @@ ORACLES = {
     "transcript": "SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id",
     "content_joined": f"WITH {_TURNS} SELECT artifact_id, string_agg(text, chr(10) ORDER BY turn, text) AS content FROM turns GROUP BY 1",
     "artifact_summary": f"""WITH {_ARTIFACTS}, n AS (SELECT artifact_id, count(*) AS k FROM blocks GROUP BY 1)
-        SELECT artifact_id, 'Name: ' || name || chr(10) || 'Type: TXT' || chr(10) || 'Blocks: ' || coalesce(k, 0) || CASE WHEN k > 0 THEN chr(10) || '  paragraph: ' || k ELSE '' END || chr(10) || chr(10) || left(content, 3000) || CASE WHEN length(content) > 3000 THEN chr(10) || '…' ELSE '' END AS summary FROM arts LEFT JOIN n USING (artifact_id)""",
+        SELECT artifact_id, '文件：' || name || chr(10) || '类型：TXT' || chr(10) || '路径：' || path || chr(10) || '标题：' || doc_id || CASE WHEN k > 0 THEN chr(10) || chr(10) || '结构：' || chr(10) || '  - Paragraph: ' || k ELSE '' END
+        || chr(10) || chr(10) || '解析信息：' || chr(10) || '  - Adapter: text.read' || chr(10) || '  - 耗时: ? ms' || chr(10) || '  - Artifact ID: ' || artifact_id
+        || CASE WHEN content <> '' THEN chr(10) || chr(10) || '内容预览：' || chr(10) || left(content, 3000) ELSE '' END || CASE WHEN length(content) > 3000 THEN chr(10) || '…（预览已截断）' ELSE '' END AS summary FROM arts LEFT JOIN n USING (artifact_id)""",
     "preview_model": f"WITH {_ARTIFACTS} SELECT name, 'TXT' AS kind, sha256(content) AS content_sha256, length(content) AS n_chars, true AS supported FROM arts",
     "size_labels": """WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) * pow(7, doc_id % 9)::BIGINT AS size FROM documents)
         SELECT doc_id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS label,
