@@ -15,7 +15,37 @@ from leafpress.llm.tokens import op1_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_quality_rules, op4_suffix_array_dedup, op5_substring_dedup, op6_decontaminate, op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources)}
 
+_ISLANDS = """
+        islands AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM repeated)),
+        spans AS (SELECT rid, min(i) AS a, max(i) + {length} AS b FROM islands GROUP BY rid, island),
+        gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS a, a AS b FROM spans UNION ALL SELECT rid, coalesce(max(b), 1), n + 1 FROM d LEFT JOIN spans USING (rid) GROUP BY rid, n),
+        sums AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)"""
+
 ORACLES = {
+    # windows as hexadecimal text, told apart by MD5
+    "op4_suffix_array_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        windows AS (SELECT rid, i, md5(substr(h, 2 * i - 1, 400)) AS w FROM (SELECT rid, h, unnest(generate_series(1, n - 199)) AS i FROM d WHERE n >= 200)),
+        repeated AS (SELECT rid, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),{_ISLANDS.format(length=200)},
+        kept AS (SELECT rid, string_agg(substr(h, (2 * a - 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS k FROM gaps JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (rid) LEFT JOIN sums USING (rid)""",
+    "op5_substring_dedup": rf"""
+        WITH d AS (SELECT *, len(w) AS n FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+        windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS w FROM (SELECT rid, w, unnest(generate_series(1, n - 34)) AS i FROM d WHERE n >= 35)),
+        repeated AS (SELECT rid, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),{_ISLANDS.format(length=35)},
+        kept AS (SELECT rid, array_to_string(flatten(list(w[a:b - 1] ORDER BY a)), ' ') AS k FROM gaps JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(k) AS kept_sha256 FROM d JOIN kept USING (rid) LEFT JOIN sums USING (rid)""",
+    "op6_decontaminate": r"""
+        WITH texts AS (SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'i', row_number() OVER (), coalesce(item_id::VARCHAR, ''), text FROM benchmark),
+        split AS (SELECT kind, rid, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        item_windows AS (SELECT DISTINCT id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM split WHERE kind = 'i' AND len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM item_windows),
+        doc_windows AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS s FROM (SELECT rid, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM split, sizes WHERE kind = 'd' AND len(w) >= size)),
+        found AS (SELECT rid, size, i, id FROM doc_windows JOIN item_windows USING (size, s)),
+        hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + size - 1)) AS p FROM found) GROUP BY rid),
+        items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM found) GROUP BY rid)
+        SELECT id::BIGINT AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM split LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid) WHERE kind = 'd'""",
     "op7_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
