@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT, USER, ENVIRONMENT, RUNTIME = "Default", "User Config", "Environment", "Runtime Argument"
-ACTIVITY_TYPES = ("workspace_open", "artifact_open", "artifact_qa")
+ACTIVITY_TYPES = ("workspace", "artifact", "artifact_qa")
 
 
 @dataclass(frozen=True)
