@@ -1,9 +1,9 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to per-document frequencies.
 
-One pass over the texts makes a row per chunk of documents: the chunk's distinct pre-tokens, and for each
-document the places in that list with frequencies, packed. Only the distinct pre-tokens of chunks are
-dealt by pre-token, where each is tokenised once for the whole table; the counts go back to their chunk,
-and a document's tokens are the sum of frequency times pieces. No token id is ever kept.
+One pass over the texts makes a row per chunk of documents, with each document's pre-token frequencies, and
+for each bucket (by hash) a row with the chunk's distinct pre-tokens there, all packed. Only those lists are
+shuffled: in its bucket a pre-token is tokenised once for the whole table. The counts go back to their chunk
+in the list's order, and a document's tokens are the sum of frequency times pieces. No token id is ever kept.
 
 A special string of the tokenizer inside a text is one token, as its library does by default. Texts with
 code points where Unicode tables differ between versions are split by the tokenizer's own splitter.
@@ -20,6 +20,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from leafpress.llm.shared import blocks, cut, partitions, table
 TOKENIZER = "byte_bpe_50k.json"
 OVER = 1024
 CHUNK_BYTES = 8 << 20
+#: Buckets of pre-tokens: as many as shuffle partitions, within these.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Code points whose class (letter, number, space) the splitter's tables and this library's agree on; tested over all of Unicode.
 AGREED = regex.compile(r"[\x00-՗ -⁯₠-ꟍ]*+")
 
@@ -88,7 +91,10 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER)
     spark, path = docs.sparkSession, path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    n_buckets = min(MOST_BUCKETS, partitions(spark, LEAST_BUCKETS))
+
     def frequencies(batches):
+        """Per chunk one row with its documents' frequencies, and one row per bucket with the distinct pre-tokens there."""
         from pyspark import TaskContext
 
         task, k, make = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
@@ -104,56 +110,67 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER)
                     sizes.append(len(counted))
                     special.append(n)
                 packed = make.compress(pack(np.array(places, np.int64), np.array(times, np.int64), np.array(sizes, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(task << 32) + k], pa.int64()),
-                        pa.array([b.column(0).slice(int(texts.rows[0]), len(texts)).to_pylist()], pa.list_(b.schema.field(0).type)),
-                        pa.array([np.diff(texts.offsets)], pa.list_(pa.int64())),
-                        pa.array([sizes], pa.list_(pa.int32())),
-                        pa.array([special], pa.list_(pa.int32())),
-                        pa.array([list(known)], pa.list_(pa.string())),
-                        pa.array([packed], pa.binary()),
-                    ],
-                    ["chunk", "ids", "n_bytes", "sizes", "special", "pre", "packed"],
-                )
+                raw = [p.encode("utf-8", "surrogateescape") for p in known]
+                bucket = np.array([xxhash.xxh32_intdigest(r) % n_buckets for r in raw], np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                numbers, begin = np.unique(bucket[order], return_index=True)
+                lists = [make.compress(b"".join(len(raw[i]).to_bytes(4, "little") + raw[i] for i in order[lo:hi])) for lo, hi in zip(begin, [*begin[1:], len(raw)], strict=False)]
+                n, chunk, own = len(lists), (task << 32) + k, b.column(0).slice(int(texts.rows[0]), len(texts)).to_pylist()
+                rows = [[chunk] * (n + 1), [None, *numbers.tolist()], [packed, *lists], [make.compress(bucket.tobytes()), *[None] * n], [own, *[None] * n], [np.diff(texts.offsets), *[None] * n], [sizes, *[None] * n], [special, *[None] * n]]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(b.schema.field(0).type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["chunk", "bucket", "packed", "buckets", "ids", "n_bytes", "sizes", "special"])
                 k += 1
 
-    chunks = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>, pre array<string>, packed binary"))
+    made = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, bucket int, packed binary, buckets binary, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>"))
 
     def pieces(batches):
-        """Streams over rows sorted by pre-token: each distinct one is tokenised where it begins."""
-        last, n = None, 0
+        """Streams over the lists of a bucket: a pre-token is tokenised where it comes first, and looked up after that."""
+        take, make, now, known = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), None, {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            coded = b.column(0).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = distinct[0] == last
-            counts = [*([n] if known else []), *count_pieces(distinct[1:] if known else distinct, path)]
-            last, n = distinct[-1], counts[-1]
-            each = np.array(counts, np.int32)[coded.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(each)], ["chunk", "place", "pieces"])
-
-    used = chunks.select(F.posexplode("pre").alias("place", "pre"), "chunk").select("pre", "chunk", "place")
-    counted = used.repartition(partitions(spark), "pre").sortWithinPartitions("pre").mapInArrow(pieces, "chunk long, place int, pieces int")
-    back = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("p")).select("chunk", F.col("p.pieces").alias("pieces"))
+            out = []
+            for bucket, packed in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                own = split_list(take.decompress(packed.as_buffer()))
+                new = [r for r in own if r not in known]
+                known.update(zip(new, count_pieces([r.decode("utf-8", "surrogateescape") for r in new], path), strict=True))
+                out.append(make.compress(np.array([known[r] for r in own], "<u4").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "pieces"])
+
+    lists = made.where("bucket is not null").select("chunk", "bucket", "packed")
+    counted = lists.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(pieces, "chunk long, bucket int, pieces binary")
+    back = counted.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "pieces"))), lambda x: x["pieces"]).alias("pieces"))
 
     def sums(batches):
         make = zstandard.ZstdDecompressor()
         for b in batches:
-            for ids, lengths, sizes, special, packed, got in zip(*b.columns, strict=True):
+            for ids, lengths, sizes, special, packed, buckets, got in zip(*b.columns, strict=True):
                 sizes = sizes.values.to_numpy().astype(np.int64)
                 places, times = unpack(make.decompress(packed.as_buffer()), sizes)
-                each = got.values.to_numpy(zero_copy_only=False).astype(np.int64) if got.is_valid else np.zeros(0, np.int64)
+                bucket = np.frombuffer(make.decompress(buckets.as_buffer()), np.uint16)
+                each = np.zeros(len(bucket), np.int64)
+                if len(bucket):
+                    each[np.argsort(bucket, kind="stable")] = np.frombuffer(b"".join(make.decompress(x.as_buffer()) for x in got.values), "<u4")
                 total = np.concatenate([[0], np.cumsum(each[places] * times)])
                 ends = np.cumsum(sizes)
                 tokens = total[ends] - total[ends - sizes] + special.values.to_numpy()
                 yield pa.RecordBatch.from_arrays([ids.values, lengths.values, pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    whole = chunks.drop("pre").join(back, "chunk", "left").select("ids", "n_bytes", "sizes", "special", "packed", "pieces")
+    chunks = made.where("bucket is null").drop("bucket")
+    whole = chunks.join(back, "chunk", "left").select("ids", "n_bytes", "sizes", "special", "packed", "buckets", "pieces")
     return whole.mapInArrow(sums, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def split_list(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
 def pack(places: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> bytes:
     """Each document's places in ascending order as differences, then the frequencies, as little-endian uint32."""
     order = np.lexsort((places, np.repeat(np.arange(len(sizes)), sizes)))
