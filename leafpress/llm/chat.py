@@ -24,6 +24,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leafpress.llm.shared import by_key, table
 
@@ -161,8 +162,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=schema)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema(list(zip(names, [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)))
+    schema = pa.schema(list(zip(names, [to_arrow_type(formatted.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)))
     tokens = F.aggregate(F.col("attachments"), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens")
     return dealt.select("conv_id", "formatted", "loss_start", "loss_end", tokens).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long")
 

@@ -161,6 +161,8 @@ def rarity(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
     return {(r["size"], r["h"] & (2**64 - 1)): r["n"] for r in counts.toLocalIterator()}
 
 
+#: Columns that carry hits from block to block.
+CARRIED = ("__leafpress_hits", "__leafpress_items")
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"
 
 
@@ -169,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     spark = prepare(docs.sparkSession)
     own = docs if keep else docs.select("doc_id", "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    state = own.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    state = own.withColumns({CARRIED[0]: F.lit(None).cast("binary"), CARRIED[1]: F.lit(None).cast("array<string>")})
     at = own.columns.index("text")
     texts_only = docs.select("text")
 
@@ -215,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         index = Index(items, window, shingle)
         index.order(rarity(texts_only, index))
         if out is not None:
-            state = out.select(*own.columns, F.col("hits").alias("_hits"), F.col("items").alias("_items"))
+            state = out.select(*own.columns, F.col("hits").alias(CARRIED[0]), F.col("items").alias(CARRIED[1]))
             state = cut(state) if k % 4 == 0 else state
         out = state.mapInArrow(step(spark.sparkContext.broadcast(index)), f"{fields}, {OUT}")
     if out is None:  # no window at all
