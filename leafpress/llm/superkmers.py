@@ -31,7 +31,7 @@ HOT = 4_000
 #: Bytes of texts that one pass of the minimiser holds.
 PASS_BYTES = 1 << 20
 #: Bytes of packed super-k-mers that one call of ``repeats`` gets, if the last group is complete.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 
 
 class Bytes:
@@ -166,7 +166,7 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
 
     runs = marked.select("uid", "packed").join(reps.select("uid"), "uid", "left_semi").mapInArrow(unpack, "m long, uid long, start int, count int, again boolean")
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again")).where("times > 1 or again").select("m", "times")
-    asked = runs.join(often, "m").groupBy("uid").agg(F.collect_list(F.struct("m", "start", "count", "times")).alias("asked"))
+    asked = runs.join(often, "m").groupBy("uid").agg(F.collect_list(F.struct("m", "start", "count", "times", "again")).alias("asked"))
     asked = reps.select("uid", "t1", "t2").join(asked, "uid")
 
     def squeeze(batches):
@@ -188,11 +188,11 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
                     continue
                 before = uid.as_py()
                 raw, rows = make.decompress(z.as_buffer()), asked.values
-                m, start, count, times = (rows.field(n).to_numpy() for n in ("m", "start", "count", "times"))
+                m, start, count, times, again = (rows.field(n).to_numpy(zero_copy_only=False) for n in ("m", "start", "count", "times", "again"))
                 strings = unit.pack(raw, list(zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)))
                 shards = -(-times // hot)
                 salt = (mix(np.full(len(m), before, np.uint64)) % shards.astype(np.uint64)).astype(np.int32)
-                out.append((m, salt, np.full(len(m), before, np.int64), start, times, strings))
+                out.append((m, salt, np.full(len(m), before, np.int64), start, times, again, strings))
                 size += sum(map(len, strings))
                 if size > BUCKET_BYTES:
                     yield packed_rows(out)
@@ -201,10 +201,10 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
                 yield packed_rows(out)
 
     def packed_rows(out):
-        cols = [pa.array(np.concatenate([x[i] for x in out])) for i in range(5)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([s for x in out for s in x[5]], pa.binary())], ["m", "salt", "uid", "start", "times", "s"])
+        cols = [pa.array(np.concatenate([x[i] for x in out])) for i in range(6)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([s for x in out for s in x[6]], pa.binary())], ["m", "salt", "uid", "start", "times", "again", "s"])
 
-    sent = squeezed.drop("doc_id").join(asked, ["t1", "t2"]).select("uid", "z", "asked").mapInArrow(travel, "m long, salt int, uid long, start int, times long, s binary")
+    sent = squeezed.drop("doc_id").join(asked, ["t1", "t2"]).select("uid", "z", "asked").mapInArrow(travel, "m long, salt int, uid long, start int, times long, again boolean, s binary")
     dealt = sent.repartition(partitions(spark), "m", "salt").sortWithinPartitions("m", "salt")
 
     def bucket(batches):
@@ -227,18 +227,28 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
     def solve(rows: pa.Table):
-        names = ("m", "salt", "uid", "start", "times")
-        m, salt, uid, start, times = (rows.column(n).to_numpy() for n in names)
+        m, uid, start, times, again = (rows.column(n).to_numpy() for n in ("m", "uid", "start", "times", "again"))
         # equal strings of a group are one with a multiplicity
         coded = rows.column("s").combine_chunks().cast(pa.large_binary()).dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         code, distinct = coded.indices.to_numpy(), coded.dictionary
-        texts = Texts(distinct.cast(pa.large_binary()), np.arange(len(distinct)))
-        symbols, first = unit.read(texts)
+        texts = Texts(distinct, np.arange(len(distinct)))
+        if unit.name == "bytes":
+            first = texts.offsets
+        else:
+            symbols, first = unit.read(texts)
         windows = np.diff(first) - length + 1
         at = np.concatenate([[0], np.cumsum(windows)])
-        flags = repeats(texts) if len(distinct) > 1 or windows[0] > 1 else np.zeros(int(at[-1]), bool)
         owner = np.repeat(np.arange(len(distinct)), windows)
+        some_row = np.zeros(len(distinct), np.int64)
+        some_row[code[::-1]] = np.arange(len(code))[::-1]
+        # a string alone with its minimiser, which it holds once, has no window in common with any string
+        _, kin, size = np.unique(m[some_row], return_inverse=True, return_counts=True)
+        asked = size[kin] > 1
+        asked[code[again]] = True
+        flags = np.zeros(int(at[-1]), bool)
+        if asked.any():
+            flags[asked[owner]] = repeats(Texts(distinct.filter(pa.array(asked)), np.arange(int(asked.sum()))))
         alone = np.bincount(code, minlength=len(distinct)) < 2
         flags = flags | ~alone[owner]
         lo, hi = as_runs(flags, owner)
@@ -252,8 +262,7 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
         if (times > hot).any():
             split = np.zeros(len(distinct), bool)
             split[code[times > hot]] = True
-            some_row = np.zeros(len(distinct), np.int64)
-            some_row[code[::-1]] = np.arange(len(code))[::-1]
+            symbols = unit.read(texts)[0]
             base = np.repeat(first[:-1], windows) + np.arange(len(owner)) - np.repeat(at[:-1], windows)
             pick = np.flatnonzero(split[owner])
             a, b = (window_keys(unit, symbols, x)[base[pick]] for x in (BASE_A, BASE_B))
