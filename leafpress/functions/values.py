@@ -53,3 +53,17 @@ def timestamp(c: Column) -> Column:
 
 def text(c: Column) -> Column:
     return F.coalesce(T.collapse(c), F.lit(""))
+
+
+#: Cell kinds of the binary spreadsheet format.
+EMPTY, TEXT, NUMBER, DATE, BOOLEAN, ERROR, BLANK = range(7)
+
+
+def binary_cell(kind: Column, number_value: Column, text_value: Column, epoch_1904: bool = False) -> Column:
+    """A cell of a binary sheet as text, by its kind; dates are serial numbers."""
+    start = "1904-01-01" if epoch_1904 else "1899-12-30"
+    moment = F.timestamp_seconds(F.unix_timestamp(F.lit(f"{start} 00:00:00").cast("timestamp")) + F.round(number_value * 86400).cast("long"))
+    return (
+        F.when(kind.isin(EMPTY, BLANK), "").when(kind == BOOLEAN, F.when(number_value != 0, "TRUE").otherwise("FALSE")).when(kind == ERROR, F.concat(F.lit("#ERROR("), number_value.cast("long").cast("string"), F.lit(")")))
+        .when(kind == DATE, timestamp(moment)).when(kind == NUMBER, number(number_value)).otherwise(text(text_value))
+    )

@@ -27,6 +27,20 @@ def recent_workspaces(opens: DataFrame, pins: DataFrame, limit: int = WORKSPACES
     return kept.withColumn("position", F.row_number().over(W.orderBy(F.col("pinned").desc(), F.col("opened_at").desc(), "workspace_key")))
 
 
+def pinned_only(recents: DataFrame) -> DataFrame:
+    """What stays when the list is cleared."""
+    return recents.where("pinned")
+
+
+def removed(recents: DataFrame, workspace_key: str) -> DataFrame:
+    return recents.where(F.col("workspace_key") != workspace_key)
+
+
+def upsert(log: DataFrame, entry: DataFrame) -> DataFrame:
+    """The log with one more entry; readers take the newest of a key, so an update is an append."""
+    return log.unionByName(entry)
+
+
 def search(query: str, *, workspaces: DataFrame | None = None, files: DataFrame | None = None, activities: DataFrame | None = None) -> DataFrame:
     """Metadata that holds the lower-cased query as a literal substring; never body text. An empty query finds nothing."""
     q = query.strip().lower()

@@ -10,6 +10,7 @@ from leafpress.functions import values as V
 from leafpress.operators import context as C
 from leafpress.operators import geometry as G
 from leafpress.operators import ocr as O
+from leafpress.operators import pages as P
 from leafpress.operators import tables as TB
 from leafpress.plans import office_bytes
 from leafpress.plans.text_plans import read
@@ -185,6 +186,37 @@ def pdf_table_chains(spark, sf_dir):
     return G.chains(o).select("doc", F.col("page").cast("long").alias("page"), "continues_from_previous", "continued_on_next", "continuation_id")
 
 
+def page_parts(spark, sf_dir):
+    """Suppliers as text lines, five to a page, some blank; a rule table on even pages, a library table on each third; images on each fourth."""
+    s = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 40).cast("int").alias("doc"), F.floor(F.col("s_suppkey") % 40 / 5).cast("int").alias("page"), F.col("s_suppkey").alias("k"), F.when(F.floor(F.col("s_suppkey") % 40 / 5) == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "s_name")).alias("text"))
+    lines = s.select("doc", "page", "text", (F.col("k") % 3 * 10.0).alias("top"), F.col("k").cast("double").alias("x0"))
+    pages = s.select("doc", "page").distinct()
+    table = pages.select("doc", "page", F.lit(10.0).alias("top"), F.lit(0.0).alias("x0"))
+    return pages, lines, table.where("page % 2 = 0"), table.where("page % 3 = 0"), pages.where("page % 4 = 0").withColumn("n", F.lit(2))
+
+
+def pdf_page_blocks(spark, sf_dir):
+    _, lines, grid, library, images = page_parts(spark, sf_dir)
+    out = P.blocks(lines, P.with_fallback(grid, library), images)
+    return out.select("doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", "text", F.coalesce(F.col("line_index"), F.lit(-1)).cast("long").alias("line_index"), F.coalesce(F.col("image_count"), F.lit(0)).cast("long").alias("image_count"))
+
+
+def pdf_table_fallback(spark, sf_dir):
+    _, _, grid, library, _ = page_parts(spark, sf_dir)
+    return P.with_fallback(grid, library).select("doc", "page", "extraction_method", "confidence")
+
+
+def pdf_page_meta(spark, sf_dir):
+    pages, lines, _, _, images = page_parts(spark, sf_dir)
+    return P.page_meta(pages, lines, images)
+
+
+def xls_cells(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    kind = (F.col("l_orderkey") % 7).cast("int")
+    return l.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.binary_cell(kind, F.when(kind == V.DATE, F.lit(36526.0) + F.col("l_linenumber") + F.when(F.col("l_quantity") > 25, 0.5).otherwise(0.0)).otherwise(F.col("l_quantity")), F.col("l_returnflag")).alias("value"))
+
+
 # --- recognised boxes: words of conversations as boxes on a page
 
 
@@ -241,12 +273,14 @@ def ocr_transformations(spark, sf_dir):
     return O.transformations(rows)
 
 
-QUERIES = {f.__name__: f for f in (grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip, docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, column_addresses, pdf_lines_merged, pdf_line_intersections, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm, ocr_transformations)}
+QUERIES = {f.__name__: f for f in (grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip, docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, column_addresses, pdf_lines_merged, pdf_line_intersections, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta, xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm, ocr_transformations)}
 
 _CELLS = """n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation),
     cells AS (SELECT n_regionkey, row, 1 AS col, CASE WHEN row = 1 THEN 2 ELSE 1 END AS colspan, n_nationkey::VARCHAR AS text FROM n UNION ALL SELECT n_regionkey, row, 2, 1, n_name FROM n WHERE row > 1 UNION ALL SELECT n_regionkey, row, 3, 1, n_regionkey::VARCHAR FROM n)"""
 _ROUND = "SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row, n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"
 _SUPPLIERS = "s AS (SELECT floor(s_suppkey / 20)::INT AS doc, 1 AS page, (s_suppkey % 20)::INT AS k, * FROM supplier), size AS (SELECT doc, page, max(k) + 1 AS n FROM s GROUP BY 1, 2)"
+_PARTS = """lines AS (SELECT floor(s_suppkey / 40)::INT AS doc, floor(s_suppkey % 40 / 5)::INT AS page, CASE WHEN floor(s_suppkey % 40 / 5) = 3 THEN '' ELSE s_name END AS text, s_suppkey % 3 * 10.0 AS top, s_suppkey AS x0 FROM supplier),
+    p AS (SELECT DISTINCT doc, page FROM lines), tables AS (SELECT doc, page, CASE WHEN page % 2 = 0 THEN 'pdf-vector-grid' ELSE 'page-library' END AS extraction_method, CASE WHEN page % 2 = 0 THEN 0.98 ELSE 0.7 END::DOUBLE AS confidence FROM p WHERE page % 2 = 0 OR page % 3 = 0)"""
 _BOXES = r"words AS (SELECT conv_id AS doc, turn::INT AS page, list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''), 1, 60) AS w FROM conversations), boxes AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS box_no, unnest(w) AS text FROM words)"
 _SPANS = "CASE WHEN {n} <= 0 THEN [] WHEN {n} <= 3000 THEN [0] ELSE generate_series(0, (ceil(({n} - 3000) / 2744.0) * 2744)::BIGINT, 2744) END"
 _TILES = f"""images AS (SELECT p_partkey AS image, p_size * 211 AS width, p_partkey % 83 * 97 AS height FROM part),
@@ -284,6 +318,14 @@ ORACLES = {
         c AS (SELECT *, coalesce(lag(page) OVER w = page - 1 AND lag(cols) OVER w = cols AND (lag(sig) OVER w = sig OR cols = 2), false) AS cont FROM o WINDOW w AS (PARTITION BY doc ORDER BY page)),
         n AS (SELECT *, sum((NOT cont)::INT) OVER (PARTITION BY doc ORDER BY page) AS chain, coalesce(lead(cont) OVER (PARTITION BY doc ORDER BY page), false) AS nxt FROM c)
         SELECT doc, page, cont AS continues_from_previous, nxt AS continued_on_next, 'table-chain-' || chain AS continuation_id FROM n""",
+    "pdf_page_blocks": f"""WITH {_PARTS}, l AS (SELECT doc, page, top, 0 AS kind, row_number() OVER (PARTITION BY doc, page ORDER BY top, x0) - 1 AS place, 'text_block' AS block_type, text, row_number() OVER (PARTITION BY doc, page ORDER BY top, x0) - 1 AS line_index, NULL::BIGINT AS image_count FROM lines WHERE text <> ''),
+        every AS (SELECT * FROM l UNION ALL SELECT doc, page, 10.0, 1, 1, 'table', NULL, NULL, NULL FROM tables UNION ALL SELECT doc, page, 0.0, 2, 0, 'image_reference', NULL, NULL, 2 FROM p WHERE page % 4 = 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top, kind, place) AS seq FROM every)
+        SELECT doc, page, seq, 'b' || lpad(seq::VARCHAR, 4, '0') AS block_id, block_type, text, coalesce(line_index, -1) AS line_index, coalesce(image_count, 0) AS image_count FROM n""",
+    "pdf_table_fallback": f"WITH {_PARTS} SELECT * FROM tables",
+    "pdf_page_meta": f"WITH {_PARTS} SELECT doc, page, sum(length(text))::BIGINT AS text_chars, count(*) FILTER (WHERE text <> '') AS text_block_count, page % 4 = 0 AS has_images, sum(length(text)) = 0 AS requires_ocr FROM lines GROUP BY 1, 2",
+    "xls_cells": """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 6 THEN '' WHEN 4 THEN 'TRUE' WHEN 5 THEN '#ERROR(' || l_quantity::BIGINT || ')' WHEN 2 THEN l_quantity::BIGINT::VARCHAR WHEN 1 THEN l_returnflag
+        ELSE (DATE '2000-01-01' + l_linenumber::INT)::VARCHAR || CASE WHEN l_quantity > 25 THEN ' 12:00:00' ELSE '' END END AS value FROM lineitem""",
     "ocr_rows": f"WITH {_BOXES} SELECT doc, page, box_no, (box_no // 6)::INT AS row, (box_no % 6)::INT AS place FROM boxes",
     "ocr_page_text": f"WITH {_BOXES} SELECT doc, page, (box_no // 6)::INT AS row, string_agg(text, ' ' ORDER BY box_no) AS text, min((box_no // 6) * 30.0 + box_no % 3)::DOUBLE AS top FROM boxes GROUP BY 1, 2, 3",
     "ocr_table_like": f"WITH {_BOXES}, r AS (SELECT doc, page, max(box_no // 6) + 1 AS rows, max(box_no % 6) + 1 AS cols, count(*) AS n FROM boxes GROUP BY 1, 2) SELECT doc, page, rows >= 2 AND cols >= 2 AND n >= 8 AS table_like FROM r",
