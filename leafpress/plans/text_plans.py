@@ -46,8 +46,8 @@ def block_type_counts(spark, sf_dir):
     return docs.unionByName(B.type_counts(turns))
 
 
-def _columns(contexts):
-    return contexts.select("artifact_id", *[F.col(c).cast("long").alias(c) for c in ("n_blocks", "consumed")], "truncated", F.col("omitted_blocks").cast("long").alias("omitted_blocks"), "reason", F.length("context").cast("long").alias("context_chars"))
+def _columns(contexts, *more):
+    return contexts.select("artifact_id", *[F.col(c).cast("long").alias(c) for c in ("n_blocks", "consumed")], "truncated", F.col("omitted_blocks").cast("long").alias("omitted_blocks"), "reason", F.length("context").cast("long").alias("context_chars"), *more)
 
 
 def context_budget(spark, sf_dir):
@@ -79,7 +79,7 @@ def context_paged(spark, sf_dir):
     item = F.struct("turn", "role", "text", "page", F.concat(F.lit("[Text] "), F.col("text")).alias("rendered"))
     grouped = turn_blocks(spark, sf_dir).groupBy("artifact_id").agg(F.array_sort(F.collect_list(item)).alias("blocks"))
     grouped = grouped.withColumns({"name": F.concat("artifact_id", F.lit(".pdf")), "artifact_type": F.lit("pdf"), "ocr_pages": F.array(F.lit(2))})
-    return _columns(C.build(grouped, PAGED, pages="ocr_pages")).join(C.build(grouped, PAGED, pages="ocr_pages").select("artifact_id", F.sha2("context", 256).alias("context_sha256")), "artifact_id")
+    return _columns(C.build(grouped, PAGED, pages="ocr_pages"), F.sha2("context", 256).alias("context_sha256"))
 
 
 def transcript(spark, sf_dir):
