@@ -30,7 +30,8 @@ def text_artifacts(rows: DataFrame, path: Column, text: Column) -> DataFrame:
 
 def line_blocks(artifacts: DataFrame) -> DataFrame:
     """One paragraph per non-blank line. The order comes with the array, so no window and no shuffle is needed."""
-    return artifacts.select("artifact_id", F.posexplode("lines").alias("_at", "_line")).select(
+    # an outer explode: the inner one would infer a filter below it that splits every text a second time
+    return artifacts.select("artifact_id", F.posexplode_outer("lines").alias("_at", "_line")).where("_at is not null").select(
         "artifact_id",
         (F.col("_at") + 1).alias("seq"),
         T.block_id(F.col("_at") + 1).alias("block_id"),
