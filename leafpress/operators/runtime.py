@@ -122,3 +122,8 @@ def valid_manifest(m: DataFrame) -> DataFrame:
 def first_set(levels: list[tuple[str, Column]]) -> Column:
     """Value and source of the first level that is set (strings: non-empty; others: not null)."""
     return F.coalesce(*[F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(c.cast("string").alias("value"), F.lit(name).alias("source"))) for name, c in levels])
+
+
+def keep_traces(traces: DataFrame, path: str) -> None:
+    """Append traces to a log table."""
+    traces.write.mode("append").parquet(path)

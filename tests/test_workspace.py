@@ -79,3 +79,11 @@ def test_files(spark, tmp_path):
         (tmp_path / f"m{k}.json").write_text(text)
     rows = settings.manifests(spark, str(tmp_path / "m*.json")).cache().collect()
     assert sorted((r["id"] or "", r["_corrupt_record"] is not None) for r in rows) == [("", True), ("a", False)]
+
+
+def test_data_source(spark, folder):
+    from leafpress.sources import datasource
+
+    datasource.register(spark)
+    got = {r["name"]: (r["status"], r["provider_id"], r["n_blocks"]) for r in spark.read.format("leafpress").load(str(folder)).collect()}
+    assert got == {"a.txt": ("ok", "text.read", 2), "t.xlsx": ("ok", "xlsx.read", 1), "p.pptx": ("ok", "pptx.read", 3), "d.docx": ("ok", "docx.read", 2)}
