@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="leafpress-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -46,8 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
@@ -167,7 +172,3 @@ def rolling(symbols: np.ndarray, length: int, base: int) -> np.ndarray:
             return total
         have = have[:-size] * np.uint64(power) + have[size:]
         power, size = power * power & (2**64 - 1), size * 2
-
-
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.col(f"`{x}`") for x in names])

@@ -426,3 +426,16 @@ def test_very_long_text(spark, text):
     df = spark.createDataFrame([(1, text, "s"), (2, None, None)], "doc_id long, text string, source string")
     for f in (tokens.token_counts, pii.find_personal_data, quality.quality, suffixes.remove_repeated_bytes, substrings.remove_repeated_words, secrets.find_secrets, simhash.near_duplicates, mixing.mix):
         assert f(df).count() == 2
+
+
+def test_scratch_is_shared_and_released(spark, docs):
+    import os
+
+    from leafpress.llm import shared
+
+    assert shared.scratch_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    kept = shared.cut(docs.select("doc_id"))
+    folder = f"{shared.scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+    assert kept.count() == len(DOCS) and os.listdir(folder)
+    shared.release(spark)
+    assert not os.path.exists(folder)
