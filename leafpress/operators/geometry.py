@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,6 +47,12 @@ def fragments(words: DataFrame) -> DataFrame:
     return words.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''").withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(10.0))
 
 
+def rounded_box(box: Column) -> Column:
+    """Coordinates with two decimals, halves to even; an incomplete box is empty."""
+    whole = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
+    return F.when(whole, F.transform(box, lambda x: F.bround(x, 2))).otherwise(F.array().cast("array<double>"))
+
+
 def merge_rules(h: DataFrame) -> DataFrame:
     """Horizontal rules on one level, within ``JOIN`` of the level's first, united where they touch: gaps and islands over windows."""
     level = W.partitionBy("doc", "page")

@@ -7,11 +7,17 @@ artifacts stays an ordinary join, so the planner broadcasts by measured size.
 
 from __future__ import annotations
 
+import re
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PERMISSIONS = ("filesystem.read", "filesystem.write", "office.com", "network", "process.spawn", "ocr.native")
+#: Known permissions, and the formats of ids and versions.
+PERMISSIONS = ("filesystem.read", "filesystem.write", "network", "process.execute", "office.com", "wps.com")
+PLUGIN_ID = r"^[a-z][a-z0-9]*(\.[a-z][a-z0-9_-]*){1,5}$"
+VERSION = r"^\d+\.\d+\.\d+$"
 #: Failures after which the next provider is tried.
 FALLBACK = ("ArtifactParseError", "EncryptedArtifactError", "ProviderExecutionError")
 TRACES_KEPT = 200
@@ -108,8 +114,8 @@ def recent_traces(traces: DataFrame, kept: int = TRACES_KEPT) -> DataFrame:
 def valid_manifest(m: DataFrame) -> DataFrame:
     """``problems`` of manifests (id, version, api_version, extensions, capabilities, permissions), empty if valid."""
     checks = {
-        "id": ~F.coalesce(F.regexp_like("id", F.lit(r"^[a-z0-9]+([._-][a-z0-9]+)*$")), F.lit(False)),
-        "version": ~F.coalesce(F.regexp_like("version", F.lit(r"^\d+\.\d+\.\d+([-+].+)?$")), F.lit(False)),
+        "id": ~F.coalesce(F.regexp_like("id", F.lit(PLUGIN_ID)), F.lit(False)),
+        "version": ~F.coalesce(F.regexp_like("version", F.lit(VERSION)), F.lit(False)),
         "api_version": F.coalesce(F.col("api_version") != 1, F.lit(True)),
         "extensions": F.coalesce(F.size("extensions"), F.lit(0)) <= 0,
         "capabilities": F.coalesce(F.size("capabilities"), F.lit(0)) <= 0,
@@ -127,3 +133,18 @@ def first_set(levels: list[tuple[str, Column]]) -> Column:
 def keep_traces(traces: DataFrame, path: str) -> None:
     """Append traces to a log table."""
     traces.write.mode("append").parquet(path)
+
+
+#: Names under which manifests know platforms.
+PLATFORMS = {"windows": ("win32", "cygwin"), "win32": ("win32",), "linux": ("linux",), "macos": ("darwin",), "darwin": ("darwin",)}
+
+
+def unavailable_here(platforms: list[str] | None, python: str | None, *, platform: str | None = None, version: tuple[int, ...] | None = None) -> str:
+    """Why a provider can't run here ('' if it can). Of Python specs only ``>=X[.Y[.Z]]`` is understood, others pass."""
+    here, now = (platform or sys.platform).lower(), version or sys.version_info[:3]
+    wanted = [p.lower() for p in platforms or []]
+    if wanted and not any(here.startswith(a) for p in wanted for a in PLATFORMS.get(p, (p,))):
+        return f"platform {here} is not one of {', '.join(wanted)}"
+    spec = re.fullmatch(r">=\s*(\d+(?:\.\d+){0,2})", (python or "").strip())
+    least = tuple(map(int, spec[1].split("."))) if spec else ()
+    return "" if tuple(now[: len(least)]) >= least else f"python {'.'.join(map(str, now))} does not satisfy {python}"

@@ -14,7 +14,7 @@ EXTENSIONS = "array('.docx', '.pdf', '.TXT', '.md', '.xlsx', '.pptx', '.tmp', ''
 PROVIDERS = """
     ('docx', 'docx.read', 100, 'docx', 'filesystem.read', 'filesystem.read', true, ''),
     ('doc_legacy', 'doc.read', 100, 'doc', 'filesystem.read,office.com', 'filesystem.read,office.com', false, 'platform windows required'),
-    ('pdf', 'pdf.read', 100, 'pdf', 'filesystem.read,ocr.native', 'filesystem.read', true, ''),
+    ('pdf', 'pdf.read', 100, 'pdf', 'filesystem.read,process.execute', 'filesystem.read', true, ''),
     ('pptx', 'pptx.read', 100, 'pptx', 'filesystem.read', 'filesystem.read', true, ''),
     ('xlsx', 'xlsx.read', 100, 'xlsx', 'filesystem.read', 'filesystem.read', true, ''),
     ('text', 'text.read', 50, 'txt,md,csv', 'filesystem.read', 'filesystem.read', true, ''),
@@ -99,8 +99,8 @@ def capability_catalog(spark, sf_dir):
 
 def manifest_problems(spark, sf_dir):
     rows = spark.sql("""SELECT id, version, api_version, split(extensions, ',') AS extensions, split(capabilities, ',') AS capabilities, split(permissions, ',') AS permissions FROM VALUES
-        ('docx', '1.0.0', 1, 'docx', 'artifact.read', 'filesystem.read'), ('Bad Id', '1.0', 1, 'x', 'artifact.read', 'filesystem.read'),
-        ('old', '0.1.0', 0, 'x', 'artifact.read,artifact.read', 'filesystem.read,root') AS t(id, version, api_version, extensions, capabilities, permissions)""")
+        ('reader.docx', '1.0.0', 1, 'docx', 'artifact.read', 'filesystem.read'), ('Bad Id', '1.0', 1, 'x', 'artifact.read', 'filesystem.read'),
+        ('reader.old', '0.1.0', 0, 'x', 'artifact.read,artifact.read', 'filesystem.read,root') AS t(id, version, api_version, extensions, capabilities, permissions)""")
     return R.valid_manifest(rows).select("id", F.array_join("problems", ",").alias("problems"))
 
 
@@ -175,7 +175,7 @@ ORACLES = {
         CASE WHEN state = 'loaded' THEN coalesce(n, 0) ELSE 0 END AS n_providers, source = 'builtin' AS is_builtin, row_number() OVER (ORDER BY source = 'builtin' DESC, plugin_id)::INT AS position FROM s""",
     "system_status": f"WITH {_G} SELECT count(*) FILTER (WHERE state = 'loaded') AS plugins_loaded, count(*) FILTER (WHERE state = 'disabled') AS plugins_disabled, count(*) FILTER (WHERE state = 'failed') AS plugins_failed FROM plugins",
     "capability_catalog": f"WITH {_P}, {_G} SELECT extension, string_agg(provider_id, ',' ORDER BY priority DESC, provider_id) AS providers FROM offered WHERE plugin_id NOT IN (SELECT plugin_id FROM plugins WHERE state = 'disabled') GROUP BY 1",
-    "manifest_problems": "SELECT * FROM (VALUES ('docx', ''), ('Bad Id', 'id,version'), ('old', 'api_version,permissions,duplicate capability')) AS t(id, problems)",
+    "manifest_problems": "SELECT * FROM (VALUES ('reader.docx', ''), ('Bad Id', 'id,version'), ('reader.old', 'api_version,permissions,duplicate capability')) AS t(id, problems)",
     "effective_config": """SELECT field, coalesce(nullif(runtime, ''), nullif(env, ''), nullif(usr, ''), base) AS value, CASE WHEN runtime <> '' THEN 'Runtime Override' WHEN env <> '' THEN 'Environment' WHEN usr <> '' THEN 'User Config' ELSE 'Default' END AS source
         FROM (VALUES ('base_url', '', 'http://env', 'http://user', 'http://default'), ('model', 'm-run', 'm-env', '', 'm-default'), ('timeout', '', '', '', '60'), ('ocr', 'false', '', 'true', 'false'), ('max_recent', '0', '', '15', '10')) AS t(field, runtime, env, usr, base)""",
     "plugin_dirs_merged": "SELECT min(place)::INT AS place, regexp_replace(regexp_replace(regexp_replace(dir, '/+', '/', 'g'), '/\\./', '/', 'g'), '/$', '') AS key FROM (VALUES (1, '/u/a/'), (2, '/u//b'), (3, '/u/a'), (4, '/e/c'), (5, '/u/./b'), (6, '/r/d')) AS t(place, dir) GROUP BY 2",

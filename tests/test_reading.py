@@ -72,3 +72,10 @@ def test_pinned_stay(spark):
     opens = spark.createDataFrame([(f"/w{k}", k) for k in range(5)], "workspace_key string, opened_at int")
     got = lambda pins: [r["workspace_key"] for r in A.recent_workspaces(opens, spark.createDataFrame([(p,) for p in pins], "workspace_key string"), 3).orderBy("position").collect()]
     assert got([]) == ["/w4", "/w3", "/w2"] and got(["/w0"]) == ["/w0", "/w4", "/w3", "/w2"]
+
+
+def test_availability():
+    from leafpress.operators.runtime import unavailable_here as why
+
+    assert why([], ">=3.10", version=(3, 13, 0)) == why(None, "~=3.9") == why(["Linux"], None, platform="linux") == why(["windows"], "", platform="win32") == ""
+    assert "platform" in why(["windows"], None, platform="linux") and "python" in why([], ">=3.13.1", version=(3, 13, 0)) and why([], ">=3.13", version=(3, 13, 0)) == ""
