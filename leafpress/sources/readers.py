@@ -7,9 +7,11 @@ readers, so a bad file is a row with an error and never fails the job.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -115,7 +117,7 @@ BLOCK_NAMES = [x.strip().split(" ")[0] for x in re.sub(r"<[^>]*>+", "", schema.B
 _NESTED = ", ".join(x.replace(" ", ":", 1) for x in schema.BLOCKS.split(", ")[1:])
 SCAN = (
     "artifact_id string, name string, path string, artifact_type string, title string, content string, line_count int, n_blocks int, file_size long, file_sha256 string,"
-    f" provider_id string, fallback_from string, status string, error_type string, error string, blocks array<struct<{_NESTED}>>,"
+    f" provider_id string, plugin_id string, fallback_from string, parse_ms double, read_at timestamp, status string, error_type string, error string, blocks array<struct<{_NESTED}>>,"
     " records array<struct<sheet:string,address:string,row:int,col:int,value:string,formula:string>>"
 )
 
@@ -128,6 +130,7 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes) -> di
         missing = sorted(set(s.required) - granted)
         if missing:
             return {**out, "fallback_from": before, "error_type": "PluginPermissionError", "error": ", ".join(missing)}
+        began = time.perf_counter()
         try:
             meta, blocks = s.read(data)
         except office.EncryptedError as e:
@@ -135,7 +138,7 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes) -> di
         except Exception as e:  # a reader's failure is a row
             kind, why = "ArtifactParseError", f"{type(e).__name__}: {e}"
         else:
-            return {"provider_id": s.provider_id, "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta, "blocks": blocks}
+            return {"provider_id": s.provider_id, "plugin_id": s.plugin_id or s.provider_id.rpartition(".")[0], "parse_ms": round((time.perf_counter() - began) * 1000, 3), "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta, "blocks": blocks}
         out = {**out, "error_type": kind, "error": why, "fallback_from": before}
         before = s.provider_id
         if kind not in FALLBACK:
