@@ -34,6 +34,8 @@ BUDGET = 3
 SHINGLE = 3
 #: A bucket with more fingerprints is dealt again by fields of the remaining bits.
 BUCKET = 50_000
+#: Rows of whole buckets that are traversed at once.
+HELD = 100_000
 #: Node pairs that one step of the traversal holds.
 FRONT = 200_000
 
@@ -118,15 +120,20 @@ class Forest:
         return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def trie_links(fps: np.ndarray, budget: int = BUDGET, front: int = FRONT) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices into sorted distinct ``fps``) that span the components of all pairs within ``budget`` bits."""
-    n = len(fps)
-    forest, out = Forest(n), []
+def trie_links(fps: np.ndarray, bounds: np.ndarray | None = None, budget: int = BUDGET, front: int = FRONT) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) that span the components of all pairs within ``budget`` bits of a bucket.
+
+    A bucket's fingerprints lie between two ``bounds``, sorted and distinct; all buckets are traversed at once.
+    """
+    bounds = np.array([0, len(fps)]) if bounds is None else bounds
+    forest, out = Forest(len(fps)), []
     none = np.zeros(0, np.int64)
-    if n < 2:
+    lo, hi = bounds[:-1], bounds[1:]
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    if not len(lo):
         return none, none
     # a stack of (level, left lo, left hi, right lo, right hi, bits that differ); a node and itself is a pair too
-    stack = [(BITS - 1, *(np.array([x]) for x in (0, n, 0, n, 0)))]
+    stack = [(BITS - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
         level, al, ah, bl, bh, d = stack.pop()
         if len(al) > front:
@@ -188,33 +195,32 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFra
     dealt = by_key(dealt.select("i", "v", "k.j", "k.u", "fp"), "i", "v", "j", "u").sortWithinPartitions("i", "v", "j", "u")
 
     def run(batches):
-        rest = None
+        held, size = [], 0
         for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            keys = [rest.column(c).to_numpy() for c in ("i", "v", "j", "u")]
-            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-            if len(new):
-                yield from pairs(rest.column("fp").to_numpy()[: new[-1]], np.concatenate([[0], new]))
-                rest = rest.slice(int(new[-1]))
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest.column("fp").to_numpy(), np.array([0, rest.num_rows]))
-
-    def pairs(fp, at):
-        a, b = [], []
-        for lo, hi in zip(at, at[1:], strict=False):
-            if hi - lo > 1:
-                own = np.sort(fp[lo:hi].view(np.uint64))
-                if hi - lo == 2:
-                    if int(own[0] ^ own[1]).bit_count() <= budget:
-                        a.append(own[:1])
-                        b.append(own[1:])
-                    continue
-                x, y = trie_links(own, budget)
-                a.append(own[x])
-                b.append(own[y])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size < HELD:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            new = starts(rows)
+            if len(new):  # the last bucket may go on
+                yield from pairs(rows.column("fp").to_numpy()[: new[-1]], np.concatenate([[0], new]))
+                rows = rows.slice(int(new[-1]))
+            held, size = rows.to_batches(), rows.num_rows if len(new) else 0
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from pairs(rows.column("fp").to_numpy(), np.concatenate([[0], starts(rows), [rows.num_rows]]))
+
+    def starts(rows):
+        return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in (rows.column(c).to_numpy() for c in ("i", "v", "j", "u"))])) + 1
+
+    def pairs(fp, bounds):
+        fp = fp.view(np.uint64)
+        fp = fp[np.lexsort((fp, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))]
+        a, b = trie_links(fp, bounds, budget)
+        for k in range(0, len(a), HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x[k : k + HELD]].view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -258,8 +264,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BU
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs`` for one document of each group: that with the least doc_id (of rows with equal ids, one)."""
     kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
-    return first.where("_n = 1").drop("_n").alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    first = docs.withColumn("__leafpress_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
+    return first.where("__leafpress_n = 1").drop("__leafpress_n").alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
