@@ -329,6 +329,8 @@ ORACLES = {
     "ocr_rows": f"WITH {_BOXES} SELECT doc, page, box_no, (box_no // 6)::INT AS row, (box_no % 6)::INT AS place FROM boxes",
     "ocr_page_text": f"WITH {_BOXES} SELECT doc, page, (box_no // 6)::INT AS row, string_agg(text, ' ' ORDER BY box_no) AS text, min((box_no // 6) * 30.0 + box_no % 3)::DOUBLE AS top FROM boxes GROUP BY 1, 2, 3",
     "ocr_table_like": f"WITH {_BOXES}, r AS (SELECT doc, page, max(box_no // 6) + 1 AS rows, max(box_no % 6) + 1 AS cols, count(*) AS n FROM boxes GROUP BY 1, 2) SELECT doc, page, rows >= 2 AND cols >= 2 AND n >= 8 AS table_like FROM r",
+    "ocr_list_markers": f"WITH {_BOXES}, c AS (SELECT doc, page, box_no % 6 AS k, count(*) AS n FROM boxes GROUP BY 1, 2, 3) SELECT doc, page, (1 + sum(CASE WHEN k > 0 AND n > 1 THEN n ELSE 0 END))::BIGINT AS marks FROM c GROUP BY 1, 2",
+    "spreadsheet_numbers": "SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE format('{:g}', p_retailprice) END AS price FROM part",
     "ocr_tiles": f"WITH {_TILES} SELECT * FROM tiles",
     "ocr_tile_owner": f"""WITH {_TILES}, spots AS (SELECT t.*, p * 500.0 AS x0, p * 450.0 AS y0, p * 500.0 + 20 + l AS cx, p * 450.0 + 15 + t AS cy FROM tiles t, (SELECT unnest(generate_series(0, 5)) AS p))
         SELECT image, ty, tx, count(*) AS owned, sum(x0 + l)::DOUBLE AS x0, sum(y0 + t)::DOUBLE AS y0 FROM spots WHERE ol <= cx AND (cx < o_r OR (r = o_r AND cx <= o_r)) AND ot <= cy AND (cy < ob OR (b = ob AND cy <= ob)) GROUP BY 1, 2, 3""",
