@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafpress.llm import quality
 from leafpress.llm.chat import op7_chat_format
 from leafpress.llm.decontaminate import op6_decontaminate
 from leafpress.llm.mixing import op10_mix_sources
@@ -21,7 +22,28 @@ _ISLANDS = """
         gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS a, a AS b FROM spans UNION ALL SELECT rid, coalesce(max(b), 1), n + 1 FROM d LEFT JOIN spans USING (rid) GROUP BY rid, n),
         sums AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)"""
 
+_LIMITS = quality.Limits()
+_TOP = ", ".join(f"({n}, {x})" for n, x in _LIMITS.top.items())
+_DUPLICATED = ", ".join(f"({n}, {x})" for n, x in _LIMITS.duplicated.items())
+
 ORACLES = {
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT *, len(w) AS n_words FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+        words AS (SELECT rid, generate_subscripts(w, 1) AS p, length(unnest(w)) AS c FROM d),
+        sums AS (SELECT rid, sum(c)::BIGINT AS word_chars FROM words GROUP BY rid),
+        grams AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(generate_series(1, n_words - n + 1)) AS p FROM d, (SELECT unnest(generate_series(2, 10)) AS n) WHERE n_words >= n)),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY rid, n, s) AS k FROM grams),
+        covered AS (SELECT rid, n, sum(c)::DOUBLE AS chars, count(*) AS places FROM (SELECT DISTINCT rid, n, unnest(generate_series(p, p + n - 1)) AS p FROM counted WHERE k > 1 AND n <> 2 AND n <> 4) JOIN words USING (rid, p) GROUP BY rid, n),
+        shares AS (SELECT rid, chars / greatest(word_chars, 1) / x AS share FROM covered JOIN (VALUES {_DUPLICATED}) AS l(n, x) USING (n) JOIN sums USING (rid)
+            UNION ALL SELECT rid, max(k * (length(s) - n + 1))::DOUBLE / greatest(any_value(word_chars), 1) / any_value(x) FROM counted JOIN (VALUES {_TOP}) AS l(n, x) USING (n) JOIN sums USING (rid) WHERE k > 1 GROUP BY rid, n),
+        worst AS (SELECT rid, max(share) AS share FROM shares GROUP BY rid),
+        lines AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS again FROM (SELECT rid, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT rid, string_split(t, chr(10)) AS l FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        by_line AS (SELECT rid, count(*) AS n_lines, sum(again::INT)::BIGINT AS n_dup_lines, sum(length(line)) AS chars, sum(CASE WHEN again THEN length(line) ELSE 0 END) AS dup_chars FROM lines GROUP BY rid),
+        base AS (SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(places, 0) AS n_repeat_words, coalesce(share, 0) AS share,
+            coalesce(n_lines > 1 AND n_dup_lines > {_LIMITS.lines} * n_lines, false) OR coalesce(dup_chars > {_LIMITS.line_chars} * greatest(chars, 1), false) AS lines_over
+            FROM d LEFT JOIN sums USING (rid) LEFT JOIN worst USING (rid) LEFT JOIN by_line USING (rid) LEFT JOIN (SELECT rid, places FROM covered WHERE n = 3) USING (rid)),
+        judged AS (SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.repeat_words_percent} * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (share > 1 OR lines_over) AS kept, round(share, 6) AS coverage FROM judged""",
     # windows as hexadecimal text, told apart by MD5
     "op4_suffix_array_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
