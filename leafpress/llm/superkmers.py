@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, cut, mix, partitions, prepare, rolling
 
 BASE_K, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
-HOT = 4_000
+HOT = 500
 #: Bytes of texts that one pass of the minimiser holds.
 PASS_BYTES = 1 << 20
 #: Bytes of packed super-k-mers that one call of ``repeats`` gets, if the last group is complete.
