@@ -31,7 +31,7 @@ from leafpress.llm.shared import Runs, Texts, blocks, cut, mix, prepare, rolling
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 BASE = 0xD6E8FEB86659FD93
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -80,7 +80,7 @@ class Index:
         for k, w in enumerate(self.windows):
             self.codes[k, : len(w)] = w
         self.length = np.minimum(self.sizes, shingle)
-        self.hashes = {}
+        self.hashes, self.windows = {}, []
         for size in sorted(set(self.length.tolist())):
             which = np.flatnonzero(self.length == size)
             rolled = [rolling(mix(self.codes[w, : self.sizes[w]].astype(np.uint64)), size, BASE) for w in which]
