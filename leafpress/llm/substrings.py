@@ -26,7 +26,7 @@ def repeats(texts: Texts, length: int = LENGTH) -> np.ndarray:
     flags = np.zeros(len(at), bool)
     if len(at):
         keys = mix(rolling(mix(ids.astype(np.uint64) + np.uint64(1)), length, BASE_A))[at]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
         a, b = order[same], order[same + 1]
         for j in range(length):

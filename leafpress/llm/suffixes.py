@@ -27,13 +27,20 @@ STRIDE = 50
 
 
 def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order of keys, and dense ranks from 1."""
-    order = np.argsort(keys, kind="stable")
+    """An order of keys, and dense ranks from 1."""
+    order = np.argsort(keys)
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.concatenate([[1], keys[order][1:] != keys[order][:-1]])) if len(keys) else 0
     return order, out
 
 
+def distributed(symbols: np.ndarray) -> np.ndarray:
+    """Places by symbol, those of one symbol in the order they had. Symbol and place share one integer, so a plain sort is stable."""
+    packed = (symbols << 32) | np.arange(len(symbols))
+    packed.sort()
+    return packed & 0xFFFFFFFF
+
+
 def chain(values: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
     """``values`` at each place plus ``step``, 0 beyond the string's end."""
     at = np.arange(len(values)) + step
@@ -43,7 +50,7 @@ def chain(values: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
 def shard_transform(codes: np.ndarray, ends: np.ndarray, starts: np.ndarray, stride: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's suffixes ordered by ``depth`` symbols, and the symbol before each (0: none)."""
     rank, have = codes, 1
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     while have < depth:
         order, rank = ranks(rank * (int(rank.max(initial=0)) + 1) + chain(rank, ends, have * stride))
         have *= 2
@@ -60,7 +67,7 @@ def merge_transforms(first: np.ndarray, second: np.ndarray, depth: int) -> tuple
     for step in range(depth):
         symbol = np.empty(n, np.int64)
         symbol[~z], symbol[z] = first, second
-        order = np.argsort(symbol, kind="stable")  # a distribution by symbol: no suffix is compared
+        order = distributed(symbol)  # no suffix is compared
         z, symbol, block = z[order], symbol[order], block[order]
         apart = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
         common[apart & (common == depth)] = step  # each step refines the last: what is apart stays so
