@@ -40,7 +40,7 @@ class Limits:
 
 def duplicated(keys: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (text, key), and for each place in that order whether it equals the one before."""
-    order = np.argsort(mix(keys ^ mix(text_of.astype(np.uint64) + np.uint64(1))), kind="stable")
+    order = np.argsort(mix(keys ^ mix(text_of.astype(np.uint64) + np.uint64(1))))
     k, t = keys[order], text_of[order]
     return order, np.concatenate([[False], (k[1:] == k[:-1]) & (t[1:] == t[:-1])]) if len(order) else np.zeros(0, bool)
 
