@@ -46,13 +46,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafpress_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``cut`` that no later action reads, neither itself nor through what derives from it."""
+    delete(table.sparkSession, table._leafpress_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

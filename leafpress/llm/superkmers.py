@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, cut, mix, partitions, prepare, rolling
+from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, cut, discard, mix, partitions, prepare, rolling
 
 BASE_K, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
-HOT = 500
+HOT = 1_000
 #: Bytes of texts that one pass of the minimiser holds.
 PASS_BYTES = 1 << 20
 #: Bytes of packed super-k-mers that one call of ``repeats`` gets, if the last group is complete.
@@ -281,6 +281,7 @@ def repeated_windows(docs: DataFrame, unit, repeats: Callable, hot: int = HOT) -
             yield pa.RecordBatch.from_arrays([pa.array(keys[edges, 0]), pa.array(keys[edges, 1].astype(np.int32)), pa.nulls(len(edges), pa.int64()), pa.array(packed, pa.binary())], ["m", "sub", "uid", "packed"])
 
     solved = cut(dealt.mapInArrow(bucket, "m long, sub int, uid long, packed binary"))
+    discard(marked)  # all that was made of it is in `reps` and `solved`
 
     def meet(batches):
         """Windows seen once in their shard, and in another shard too."""
