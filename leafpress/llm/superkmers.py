@@ -29,9 +29,9 @@ from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, cut, discard,
 BASE_K, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 HOT = 1_000
 #: Bytes of texts that one pass of the minimiser holds.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 #: Bytes of packed super-k-mers that one call of ``repeats`` gets, if the last group is complete.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 
 
 class Bytes:
