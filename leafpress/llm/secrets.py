@@ -2,10 +2,10 @@
 
 Base kinds, leftmost and non-overlapping each: ``assign``, ``access``, ``hex``. The method adds parts of
 credentials that alone are too weak to report: identifiers (``client_id=...``), unnamed secrets (long mixed
-strings) and endpoints (hosts in addresses). A text's scopes are its intervals between blank lines, at most
-``SCOPE_LINES`` lines each; parts are joined to scopes by position, and weak parts are reported only where a
-scope holds complementary ones: an identifier and a secret (with them their endpoints). Base spans count
-as parts too and stay as they are.
+strings) and endpoints (hosts in addresses). A text's scopes are all runs of ``SCOPE_LINES`` lines, which overlap,
+without a blank line; parts are joined to scopes by position, and weak parts are reported only where a scope
+holds complementary ones: an identifier and a secret (with them their endpoints). Base spans count as parts
+too and stay as they are.
 
 Cases: null and empty texts have no spans; very long texts are scanned whole, in linear time; equal spans of
 different kinds all count; repeated rows are separate rows; an empty table gives an empty result; other
@@ -53,20 +53,19 @@ def mixed(s: str) -> bool:
     return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) * 5 >= len(s)
 
 
-def scopes(text: str, lines: int = SCOPE_LINES) -> list[int]:
-    """Where scopes begin: after a blank line, and after so many lines."""
-    out, at, n = [0], 0, 0
+def places(text: str, lines: int = SCOPE_LINES) -> tuple[list[int], list[int]]:
+    """Where lines begin, and their numbers; a blank line moves the next ones on by ``lines``, so that no scope spans it."""
+    begins, numbers, at, n = [0], [0], 0, 0
     while (nl := text.find("\n", at)) >= 0:
-        n += 1
-        if n >= lines or not text[at:nl].strip(" \t\r"):
-            out.append(nl + 1)
-            n = 0
+        n += 1 if text[at:nl].strip(" \t\r") else lines
+        begins.append(nl + 1)
+        numbers.append(n)
         at = nl + 1
-    return out
+    return begins, numbers
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """The weak parts whose scope holds the complementary ones."""
+    """The weak parts of which some scope holds the complementary ones."""
     marked = ":" in text or "=" in text
     identifiers = [("identifier", m.start(), m.end(), m.start(1)) for m in IDENTIFIER.finditer(text)] if marked else []
     if not identifiers and not any(k == "access" for k, *_ in base):
@@ -86,12 +85,20 @@ def linked_spans(text: str, base: list[tuple[str, int, int, int]]) -> list[tuple
     weak = [x for x in weak if not any(s < x[2] and x[1] < e for s, e in named)] if len(named) < 50 else [x for x in weak if not (k := bisect.bisect_left(named, (x[2], 0))) or named[k - 1][1] <= x[1]]
     ends = [("endpoint", m.start(), m.end(), m.start()) for m in ENDPOINT.finditer(text)] if marked else []
     ends = [x for x in ends if free(x[1], x[2])]
-    begins = scopes(text)
-    scope = lambda x: bisect.bisect_right(begins, x[1]) - 1
-    have_id = {scope(x) for x in identifiers} | {scope(x) for x in base if x[0] == "access"}
-    have_secret = {scope(x) for x in weak} | {scope(x) for x in base if x[0] in ("assign", "hex")}
-    both = have_id & have_secret
-    return [x for x in (*identifiers, *weak, *ends) if scope(x) in both]
+    begins, numbers = places(text)
+    line = lambda x: numbers[bisect.bisect_right(begins, x[1]) - 1]
+    have_id = sorted({line(x) for x in identifiers} | {line(x) for x in base if x[0] == "access"})
+    have_secret = sorted({line(x) for x in weak} | {line(x) for x in base if x[0] in ("assign", "hex")})
+
+    def among(have: list[int], lo: int, hi: int) -> list[int]:
+        return have[bisect.bisect_left(have, lo) : bisect.bisect_right(have, hi)]
+
+    def linked(n: int) -> bool:
+        """Whether some scope holds line n, an identifier and a secret."""
+        reach = SCOPE_LINES - 1
+        return any(among(have_secret, max(n, i) - reach, min(n, i) + reach) for i in among(have_id, n - reach, n + reach))
+
+    return [x for x in (*identifiers, *weak, *ends) if linked(line(x))]
 
 
 def by_start(spans):

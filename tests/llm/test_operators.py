@@ -324,6 +324,22 @@ def test_linked_secrets(spark, docs, empty):
     assert out.count() == len(DOCS) and out.where("n_chars <> length(text)").count() == 0
 
 
+def test_linked_secrets_at_any_line():
+    """Whether a pair is linked depends on its distance, not on where it stands."""
+    weak = "A7f9Qx2LmP0vTz8KwR4bYn6D"
+    for before in range(30):
+        for apart in range(1, 16):
+            text = "plain\n" * before + "client_id=app-prod-7731\n" + "plain\n" * (apart - 1) + f"key {weak}\nend"
+            got = [x[0] for x in secrets.linked_spans(text, secrets.base_spans(text))]
+            assert got == (["identifier", "secret"] if apart < secrets.SCOPE_LINES else []), (before, apart)
+            assert secrets.redact(text).count("[SECRET]") == len(got)
+    blank = f"client_id=app-prod-7731\n \t\nkey {weak}\nhost: db.example.com"
+    assert secrets.linked_spans(blank, []) == []
+    # the endpoint needs one scope with both
+    spread = lambda n: "client_id=app-prod-7731\n" + "plain\n" * 5 + f"key {weak}\n" + "plain\n" * n + "host: db.example.com"
+    assert [[x[0] for x in secrets.linked_spans(spread(n), [])][2:] for n in (4, 5)] == [["endpoint"], []]
+
+
 # 9
 
 
