@@ -88,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the field
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
-HINT = re.compile(r"[0-9]|@|[(\[] ?at ?[)\]]| at [A-Za-z0-9.-]{1,40} dot ", re.I)
+HINT = re.compile(r"[0-9]|@|[(\[] ?at ?[)\]]| at [A-Za-z0-9.-]{1,40} dot | at [A-Za-z0-9-]+(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[A-Za-z0-9-]", re.I)
 OPENERS = frozenset("+([")
 WORDS = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "address": "ip", "host": "ip"}
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[(\[] ?at ?[)\]] ?| at |@)[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[A-Za-z0-9-]+)+", re.I)
@@ -349,7 +349,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 some = HAS_HINT.search(text) is not None
                 base = base_spans(text) if some else []
-                added = added_spans(text, base, weights) if some or " dot " in text or "at)" in text or "at]" in text else []
+                added = added_spans(text, base, weights) if some or HINT.search(text) else []
                 n = [sum(x[0] == k for x in base) for k in KINDS]
                 rows.append((*n, hashlib.sha256(digest(base).encode()).hexdigest(), digest([*base, *added]), len(added)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7

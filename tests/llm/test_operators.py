@@ -133,6 +133,16 @@ def test_semi_crf():
     assert [(k, text[s:e]) for k, s, e in found] == [("email", "jo at example dot com"), ("phone", "(499) 555-6503")]
 
 
+@pytest.mark.parametrize("text", ["JO AT EXAMPLE DOT COM", "jo (at ) example.com", "jo at example.com", "jo at example (dot) com", "write to jo at mail.example [dot]com"])
+def test_added_without_digits(spark, text):
+    """A span that the field finds in the whole text is found in rows, whether or not a digit stands far away."""
+    kept = [x for x in pii.viterbi(text, pii.train()) if x[0] == "email"]
+    assert kept and pii.added_spans(text, [], pii.train()) == kept
+    rows = [(1, text), (2, text + " word" * 40 + " 7")]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["spans"] for r in got] == [pii.digest(kept)] * 2
+
+
 def test_pii_rows(docs, empty, spark):
     assert pii.find_personal_data(docs).count() == len(DOCS) and pii.find_personal_data(empty).count() == 0
     text = "m a.b@c.de, +1 (499) 555-6503 and 4111 1111 1111 1111"
