@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?ai:client_?id|access_?key_?id|key_?id|account_?id|user(?:name|_?id)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{4,128})""")
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?ai:client_?id|access_?key_?id|key_?id|account_?id|user(?:name|_?id)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{4,})""")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[A-Za-z0-9.-]{3,255}(?::[0-9]{2,5})?|(?<![A-Za-z0-9])(?ai:endpoint|host)\x20?[:=]\x20?[A-Za-z0-9.-]{4,255}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 SCOPE_LINES = 12

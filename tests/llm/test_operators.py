@@ -350,6 +350,11 @@ def test_linked_secrets_at_any_line():
     assert [[x[0] for x in secrets.linked_spans(spread(n), [])][2:] for n in (4, 5)] == [["endpoint"], []]
 
 
+def test_long_identifier_is_redacted_whole():
+    text = "client_id={}\nkey A7f9Qx2LmP0vTz8KwR4bYn6D"
+    assert [secrets.redact(text.format(x * n)) for x, n in (("x", 128), ("x", 129), ("a.b-", 1000))] == ["client_id=[SECRET]\nkey [SECRET]"] * 3
+
+
 # 9
 
 
