@@ -95,8 +95,10 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST,
     shards = shards.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0)))
     every = W.partitionBy(F.lit(0))
     shards = shards.withColumn("total", F.sum("share").over(every)).withColumn("units", F.size(F.collect_set("source").over(every)) + F.lit(1))
-    shards = shards.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / F.col("units") / BLOCKS_PER_SOURCE))).cast("long"))
-    shards = cut(apportion(shards, "share", ["source", "shard"], F.round(F.col("total") / F.col("block")).cast("long")))
+    small = F.floor(F.col("shard_size") / BLOCKS_PER_SOURCE)  # its last block, which may be a part of one, counts for little
+    shards = shards.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / F.col("units") / BLOCKS_PER_SOURCE), small)).cast("long"))
+    shards = shards.withColumn("share", F.col("share") / F.col("block"))  # in blocks of the shard's own size
+    shards = cut(apportion(shards, "share", ["source", "shard"], F.round(F.sum("share").over(every)).cast("long")))
     shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
     in_shard = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(in_shard))

@@ -443,6 +443,17 @@ def test_mix(docs, empty, shard_rows):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_of_small_sources(spark):
+    """Each source comes near its target also where it is small beside the others."""
+    count = {"a": [300_000] * 40, "b": [110] * 10, "c": [10] * 10, "d": [300_000] * 40}
+    docs = [(k, s, n) for s, sizes in count.items() for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n int").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text"))
+    got = mixing.mix(df).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert {r["source"]: r["target"] for r in got if r["source"] in "bc"} == {"b": 3300, "c": 300}
+    for r in got:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.005), r
+
+
 def test_apportionment(spark):
     rng = random.Random(6)
     for seats in (0, 3, 7, 100, 1001):
