@@ -250,22 +250,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
-    """Every row's doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach)."""
-    marked = cut(fingerprints(docs, shingle))
+def grouped(marked: DataFrame, budget: int, bucket: int) -> DataFrame:
+    """Each ``fp`` of ``marked`` (doc_id, fp) once, with its component's ``root`` and least doc_id (component_id)."""
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), budget, bucket))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(of_root, "root").select("fp", "component_id")
+    return placed.join(of_root, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
+    """Every row's doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach)."""
+    marked = cut(fingerprints(docs, shingle))
+    classes = grouped(marked, budget, bucket).select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs`` for one document of each group: that with the least doc_id (of rows with equal ids, one)."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.withColumn("__leafpress_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
-    return first.where("__leafpress_n = 1").drop("__leafpress_n").alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
+    """The columns of ``docs`` for one row of each group: that with the least doc_id (null last), then text.
+
+    Rows are told apart by id and digest of the text, so that groups with equal or null ids each keep their own.
+    """
+    key = F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    own = docs.withColumn("__leafpress_key", key)
+    marked = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), shingle)
+    marked = cut(marked.select("doc_id.doc_id", "doc_id.key", "fp"))
+    first = marked.join(grouped(marked, budget, bucket), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias("__leafpress_id"), F.col("key").alias("__leafpress_of"), F.col("root").alias("__leafpress_root")).distinct()
+    rows = own.join(first, F.col("doc_id").eqNullSafe(F.col("__leafpress_id")) & (F.col("__leafpress_key") == F.col("__leafpress_of")))
+    rows = rows.withColumn("__leafpress_n", F.row_number().over(W.partitionBy("__leafpress_root").orderBy(F.col("text").asc_nulls_last())))
+    return rows.where("__leafpress_n = 1").select(*[rows[c] for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

@@ -393,6 +393,17 @@ def test_simhash(docs, empty, bucket, budget):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_each_group(spark):
+    """Rows with null or equal ids that lie in different groups all stay."""
+    rng = random.Random(3)
+    far = [" ".join(rng.choice(WORDS[:150]) for _ in range(80)) for _ in range(6)]
+    assert len(set(classes(range(6), [brute_fingerprint(t) for t in far], 3).values())) == 6
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (None, far[2]), (5, far[2]), (6, far[3]), (6, far[4]), (6, far[4]), (7, far[4]), (7, far[5]), (7, far[5].upper())]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, far[0]), (None, far[1]), (5, far[2]), (6, far[3]), (6, far[4]), (7, min(far[5], far[5].upper()))]
+    assert collections.Counter(map(tuple, kept)) == collections.Counter(want)
+
+
 def test_trie_spans_chains():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 2**63, 40, dtype=np.uint64)
