@@ -3,10 +3,11 @@
 Base kinds, leftmost and non-overlapping each: email, ip, card, phone; they are found in linear time (runs
 of characters first, then their parts) and always stay. The field scores segments as wholes (digit counts,
 groups, separators, checksum, words before), with O for single tokens outside; the Viterbi search over
-segments of at most ``MAX_TOKENS`` tokens chooses boundaries and kinds jointly. Its weights are trained here
-by conditional likelihood on ``TRAINING`` generated sentences (fixed seed), once a process; text of the
-corpus is never fitted. Segments can only lie near characters that suggest an entity, so the search runs
-over those regions; everything between is O in any labelling.
+segments of at most ``MAX_TOKENS`` tokens and ``MAX_CHARS`` characters chooses boundaries and kinds jointly. Its
+weights are trained here by conditional likelihood on ``TRAINING`` generated sentences (fixed seed), once a
+process; text of the corpus is never fitted. A segment needs a hint (``HINT``) within ``MAX_CHARS`` of its start,
+so all segments lie in stretches that reach ``MAX_CHARS`` to both sides of the hints. The search runs over these
+with the context of the whole text, and gives the best labelling of the whole text: all other tokens are O.
 
 Decoded segments that overlap no base span are added to ``spans``. Cases: null and empty texts have no
 spans; long texts are scanned whole; repeated rows are separate rows; an empty table gives an empty result;
@@ -18,6 +19,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -31,7 +33,6 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
 MAX_CHARS = 80
 TRAINING = 600
-MARGIN = 32
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,11 +138,18 @@ def features(kind: str, segment: str, before: str, after: str) -> list[str]:
     return out
 
 
-def lattice(text: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
-    """Token bounds of a region, and candidate segments (first token, end token, kind, features)."""
-    bounds = [0, *(m.end() for m in TOKEN.finditer(text))]
+Arcs = list[tuple[int, int, str, list[str]]]
+
+
+def lattice(text: str, lo: int = 0, hi: int | None = None, hints: list[int] | None = None) -> tuple[list[int], Arcs]:
+    """Token bounds of ``text[lo:hi]``, and its candidate segments (first token, end token, kind, features).
+
+    Context comes from the whole text, so a stretch may begin or end inside a token: no segment does.
+    """
+    hi = len(text) if hi is None else hi
+    hints = [m.start() for m in HINT.finditer(text)] if hints is None else hints
+    bounds = [lo, *(m.end() for m in TOKEN.finditer(text, lo, hi))]
     out, n = [], len(bounds) - 1
-    hints = [m.start() for m in HINT.finditer(text)]
     for i in range(n):
         a = bounds[i]
         if text[a].isspace() or not (text[a].isalnum() or text[a] in OPENERS):
@@ -157,7 +165,7 @@ def lattice(text: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]
                 break
             if not text[b - 1].isalnum():
                 continue
-            if text[a].isdigit() and text[b - 1].isalpha() and "@" not in text[a:b] and " at " not in text[a:b] and "at" not in text[a:b]:
+            if text[a].isdigit() and text[b - 1].isalpha() and "@" not in text[a:b] and "at" not in text[a:b].lower():
                 continue
             segment, before, after = text[a:b], text[max(0, a - 20) : a], text[b : b + 2]
             for kind in gates(segment, before, after):
@@ -171,9 +179,9 @@ def logadd(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if b > -700 + a else a
 
 
-def viterbi(text: str, weights: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The best segmentation's entities, as (kind, start, end) in ``text``."""
-    bounds, arcs = lattice(text)
+def viterbi(text: str, weights: dict[str, float], lo: int = 0, hi: int | None = None, hints: list[int] | None = None) -> list[tuple[str, int, int]]:
+    """The entities of the best segmentation of ``text[lo:hi]``, as (kind, start, end) in ``text``."""
+    bounds, arcs = lattice(text, lo, hi, hints)
     if not arcs:
         return []
     by_end: dict[int, list] = {}
@@ -288,44 +296,30 @@ def train(n: int = TRAINING, seed: int = 11, epochs: int = 12, rate: float = 0.4
     return {f: round(w, 6) for f, w in sorted(weights.items())}
 
 
-def regions(text: str, margin: int = MARGIN):
-    """Disjoint stretches around hints, widened to white space."""
-    at = None
-    for m in HINT.finditer(text):
-        lo, hi = max(0, m.start() - margin), min(len(text), m.end() + margin)
-        if at is None:
-            at = [lo, hi]
-        elif lo <= at[1]:
-            at[1] = hi
-        else:
-            yield widen(text, *at)
-            at = [lo, hi]
-    if at is not None:
-        yield widen(text, *at)
-
-
-def widen(text: str, lo: int, hi: int) -> tuple[int, int]:
-    for _ in range(MARGIN):
-        if lo == 0 or text[lo - 1].isspace():
-            break
-        lo -= 1
-    for _ in range(MARGIN):
-        if hi == len(text) or text[hi].isspace():
-            break
-        hi += 1
-    return lo, hi
+def regions(hints: list[int], size: int):
+    """Disjoint stretches that hold every segment: one begins up to ``MAX_CHARS`` before its hint and is no longer than that."""
+    lo = hi = None
+    for h in hints:
+        if hi is not None and h - MAX_CHARS <= hi:
+            hi = min(size, h + MAX_CHARS)
+            continue
+        if hi is not None:
+            yield lo, hi
+        lo, hi = max(0, h - MAX_CHARS), min(size, h + MAX_CHARS)
+    if hi is not None:
+        yield lo, hi
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
+    """The field's entities in the whole text that overlap no base span."""
+    hints = [m.start() for m in HINT.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
-    out, done = [], 0
-    for lo, hi in regions(text):
-        lo = max(lo, done)
-        done = hi
-        for kind, s, e in viterbi(text[lo:hi], weights):
-            s, e = s + lo, e + lo
-            k = bisect.bisect_left(taken, (e, 0))
-            if not any(x < e and s < y for x, y in taken[max(0, k - 8) : k]):
+    starts, reach = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
+    out = []
+    for lo, hi in regions(hints, len(text)):
+        for kind, s, e in viterbi(text, weights, lo, hi, hints):
+            k = bisect.bisect_left(starts, e)
+            if k == 0 or reach[k - 1] <= s:
                 out.append((kind, s, e))
     return out
 
@@ -334,9 +328,6 @@ def digest(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-HAS_HINT = re.compile(r"[0-9@]")
-
-
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of base spans, base_sha256, spans (text), n_added."""
     weights = train()
@@ -345,11 +336,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
-                text = text or ""
-                some = HAS_HINT.search(text) is not None
-                base = base_spans(text) if some else []
-                added = added_spans(text, base, weights) if some or HINT.search(text) else []
+            for text in (x.as_py() or "" for x in b.column(1)):
+                base, added = [], []
+                if HINT.search(text):  # a digit or @ is one, so that base spans have it too
+                    base = base_spans(text)
+                    added = added_spans(text, base, weights)
                 n = [sum(x[0] == k for x in base) for k in KINDS]
                 rows.append((*n, hashlib.sha256(digest(base).encode()).hexdigest(), digest([*base, *added]), len(added)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7

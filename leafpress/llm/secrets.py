@@ -80,9 +80,9 @@ def linked_spans(text: str, base: list[tuple[str, int, int, int]]) -> list[tuple
         return k == 0 or reach[k - 1] <= s
 
     identifiers = [x for x in identifiers if free(x[1], x[2])]
-    named = [(x[1], x[2]) for x in identifiers]
+    named = [(x[1], x[2]) for x in identifiers]  # in order and disjoint
     weak = [("secret", m.start(), m.end(), m.start()) for m in LONG.finditer(text) if mixed(m.group()) and free(m.start(), m.end())]
-    weak = [x for x in weak if not any(s < x[2] and x[1] < e for s, e in named)] if len(named) < 50 else [x for x in weak if not (k := bisect.bisect_left(named, (x[2], 0))) or named[k - 1][1] <= x[1]]
+    weak = [x for x in weak if not (k := bisect.bisect_left(named, (x[2], 0))) or named[k - 1][1] <= x[1]]
     ends = [("endpoint", m.start(), m.end(), m.start()) for m in ENDPOINT.finditer(text)] if marked else []
     ends = [x for x in ends if free(x[1], x[2])]
     begins, numbers = places(text)
@@ -115,7 +115,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in (x.as_py() for x in b.column(1)):
                 base = base_spans(text or "")
                 added = linked_spans(text, base) if text else []
                 n = [sum(x[0] == k for x in base) for k in KINDS[:3]]
@@ -142,12 +142,15 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with secrets replaced in ``text`` (null stays null) and ``n_chars``, if there, renewed."""
+    """All rows and columns of ``docs`` with secrets replaced in ``text`` (null stays null) and ``n_chars``, if there, renewed.
+
+    Repeated rows are separate rows; an empty table gives an empty result; other columns pass as they are.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = pa.array([t and redact(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            texts = pa.array((t and redact(t) for t in (x.as_py() for x in b.column(at))), b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 
     out = docs.mapInArrow(run, docs.schema)
