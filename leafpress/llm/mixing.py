@@ -1,16 +1,19 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
-The main path holds DataFrame operations only. Documents are dealt into shards (source, hash of the
-id), so that a source with a third of all rows is many shards. Sources get token targets by weight,
-capped at ``most`` times their size (water-filling, see ``source_targets``). The targets become integer
-numbers of blocks per shard by the highest quotients (``apportion``), and each shard then takes its
-quota from its own blocks: all of them ``quota // blocks`` times, and of the rest a seeded systematic
-draw over a seeded order of the documents. Selected blocks are counted in closed form for each
-document, so no block is ever a row.
-
-Cases: a null or wordless text has size 0 and takes 0; a null source is a source, last in order; equal
-sizes, repeated rows and repeated ids are separate rows (each may be taken); an empty table gives an
-empty result; other columns are ignored, whatever their names.
+The main path holds DataFrame operations only. Sources get token targets by weight, capped at ``most`` times
+their size (water-filling, see ``source_targets``). Documents are dealt by a hash of their id into shards, so
+that a source with a third of all rows is many shards, and shards into groups. Blocks go by highest quotients
+(``apportion``) to sources, inside a source to its groups, and inside a group to its shards, so the rows that
+one window orders are the sources, or at most ``GROUP`` groups or shards, whatever the size of the corpus.
+(A source of more than ``GROUP`` squared shards has larger groups of shards.) Each shard then takes its quota
+from its own blocks: all of them ``quota // blocks`` times, and of the rest a seeded systematic draw over a
+seeded order of the documents. Selected blocks are counted in closed form for each document, so no block is
+ever a row. All hashes are MD5, so that SQL can state the same mix.
+
+Cases: a null or wordless text has size 0 and takes 0; a null source is a source, last in order; rows with a
+null id are dealt by their text; equal sizes, repeated rows and repeated ids are separate rows (each may be
+taken; equal ones lie in one shard); an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from leafpress.llm.shared import cut, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SHARD_ROWS = 5_000
-BLOCKS_PER_SOURCE = 2_000
+#: Groups of a source, and shards of a group.
+GROUP = 2_000
+BLOCKS_PER_SHARD = 2_000
 MAX_BLOCK = 1_024
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,63 +58,97 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: i
     return out.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))).drop("cap", "ratio", "level")
 
 
-def apportion(units: DataFrame, share: str, key: Sequence[str], seats: Column) -> DataFrame:
-    """Add ``quota``: the Sainte-Laguë allocation of ``seats`` (the same for all rows) by ``share``, ties by ``key``.
+def number(*parts: Column, seed: int) -> Column:
+    """A long of 60 bits from the MD5 of the parts (null: empty) and a seed, joined by colons."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def apportion(units: DataFrame, share: str, key: Sequence[str], seats: str, inside: Sequence[str] = ()) -> DataFrame:
+    """Add ``quota``: the Sainte-Laguë allocation of ``seats`` (equal in all rows of an ``inside``) by ``share``, ties by ``key``.
 
     A divisor a little above the final one gives each unit a base that the final allocation can't fall
     below; only the seats that are left (1.5 times the number of units at most) go by quotients. A unit
     can gain no more than its share of them and one more, so few quotients are made and all that matter.
     """
-    every = W.partitionBy(F.lit(0))
-    out = units.withColumn("_seats", seats).withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_all", F.sum(share).over(every))
+    every = W.partitionBy(*inside) if inside else W.partitionBy(F.lit(0))
+    own = [c for c in (*inside, *key)]
+    out = units.withColumn(share, F.col(share).cast("double"))
+    out = out.withColumns({"_seats": F.col(seats).cast("long"), "_n": F.count(F.lit(1)).over(every), "_all": F.sum(share).over(every)})
     loose = F.col("_seats") - F.col("_n")
-    out = out.withColumn("_base", F.when((loose > 0) & (F.col("_all") > 0), F.floor(F.col(share) * loose / F.col("_all") + 0.5)).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("_rest", F.when(F.col("_all") > 0, F.greatest(F.lit(0), F.col("_seats") - F.sum("_base").over(every))).otherwise(F.lit(0)).cast("long"))
+    base = F.when((loose > 0) & (F.col("_all") > 0), F.floor(F.col(share) * loose / F.col("_all") + 0.5)).otherwise(F.lit(0))
+    out = out.withColumn("_base", base.cast("long"))
+    rest = F.when(F.col("_all") > 0, F.greatest(F.lit(0), F.col("_seats") - F.sum("_base").over(every))).otherwise(F.lit(0))
+    out = out.withColumn("_rest", rest.cast("long"))
     gain = F.when(F.col(share) > 0, F.ceil(F.col(share) / F.col("_all") * (F.col("_rest") + F.col("_n"))) + 1).otherwise(F.lit(0)).cast("long")
-    tried = out.select(*key, share, "_base", "_rest", F.explode(F.when(gain > 0, F.sequence(F.lit(1).cast("long"), gain)).otherwise(F.array().cast("array<bigint>"))).alias("_k"))
+    ks = F.when(gain > 0, F.sequence(F.lit(1).cast("long"), gain)).otherwise(F.array().cast("array<bigint>"))
+    tried = out.select(*own, share, "_base", "_rest", F.explode(ks).alias("_k"))
     tried = tried.withColumn("_quotient", F.col(share) / (2 * (F.col("_base") + F.col("_k")) - 1))
-    best = W.orderBy(F.col("_quotient").desc(), *[F.col(c).asc_nulls_last() for c in key], "_k")
+    best = every.orderBy(F.col("_quotient").desc(), *[F.col(c).asc_nulls_last() for c in key], "_k")
     won = tried.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= F.col("_rest"))
-    won = won.groupBy(*key).agg(F.count(F.lit(1)).alias("_won"))
-    same = F.lit(True)
-    for c in key:
-        same &= F.col(f"u.{c}").eqNullSafe(F.col(f"w.{c}"))
-    out = out.alias("u").join(won.alias("w"), same, "left").select("u.*", F.col("w._won"))
-    return out.withColumn("quota", F.col("_base") + F.coalesce(F.col("_won"), F.lit(0))).drop("_seats", "_n", "_all", "_base", "_rest", "_won")
+    won = won.groupBy(*own).agg(F.count(F.lit(1)).alias("_won"))
+    out = out.alias("u").join(won.alias("w"), matched(own, "u", "w"), "left").select("u.*", F.col("w._won"))
+    out = out.withColumn("quota", F.col("_base") + F.coalesce(F.col("_won"), F.lit(0)))
+    return out.drop("_seats", "_n", "_all", "_base", "_rest", "_won")
+
+
+def matched(names: Sequence[str], left: str, right: str) -> Column:
+    """Equal in all ``names``, null with null."""
+    out = F.lit(True)
+    for c in names:
+        out &= F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
 
 
 def drawn(to: Column, quota: Column, blocks: Column, start: Column) -> Column:
     """How many of the first ``to`` blocks a systematic draw of ``quota`` out of ``blocks`` takes, in exact integers."""
-    whole = lambda x: (x.cast("decimal(19,0)") * quota.cast("decimal(19,0)") - F.pmod(x.cast("decimal(19,0)") * quota.cast("decimal(19,0)"), blocks.cast("decimal(19,0)"))) / blocks.cast("decimal(19,0)")
-    return whole(to + start).cast("long") - whole(start).cast("long")
+    big = lambda x: x.cast("decimal(19,0)")
 
+    def whole(x: Column) -> Column:
+        product = big(x) * big(quota)
+        return ((product - F.pmod(product, big(blocks))) / big(blocks)).cast("long")
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    return whole(to + start) - whole(start)
+
+
+def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7, shard_rows: int = SHARD_ROWS, group: int = GROUP) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, text) with size, source_size, target and the words ``taken`` from it."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    # rows without an id are told apart by their text
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    sized = cut(sized.select("doc_id", "source", "size", number(F.col("key"), seed=seed).alias("dealt"), number(F.col("key"), seed=seed + 1).alias("place")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = source_targets(sources, weights, most).withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long"))
-    sources = cut(sources)
-    rows = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", F.pmod(F.xxhash64("d.doc_id", F.lit(seed)), F.col("s.shards")).alias("shard"))
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    shards = shards.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0)))
-    every = W.partitionBy(F.lit(0))
-    shards = shards.withColumn("total", F.sum("share").over(every)).withColumn("units", F.size(F.collect_set("source").over(every)) + F.lit(1))
-    small = F.floor(F.col("shard_size") / BLOCKS_PER_SOURCE)  # its last block, which may be a part of one, counts for little
-    shards = shards.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / F.col("units") / BLOCKS_PER_SOURCE), small)).cast("long"))
-    shards = shards.withColumn("share", F.col("share") / F.col("block"))  # in blocks of the shard's own size
-    shards = cut(apportion(shards, "share", ["source", "shard"], F.round(F.sum("share").over(every)).cast("long")))
-    shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
-    in_shard = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("end", F.sum("size").over(in_shard))
-    placed = placed.alias("r").join(shards.select("source", "shard", "block", "blocks", "quota").alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard"))).select("r.*", "q.block", "q.blocks", "q.quota")
-    full, rest = F.floor(F.col("quota") / F.col("blocks")), F.col("quota") % F.col("blocks")
-    start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.col("blocks"))
+    sources = sources.withColumn("groups", F.least(F.lit(group), F.ceil(F.col("shards") / group)).cast("long"))
+    # so many blocks to a shard that its last one, which may be a part of one, counts for little
+    block = F.floor(F.col("source_size") / F.col("shards") / BLOCKS_PER_SHARD)
+    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), block)).cast("long"))
+    sources = sources.withColumn("share", F.col("target") / F.col("block"))
+    sources = sources.withColumn("seats", F.round(F.sum("share").over(W.partitionBy(F.lit(0)))))
+    sources = cut(apportion(sources, "share", ["source"], "seats").drop("share", "seats"))
+    shard = F.pmod(F.col("d.dealt"), F.col("s.shards"))
+    rows = sized.alias("d").join(sources.alias("s"), matched(["source"], "d", "s"))
+    rows = rows.select("d.doc_id", "d.source", "d.size", "d.place", "s.source_size", "s.target", shard.alias("shard"), F.pmod(shard, F.col("s.groups")).alias("grp"))
+    shards = cut(rows.groupBy("source", "grp", "shard").agg(F.sum("size").alias("shard_size")))
+    groups = shards.groupBy("source", "grp").agg(F.sum("shard_size").alias("group_size"))
+    groups = groups.alias("g").join(sources.select("source", "quota", "block").alias("s"), matched(["source"], "g", "s")).select("g.*", F.col("s.quota").alias("seats"), "s.block")
+    groups = apportion(groups, "group_size", ["grp"], "seats", ["source"]).select("source", "grp", "block", F.col("quota").alias("seats"))
+    shards = shards.alias("d").join(groups.alias("g"), matched(["source", "grp"], "d", "g")).select("d.*", "g.block", "g.seats")
+    shards = apportion(shards, "shard_size", ["shard"], "seats", ["source", "grp"])
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")
+    shards = cut(shards.select("source", "shard", "block", blocks.alias("blocks"), F.least(F.col("quota"), blocks * most).alias("quota")))
+    in_shard = W.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.drop("grp").withColumn("end", F.sum("size").over(in_shard))
+    placed = placed.alias("r").join(shards.alias("q"), matched(["source", "shard"], "r", "q")).select("r.*", "q.block", "q.blocks", "q.quota")
+    start = F.pmod(number(F.col("source"), F.col("shard"), seed=seed + 2), F.col("blocks"))
+    placed = placed.withColumns({"full": F.floor(F.col("quota") / F.col("blocks")), "rest": F.col("quota") % F.col("blocks"), "start": start})
     upto = lambda c: drawn(c, F.col("rest"), F.col("blocks"), F.col("start"))
-    placed = placed.withColumn("full", full).withColumn("rest", rest).withColumn("start", start)
-    tokens = lambda at: (  # noqa: E731  drawn tokens before position `at` of the shard
-        upto(F.floor(at / F.col("block"))) * F.col("block") + (at % F.col("block")) * (upto(F.floor(at / F.col("block")) + 1) - upto(F.floor(at / F.col("block"))))
-    )
+
+    def tokens(at: Column) -> Column:
+        """Drawn tokens before position ``at`` of the shard."""
+        k = F.floor(at / F.col("block"))
+        return upto(k) * F.col("block") + (at % F.col("block")) * (upto(k + 1) - upto(k))
+
     taken = F.col("size") * F.col("full") + tokens(F.col("end")) - tokens(F.col("end") - F.col("size"))
     return placed.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
 

@@ -4,7 +4,8 @@ Texts are taken in blocks as one byte array. Words get exact ids (a dictionary o
 words get rolling hashes in numpy, and one sort per length finds the n-grams that occur twice or more in
 their own text. For 2 to 4 words the share of word characters in the most covering n-gram counts, for 5 to
 10 words the share inside any duplicated n-gram, and for lines the share of characters in repeated ones.
-Equal hashes next to each other are compared word by word for the exact count of the 3-word windows.
+Equal hashes next to each other are compared word by word; should two n-grams of a block share a hash, that
+length is counted by exact codes instead.
 
 Cases: a null or wordless text has no words, counts 0 and is rejected (under ``min_words``); very long
 texts are blocks of their own; ties and repeated rows are independent rows; an empty table gives an empty
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, byte_set, mix, rolling, table
+from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, byte_set, mix, rolling, same_windows, table, window_codes
 
 SYMBOLS = byte_set(b"#*$%&|<>")
 BASE = 0x9E3779B97F4A7C15
@@ -40,9 +41,15 @@ class Limits:
 
 def duplicated(keys: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (text, key), and for each place in that order whether it equals the one before."""
-    order = np.argsort(mix(keys ^ mix(text_of.astype(np.uint64) + np.uint64(1))))
-    k, t = keys[order], text_of[order]
-    return order, np.concatenate([[False], (k[1:] == k[:-1]) & (t[1:] == t[:-1])]) if len(order) else np.zeros(0, bool)
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    hashed = mix(keys.astype(np.uint64) ^ mix(text_of.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(hashed)
+    same = (keys[order][1:] == keys[order][:-1]) & (text_of[order][1:] == text_of[order][:-1])
+    if np.any(~same & (hashed[order][1:] == hashed[order][:-1])):  # two share a hash
+        order = np.lexsort((keys, text_of))
+        same = (keys[order][1:] == keys[order][:-1]) & (text_of[order][1:] == text_of[order][:-1])
+    return order, np.concatenate([[False], same])
 
 
 def both(same: np.ndarray) -> np.ndarray:
@@ -95,11 +102,9 @@ def measure(texts: Texts, limits: Limits) -> dict[str, np.ndarray]:
             continue
         keys, where = rolling(symbols, size, BASE)[at], runs.text_of[at]
         order, same = duplicated(keys, where)
-        if size == 3:
-            p, q = at[order[1:][same[1:]]], at[order[:-1][same[1:]]]
-            for i in range(size):
-                if not np.array_equal(word_ids[p + i], word_ids[q + i]):
-                    raise ArithmeticError("two 3-word windows share a 64-bit hash")
+        again = np.flatnonzero(same)
+        if not same_windows(word_ids, at[order[again]], at[order[again - 1]], size).all():
+            order, same = duplicated(window_codes(word_ids, size)[at], where)
         inside = both(same)
         cover = np.zeros(n + 1, np.int64)
         np.add.at(cover, at[order[inside]], 1)
@@ -145,7 +150,10 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is kept; each batch is judged as it passes, without a shuffle."""
+    """The rows of ``docs``, all columns, whose text is kept; each batch is judged as it passes, without a shuffle.
+
+    Rows with a null or wordless text go (too few words); repeated rows are judged alike; an empty table stays empty.
+    """
     limits = limits or Limits()
     at = docs.columns.index("text")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafpress.llm import quality
+from leafpress.llm import mixing, quality
 from leafpress.llm.chat import op7_chat_format
 from leafpress.llm.decontaminate import op6_decontaminate
 from leafpress.llm.mixing import op10_mix_sources
@@ -26,6 +26,46 @@ _LIMITS = quality.Limits()
 _TOP = ", ".join(f"({n}, {x})" for n, x in _LIMITS.top.items())
 _DUPLICATED = ", ".join(f"({n}, {x})" for n, x in _LIMITS.duplicated.items())
 
+
+
+def _sainte_lague(units: str, share: str, key: str, seats: str, inside: str) -> str:
+    """Quotas by all quotients: of each unit as many as there are seats, the highest ones in an ``inside`` win."""
+    won = f"SELECT {inside}, {key}, row_number() OVER (PARTITION BY {inside} ORDER BY {share}::DOUBLE / (2 * k - 1) DESC, {key} NULLS LAST, k) <= {seats} AS won"
+    quotients = f"{won} FROM (SELECT *, unnest(generate_series(1, {seats}::BIGINT)) AS k FROM {units} WHERE {share} > 0)"
+    names = " AND ".join(f"u.{c} IS NOT DISTINCT FROM w.{c}" for c in (*inside.split(", "), key))
+    return f"SELECT u.*, coalesce(n_won, 0) AS quota FROM {units} u LEFT JOIN (SELECT {inside}, {key}, count(*) AS n_won FROM ({quotients}) WHERE won GROUP BY ALL) w ON {names}"
+
+
+def _number(text: str, seed: int) -> str:
+    return f"('0x' || substr(md5({text} || ':{seed}'), 1, 15))::BIGINT"
+
+
+def _drawn(at: str) -> str:
+    """Words that the systematic draw takes before position ``at`` of the shard."""
+    upto = lambda k: f"((({k}) + start)::HUGEINT * rest // blocks - start::HUGEINT * rest // blocks)"
+    return f"({upto(f'({at}) // block')} * block + ({at}) % block * ({upto(f'({at}) // block + 1')} - {upto(f'({at}) // block')}))"
+
+
+_MIX = rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS id FROM documents),
+        sums AS (SELECT 0 AS one, source, sum(size)::BIGINT AS source_size, greatest(1, ceil(count(*) / {mixing.SHARD_ROWS}))::BIGINT AS shards, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+        weighed AS (SELECT *, CASE n % 3 WHEN 0 THEN {mixing.WEIGHTS[0]} WHEN 1 THEN {mixing.WEIGHTS[1]} ELSE {mixing.WEIGHTS[2]} END::DOUBLE AS weight, source_size * {mixing.MOST}::DOUBLE AS cap FROM sums),
+        levels AS (SELECT *, ((SELECT sum(source_size) FROM sums) - coalesce(sum(cap) OVER w, 0)) / ((SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER w, 0)) AS level
+            FROM weighed WINDOW w AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        targets AS (SELECT *, coalesce(least(cap, weight * (SELECT level FROM levels WHERE level <= cap / weight ORDER BY cap / weight, n LIMIT 1)), cap) AS target,
+            greatest(1, least({mixing.MAX_BLOCK}, floor(source_size / shards / {mixing.BLOCKS_PER_SHARD})))::BIGINT AS block, least({mixing.GROUP}, ceil(shards / {mixing.GROUP}))::BIGINT AS groups FROM levels),
+        shares AS (SELECT *, target / block AS share, round(sum(target / block) OVER ()) AS seats FROM targets),
+        s AS ({_sainte_lague("shares", "share", "source", "seats", "one")}),
+        dealt AS (SELECT doc_id, d.source, size, source_size, target, block, groups, quota, {_number("id", 7)} % shards AS shard, {_number("id", 8)} AS place FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        rows AS (SELECT doc_id, source, size, source_size, target, block, quota AS source_quota, shard, shard % groups AS grp, place FROM dealt),
+        grps AS (SELECT source, grp, sum(size)::BIGINT AS size, any_value(source_quota) AS seats FROM rows GROUP BY source, grp),
+        g AS ({_sainte_lague("grps", "size", "grp", "seats", "source")}),
+        shrds AS (SELECT r.source, r.grp, shard, sum(r.size)::BIGINT AS size, any_value(quota) AS seats, any_value(block) AS block FROM rows r JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.grp = g.grp GROUP BY r.source, r.grp, shard),
+        q AS (SELECT *, greatest(1, ceil(size / block))::BIGINT AS blocks FROM ({_sainte_lague("shrds", "size", "shard", "seats", "source, grp")})),
+        placed AS (SELECT r.*, blocks, least(quota, blocks * {mixing.MOST}) // blocks AS whole, least(quota, blocks * {mixing.MOST}) % blocks AS rest, {_number("coalesce(r.source, '') || ':' || r.shard", 9)} % blocks AS start,
+            sum(r.size) OVER (PARTITION BY r.source, r.shard ORDER BY place, doc_id NULLS FIRST, r.size ROWS UNBOUNDED PRECEDING)::BIGINT AS till FROM rows r JOIN q ON r.source IS NOT DISTINCT FROM q.source AND r.shard = q.shard)
+        SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN size * whole + {_drawn("till")} - {_drawn("till - size")} ELSE 0 END::BIGINT AS taken FROM placed"""
+
 ORACLES = {
     "op3_quality_rules": rf"""
         WITH d AS (SELECT *, len(w) AS n_words FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
@@ -83,4 +123,5 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS attachment_tokens
         FROM formatted GROUP BY conv_id""",
+    "op10_mix_sources": _MIX,
 }

@@ -35,6 +35,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="leafpress-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -66,6 +68,17 @@ def release(spark: SparkSession) -> None:
     delete(spark, f"{scratch_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use that no column of ``df`` has (whatever the case), from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -183,3 +196,32 @@ def rolling(symbols: np.ndarray, length: int, base: int) -> np.ndarray:
             return total
         have = have[:-size] * np.uint64(power) + have[size:]
         power, size = power * power & (2**64 - 1), size * 2
+
+
+def same_windows(ids: np.ndarray, p: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` ids from each place of ``p`` are those from the place of ``q`` beside it."""
+    out = np.ones(len(p), bool)
+    for j in range(length):
+        out &= ids[p + j] == ids[q + j]
+    return out
+
+
+def window_codes(ids: np.ndarray, length: int) -> np.ndarray:
+    """Exact codes of every ``length`` consecutive ids, by doubling: equal codes, equal windows. The way out where hashes collide."""
+    n = len(ids) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+    total, have, size, at = None, np.unique(ids, return_inverse=True)[1].astype(np.int64), 1, 0
+    while True:
+        if length & size:
+            part = have[at : at + n]
+            total = part if total is None else pair(total, part)
+            at += size
+        if size * 2 > length:
+            return total
+        have = pair(have[:-size], have[size:])
+        size *= 2

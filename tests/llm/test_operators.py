@@ -469,7 +469,7 @@ def test_apportionment(spark):
     rng = random.Random(6)
     for seats in (0, 3, 7, 100, 1001):
         shares = [(k, float(rng.choice([0, 1, 5, 17, 400, 1000.5]))) for k in range(12)]
-        got = {r["k"]: r["quota"] for r in mixing.apportion(spark.createDataFrame(shares, "k int, s double"), "s", ["k"], F.lit(seats)).collect()}
+        got = {r["k"]: r["quota"] for r in mixing.apportion(spark.createDataFrame(shares, "k int, s double").withColumn("seats", F.lit(seats)), "s", ["k"], "seats").collect()}
         quotients = sorted(((s / (2 * j - 1), -k) for k, s in shares for j in range(1, seats + 1) if s > 0), reverse=True)[:seats]
         assert got == {k: sum(-q[1] == k for q in quotients) for k, _ in shares}
 
