@@ -83,6 +83,15 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def own_exchange(df: DataFrame, key: str) -> DataFrame:
+    """``df``, an aggregate by the long ``key``, with the key as a new expression.
+
+    A join on it then shuffles the aggregate's result again instead of reusing its exchange. Both sides of the join
+    are plain shuffles, and only such joins are split by adaptive execution where a key is hot.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def by_key(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by ``cols`` and sort inside, for Python code that streams over runs of a key."""
     return df.repartition(partitions(df.sparkSession), *cols)

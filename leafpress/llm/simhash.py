@@ -5,7 +5,7 @@ XXH64 with seed 42 of each; a bit is 1 if it is set in over half of the hashes.
 
 ``links``: fingerprints at ``budget`` or fewer differing bits. Of budget + 1 equal fields at least one
 agrees, so each distinct fingerprint goes to the bucket of each of its fields; a bucket with very many
-is dealt again by equal fields of the remaining bits. In a bucket the sorted fingerprints are an implicit
+is dealt again by equal fields of the remaining bits, up to ``DEALS`` times. In a bucket the sorted fingerprints are an implicit
 binary trie (a node is a range of them): pairs of nodes are traversed together, level by level, differing
 bits are added up, and a pair over the budget is dropped. A pair of nodes that already lie in one
 component is dropped too, so a bucket yields a spanning forest and never all pairs of a group.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import WORD_BYTES, Runs, blocks, by_key, cut, table
+from leafpress.llm.shared import WORD_BYTES, Runs, blocks, by_key, cut, fresh, own_exchange, table
 
 BITS = 64
 BUDGET = 3
@@ -36,6 +36,8 @@ SHINGLE = 3
 BUCKET = 50_000
 #: Rows of whole buckets that are traversed at once.
 HELD = 100_000
+#: How often a bucket is dealt: after the third time its members agree in 37 of 64 bits (budget 3).
+DEALS = 3
 #: Node pairs that one step of the traversal holds.
 FRONT = 200_000
 
@@ -169,30 +171,40 @@ def trie_links(fps: np.ndarray, bounds: np.ndarray | None = None, budget: int =
     return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (none, none)
 
 
-def fields(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of budget + 1 fields that cover the 64 bits."""
-    at = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def masks(fixed: int, budget: int) -> list[int]:
+    """``fixed`` with one more of budget + 1 fields of the bits that it leaves: within the budget some field agrees."""
+    rest = [b for b in range(BITS) if not fixed >> b & 1]
+    at = [len(rest) * i // (budget + 1) for i in range(budget + 2)]
+    return [fixed | sum(1 << b for b in rest[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def dealt(fps: DataFrame, budget: int, bucket: int) -> DataFrame:
+    """(mask, v, fp): the buckets of each fingerprint, v being its bits under the mask."""
+    under = lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("v"))
+    known = masks(0, budget)
+    rows = fps.select("fp", F.inline(F.array(*[under(F.lit(signed(m))) for m in known])))
+    out = None
+    for deal in range(1, DEALS + 1):
+        last = deal == DEALS
+        many = None if last else cut(rows.groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).drop("n"))
+        if last or many.isEmpty():
+            return rows if out is None else out.unionByName(rows)
+        few = rows.join(many, ["mask", "v"], "left_anti")
+        out = few if out is None else out.unionByName(few)
+        finer = {m: masks(m, budget) for m in known}
+        of = F.create_map(*[x for m, own in finer.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in own]))])
+        hot = rows.join(many, ["mask", "v"], "left_semi").select("fp", F.explode(of[F.col("mask")]).alias("mask"))
+        rows = hot.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
+        known = sorted({y for own in finer.values() for y in own})
 
 
 def links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
     """(a, b) over distinct ``fp``: a forest that spans the components of all pairs within ``budget`` bits."""
-    parts = fields(budget)
-    field = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))
-    first = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), field(s, w).alias("v")) for i, (s, w) in enumerate(parts)])).alias("k")).select("fp", "k.i", "k.v")
-    many = first.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
-    first = first.join(many, ["i", "v"], "left")
-    # in a very large bucket the remaining bits hold all differences: some field of those agrees as well
-    again = []
-    for i, (s, w) in enumerate(parts):
-        rest = [b for b in range(BITS) if not s <= b < s + w]
-        for j in range(budget + 1):
-            own = rest[len(rest) * j // (budget + 1) : len(rest) * (j + 1) // (budget + 1)]
-            mask = sum(1 << b for b in own)
-            again.append(F.when(F.col("i") == i, F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("u"))))
-    none = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("u")))
-    dealt = first.select("fp", "i", "v", F.explode(F.when(F.col("n").isNull(), none).otherwise(F.array_compact(F.array(*again)))).alias("k"))
-    dealt = by_key(dealt.select("i", "v", "k.j", "k.u", "fp"), "i", "v", "j", "u").sortWithinPartitions("i", "v", "j", "u")
+    buckets = by_key(dealt(fps, budget, bucket).select("mask", "v", "fp"), "mask", "v").sortWithinPartitions("mask", "v")
 
     def run(batches):
         held, size = [], 0
@@ -213,7 +225,7 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFra
             yield from pairs(rows.column("fp").to_numpy(), np.concatenate([[0], starts(rows), [rows.num_rows]]))
 
     def starts(rows):
-        return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in (rows.column(c).to_numpy() for c in ("i", "v", "j", "u"))])) + 1
+        return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in (rows.column(c).to_numpy() for c in ("mask", "v"))])) + 1
 
     def pairs(fp, bounds):
         fp = fp.view(np.uint64)
@@ -222,31 +234,27 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFra
         for k in range(0, len(a), HELD):
             yield pa.RecordBatch.from_arrays([pa.array(fp[x[k : k + HELD]].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return buckets.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the least node of its component.
 
     Large-star hangs each node's larger neighbours below its least neighbour, small-star does so with
-    the smaller ones; the number of rounds is logarithmic. A hub's neighbours are never gathered: both
-    stars are an aggregate and a join on the node, which adaptive execution splits where it is skewed.
+    the smaller ones, until nothing changes; the number of rounds is logarithmic. A hub's neighbours are never
+    gathered: both stars are an aggregate and a join of plain shuffles on the node (``own_exchange``).
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
+    before = now = None
+    while before is None or before != now:
+        before = now or ()
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(own_exchange(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = large.join(own_exchange(least, "a"), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
@@ -256,7 +264,7 @@ def grouped(marked: DataFrame, budget: int, bucket: int) -> DataFrame:
     roots = components(links(nodes.select("fp"), budget, bucket))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(of_root, "root").select("fp", "root", "component_id")
+    return placed.join(own_exchange(of_root, "root"), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
@@ -267,19 +275,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BU
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
-    """The columns of ``docs`` for one row of each group: that with the least doc_id (null last), then text.
+    """The columns of ``docs`` for one row of each group: that with the least doc_id (null last), then text (null last).
 
-    Rows are told apart by id and digest of the text, so that groups with equal or null ids each keep their own.
+    Rows are told apart by a digest of id and text, so that groups with equal or null ids each keep their own; of
+    rows with the same id and text one stays. Texts are shuffled once, by that digest; the survivors are chosen by
+    digests, and texts are compared only where rows of one group share the id. Columns may have any name; an empty
+    table stays empty.
     """
-    key = F.md5(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
-    own = docs.withColumn("__leafpress_key", key)
+    mine, place = fresh(docs, "__key", "__place")
+    ident = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-")))
+    key = F.sha2(ident, 256)
     marked = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), shingle)
     marked = cut(marked.select("doc_id.doc_id", "doc_id.key", "fp"))
-    first = marked.join(grouped(marked, budget, bucket), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("__leafpress_id"), F.col("key").alias("__leafpress_of"), F.col("root").alias("__leafpress_root")).distinct()
-    rows = own.join(first, F.col("doc_id").eqNullSafe(F.col("__leafpress_id")) & (F.col("__leafpress_key") == F.col("__leafpress_of")))
-    rows = rows.withColumn("__leafpress_n", F.row_number().over(W.partitionBy("__leafpress_root").orderBy(F.col("text").asc_nulls_last())))
-    return rows.where("__leafpress_n = 1").select(*[rows[c] for c in docs.columns])
+    first = marked.join(grouped(marked, budget, bucket), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "key").distinct()
+    chosen = cut(first.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")))
+    keys = chosen.where("n = 1").select(F.col("key").alias(mine))
+    tied = first.join(own_exchange(chosen.where("n > 1").select("root"), "root"), "root")
+    texts = docs.select(key.alias("key"), "text").join(tied, "key")
+    least = texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "key")).alias("of"))
+    keys = cut(keys.unionByName(least.select(F.col("of.key").alias(mine))))
+    own = docs.withColumn(mine, key)
+    order = [own[f"`{f.name}`"] for f in docs.schema.fields if f.name not in ("doc_id", "text") and f.dataType.simpleString() in ("string", "int", "bigint", "double", "float", "boolean", "date", "timestamp")]
+    one = own.withColumn(place, F.row_number().over(W.partitionBy(mine).orderBy(*order or [F.lit(0)]))).where(F.col(place) == 1)
+    return one.join(keys, mine, "left_semi").select(*[one[f"`{c}`"] for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

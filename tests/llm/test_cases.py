@@ -66,3 +66,41 @@ def test_scratch_needs_a_shared_folder():
 def test_fresh_names(spark):
     df = spark.range(1).select(F.lit(1).alias("_K"), F.lit(1).alias("_k_"))
     assert shared.fresh(df, "_k", "n", "n") == ["_k__", "n", "n_"]
+
+
+def test_keep_one_with_any_names(spark):
+    from leafpress.llm import simhash
+
+    df = spark.createDataFrame([(None, None, 1), (None, "", 2), (3, "a b c d", 3), (3, "a b c d", 4)], "doc_id long, text string, `__key` int").withColumns({"__place": F.lit("x"), "a.b": F.lit(1)})
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    # null and empty texts share fingerprint zero; null ids come last only among others
+    assert sorted((r["doc_id"], r["__key"]) for r in kept.collect() if r["doc_id"]) == [(3, 3)] and kept.count() == 2
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_split(spark):
+    """Half of all rows on one key: the join with its aggregate leaves no partition over twice the mean."""
+    import os
+
+    from leafpress.llm import simhash
+
+    saved = {}
+    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        saved[k] = spark.conf.get(k, None)
+        spark.conf.set(k, v)
+    try:
+        n = 200_000
+        rows = spark.range(0, n, 1, 16).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+        least = rows.groupBy("a").agg(F.min("b").alias("m"))
+        joined = rows.join(shared.own_exchange(least, "a"), "a")
+        path = f"{shared.scratch_dir(spark)}/hot_join"
+        joined.write.mode("overwrite").parquet(path)
+        sizes = [r["n"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * n / 8, sorted(sizes)[-3:]
+        star = spark.range(1, 20_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert simhash.components(star).agg(F.count(F.lit(1)).alias("n"), F.max("root").alias("m")).first() == (20_000, 0)
+        assert os.path.isdir(path)
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
