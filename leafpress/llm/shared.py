@@ -116,10 +116,11 @@ class Texts:
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Texts]:
-    """The texts of a column (null: empty) in blocks of about ``limit`` bytes, each text whole."""
+    """The texts (or binaries) of a column (null: empty) in blocks of about ``limit`` bytes, each text whole."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     n = len(column)
     if not n:
         return

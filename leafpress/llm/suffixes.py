@@ -1,13 +1,13 @@
 """Suffix-array dedup: repeated byte strings by merging shard Burrows-Wheeler transforms.
 
-Candidate stretches of text come in buckets (``superkmers``). The strings of a bucket are two shards. As a
-symbol, a suffix has a block of ``STRIDE`` bytes, so a string is ``STRIDE`` interleaved chains of symbols, and
-200 bytes are four symbols. Each shard sorts its own suffixes once and keeps their order and its transform
-(the symbol before each suffix). The merge never sorts suffixes again: an interleave, which says from which
-shard the next suffix of the merged order comes, is refined by distributing it stably by the preceding
-symbols, once per symbol of depth (Holt and McMillan's method). Where neighbours first fall apart gives their
-common prefix in symbols; maximal intervals with the full depth in common are the repeated strings. The bytes
-of neighbours in such intervals are compared, so that symbols' hashes decide nothing alone.
+Candidate stretches of text come in buckets (``superkmers``). The strings of a bucket are two shards or more, which
+are merged in rounds, in pairs. As a symbol, a suffix has a block of ``STRIDE`` bytes, so a string is ``STRIDE``
+interleaved chains of symbols, and 200 bytes are four symbols. Each shard sorts its own suffixes once and keeps
+their order and its transform (the symbol before each suffix). A merge never sorts suffixes again: an interleave,
+which says from which shard the next suffix of the merged order comes, is refined by distributing it stably by
+the preceding symbols, once per symbol of depth (Holt and McMillan's method). Where neighbours first fall apart
+gives their common prefix in symbols; maximal intervals with the full depth in common are the repeated strings.
+Blocks with equal hashes are compared byte by byte when they get their symbols, and get exact codes if any differ.
 
 Matches never cross texts, as chains end with their string. Cases: null and empty texts have no bytes and
 nothing removed, like texts under 200 bytes; equal texts of 200 bytes and more are removed whole, repeated
@@ -19,11 +19,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from leafpress.llm.shared import Texts, mix, rolling, table
-from leafpress.llm.superkmers import BASE_A, HOT, Bytes, without_repeats
+from leafpress.llm.shared import Texts, mix, rolling, table, window_codes
+from leafpress.llm.superkmers import HOT, Bytes, without_repeats
 
 LENGTH = 200
 STRIDE = 50
+#: Bytes of strings whose suffixes are sorted together; beyond that, shards' transforms are merged.
+SHARD_BYTES = 1 << 18
+BASE_A = 0xC2B2AE3D27D4EB4F
 
 
 def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +78,30 @@ def merge_transforms(first: np.ndarray, second: np.ndarray, depth: int) -> tuple
     return z, common
 
 
-def repeats(texts: Texts, length: int = LENGTH, stride: int = STRIDE) -> np.ndarray:
-    """For each window of each string, one after another: whether the same bytes start elsewhere among the strings."""
+def block_codes(data: np.ndarray, full: np.ndarray, stride: int) -> np.ndarray:
+    """Dense codes from 1 of the blocks of ``stride`` bytes at the places ``full``: equal codes, equal bytes."""
+    hashed = mix(rolling(data.astype(np.uint64) + np.uint64(1), stride, BASE_A))[full]
+    order, codes = ranks(hashed)
+    again = np.flatnonzero(hashed[order][1:] == hashed[order][:-1])
+    p, q = full[order[again]], full[order[again + 1]]
+    views = np.lib.stride_tricks.sliding_window_view(data, stride)
+    for k in range(0, len(again), 8192):
+        if not np.array_equal(views[p[k : k + 8192]], views[q[k : k + 8192]]):  # two blocks share a hash
+            return window_codes(data, stride)[full] + 1
+    return codes
+
+
+def merged(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two shards' orders and transforms as one, and the common prefixes of neighbours."""
+    z, common = merge_transforms(first[1], second[1], depth)
+    order, before = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
+    order[~z], order[z] = first[0], second[0]
+    before[~z], before[z] = first[1], second[1]
+    return order, before, common
+
+
+def classes(texts: Texts, length: int = LENGTH, stride: int = STRIDE, shard: int = SHARD_BYTES) -> np.ndarray:
+    """A label of each window of each string, one after another: equal labels, equal bytes."""
     depth, count = length // stride, len(texts)
     sizes = np.diff(texts.offsets)
     # every string gets one more place, its end, from which its chains are built
@@ -85,38 +110,37 @@ def repeats(texts: Texts, length: int = LENGTH, stride: int = STRIDE) -> np.ndar
     ends, begin = (starts + sizes)[own], starts[own]
     data = np.zeros(len(own), np.uint8)
     data[np.arange(len(texts.data)) + np.repeat(np.arange(count), sizes)] = texts.data
-    hashed = mix(rolling(data.astype(np.uint64) + np.uint64(1), stride, BASE_A))
-    hashed = np.concatenate([hashed, np.zeros(len(data) - len(hashed), np.uint64)])
-    full = np.arange(len(data)) + stride <= ends
+    full = np.flatnonzero(np.arange(len(data)) + stride <= ends)
     codes = np.zeros(len(data), np.int64)
-    codes[full] = ranks(hashed[full])[1]
-    middle = int(starts[count // 2]) if count > 1 else len(data)
+    if len(full):
+        codes[full] = block_codes(data, full, stride)
+    pieces = max(2, -(-len(data) // shard))
+    cuts = np.unique(np.concatenate([[0], starts[np.searchsorted(starts, np.arange(1, pieces) * len(data) // pieces).clip(max=count - 1)], [len(data)]]))
     parts = []
-    for lo, hi in ((0, middle), (middle, len(data))):
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
         order, before = shard_transform(codes[lo:hi], ends[lo:hi] - lo, begin[lo:hi] - lo, stride, depth)
         parts.append((order + lo, before))
-    z, common = merge_transforms(parts[0][1], parts[1][1], depth)
-    place = np.empty(len(data), np.int64)
-    place[~z], place[z] = parts[0][0], parts[1][0]
+    if len(parts) == 1:
+        parts.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    while len(parts) > 1:  # rounds of merges in pairs
+        pairs = [parts[k : k + 2] for k in range(0, len(parts), 2)]
+        parts = [merged(*x, depth) if len(x) == 2 else x[0] for x in pairs]
+        common = parts[0][2]
+        parts = [x[:2] for x in parts]
+    place = parts[0][0]
     whole = place + length <= ends[place]
     same = (common >= depth) & whole
     same[1:] &= whole[:-1]
-    pairs = np.flatnonzero(same)
-    flags = np.zeros(len(data), bool)
-    views = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
-    for k in range(0, len(pairs), 4096):
-        p, q = place[pairs[k : k + 4096]], place[pairs[k : k + 4096] - 1]
-        if not np.array_equal(views[p], views[q]):
-            raise ArithmeticError("two blocks share a 64-bit hash")
-        flags[p] = flags[q] = True
-    return flags[np.arange(len(data)) + length <= ends]
-
-
-def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    label = np.empty(len(data), np.int64)
+    label[place] = np.cumsum(~same)
+    return label[np.arange(len(data)) + length <= ends]
+
+
+def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, bits: int = 64) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (int64 pairs of byte offsets)."""
     if length % STRIDE:
         raise ValueError(f"length must be a multiple of {STRIDE}")
-    return without_repeats(docs, Bytes(length), lambda t: repeats(t, length), hot).withColumnRenamed("n_units", "n_bytes")
+    return without_repeats(docs, Bytes(length, bits), lambda t: classes(t, length), hot).withColumnRenamed("n_units", "n_bytes")
 
 
 def op4_suffix_array_dedup(spark, sf_dir):

@@ -104,3 +104,34 @@ def test_hot_keys_are_split(spark):
     finally:
         for k, v in saved.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_windows_are_equal_by_content(monkeypatch, bits):
+    """Where hashes collide, content decides."""
+    from leafpress.llm import substrings, suffixes
+
+    rng = random.Random(bits)
+    few = lambda *a: shared.rolling(*a) >> np.uint64(64 - bits)
+    monkeypatch.setattr(substrings, "rolling", few)
+    monkeypatch.setattr(suffixes, "rolling", few)
+    for _ in range(30):
+        strings = ["".join(rng.choice("ab") for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(1, 9))]
+        windows = [s[i : i + 8] for s in strings for i in range(len(s) - 7)]
+        got = suffixes.classes(next(shared.blocks(pa.array(strings))), 8, 4, 50)
+        assert len(set(zip(got.tolist(), windows, strict=True))) == len(set(windows)) == len(set(got.tolist()))
+        spaced = [" ".join(s) for s in strings]
+        got = substrings.classes(next(shared.blocks(pa.array(spaced))), 8)
+        assert len(set(zip(got.tolist(), windows, strict=True))) == len(set(windows)) == len(set(got.tolist()))
+
+
+def test_periodic_texts_are_cut():
+    from leafpress.llm import superkmers
+
+    unit = superkmers.Bytes()
+    symbols, first = unit.read(next(shared.blocks(pa.array(["a" * 50_000, "ab" * 20_000]))))
+    text, start, count, _, again = superkmers.super_kmers(symbols, first, 200, 24)
+    assert count.max() <= superkmers.MOST_WINDOWS and again.all()
+    for i, n in ((0, 50_000), (1, 40_000)):
+        mine = np.sort(np.concatenate([np.arange(a, a + c) for a, c in zip(start[text == i], count[text == i], strict=True)]))
+        assert np.array_equal(mine, np.arange(n - 199))

@@ -208,13 +208,13 @@ def brute_repeats(units, length):
         yield len(u), int(gone.sum()), int((gone[:-1] & ~np.concatenate([[False], gone[:-2]]))[: len(u)].sum()) if len(u) else 0, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [4000, 5])
+@pytest.mark.parametrize("hot,bits", [(4000, 64), (5, 64), (60, 8)])
 @pytest.mark.parametrize("operator,length", [(suffixes.remove_repeated_bytes, 200), (substrings.remove_repeated_words, 35)])
-def test_repeats(docs, operator, length, hot):
+def test_repeats(docs, operator, length, hot, bits):
     units = [(t or "").encode() for _, t in DOCS]
     units = units if length == 200 else [u.split() for u in units]
     want = collections.Counter((i, *b) for (i, _), b in zip(DOCS, brute_repeats(units, length), strict=True))
-    assert rows(operator(docs, hot=hot).drop("removed")) == want
+    assert rows(operator(docs, hot=hot, bits=bits).drop("removed")) == want
 
 
 def test_repeats_of_nothing(empty):
@@ -230,9 +230,10 @@ def test_merged_transforms():
     rng = random.Random(8)
     for _ in range(150):
         strings = ["".join(rng.choice("ab") for _ in range(rng.randint(8, 30))).encode() for _ in range(rng.randint(1, 6))]
-        got = suffixes.repeats(Texts(pa.array(strings, pa.large_binary()), np.arange(len(strings))), 8, 2)
-        count = collections.Counter(s[i : i + 8] for s in strings for i in range(len(s) - 7))
-        assert got.tolist() == [count[s[i : i + 8]] > 1 for s in strings for i in range(len(s) - 7)]
+        windows = [s[i : i + 8] for s in strings for i in range(len(s) - 7)]
+        for shard in (1 << 18, 20):  # two shards, or many in rounds
+            got = suffixes.classes(Texts(pa.array(strings, pa.large_binary()), np.arange(len(strings))), 8, 2, shard)
+            assert len(set(zip(got.tolist(), windows, strict=True))) == len(set(windows)) == len(set(got.tolist()))
 
 
 # 6
