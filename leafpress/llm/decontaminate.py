@@ -2,228 +2,232 @@
 
 A window is ``WINDOW`` consecutive words of an item, a shorter item is one window. Its shingles (up to
 ``SHINGLE`` words) are ordered by rarity over all documents; as containment must be whole, the rarest one
-is its necessary prefix: a document without it can't hold the window. Documents are probed for prefixes
-only; a candidate's place in the document and the prefix's place in the window bound where the window
-begins and must end, and each such window is verified word by word on exact word ids.
+is its necessary prefix: a document without it can't hold the window, and a window whose prefix occurs nowhere
+is dropped. Documents give a row for each place of a prefix, with the words around it; these rows are joined to
+the windows by the prefix's hash. The prefix's place in the window and in the document bound where the window
+begins and must end (length and position), and each such window is then compared word by word.
 
-The benchmark is a stated query set: it is read in blocks of at most ``block_words`` words, whose index is
-broadcast; beyond one block the documents are probed block after block with what was hit so far carried
-along, so what is broadcast at once never grows. Rarity is counted over all documents for a block's
-shingles only.
+Two passes over the documents, one for the rarities and one for the places, whatever the size of the benchmark.
+What is broadcast is a Bloom filter of the shingles sought, of at most ``MOST_BITS`` bits; beyond what it tells
+apart well it only lets more rows through to the join. Windows, rarities and prefixes are tables.
 
 Cases: null and wordless texts have no words and are clean; a null or wordless item has no window; a null
 item_id is the empty string; items with the same id count once; repeated documents are separate rows;
-empty tables give empty or clean results; other columns are ignored.
+empty tables give empty or clean results; other columns are ignored, or kept, whatever their names; very long
+texts and items are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import Runs, Texts, blocks, cut, mix, prepare, rolling, table
+from leafpress.llm.shared import Runs, Texts, blocks, cut, fresh, map_rows, mix, own_exchange, prepare, rolling, table
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_WORDS = 250_000
 BASE = 0xD6E8FEB86659FD93
+#: The filter: bits (32 MB at most), so many for each shingle if that allows, and bits that a shingle sets.
+LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 20, 28, 32, 3
+#: Bits of one row of a filter on its way to the driver.
+CHUNK = 15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
-def item_words(text: str | None) -> list[bytes]:
-    data = (text or "").encode()
-    lowered = data.lower()  # A-Z only: these are bytes
-    marked = np.frombuffer(lowered, np.uint8)
-    return bytes(np.where(WORD[marked], marked, 32).astype(np.uint8)).split() if len(data) else []
-
-
-def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items with words, as (id, words), in blocks of about ``limit`` words."""
-    block, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        words = item_words(row["text"])
-        if words:
-            block.append((row["item_id"] or "", words))
-            n += len(words)
-            if n >= limit:
-                yield block
-                block, n = [], 0
-    if block:
-        yield block
-
-
-class Index:
-    """Windows of a block of items, and the prefix of each once ``order`` has the shingles' counts."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.vocabulary: dict[bytes, int] = {}
-        self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, words in items:
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for k in range(max(1, len(coded) - window + 1)):
-                found[tuple(coded[k : k + window])].add(number[item])
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.codes = np.full((len(self.windows), window), -1, np.int64)
-        for k, w in enumerate(self.windows):
-            self.codes[k, : len(w)] = w
-        self.length = np.minimum(self.sizes, shingle)
-        self.hashes, self.windows = {}, []
-        for size in sorted(set(self.length.tolist())):
-            which = np.flatnonzero(self.length == size)
-            rolled = [rolling(mix(self.codes[w, : self.sizes[w]].astype(np.uint64)), size, BASE) for w in which]
-            self.hashes[size] = (which, rolled)
-        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        return {size: np.unique(np.concatenate(rolled)) for size, (_, rolled) in self.hashes.items()}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Fix each window's rarest shingle (ties: the hash) with its offset in the window."""
-        for size, (which, rolled) in self.hashes.items():
-            best = [min(range(len(h)), key=lambda k: (counts.get((size, int(h[k])), 0), int(h[k]), k)) for h in rolled]
-            first = np.array([h[k] for h, k in zip(rolled, best, strict=True)], np.uint64)
-            by = np.argsort(first, kind="stable")
-            self.prefix[size] = (first[by], which[by], np.array(best, np.int64)[by])
-        self.hashes = {}
-
-    def words(self, texts: Texts) -> tuple[Runs, np.ndarray]:
-        """The words of a block of texts as ids of this vocabulary, -1 for others."""
-        data = LOWER[texts.data]
-        runs = Runs(texts, WORD[data])
-        ids, distinct = runs.encode(data)
-        own = np.array([self.vocabulary.get(w, -1) for w in distinct.to_pylist()], np.int64)
-        return runs, own[ids] if len(own) else ids
-
-    def probe(self, texts: Texts) -> tuple[Runs, np.ndarray, np.ndarray]:
-        """The words; and the verified occurrences: first word and window."""
-        runs, codes = self.words(texts)
-        symbols = mix(codes.astype(np.uint64))
-        begins, windows = [], []
-        for size, (keys, which, offset) in self.prefix.items():
-            rolled = rolling(symbols, size, BASE)
-            if not len(rolled):
-                continue
-            at = np.flatnonzero(codes[: len(rolled)] >= 0)
-            lo, hi = np.searchsorted(keys, rolled[at], "left"), np.searchsorted(keys, rolled[at], "right")
-            some = hi > lo
-            at, lo, n = at[some], lo[some], (hi - lo)[some]
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else lo
-            w, p = which[k], np.repeat(at, n)
-            b = p - offset[k]
-            text = runs.text_of[p]
-            fits = (b >= runs.first[text]) & (b + self.sizes[w] <= runs.first[text + 1])
-            w, b = w[fits], b[fits]
-            for j in range(self.codes.shape[1]):
-                same = (j >= self.sizes[w]) | (codes[np.minimum(b + j, len(codes) - 1)] == self.codes[w, j])
-                w, b = w[same], b[same]
-            begins.append(b)
-            windows.append(w)
-        none = np.zeros(0, np.int64)
-        return runs, np.concatenate(begins) if begins else none, np.concatenate(windows) if windows else none
-
-
-def rarity(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
-    """Occurrences in all documents of each shingle of a block of items."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((index, index.shingles()))
+class Words:
+    """The lower-cased words of a block of texts, and a 64-bit hash of each."""
+
+    def __init__(self, texts: Texts):
+        self.data = LOWER[texts.data]
+        self.runs = Runs(texts, WORD[self.data])
+        ids, distinct = self.runs.encode(self.data)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
+        self.symbols = hashes[ids] if len(ids) else np.zeros(0, np.uint64)
+
+    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of all shingles of ``size`` words, and their hashes."""
+        n = len(self.runs) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.runs.text_of[:n] == self.runs.text_of[size - 1 :])
+        return at, mix(rolling(self.symbols, size, BASE) ^ np.uint64(size))[at]
+
+    def text(self, a: int, b: int) -> str:
+        """Words a to b, joined by spaces."""
+        return " ".join(self.data[s:e].tobytes().decode() for s, e in zip(self.runs.starts[a:b].tolist(), self.runs.ends[a:b].tolist(), strict=True))
+
+
+def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item, w, n, keys): each window of each item, its number of words, and the hashes of its shingles in order."""
+
+    def run(batches):
+        for b in batches:
+            for texts in blocks(b.column(1), 1 << 18):
+                words = Words(texts)
+                first = words.runs.first
+                keys = {}
+                for size in range(1, shingle + 1):
+                    keys[size] = np.zeros(len(words.runs), np.uint64)
+                    at, own = words.keys(size)
+                    keys[size][at] = own
+                out = []
+                for i in range(len(texts)):
+                    item, total = b.column(0)[int(texts.rows[i])].as_py() or "", int(first[i + 1] - first[i])
+                    n = min(total, window)
+                    size = min(n, shingle)
+                    for a in range(int(first[i]), int(first[i + 1]) - n + 1) if n else ():
+                        out.append((item, words.text(a, a + n), n, keys[size][a : a + n - size + 1].view(np.int64).tolist()))
+                if out:
+                    item, w, n, own = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["item", "w", "n", "keys"])
+
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, w string, n int, keys array<long>")
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
+
+    def __init__(self, keys: DataFrame):
+        """Of a table of distinct ``h``."""
+        wanted = max(1, keys.count()) * BITS_EACH
+        self.log = log = min(MOST_BITS, max(LEAST_BITS, (wanted - 1).bit_length()))
+        self.bits = np.zeros(1 << (log - 3), np.uint8)
+
+        def positions(batches):
+            for b in batches:
+                h = b.column(0).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([probe(h, k, log) for k in range(PROBES)])))], ["p"])
+
+        def packed(key, group):
+            bits = np.zeros(1 << CHUNK, np.uint8)
+            bits[group.column("p").to_numpy() & ((1 << CHUNK) - 1)] = 1
+            return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        places = keys.select("h").mapInArrow(positions, "p long").distinct()
+        chunks = places.withColumn("chunk", F.shiftright("p", CHUNK)).groupBy("chunk").applyInArrow(packed, "chunk long, bits binary")
+        for row in chunks.toLocalIterator():
+            at = row["chunk"] << (CHUNK - 3)
+            self.bits[at : at + (1 << (CHUNK - 3))] = np.frombuffer(row["bits"], np.uint8)[: len(self.bits)]
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that may be in the set."""
+        at = np.arange(len(h))
+        for k in range(PROBES):
+            p = probe(h[at], k, self.log)
+            at = at[(self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
+        return at
+
+
+def probe(h: np.ndarray, k: int, log: int) -> np.ndarray:
+    """The k-th bit of hashes: other bits of the hash at first, then of its scrambles."""
+    return ((mix(h + np.uint64(k)) if k else h) >> np.uint64(64 - log)).astype(np.int64)
+
+
+def occurrences(docs: DataFrame, sought, sizes: list[int]) -> DataFrame:
+    """(h, times) over all documents of the shingles that the filter lets through."""
 
     def run(batches):
-        index, sought = sent.value
-        total = {size: np.zeros(len(keys), np.int64) for size, keys in sought.items()}
         for b in batches:
             for texts in blocks(b.column(0)):
-                runs, codes = index.words(texts)
-                symbols = mix(codes.astype(np.uint64))
-                for size, keys in sought.items():
-                    rolled = rolling(symbols, size, BASE)
-                    if len(rolled):
-                        rolled = rolled[(codes[: len(rolled)] >= 0) & (codes[size - 1 :] >= 0) & (runs.text_of[: len(rolled)] == runs.text_of[size - 1 :])]
-                        k = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
-                        total[size] += np.bincount(k[keys[k] == rolled], minlength=len(keys))
-        for size, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(sought[size][some].view(np.int64)), pa.array(n[some])], ["size", "h", "n"])
+                words, found = Words(texts), []
+                for size in sizes:
+                    _, h = words.keys(size)
+                    found.append(h[sought.value.may_have(h)])
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("times"))
 
-    counts = docs.select("text").mapInArrow(run, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["h"] & (2**64 - 1)): r["n"] for r in counts.toLocalIterator()}
 
+PLACES = "array<struct<h:long,p:int,before:int,words:string>>"
 
-#: Columns that carry hits from block to block.
-CARRIED = ("__leafpress_hits", "__leafpress_items")
-OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"
 
+def places(docs: DataFrame, sought, sizes: list[int], window: int, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with a row id, the number of words, and the places of shingles that may be prefixes: with the words
+    around (the shingle's first is ``before`` words into them). Written, so that the ids stay."""
+    at = docs.columns.index("text")
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, keep: bool = False) -> DataFrame:
-    """Per row: doc_id (all columns with ``keep``), the contract's columns, ``hits`` (int32 pairs: first and end word) and ``items``."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            n_words, found = [], []
+            for texts in blocks(b.column(at)):
+                words = Words(texts)
+                first = words.runs.first
+                n_words.append(np.diff(first))
+                own: list[list[dict]] = [[] for _ in range(len(texts))]
+                for size in sizes:
+                    p, h = words.keys(size)
+                    some = sought.value.may_have(h)
+                    for p, h in zip(p[some].tolist(), h[some].view(np.int64).tolist(), strict=True):
+                        i = int(words.runs.text_of[p])
+                        lo, hi = max(int(first[i]), p - window + size), min(int(first[i + 1]), p + window)
+                        own[i].append({"h": h, "p": p - int(first[i]), "before": p - lo, "words": words.text(lo, hi)})
+                found += own
+            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
+            ids = pa.array(np.arange(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(n, pa.int64()), pa.array(found, kind)], [*b.schema.names, "row", "n_words", "places"])
+
+    return cut(map_rows(docs, run, f", row long, n_words long, places {PLACES}", names))
+
+
+def windows_held(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, str, str]]:
+    """``docs`` with row ids, words and places (named by the last result); (row, first, end, w) of all windows that occur; (item, w)."""
     spark = prepare(docs.sparkSession)
-    own = docs if keep else docs.select("doc_id", "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    state = own.withColumns({CARRIED[0]: F.lit(None).cast("binary"), CARRIED[1]: F.lit(None).cast("array<string>")})
-    at = own.columns.index("text")
-    texts_only = docs.select("text")
-
-    def step(sent):
-        def run(batches):
-            index = sent.value
-            for b in batches:
-                hits_in, items_in = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-                n_words, n_hit, packed, items = [], [], [], []
-                for texts in blocks(b.column(at)):
-                    runs, begin, which = index.probe(texts)
-                    n_words.append(np.diff(runs.first))
-                    text = runs.text_of[begin] if len(begin) else begin
-                    order = np.lexsort((begin, text))
-                    begin, which, text = begin[order], which[order], text[order]
-                    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                    for k in range(len(texts)):
-                        row = int(texts.rows[k])
-                        old, names = hits_in[row], set(items_in[row] or ())
-                        lo, hi = cuts[k], cuts[k + 1]
-                        if lo == hi and not old:
-                            n_hit.append(0)
-                            packed.append(b"")
-                            items.append([])
-                            continue
-                        spans = np.stack([begin[lo:hi], begin[lo:hi] + index.sizes[which[lo:hi]]], 1) - runs.first[k]
-                        if old:
-                            spans = np.concatenate([spans, np.frombuffer(old, np.int32).reshape(-1, 2)])
-                        spans = union(spans)
-                        names.update(index.ids[i] for w in set(which[lo:hi].tolist()) for i in index.items[w])
-                        n_hit.append(int((spans[:, 1] - spans[:, 0]).sum()))
-                        packed.append(spans.astype(np.int32).tobytes())
-                        items.append(sorted(names))
-                words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-                shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                made = [pa.array(words), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(packed, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *made], [*b.schema.names[:-2], *[x.split()[0] for x in OUT.split(", ")]])
-
-        return run
-
-    out, k = None, 0
-    for k, items in enumerate(item_blocks(benchmark, block_words), 1):
-        index = Index(items, window, shingle)
-        index.order(rarity(texts_only, index))
-        if out is not None:
-            state = out.select(*own.columns, F.col("hits").alias(CARRIED[0]), F.col("items").alias(CARRIED[1]))
-            state = cut(state) if k % 4 == 0 else state
-        out = state.mapInArrow(step(spark.sparkContext.broadcast(index)), f"{fields}, {OUT}")
-    if out is None:  # no window at all
-        empty = Index([])
-        out = state.mapInArrow(step(spark.sparkContext.broadcast(empty)), f"{fields}, {OUT}")
-    return out if keep else out.drop("text")
+    names = tuple(fresh(docs, "__row", "__n_words", "__places"))
+    items = cut(item_windows(benchmark, window, shingle))
+    distinct = items.groupBy("w").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(shingle))).distinct().collect())  # of 1 to ``shingle``
+    sought = spark.sparkContext.broadcast(Filter(distinct.select(F.explode("keys").alias("h")).distinct()))
+    times = occurrences(docs, sought, sizes) if sizes else spark.createDataFrame([], "h long, times long")
+    ordered = distinct.select("w", "n", F.posexplode("keys").alias("offset", "h")).join(own_exchange(times, "h"), "h", "left")
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "h", "offset")).alias("best")
+    prefixes = cut(ordered.groupBy("w").agg(F.first("n").alias("n"), rarest).where("best.times > 0").select("w", "n", "best.h", "best.offset"))
+    sought.unpersist()
+    sought = spark.sparkContext.broadcast(Filter(prefixes.select("h").distinct()))
+    marked = places(docs, sought, sizes, window, names)
+    sought.destroy()
+    # length and position first, then every word
+    begin = F.col("before") - F.col("offset")
+    fits = (begin >= 0) & (F.slice(F.split("words", " "), begin + 1, F.col("n")) == F.split("w", " "))
+    each = marked.where(F.size(names[2]) > 0).select(F.col(names[0]).alias("row"), F.inline(names[2]))
+    held = each.join(prefixes, "h").where(F.when(begin >= 0, fits).otherwise(F.lit(False)))
+    held = held.select("row", (F.col("p") - F.col("offset")).alias("first"), (F.col("p") - F.col("offset") + F.col("n")).alias("end"), "w")
+    return marked, cut(held), items.select("item", "w"), names
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Per row: doc_id, the contract's columns, ``hits`` (int32 pairs: first and end word) and ``items``."""
+    marked, held, windows, (row, n_words, _) = windows_held(docs.select("doc_id", "text"), benchmark, window, shingle)
+
+    def unite(batches):
+        for b in batches:
+            spans = [union(np.stack([x.values.field(k).to_numpy() for k in (0, 1)], 1)) for x in b.column(1)]
+            n = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([s.astype(np.int32).tobytes() for s in spans], pa.binary())], ["row", "n_hit", "hits"])
+
+    hits = held.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans")).mapInArrow(unite, "row long, n_hit long, hits binary")
+    found = held.select("row", "w").distinct().join(windows.distinct(), "w").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = marked.select("doc_id", F.col(row).alias("row"), F.col(n_words).alias("n_words")).join(hits, "row", "left").join(found, "row", "left")
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), digest(names).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("hits", F.lit("").cast("binary")).alias("hits"), names.alias("items"))
+
+
+def digest(names: Column) -> Column:
+    return F.sha2(F.array_join(names, ","), 256)
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -234,11 +238,16 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]])]], 1)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with their own columns."""
-    spare = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items")}
-    kept = contamination(docs.withColumnsRenamed(spare), benchmark, keep=True, **options).where("not contaminated")
-    return kept.select(*[F.col(f"`{spare.get(c, c)}`").alias(c) for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with their own columns; rows without a prefix are not shuffled.
+
+    Null and wordless texts stay, an empty benchmark keeps all, repeated rows are judged alike.
+    """
+    marked, held, _, (row, _, at) = windows_held(docs, benchmark, window, shingle)
+    dirty = held.select(F.col("row").alias(row)).distinct()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    without = marked.where(F.size(at) == 0).select(*own)
+    return without.unionAll(marked.where(F.size(at) > 0).join(dirty, row, "left_anti").select(*own))
 
 
 def op6_decontaminate(spark, sf_dir):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, byte_set, mix, rolling, same_windows, table, window_codes
+from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, byte_set, map_rows, mix, rolling, same_windows, table, window_codes
 
 SYMBOLS = byte_set(b"#*$%&|<>")
 BASE = 0x9E3779B97F4A7C15
@@ -163,7 +163,7 @@ def filter_quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
             if kept:
                 yield b.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import table
+from leafpress.llm.shared import map_rows, table
 
 #: Kinds in the order of ties; the first three are the base.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -153,7 +153,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             texts = pa.array((t and redact(t) for t in (x.as_py() for x in b.column(at))), b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +79,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_rows(df: DataFrame, run: Callable, more: str = "", names: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` over all columns of ``df``, whatever their names, which stay; ``more`` types further ones, ``names`` names them."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, fields + more).toDF(*df.columns, *names)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

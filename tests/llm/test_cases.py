@@ -135,3 +135,29 @@ def test_periodic_texts_are_cut():
     for i, n in ((0, 50_000), (1, 40_000)):
         mine = np.sort(np.concatenate([np.arange(a, a + c) for a, c in zip(start[text == i], count[text == i], strict=True)]))
         assert np.array_equal(mine, np.arange(n - 199))
+
+
+def test_decontamination_with_any_names(spark):
+    from leafpress.llm import decontaminate
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, b"x"), (1, "clean words only", b"y"), (None, None, None), (2, "word " * 60_000 + text, b"z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__row` binary").withColumns({"n_words": F.lit("own"), "__leafpress_hits": F.lit(1), "a.b": F.lit(2)})
+    bench = spark.createDataFrame([(5, text[:60].upper())], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean words only"]
+    got = sorted((r["n_words"], r["n_hit"]) for r in decontaminate.contamination(df, bench).collect())
+    n = len(text[:60].split())
+    assert [x for _, x in got] == [0, 0, n - 1, n - 1] or [x for _, x in got] == [0, 0, n, n]
+    assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == 4
+
+
+def test_stages_with_any_names_and_no_rows(spark):
+    """Filters keep the columns of their input, whatever they are called, and empty tables."""
+    from leafpress.llm import secrets
+
+    df = spark.createDataFrame([(1, None, 3), (2, "token=abcdefgh1", 4)], "doc_id long, text string, c0 int").withColumns({"a.b": F.lit(2), "row": F.lit(1), "Kept": F.lit(1)})
+    for stage in (quality.filter_quality, secrets.redact_secrets):
+        assert stage(df).columns == df.columns and stage(df.limit(0)).count() == 0
+        stage(df).collect()
+    assert [r["text"] for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == [None, "token=[SECRET]"]

@@ -243,8 +243,11 @@ def low(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
-@pytest.mark.parametrize("block_words", [10**6, 25])
-def test_contamination(spark, docs, empty, block_words):
+@pytest.mark.parametrize("bits", [20, 3])
+def test_contamination(spark, docs, empty, bits, monkeypatch):
+    """Also where the filter lets everything through."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", max(bits, 4))
     items = [(1, PASSAGE[:150]), (2, "W3 the"), (3, None), (4, "..."), (None, "日本"), (6, "one"), (6, "of the of the of the w1 w2 w3 w4 w5 w6"), (7, " ".join(NEAR[5:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
@@ -261,8 +264,8 @@ def test_contamination(spark, docs, empty, block_words):
                     hit |= set(range(k, k + n))
                     found |= got
         want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    assert rows(decontaminate.contamination(docs, bench, block_words=block_words).drop("hits", "items")) == want
-    kept = decontaminate.drop_contaminated(docs, bench, block_words=block_words)
+    assert rows(decontaminate.contamination(docs, bench).drop("hits", "items")) == want
+    kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and rows(kept.select("doc_id")) == collections.Counter((k[0],) for k in want.elements() if not k[-1])
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
