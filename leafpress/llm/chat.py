@@ -2,7 +2,7 @@
 
 A turn's content is a list of parts (text, image, audio, document). ``Flatten`` visits them in order: text
 is escaped, an attachment becomes a numbered placeholder of its kind, with its reference and the number of
-tokens it expands to recorded. The template marks turns with control strings, which begin with ``<|``;
+tokens it expands to recorded; a part of any other type is recorded too, without tokens. The template marks turns with control strings, which begin with ``<|``;
 inside texts every backslash is doubled and ``<|`` becomes ``<\\|``, so control strings can't occur there
 and the text can be read back exactly.
 
@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from leafpress.llm.shared import by_key, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+PLACE = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -52,10 +52,7 @@ class Flatten:
 
     def visit(self, part: dict[str, Any] | None) -> None:
         kind = (part or {}).get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown part type {kind!r}")
-        method(part or {})
+        getattr(self, f"visit_{kind}", self.visit_other)(part or {})
 
     def visit_text(self, part):
         self.out.append(escape(part.get("text") or ""))
@@ -70,9 +67,13 @@ class Flatten:
     def visit_document(self, part):
         self.attach("document", part, max(1, part.get("pages") or 1) * self.page_tokens)
 
-    def attach(self, kind, part, tokens):
-        self.out.append(f"<|{kind}:{len(self.refs)}|>")
-        self.refs.append((len(self.refs), kind, part.get("ref"), tokens))
+    def visit_other(self, part):
+        """A type without a method: its place and reference are recorded, it expands to no token."""
+        self.attach("other", part, 0, part["type"])
+
+    def attach(self, place, part, tokens, kind=None):
+        self.out.append(f"<|{place}:{len(self.refs)}|>")
+        self.refs.append((len(self.refs), kind or place, part.get("ref"), tokens))
 
 
 def format_turn(role: str, parts: list[dict] | None, trained: str = "assistant") -> tuple[str, tuple[int, int] | None, list]:

@@ -5,6 +5,11 @@ for each bucket (by hash) a row with the chunk's distinct pre-tokens there, all
 shuffled: in its bucket a pre-token is tokenised once for the whole table. The counts go back to their chunk
 in the list's order, and a document's tokens are the sum of frequency times pieces. No token id is ever kept.
 
+A chunk ends by its distinct pre-tokens, so a chunk of common words holds more text, and lists don't get shorter
+with the corpus. A bucket's worker remembers its distinct pre-tokens, about 130 bytes each. There are as many
+buckets as shuffle partitions, which grow with the input, up to ``MOST_BUCKETS``: then 10 billion distinct
+pre-tokens are 600,000 to a bucket, or 80 MB. ``buckets`` sets another number.
+
 A special string of the tokenizer inside a text is one token, as its library does by default. Texts with
 code points where Unicode tables differ between versions are split by the tokenizer's own splitter.
 
@@ -14,6 +19,7 @@ repeated rows are separate rows; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import array
 import functools
 from collections import Counter
 
@@ -25,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import blocks, cut, partitions, table
+from leafpress.llm.shared import cut, partitions, table
 
 TOKENIZER = "byte_bpe_50k.json"
 OVER = 1024
-CHUNK_BYTES = 8 << 20
+#: Where a chunk ends: bytes of text, distinct pre-tokens.
+CHUNK_BYTES, CHUNK_TOKENS = 32 << 20, 200_000
 #: Buckets of pre-tokens: as many as shuffle partitions, within these.
-LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
+LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
 #: Code points whose class (letter, number, space) the splitter's tables and this library's agree on; tested over all of Unicode.
 AGREED = regex.compile(r"[\x00-՗ -⁯₠-ꟍ]*+")
 
@@ -83,43 +90,72 @@ def pre_tokens(text: str, path: str) -> tuple[list[str], int]:
 def count_pieces(pre: list[str], path: str) -> list[int]:
     own = tokenizer(path)[0]
     own.encode_special_tokens = True
-    return [len(e.ids) for e in own.encode_batch(pre, add_special_tokens=False)]
-
-
-def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER) -> DataFrame:
+    return [len(e) for e in own.encode_batch(pre, add_special_tokens=False)]
+
+
+class Chunk:
+    """Documents, the pre-tokens that they hold, and how often each holds which."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.places, self.times = array.array("I"), array.array("I")
+        self.ids, self.n_bytes, self.sizes, self.special = [], [], [], []
+
+    def add(self, doc_id, text: str, n_bytes: int, path: str) -> None:
+        pre, n = pre_tokens(text, path)
+        counted, known = Counter(pre), self.known
+        self.places.extend([known.setdefault(p, len(known)) for p in counted])
+        self.times.extend(counted.values())
+        self.ids.append(doc_id)
+        self.n_bytes.append(n_bytes)
+        self.sizes.append(len(counted))
+        self.special.append(n)
+
+    def batch(self, number: int, n_buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+        """One row with the documents' frequencies, and one for each bucket with the distinct pre-tokens there."""
+        make = zstandard.ZstdCompressor(level=3)
+        arrays = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (self.places, self.times))
+        packed = make.compress(pack(*arrays, np.array(self.sizes, np.int64)))
+        raw = [p.encode("utf-8", "surrogateescape") for p in self.known]
+        bucket = np.array([xxhash.xxh32_intdigest(r) % n_buckets for r in raw], np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        numbers, begin = np.unique(bucket[order], return_index=True)
+        lists = [make.compress(b"".join(len(raw[i]).to_bytes(4, "little") + raw[i] for i in order[lo:hi])) for lo, hi in zip(begin, [*begin[1:], len(raw)], strict=False)]
+        n = len(lists)
+        columns = {
+            "chunk": pa.array([number] * (n + 1), pa.int64()),
+            "bucket": pa.array([None, *numbers.tolist()], pa.int32()),
+            "packed": pa.array([packed, *lists], pa.binary()),
+            "buckets": pa.array([make.compress(bucket.tobytes()), *[None] * n], pa.binary()),
+            "ids": pa.array([self.ids, *[None] * n], pa.list_(kind)),
+            "n_bytes": pa.array([self.n_bytes, *[None] * n], pa.list_(pa.int64())),
+            "sizes": pa.array([self.sizes, *[None] * n], pa.list_(pa.int32())),
+            "special": pa.array([self.special, *[None] * n], pa.list_(pa.int32())),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens and over_limit (more than ``over`` tokens)."""
     spark, path = docs.sparkSession, path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    n_buckets = min(MOST_BUCKETS, partitions(spark, LEAST_BUCKETS))
+    n_buckets = buckets or min(MOST_BUCKETS, partitions(spark, LEAST_BUCKETS))
 
     def frequencies(batches):
-        """Per chunk one row with its documents' frequencies, and one row per bucket with the distinct pre-tokens there."""
         from pyspark import TaskContext
 
-        task, k, make = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        number, now, size = TaskContext.get().partitionId() << 32, Chunk(), 0
         for b in batches:
-            for texts in blocks(b.column(1), CHUNK_BYTES):
-                known: dict[str, int] = {}
-                places, times, sizes, special = [], [], [], []
-                for text in b.column(1).slice(int(texts.rows[0]), len(texts)).to_pylist():
-                    pre, n = pre_tokens(text or "", path)
-                    counted = Counter(pre)
-                    places += [known.setdefault(p, len(known)) for p in counted]
-                    times += counted.values()
-                    sizes.append(len(counted))
-                    special.append(n)
-                packed = make.compress(pack(np.array(places, np.int64), np.array(times, np.int64), np.array(sizes, np.int64)))
-                raw = [p.encode("utf-8", "surrogateescape") for p in known]
-                bucket = np.array([xxhash.xxh32_intdigest(r) % n_buckets for r in raw], np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                numbers, begin = np.unique(bucket[order], return_index=True)
-                lists = [make.compress(b"".join(len(raw[i]).to_bytes(4, "little") + raw[i] for i in order[lo:hi])) for lo, hi in zip(begin, [*begin[1:], len(raw)], strict=False)]
-                n, chunk, own = len(lists), (task << 32) + k, b.column(0).slice(int(texts.rows[0]), len(texts)).to_pylist()
-                rows = [[chunk] * (n + 1), [None, *numbers.tolist()], [packed, *lists], [make.compress(bucket.tobytes()), *[None] * n], [own, *[None] * n], [np.diff(texts.offsets), *[None] * n], [sizes, *[None] * n], [special, *[None] * n]]
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(b.schema.field(0).type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["chunk", "bucket", "packed", "buckets", "ids", "n_bytes", "sizes", "special"])
-                k += 1
+            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                n = text.as_buffer().size if text.is_valid else 0
+                if now.ids and (len(now.known) >= CHUNK_TOKENS or size + n > CHUNK_BYTES):
+                    yield now.batch(number, n_buckets, b.schema.field(0).type)
+                    number, now, size = number + 1, Chunk(), 0
+                now.add(doc_id.as_py(), text.as_py() or "", n, path)
+                size += n
+            own = b.schema.field(0).type
+        if now.ids:
+            yield now.batch(number, n_buckets, own)
 
     made = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, bucket int, packed binary, buckets binary, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>"))
 

@@ -68,7 +68,8 @@ def test_token_counts(docs, empty):
 
     own = Tokenizer.from_file(tokens.default_path())
     want = collections.Counter((i, len((t or "").encode()), n := len(own.encode(t or "", add_special_tokens=False).ids), n > 100) for i, t in DOCS)
-    assert rows(tokens.token_counts(docs, over=100)) == want
+    for buckets in (None, 3):
+        assert rows(tokens.token_counts(docs, over=100, buckets=buckets)) == want
     assert tokens.token_counts(empty).count() == 0
 
 
@@ -299,8 +300,16 @@ def test_typed_parts(spark):
     assert a["formatted"] == "<|turn|>assistant<|text|>see <\\|<|image:0|><|audio:1|><|document:2|>end<|end|>"
     assert [tuple(x) for x in a["attachments"]] == [(0, "image", "s3://i", 6), (1, "audio", "a", 50), (2, "document", "d", 1536)]
     assert chat.parse_turn(a["formatted"]) == ("assistant", "see <|end") and b["loss_start"] is None and b["formatted"] == "<|turn|>user<|text|><|end|>"
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+    other = chat.format_turn("user", [{"type": "video", "ref": "v"}, {"type": "attach"}, {"type": "text", "text": "<|other:0|>"}])
+    assert other == ("<|turn|>user<|text|><|other:0|><|other:1|><\\|other:0|><|end|>", None, [(0, "video", "v", 0), (1, "attach", None, 0)])
+    assert chat.parse_turn(other[0]) == ("user", "<|other:0|>")
+
+
+def test_very_long_turn(spark):
+    text = "a<|\\" * 200_000
+    df = spark.createDataFrame([(None, 0, "assistant", text), (None, 1, None, None)], "conv_id string, turn int, role string, text string")
+    r = chat.digests(chat.format_conversations(df)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 # 8
