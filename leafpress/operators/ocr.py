@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from leafpress.functions import text as T
 
@@ -145,16 +147,28 @@ def list_marks(boxes: list[dict]) -> list[dict]:
 
 
 def per_page(boxes: DataFrame, solve: Callable[[list[dict]], list[dict]], extra: str = "") -> DataFrame:
-    """``solve`` on each page's boxes (doc, page, box_no, text, x0, y0, x1, y1) in order."""
-    names = ["doc", "page", "box_no", "text", "x0", "y0", "x1", "y1"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*names).schema) + extra
-    added = [x.split()[0] for x in extra.split(",") if x.strip()]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = solve(pdf.sort_values("box_no").to_dict("records"))
-        return pd.DataFrame(made, columns=[*names, *added])
+    """``solve`` on each page's boxes (doc, page, box_no, text, x0, y0, x1, y1) in order.
 
-    return boxes.select(*names).groupBy("doc", "page").applyInPandas(run, schema)
+    A page is one row with its boxes as an array, so a worker gets many pages at once and no group of its own for each.
+    """
+    names = ["doc", "page", "box_no", "text", "x0", "y0", "x1", "y1"]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*names).schema) + extra
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    pages = boxes.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(*names[2:]))).alias("boxes"))
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for doc, page, own in zip(*b.columns, strict=True):
+                key = {"doc": doc.as_py(), "page": page.as_py()}
+                made += solve([{**key, **x} for x in own.as_py()])
+                if len(made) > 10_000:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return pages.mapInArrow(run, ddl)
 
 
 def numbered_rows(boxes: list[dict]) -> list[dict]:

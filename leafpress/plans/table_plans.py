@@ -221,7 +221,7 @@ def xls_cells(spark, sf_dir):
 
 
 def boxes(spark, sf_dir):
-    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), 1, 60)).alias("box_no", "text"))
+    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("box_no", "text"))
     x, y = (F.col("box_no") % 6) * 100.0, F.floor(F.col("box_no") / 6) * 30.0 + F.col("box_no") % 3
     return t.select("doc", "page", "box_no", "text", x.alias("x0"), y.cast("double").alias("y0"), (x + 80.0).alias("x1"), (y + 20.0).cast("double").alias("y1"))
 
@@ -250,13 +250,12 @@ def ocr_tiles(spark, sf_dir):
 
 def ocr_tile_owner(spark, sf_dir):
     """Boxes on a grid over each tile; each place of the page is owned once."""
-    t = ocr_tiles(spark, sf_dir).where("image % 10 = 0 or image % 10 <> 0")
-    spots = t.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"x0": F.col("p") * 500.0, "x1": F.col("p") * 500.0 + 40, "y0": F.col("p") * 450.0, "y1": F.col("p") * 450.0 + 30})
+    spots = ocr_tiles(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"x0": F.col("p") * 500.0, "x1": F.col("p") * 500.0 + 40, "y0": F.col("p") * 450.0, "y1": F.col("p") * 450.0 + 30})
     return O.owned(spots).groupBy("image", "ty", "tx").agg(F.count(F.lit(1)).alias("owned"), F.sum("x0").alias("x0"), F.sum("y0").alias("y0"))
 
 
 def ocr_boxes_parsed(spark, sf_dir):
-    r = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(F.substring(F.coalesce("text", F.lit("")), 1, 10), F.lit("  ")).alias("rec_texts"), F.array(F.col("turn") / 10).alias("rec_scores"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.col("turn") + 5.0, F.lit(2.0)), F.array(F.lit(4.0), F.col("turn") + 9.0))).alias("rec_polys"))).alias("result"))
+    r = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(F.coalesce("text", F.lit("")), F.lit("  ")).alias("rec_texts"), F.array(F.col("turn") / 10).alias("rec_scores"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.col("turn") + 5.0, F.lit(2.0)), F.array(F.lit(4.0), F.col("turn") + 9.0))).alias("rec_polys"))).alias("result"))
     return O.parse_result(r).select("conv_id", "turn", "box_no", "text", "score", F.array_join(F.transform("box", lambda x: x.cast("long").cast("string")), ",").alias("box"))
 
 
@@ -281,7 +280,7 @@ _ROUND = "SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER
 _SUPPLIERS = "s AS (SELECT floor(s_suppkey / 20)::INT AS doc, 1 AS page, (s_suppkey % 20)::INT AS k, * FROM supplier), size AS (SELECT doc, page, max(k) + 1 AS n FROM s GROUP BY 1, 2)"
 _PARTS = """lines AS (SELECT floor(s_suppkey / 40)::INT AS doc, floor(s_suppkey % 40 / 5)::INT AS page, CASE WHEN floor(s_suppkey % 40 / 5) = 3 THEN '' ELSE s_name END AS text, s_suppkey % 3 * 10.0 AS top, s_suppkey AS x0 FROM supplier),
     p AS (SELECT DISTINCT doc, page FROM lines), tables AS (SELECT doc, page, CASE WHEN page % 2 = 0 THEN 'pdf-vector-grid' ELSE 'page-library' END AS extraction_method, CASE WHEN page % 2 = 0 THEN 0.98 ELSE 0.7 END::DOUBLE AS confidence FROM p WHERE page % 2 = 0 OR page % 3 = 0)"""
-_BOXES = r"words AS (SELECT conv_id AS doc, turn::INT AS page, list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''), 1, 60) AS w FROM conversations), boxes AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS box_no, unnest(w) AS text FROM words)"
+_BOXES = r"words AS (SELECT conv_id AS doc, turn::INT AS page, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM conversations), boxes AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS box_no, unnest(w) AS text FROM words)"
 _SPANS = "CASE WHEN {n} <= 0 THEN [] WHEN {n} <= 3000 THEN [0] ELSE generate_series(0, (ceil(({n} - 3000) / 2744.0) * 2744)::BIGINT, 2744) END"
 _TILES = f"""images AS (SELECT p_partkey AS image, p_size * 211 AS width, p_partkey % 83 * 97 AS height FROM part),
     st AS (SELECT *, {_SPANS.format(n="width")} AS xs, {_SPANS.format(n="height")} AS ys FROM images),
@@ -329,12 +328,12 @@ ORACLES = {
     "ocr_rows": f"WITH {_BOXES} SELECT doc, page, box_no, (box_no // 6)::INT AS row, (box_no % 6)::INT AS place FROM boxes",
     "ocr_page_text": f"WITH {_BOXES} SELECT doc, page, (box_no // 6)::INT AS row, string_agg(text, ' ' ORDER BY box_no) AS text, min((box_no // 6) * 30.0 + box_no % 3)::DOUBLE AS top FROM boxes GROUP BY 1, 2, 3",
     "ocr_table_like": f"WITH {_BOXES}, r AS (SELECT doc, page, max(box_no // 6) + 1 AS rows, max(box_no % 6) + 1 AS cols, count(*) AS n FROM boxes GROUP BY 1, 2) SELECT doc, page, rows >= 2 AND cols >= 2 AND n >= 8 AS table_like FROM r",
-    "ocr_list_markers": f"WITH {_BOXES}, c AS (SELECT doc, page, box_no % 6 AS k, count(*) AS n FROM boxes GROUP BY 1, 2, 3) SELECT doc, page, (1 + sum(CASE WHEN k > 0 AND n > 1 THEN n ELSE 0 END))::BIGINT AS marks FROM c GROUP BY 1, 2",
+    "ocr_list_markers": f"WITH {_BOXES}, c AS (SELECT doc, page, box_no % 6 AS k, count(*) FILTER (WHERE box_no // 6 * 30 + box_no % 3 <= 640) AS n FROM boxes GROUP BY 1, 2, 3) SELECT doc, page, (1 + sum(CASE WHEN k > 0 AND n > 1 THEN n ELSE 0 END))::BIGINT AS marks FROM c GROUP BY 1, 2",
     "spreadsheet_numbers": "SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE format('{:g}', p_retailprice) END AS price FROM part",
     "ocr_tiles": f"WITH {_TILES} SELECT * FROM tiles",
     "ocr_tile_owner": f"""WITH {_TILES}, spots AS (SELECT t.*, p * 500.0 AS x0, p * 450.0 AS y0, p * 500.0 + 20 + l AS cx, p * 450.0 + 15 + t AS cy FROM tiles t, (SELECT unnest(generate_series(0, 5)) AS p))
         SELECT image, ty, tx, count(*) AS owned, sum(x0 + l)::DOUBLE AS x0, sum(y0 + t)::DOUBLE AS y0 FROM spots WHERE ol <= cx AND (cx < o_r OR (r = o_r AND cx <= o_r)) AND ot <= cy AND (cy < ob OR (b = ob AND cy <= ob)) GROUP BY 1, 2, 3""",
-    "ocr_boxes_parsed": "SELECT conv_id, turn, 0 AS box_no, trim(substr(coalesce(text, ''), 1, 10), ' ' || chr(10)) AS text, turn / 10 AS score, '1,2,' || greatest(turn + 5, 4) || ',' || (turn + 9) AS box FROM conversations WHERE trim(substr(coalesce(text, ''), 1, 10), ' ' || chr(10)) <> ''",
+    "ocr_boxes_parsed": "SELECT conv_id, turn, 0 AS box_no, trim(coalesce(text, ''), ' ' || chr(10)) AS text, turn / 10 AS score, '1,2,' || greatest(turn + 5, 4) || ',' || (turn + 9) AS box FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(10)) <> ''",
     "ocr_text_norm": "SELECT * FROM (VALUES (0, '第——章'), (1, '状态一一对应'), (2, '在 Python 和 Go 之间'), (3, 'Google Reader'), (4, '使用 Google Reader 阅读'), (5, '——一一'), (6, '结论——（见附录）'), (7, 'plain text'), (8, '中A'), (9, '')) AS t(k, text)",
     "ocr_transformations": "SELECT * FROM (VALUES ('ocr.dash-confusion', '1', 3::BIGINT), ('ocr.english-spacing', '1', 3::BIGINT)) AS t(rule_id, version, n)",
 }

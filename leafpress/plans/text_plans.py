@@ -107,7 +107,7 @@ def size_labels(spark, sf_dir):
 
 
 def cell_collapse(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.collapse(F.coalesce("text", F.lit(""))), 256).alias("collapsed_sha256"), T.cell(F.substring("text", 1, 200)).alias("cell"), T.header_key(F.substring("text", 1, 40)).alias("header_key"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.collapse(F.coalesce("text", F.lit(""))), 256).alias("collapsed_sha256"), F.sha2(T.cell(F.col("text")), 256).alias("cell_sha256"), F.sha2(T.header_key(F.coalesce("text", F.lit(""))), 256).alias("header_key_sha256"))
 
 
 def page_ocr_flags(spark, sf_dir):
@@ -182,6 +182,6 @@ ORACLES = {
         SELECT doc_id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS label,
         CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.0f KB', size / 1024.0) ELSE printf('%.1f MB', size / 1048576.0) END AS card_label FROM s""",
     "cell_collapse": r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')), lambda x: x <> '') AS parts FROM documents)
-        SELECT doc_id, sha256(array_to_string(parts, ' / ')) AS collapsed_sha256, replace(replace(coalesce(substr(text, 1, 200), ''), chr(10), ' '), '|', '\|') AS cell, lower(regexp_replace(substr(text, 1, 40), '[\s：:（）()、，,。.]', '', 'g')) AS header_key FROM l""",
+        SELECT doc_id, sha256(array_to_string(parts, ' / ')) AS collapsed_sha256, sha256(replace(replace(coalesce(text, ''), chr(10), ' '), '|', '\|')) AS cell_sha256, sha256(lower(regexp_replace(coalesce(text, ''), '[\s：:（）()、，,。.]', '', 'g'))) AS header_key_sha256 FROM l""",
     "page_ocr_flags": f"WITH {_TURNS}, p AS (SELECT artifact_id, page, sum(CASE WHEN length(text) > 120 THEN length(text) ELSE 0 END)::BIGINT AS text_chars FROM turns GROUP BY 1, 2) SELECT artifact_id, count(*) AS n_pages, sum(text_chars)::BIGINT AS text_chars, sum((text_chars = 0)::INT)::BIGINT AS ocr_pages, sum(text_chars) = 0 AS requires_ocr FROM p GROUP BY 1",
 }
