@@ -44,6 +44,15 @@ def render_table(b: Column, max_rows: int) -> Column:
     )
 
 
+def block_warnings(b: Column, max_rows: int) -> Column:
+    """What rendering a table leaves out, as warnings."""
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), b[k].cast("string")) for k in ("sheet", "cell_range", "page", "slide", "table_index")])
+    at = F.concat(F.lit("table at "), F.when(place != "", place).otherwise(F.lit("unknown")), F.lit(": "))
+    cut = F.when(F.size(b["grid"]) > max_rows, F.concat(at, F.lit(f"rows over max_table_rows={max_rows} are left out")))
+    flags = [F.when(b[k], F.concat(at, F.lit(f"{k}=true"))) for k in ("rows_truncated", "columns_truncated", "cells_truncated")]
+    return F.when(b["block_type"] == "table", F.array_compact(F.array(cut, *flags))).otherwise(F.array().cast("array<string>"))
+
+
 def render(b: Column, *, tables: bool = False, max_table_rows: int = 200) -> Column:
     """A block as a line of the context."""
     kind, text = b["block_type"], F.coalesce(b["text"], F.lit("None"))
@@ -59,7 +68,7 @@ def render(b: Column, *, tables: bool = False, max_table_rows: int = 200) -> Col
 
 
 def build(artifacts: DataFrame, policy: Policy | None = None, *, pages: str | None = None) -> DataFrame:
-    """Contexts of artifacts with ``blocks``: an array of structs (rendered, page), in order.
+    """Contexts of artifacts with ``blocks``: an array of structs (rendered, page and, if known, warnings), in order.
 
     ``pages`` names an array of page numbers without a text layer. The budgets behave as documented for the
     format: headers are free, a separator is not counted in a check, notes are free, the marker comes on top.
@@ -95,6 +104,10 @@ def build(artifacts: DataFrame, policy: Policy | None = None, *, pages: str | No
     omitted = F.when(F.col("_c.reason").isNotNull(), F.col("n_blocks") - F.col("_c.consumed")).otherwise(F.lit(0))
     marker = F.when(F.col("_c.reason").isNotNull(), F.concat(F.lit("\n[Context Truncated] truncated=true omitted_blocks="), omitted.cast("string"), F.lit(" reason="), F.col("_c.reason"))).otherwise(F.lit(""))
     warning = F.when(F.col("_c.reason").isNotNull(), F.array(F.concat(F.lit("context truncated: "), F.col("_c.reason"), F.lit(" (omitted_blocks="), omitted.cast("string"), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    if "warnings" in artifacts.schema["blocks"].dataType.elementType.names:  # of the blocks that were rendered, the one over the budget too
+        seen = F.col("_c.consumed") + F.when(F.startswith("_c.reason", F.lit("max_chars")), 1).otherwise(0)
+        own = F.flatten(F.transform(F.slice("blocks", F.lit(1), seen), lambda b: F.coalesce(b["warnings"], F.array().cast("array<string>"))))
+        warning = F.concat(own, warning)
     return done.select("artifact_id", "n_blocks", F.col("_c.consumed").alias("consumed"), F.col("_c.reason").isNotNull().alias("truncated"), omitted.alias("omitted_blocks"), F.col("_c.reason").alias("reason"), F.concat("_c.text", marker).alias("context"), warning.alias("warnings"))
 
 

@@ -281,6 +281,37 @@ def settle_pages(pages: list[list[Table]]) -> list[list[Table]]:
     return out
 
 
+def signature(t: Table) -> list[str]:
+    """The header row's texts, for comparison; empty without one."""
+    head = [header_text(c.text) for c in sorted((c for c in t.cells if c.row == t.header), key=lambda c: c.col)]
+    return head if any(head) else []
+
+
+def profile(t: Table) -> list[float]:
+    """The columns' shares of the width, to two decimals."""
+    xs = centroids(x for c in t.cells for x in (c.box[0], c.box[2]))
+    wide = xs[-1] - xs[0] if len(xs) > 1 else 0.0
+    return [round((b - a) / wide, 2) for a, b in zip(xs, xs[1:], strict=False)] if wide else []
+
+
+def linked(pages: list[list[Table]]) -> list[list[dict]]:
+    """``chains`` for one file in memory: the continuation of each table of each page."""
+    out: list[list[dict]] = []
+    count = 0
+    for k, found in enumerate(pages):
+        own = []
+        for n, t in enumerate(found):
+            last = pages[k - 1][n] if k and n < len(pages[k - 1]) else None
+            same = last is not None and last.columns == t.columns and any(a and a == b for a, b in ((signature(t), signature(last)), (profile(t), profile(last))))
+            count += not same
+            name = out[k - 1][n]["continuation_id"] if same else f"table-chain-{count}"
+            if same:
+                out[k - 1][n]["continued_on_next"] = True
+            own.append({"continues_from_previous": same, "continued_on_next": False, "continuation_id": name})
+        out.append(own)
+    return out
+
+
 def tables(h: DataFrame, v: DataFrame, words: DataFrame) -> DataFrame:
     """Cells of all documents; a document's pages are solved together, as a split looks at the page before."""
     packed = (

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from leafpress.sources import readers
+from leafpress.sources import readers, scan
 
 BATCH_BYTES = 32 << 20
 OUT = "path string, name string, artifact_type string, title string, content string, n_blocks int, provider_id string, fallback_from string, status string, error_type string, error string"
@@ -25,16 +25,13 @@ class ArtifactReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         """Files in path order, dealt into parts of about equal bytes."""
         known = set(readers.extensions())
-        found = []
-        for at, dirs, names in os.walk(self.root):
-            dirs[:] = [d for d in dirs if not d.startswith(".")]
-            found += [os.path.join(at, n) for n in names if not n.startswith((".", "~$")) and n.rpartition(".")[2].lower() in known]
+        found = [(path, n) for path, n, _ in scan.local_files(self.root) if not scan.hidden(os.path.basename(path)) and scan.extension(os.path.basename(path)) in known]
         out, size = [[]], 0
-        for path in sorted(found):
-            size += os.path.getsize(path)
+        for path, n in found:
+            size += n
             if size > BATCH_BYTES and out[-1]:
                 out.append([])
-                size = 0
+                size = n
             out[-1].append(path)
         return [Files(p) for p in out]
 
@@ -42,12 +39,12 @@ class ArtifactReader(DataSourceReader):
         specs = readers.registry()
         for path in partition.paths:
             name = os.path.basename(path)
-            ext = name.rpartition(".")[2].lower()
+            ext = scan.extension(name)
             if os.path.getsize(path) > self.max_bytes:
-                made = {"status": "error", "error_type": "ArtifactTooLargeError", "error": f"over {self.max_bytes} bytes"}
+                made = readers.too_large(self.max_bytes)
             else:
                 with open(path, "rb") as f:
-                    made = readers.attempt(readers.chain(ext, specs), frozenset(["filesystem.read"]), f.read())
+                    made = readers.attempt(readers.chain(ext, specs), frozenset(["filesystem.read"]), f.read(), readers.refusal(ext, specs))
             yield path, name, ext, made.get("title") or name.rpartition(".")[0], made.get("content"), len(made.get("blocks", [])), made.get("provider_id"), made.get("fallback_from"), made["status"], made["error_type"], made["error"]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -17,6 +18,10 @@ HEADING = re.compile(r"(?i)(?:heading|标题|標題)\s*(\d+)")
 BUILT_IN_DATES = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
+#: Names of core properties, and where they stand.
+CORE = {"title": "title", "author": "creator", "subject": "subject", "created": "created", "modified": "modified"}
+
+
 class EncryptedError(ValueError):
     """The container is an encrypted or legacy one."""
 
@@ -42,10 +47,23 @@ class Package:
             out[r.get("Id", "")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
         return out
 
+    def core(self) -> dict[str, str | None]:
+        """The core properties that are kept."""
+        root = self.xml("docProps/core.xml")
+        found = {} if root is None else {local(e): e.text for e in root.iter() if e.text}
+        return {name: found.get(part) for name, part in CORE.items()}
+
     def title(self) -> str | None:
-        core = self.xml("docProps/core.xml")
-        found = [] if core is None else [e.text for e in core.iter() if local(e) == "title"]
-        return found[0] if found and found[0] else None
+        return self.core()["title"]
+
+
+def each(e: ET.Element | None) -> list[ET.Element]:
+    """The children of an element that may be absent."""
+    return [] if e is None else list(e)
+
+
+def as_json(metadata: dict) -> str:
+    return json.dumps(metadata, ensure_ascii=False)
 
 
 def local(e: ET.Element) -> str:
@@ -134,7 +152,7 @@ def read_docx(data: bytes) -> tuple[dict, list[dict]]:
         raise ValueError("no document part")
     links = pack.relations("word/document.xml")
     styles = {}
-    for s in pack.xml("word/styles.xml") or ():
+    for s in each(pack.xml("word/styles.xml")):
         if local(s) == "style":
             styles[attr(s, "styleId")] = attr(child(s, "name"), "val") or ""
     blocks, first, n_par, n_tab = [], None, 0, 0
@@ -167,7 +185,18 @@ def read_docx(data: bytes) -> tuple[dict, list[dict]]:
                 blocks.append({"block_type": "list_item", "text": text, "paragraph_index": n_par, "list_level": int(depth) if depth and depth.isdigit() else 0})
             else:
                 blocks.append({"block_type": "paragraph", "text": text, "paragraph_index": n_par})
-    return {"title": pack.title() or first, "content": "\n".join(b["text"] for b in blocks if b.get("text"))}, blocks
+    sections = [e for e in body.iter() if local(e) == "sectPr"]
+    core = pack.core()
+    counts = {f"{k}_count": sum(b["block_type"] == k for b in blocks) for k in ("heading", "paragraph", "list_item", "table", "image_reference")}
+    metadata = {"title": core["title"] or first, **counts, "section_count": len(sections), "sections": [section(k, e) for k, e in enumerate(sections, 1)], "core_properties": core}
+    return {"title": metadata["title"], "content": "\n".join(b["text"] for b in blocks if b.get("text")), "metadata": as_json(metadata)}, blocks
+
+
+def section(index: int, e: ET.Element) -> dict:
+    """A section's page, in twentieths of a point."""
+    size = child(e, "pgSz")
+    whole = lambda name: int(x) if (x := attr(size, name)) and x.isdigit() else None
+    return {"index": index, "orientation": (attr(size, "orient") or "portrait").upper(), "page_width": whole("w"), "page_height": whole("h")}
 
 
 # --- spreadsheets
@@ -204,7 +233,7 @@ def date_styles(pack: Package) -> set[int]:
         if local(f) == "numFmt":
             custom[int(attr(f, "numFmtId") or 0)] = attr(f, "formatCode") or ""
     out = set()
-    for k, xf in enumerate(child(root, "cellXfs") or ()):
+    for k, xf in enumerate(each(child(root, "cellXfs"))):
         n = int(attr(xf, "numFmtId") or 0)
         code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(n, "")).lower()
         if n in BUILT_IN_DATES or re.search("[ymdhs]", code):
@@ -215,7 +244,7 @@ def date_styles(pack: Package) -> set[int]:
 def sheet_cells(root: ET.Element, strings: list[str], dates: set[int], epoch: bool) -> Iterator[tuple[int, int, object, str | None]]:
     """(row, column, value, formula) of the cells that hold something."""
     r = 0
-    for row in child(root, "sheetData") or ():
+    for row in each(child(root, "sheetData")):
         r = int(attr(row, "r") or r + 1)
         c = 0
         for cell in row:
@@ -246,15 +275,15 @@ def read_xlsx(data: bytes) -> tuple[dict, list[dict]]:
         raise ValueError("no workbook part")
     links, dates = pack.relations("xl/workbook.xml"), date_styles(pack)
     epoch = attr(child(book, "workbookPr"), "date1904") in ("1", "true")
-    strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in pack.xml("xl/sharedStrings.xml") or ()]
-    blocks, content = [], []
-    for sheet in child(book, "sheets") or ():
+    strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in each(pack.xml("xl/sharedStrings.xml"))]
+    blocks, content, about = [], [], []
+    for sheet in each(child(book, "sheets")):
         name, root = attr(sheet, "name") or "", pack.xml(links.get(attr(sheet, "id") or "", ""))
         if root is None:
             continue
         held = list(sheet_cells(root, strings, dates, epoch))
         last_row, last_col = max((h[0] for h in held), default=1), max((h[1] for h in held), default=1)
-        merged = [attr(m, "ref") or "" for m in child(root, "mergeCells") or ()]
+        merged = [attr(m, "ref") or "" for m in each(child(root, "mergeCells"))]
         for ref in merged:  # a merged range belongs to the used range
             end = re.fullmatch(r"([A-Z]+)(\d+)", ref.rpartition(":")[2])
             if end:
@@ -275,9 +304,14 @@ def read_xlsx(data: bytes) -> tuple[dict, list[dict]]:
                 records.append({"address": f"{number_to_letters(c)}{r}", "row": r, "col": c, "value": value, "formula": formula})
         dims = attr(child(root, "dimension"), "ref") or f"{number_to_letters(first[1])}{first[0]}:{number_to_letters(last_col)}{last_row}"
         blocks.append({"block_type": "table", "sheet": name, "cell_range": dims, "grid": grid, "n_rows": rows, "n_cols": cols, "merged": merged, "rows_truncated": last_row > rows, "columns_truncated": last_col > cols, "cells_truncated": cut, "records": records})
+        about.append({"name": name, "dimensions": dims, "max_row": last_row, "max_column": last_col, "merged_count": len(merged), "non_empty_cells": len(records)})
         content.append(f"[Sheet {name}] {dims}")
         content += [line for row in grid[:50] if (line := "\t".join(row).rstrip("\t"))]
-    return {"title": pack.title(), "content": "\n".join(content)}, blocks
+    view = next((e for e in each(child(book, "bookViews")) if local(e) == "workbookView"), None)
+    names = [attr(e, "name") or "" for e in each(child(book, "sheets"))]
+    active = int(attr(view, "activeTab") or 0)
+    metadata = {"title": pack.title(), "sheet_count": len(about), "sheets": about, "active_sheet": names[active] if active < len(names) else None}
+    return {"title": pack.title(), "content": "\n".join(content), "metadata": as_json(metadata)}, blocks
 
 
 # --- presentations
@@ -291,23 +325,26 @@ def read_pptx(data: bytes) -> tuple[dict, list[dict]]:
     links = pack.relations("ppt/presentation.xml")
     blocks: list[dict] = []
     content: list[str] = []
-    titles = []
-    for k, ref in enumerate(child(show, "sldIdLst") or (), 1):
+    about = []
+    for k, ref in enumerate(each(child(show, "sldIdLst")), 1):
         # the relation's attribute is namespaced, the slide's own id is not
         rid = next((v for name, v in ref.attrib.items() if name.endswith("}id")), "")
         slide = pack.xml(links.get(rid, ""))
         tree = child(slide, "cSld", "spTree")
         title = None
-        for sp in tree or ():
+        for sp in each(tree):
             kind = attr(child(sp, "nvSpPr", "nvPr", "ph"), "type")
             if kind in ("title", "ctrTitle"):
                 title = body_text(sp).strip() or None
                 break
-        titles.append(title)
+        where = links.get(rid, "")
+        layout = next((pack.xml(x) for x in pack.relations(where).values() if "slideLayout" in x), None) if where else None
+        mine = {"index": k, "title": title, "layout": attr(child(layout, "cSld"), "name"), "textbox_count": 0, "table_count": 0, "image_count": 0}
+        about.append(mine)
         blocks.append({"block_type": "slide", "text": title, "slide": k})
         content.append(f"[Slide {k}] {title or ''}".rstrip())
         count = tables = 0
-        todo = [e for e in reversed(list(tree or ())) if local(e) in SHAPES]
+        todo = [e for e in reversed(each(tree)) if local(e) in SHAPES]
         while todo:
             e = todo.pop()
             count += 1
@@ -317,14 +354,18 @@ def read_pptx(data: bytes) -> tuple[dict, list[dict]]:
                 tbl = next((x for x in e.iter() if local(x) == "tbl"), None)
                 if tbl is not None:
                     tables += 1
+                    mine["table_count"] += 1
                     grid = [[body_text(tc).strip() for tc in tr if local(tc) == "tc"] for tr in tbl if local(tr) == "tr"]
                     blocks.append({"block_type": "table", "slide": k, "shape_index": count, "table_index": tables, "grid": grid, "n_rows": len(grid), "n_cols": len(grid[0]) if grid else 0})
             elif local(e) == "pic":
+                mine["image_count"] += 1
                 blocks.append({"block_type": "image_reference", "slide": k, "shape_index": count, "image_count": 1})
             elif (text := body_text(e)).strip():
+                mine["textbox_count"] += 1
                 blocks.append({"block_type": "textbox", "text": text, "slide": k, "shape_index": count})
                 content.append(text)
-    return {"title": titles[0] if titles else None, "content": "\n".join(content)}, blocks
+    title = about[0]["title"] if about else None
+    return {"title": title, "content": "\n".join(content), "metadata": as_json({"title": title, "slide_count": len(about), "slides": about})}, blocks
 
 
 SHAPES = ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")

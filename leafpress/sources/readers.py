@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leafpress import schema
 from leafpress.operators.runtime import FALLBACK, MAX_BYTES
-from leafpress.sources import office
+from leafpress.sources import office, pdf, scan as listing, xls
 
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-16", "latin-1")
 
@@ -44,7 +44,7 @@ def text_lines(data: bytes) -> tuple[str, list[str]]:
 def read_text(data: bytes) -> tuple[dict, list[dict]]:
     text, lines = text_lines(data)
     blocks = [{"block_type": "paragraph", "text": t, "line_index": k} for k, line in enumerate(lines) if (t := line.strip())]
-    return {"title": None, "content": text.strip(), "line_count": len(lines)}, blocks
+    return {"title": None, "content": text.strip(), "line_count": len(lines), "metadata": json.dumps({"line_count": len(lines)})}, blocks
 
 
 def read_markdown(data: bytes) -> tuple[dict, list[dict]]:
@@ -82,8 +82,8 @@ def defaults() -> list[ReaderSpec]:
         ReaderSpec("docx.read", ("docx",), office.read_docx),
         ReaderSpec("xlsx.read", ("xlsx",), office.read_xlsx),
         ReaderSpec("pptx.read", ("pptx",), office.read_pptx),
-        ReaderSpec("pdf.read", ("pdf",), unavailable("no PDF library"), reason="needs a PDF library", **no),
-        ReaderSpec("xls.read", ("xls",), unavailable("no BIFF library"), reason="needs a BIFF library", **no),
+        ReaderSpec("pdf.read", ("pdf",), pdf.read_pdf),
+        ReaderSpec("xls.read", ("xls",), xls.read_xls),
         ReaderSpec("doc.read", ("doc",), unavailable("needs an office program"), required=("filesystem.read", "office.com"), reason="needs an office program", **no),
         ReaderSpec("text.read", ("txt", "md", "csv", "tsv", "rst", "log"), read_text, priority=50),
     ]
@@ -116,15 +116,24 @@ def extensions(readers: Iterable[ReaderSpec] | None = None) -> list[str]:
 BLOCK_NAMES = [x.strip().split(" ")[0] for x in re.sub(r"<[^>]*>+", "", schema.BLOCKS).split(",")]
 _NESTED = ", ".join(x.replace(" ", ":", 1) for x in schema.BLOCKS.split(", ")[1:])
 SCAN = (
-    "artifact_id string, name string, path string, artifact_type string, title string, content string, line_count int, n_blocks int, file_size long, file_sha256 string,"
+    "artifact_id string, name string, path string, artifact_type string, title string, content string, line_count int, metadata string, n_blocks int, file_size long, file_sha256 string,"
     f" provider_id string, plugin_id string, fallback_from string, parse_ms double, read_at timestamp, status string, error_type string, error string, blocks array<struct<{_NESTED}>>,"
     " records array<struct<sheet:string,address:string,row:int,col:int,value:string,formula:string>>"
 )
 
 
-def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes) -> dict:
-    """What the chain makes of a file's bytes."""
-    out = {"provider_id": None, "fallback_from": None, "status": "error", "error_type": "CapabilityNotFoundError", "error": "no reader takes this extension"}
+def refusal(extension: str, readers: Iterable[ReaderSpec]) -> dict:
+    """The error of a file that no available reader takes: some other one would, or none."""
+    absent = [s for s in readers if extension.lower().lstrip(".") in s.extensions and not s.available]
+    out = {"provider_id": None, "fallback_from": None, "status": "error"}
+    if absent:
+        return {**out, "error_type": "ProviderNotAvailableError", "error": "; ".join(f"{s.provider_id}: {s.reason}" for s in absent)}
+    return {**out, "error_type": "CapabilityNotFoundError", "error": "no reader takes this extension"}
+
+
+def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refused: dict | None = None) -> dict:
+    """What the chain makes of a file's bytes; ``refused`` is what an empty chain gives."""
+    out = refused or refusal("", ())
     before = None
     for s in specs:
         missing = sorted(set(s.required) - granted)
@@ -149,40 +158,106 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes) -> di
 def read(files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted: Iterable[str] = ("filesystem.read",), max_bytes: int = MAX_BYTES) -> DataFrame:
     """``files`` (path, content; e.g. of a binaryFile scan) to one row per file with nested blocks and records.
 
-    Files over ``max_bytes`` give a row with an error and their content is not sent to a reader.
+    Files over ``max_bytes``, and those whose content is null, give a row with an error.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema.struct(SCAN))
     specs, allowed = (registry() if readers is None else readers), frozenset(granted)
 
+    def artifact(path: str, content: bytes | None, size: int) -> dict:
+        name = path.rpartition("/")[2]
+        ext = listing.extension(name)
+        if content is None:
+            made = too_large(max_bytes)
+        else:
+            made = attempt(chain(ext, specs), allowed, content, refusal(ext, specs))
+        found = made.pop("blocks", [])
+        none = dict.fromkeys(BLOCK_NAMES[1:])
+        blocks = [{**none, **{k: v for k, v in b.items() if k != "records"}, "seq": k, "block_id": f"b{k:04d}"} for k, b in enumerate(found, 1)]
+        records = [{**{k: v for k, v in r.items() if k != "value"}, "sheet": b.get("sheet"), "value": json.dumps(r["value"])} for b in found for r in b.get("records", [])]
+        identity = {"artifact_id": "a_" + hashlib.sha256(path.encode()).hexdigest()[:16], "name": name, "path": path, "artifact_type": ext}
+        about = {"file_size": size, "file_sha256": None if content is None else hashlib.sha256(content).hexdigest()}
+        return {**identity, **about, **made, "title": made.get("title") or name.rpartition(".")[0] or name, "n_blocks": len(blocks), "blocks": blocks, "records": records}
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, content, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = path.rpartition("/")[2]
-                ext = name.rpartition(".")[2].lower() if "." in name.strip(".") else ""
-                if content is None:
-                    made = {"status": "error", "error_type": "ArtifactTooLargeError", "error": f"over {max_bytes} bytes"}
-                else:
-                    made = attempt(chain(ext, specs), allowed, bytes(content))
-                found = made.pop("blocks", [])
-                blocks = [{**dict.fromkeys(BLOCK_NAMES[1:]), **{k: v for k, v in b.items() if k != "records"}, "seq": k, "block_id": f"b{k:04d}"} for k, b in enumerate(found, 1)]
-                records = [{**{k: v for k, v in r.items() if k != "value"}, "sheet": b.get("sheet"), "value": json.dumps(r["value"])} for b in found for r in b.get("records", [])]
-                rows.append({"artifact_id": "a_" + hashlib.sha256(path.encode()).hexdigest()[:16], "name": name, "path": path, "artifact_type": ext, "n_blocks": len(blocks), "file_size": size, "file_sha256": None if content is None else hashlib.sha256(content).hexdigest(), **made, "title": made.get("title") or name.rpartition(".")[0] or name, "blocks": blocks, "records": records})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for path, content, size in zip(*batch.columns, strict=True):
+                data = content.as_py()
+                row = artifact(path.as_py(), data, size.as_py())
+                try:
+                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:  # a reader's blocks don't fit the schema
+                    keep = {k: row[k] for k in ("artifact_id", "name", "path", "artifact_type", "file_size", "file_sha256")}
+                    bad = {"status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}", "n_blocks": 0, "blocks": [], "records": []}
+                    yield pa.RecordBatch.from_pylist([keep | bad], schema=arrow)
 
-    fits = F.col("size") <= max_bytes
     own = files if "size" in files.columns else files.withColumn("size", F.octet_length("content").cast("long"))
+    fits = F.col("size") <= max_bytes
     return own.select("path", F.when(fits, F.col("content")).alias("content"), "size").mapInArrow(run, SCAN)
 
 
+def too_large(max_bytes: int) -> dict:
+    return {"status": "error", "error_type": "ArtifactTooLargeError", "error": f"over {max_bytes} bytes"}
+
+
+def claimed(files: DataFrame, readers: Iterable[ReaderSpec] | None) -> DataFrame:
+    """Rows of a binaryFile scan that discovery would list, with the extensions that some reader claims."""
+    return listing.visible(files.withColumn("name", F.element_at(F.split("path", "/"), -1))).where(F.col("extension").isin(*extensions(readers)))
+
+
 def scan(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Read all files below ``root`` that some reader claims."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    ends = "|".join(extensions(options.get("readers")))
-    files = files.where(F.regexp_like(F.lower("path"), F.lit(rf"\.({ends})$")))
-    return read(files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", F.col("length").alias("size")), **options)
+    """Read all files below ``root`` that some reader claims and that are neither hidden nor temporary.
+
+    The size limit is a filter on the scan, so that of larger files no content is read, whatever their size.
+    Spark's sources pass over names that begin with ``_``; ``scan_paths`` reads files by their paths.
+    """
+    return within_limit(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), **options)
+
+
+def scan_paths(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Read the files of a list of paths, whatever their names, if some reader claims them."""
+    if not paths:
+        return read(spark.createDataFrame([], "path string, content binary, size long"), **options)
+    under = [p for p in paths if any(x.startswith("_") for x in p.split("/"))]
+    plain = [p for p in paths if p not in set(under)]
+    parts = [spark.read.format("binaryFile").load([escaped(p) for p in plain])] if plain else []
+    if under:  # names that Spark's listing passes over are opened where the executors see them
+        parts.append(opened(spark, under, options.get("max_bytes", MAX_BYTES)))
+    out = [within_limit(p, **options) for p in parts]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def escaped(path: str) -> str:
+    """A path without the meaning of its wildcards."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def opened(spark: SparkSession, paths: list[str], max_bytes: int) -> DataFrame:
+    """The shape of a binaryFile scan for files that all executors see under a local path."""
+
+    def run(batches):
+        import os
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                size = os.path.getsize(path)
+                data = None
+                if size <= max_bytes:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["path", "length", "content"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, length long, content binary")
+
+
+def within_limit(files: DataFrame, max_bytes: int = MAX_BYTES, **options) -> DataFrame:
+    """Artifacts of a binaryFile scan; files over the limit are rows with an error and their content column is not read."""
+    own = claimed(files, options.get("readers"))
+    path = F.regexp_replace("path", "^file:(//)?", "").alias("path")
+    fit = own.where(F.col("length") <= max_bytes).select(path, "content", F.col("length").alias("size"))
+    large = own.where(F.col("length") > max_bytes).select(path, F.lit(None).cast("binary").alias("content"), F.col("length").alias("size"))
+    return read(fit, max_bytes=max_bytes, **options).unionByName(read(large, max_bytes=max_bytes, **options))
 
 
 def blocks(artifacts: DataFrame) -> DataFrame:

@@ -13,6 +13,18 @@ SYSTEM_FILES = (".ds_store", "desktop.ini", "thumbs.db")
 UNFINISHED = (".tmp", ".temp", ".crdownload", ".partial")
 
 
+def extension(name: str) -> str:
+    """``functions.text.suffix`` for one name, without the dot."""
+    stem, dot, end = name.rpartition(".")
+    return end.lower() if dot and stem and not stem.endswith(".") and end else ""
+
+
+def hidden(name: str) -> bool:
+    """``visible`` for one name."""
+    low = name.lower()
+    return name.startswith((".", "~$")) or low in SYSTEM_FILES or low.endswith(UNFINISHED)
+
+
 def visible(files: DataFrame) -> DataFrame:
     """Rows whose ``name`` is neither hidden nor temporary, with their ``extension`` (no dot)."""
     low = F.lower("name")
@@ -38,18 +50,26 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
 
 
+def local_files(root: str) -> list[tuple[str, int, float]]:
+    """(path, size, time) of the files below a local root: names with ``_`` kept, hidden directories pruned."""
+    out, todo = [], [root]
+    while todo:
+        with os.scandir(todo.pop()) as entries:
+            for e in entries:
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        todo += [] if e.name.startswith(".") else [e.path]
+                    elif e.is_file():
+                        stat = e.stat()
+                        out.append((e.path, stat.st_size, stat.st_mtime))
+                except OSError:
+                    continue
+    return sorted(out)
+
+
 def list_local(spark: SparkSession, root: str) -> DataFrame:
     """Like ``list_files`` by the driver's own walk: names with ``_`` kept, hidden directories pruned."""
-    rows = []
-    for at, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if not d.startswith(".")]
-        for name in names:
-            path = os.path.join(at, name)
-            try:
-                stat = os.stat(path)
-            except OSError:
-                continue
-            rows.append((path, name, stat.st_size, stat.st_mtime))
+    rows = [(path, os.path.basename(path), size, at) for path, size, at in local_files(root)]
     return spark.createDataFrame(rows, "path string, name string, size long, modified double").select("path", "name", "size", F.timestamp_seconds("modified").alias("modified_at"))
 
 

@@ -13,6 +13,5 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 def artifacts(spark: SparkSession, root: str, **options) -> DataFrame:
     """New files below ``root`` as they come; write it in append mode with a checkpoint."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(root)
-    ends = "|".join(readers.extensions(options.get("readers")))
-    files = files.where(F.regexp_like(F.lower("path"), F.lit(rf"\.({ends})$")))
-    return readers.read(files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", F.col("length").alias("size")), **options)
+    own = readers.claimed(files, options.get("readers"))
+    return readers.read(own.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", F.col("length").alias("size")), **options)

@@ -13,6 +13,10 @@ from leafpress.operators import context as C
 from leafpress.sources import readers, scan
 
 
+#: Fixed value: names of read modes that are kept for later.
+RESERVED_MODES = ("metadata", "outline", "range", "sheet", "slide", "page", "search")
+
+
 class WorkspaceBoundaryError(ValueError):
     """A path outside the workspace."""
 
@@ -44,24 +48,33 @@ class Workspace:
         return full
 
     def artifacts(self, **options) -> DataFrame:
+        """Artifacts of the files that ``refs`` lists."""
+        if self.local:
+            known = set(readers.extensions(self.specs))
+            under = [p for p, *_ in scan.local_files(self.root) if any(x.startswith("_") for x in p[len(self.root) :].split("/"))]
+            more = [p for p in under if not scan.hidden(os.path.basename(p)) and scan.extension(os.path.basename(p)) in known]
+            if more:
+                listed = readers.scan_paths(self.spark, more, readers=self.specs, granted=self.granted, **options)
+                return readers.scan(self.spark, self.root, readers=self.specs, granted=self.granted, **options).unionByName(listed)
         return readers.scan(self.spark, self.root, readers=self.specs, granted=self.granted, **options)
 
-    def read(self, path: str, **options) -> DataFrame:
-        """One file's artifact."""
-        return readers.scan(self.spark, self.resolve(path), readers=self.specs, granted=self.granted, **options)
+    def read(self, path: str, mode: str = "full", **options) -> DataFrame:
+        """One file's artifact; ``mode`` names how much of it, of which only all is there."""
+        if mode != "full":
+            raise ValueError(f"mode {mode!r} is not there; only 'full' is (the names {', '.join(RESERVED_MODES)} are kept for later)")
+        return readers.scan_paths(self.spark, [self.resolve(path)], readers=self.specs, granted=self.granted, **options)
 
     def contexts(self, policy: C.Policy | None = None, artifacts: DataFrame | None = None) -> DataFrame:
         p = policy or C.Policy()
         rows = (self.artifacts() if artifacts is None else artifacts).where("status = 'ok'")
-        no = {"continues_from_previous": F.lit(False), "continued_on_next": F.lit(False)}
 
         def rendered(b):
-            for name, value in no.items():
-                b = b.withField(name, value)
-            return F.struct(C.render(b, tables=True, max_table_rows=p.max_table_rows).alias("rendered"), b["page"].alias("page"))
+            return F.struct(C.render(b, tables=True, max_table_rows=p.max_table_rows).alias("rendered"), b["page"].alias("page"), C.block_warnings(b, p.max_table_rows).alias("warnings"))
 
         prefix = len(self.root) + 2
-        return C.build(rows.withColumns({"blocks": F.transform("blocks", rendered), "relative_path": F.substring("path", prefix, 1 << 20)}), p)
+        about = F.from_json("metadata", "struct<requires_ocr:boolean,pages:array<struct<page:int,requires_ocr:boolean>>>")
+        rows = rows.withColumn("about", about).withColumns({"requires_ocr": F.col("about.requires_ocr"), "ocr_pages": F.transform(F.filter(F.coalesce("about.pages", F.array().cast("array<struct<page:int,requires_ocr:boolean>>")), lambda x: x["requires_ocr"]), lambda x: x["page"])})
+        return C.build(rows.withColumns({"blocks": F.transform("blocks", rendered), "relative_path": F.substring("path", prefix, 1 << 20)}), p, pages="ocr_pages")
 
     def ask(self, question: str, model: Callable[[str, str], str], policy: C.Policy | None = None) -> DataFrame:
         return answers.ask(self.contexts(policy), question, model)

@@ -33,7 +33,7 @@ def test_scan(spark, folder):
     assert got["a.txt"]["content"] == "第一行\n\n第二行" and got["a.txt"]["line_count"] == 3 and got["a.txt"]["provider_id"] == "text.read"
     assert got["b.md"]["content"] == "# T" and got["c.xlsx"]["blocks"][0]["grid"] == [["1", "x"]]
     errors = {k: v["error_type"] for k, v in got.items() if v["status"] != "ok"}
-    assert errors == {"d.docx": "ArtifactParseError", "e.xlsx": "EncryptedArtifactError", "big.txt": "ArtifactTooLargeError", "p.pdf": "CapabilityNotFoundError"}
+    assert errors == {"d.docx": "ArtifactParseError", "e.xlsx": "EncryptedArtifactError", "big.txt": "ArtifactTooLargeError", "p.pdf": "ArtifactParseError"}
     records = R.cell_records(R.scan(spark, folder)).select("address", F.expr("try_variant_get(value, '$', 'string')").alias("v")).collect()
     assert {(r["address"], r["v"]) for r in records} == {("A1", "1"), ("B1", "x")}
 
