@@ -65,8 +65,9 @@ def search(query: str, *, workspaces: DataFrame | None = None, files: DataFrame
 
 
 def capped(results: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """What a result list shows: so many of each kind (workspaces all)."""
-    limit = F.lit(None).cast("int")
-    for kind, n in (caps or CAPS).items():
-        limit = F.when(F.col("kind") == kind, n).otherwise(limit)
-    return results.withColumn("position", F.row_number().over(W.partitionBy("kind").orderBy("label", "key"))).where(limit.isNull() | (F.col("position") <= limit))
+    """What a result list shows: so many of each kind (workspaces, of which there are few, all). A kind's first ones are an ordered limit, so it isn't sorted in one task."""
+    caps = CAPS if caps is None else caps
+    out = results.where(~F.col("kind").isin(*caps)) if caps else results
+    for kind, n in caps.items():
+        out = out.unionByName(results.where(F.col("kind") == kind).orderBy("label", "key").limit(n))
+    return out.withColumn("position", F.row_number().over(W.partitionBy("kind").orderBy("label", "key")))
