@@ -34,7 +34,7 @@ class ChatClient:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 return json.loads(r.read())["choices"][0]["message"]["content"]
         except urllib.error.HTTPError as e:
-            raise ModelError(f"HTTP {e.code}: {e.read()[:500].decode('utf-8', 'replace')}") from e
+            raise ModelError(f"HTTP {e.code}: {e.read(2000).decode('utf-8', 'replace')}") from e
         except (OSError, ValueError, KeyError, IndexError, TypeError) as e:
             raise ModelError(f"{type(e).__name__}: {e}") from e
 
@@ -43,7 +43,7 @@ class ChatClient:
 class FixedReply:
     """For tests and demonstrations: always the same answer."""
 
-    reply: str = "mock answer"
+    reply: str = "(no model was asked)"
 
     def __call__(self, system: str, user: str) -> str:
         return self.reply
@@ -52,7 +52,11 @@ class FixedReply:
 def client(settings: dict, key: str) -> tuple[Callable | None, str]:
     """A client from settings, or none and why; never raises."""
     url, model = (str(settings[k][0]).strip() for k in ("llm_base_url", "llm_model"))
-    return (ChatClient(url, model, key), "Ready") if url and model else (None, "Not Configured")
+    if not url or not model:
+        return None, "Not Configured"
+    if not url.startswith(("http://", "https://")):
+        return None, "Error"
+    return ChatClient(url, model, key), "Ready"
 
 
 def ask(contexts: DataFrame, question: str, model: Callable[[str, str], str]) -> DataFrame:

@@ -15,6 +15,7 @@ from leafpress.functions import text as T
 
 SYSTEM_PROMPT = "Answer the question from the document context only; say so when it does not hold the answer."
 QUESTION = "\n\n[Question]\n"
+#: Fixed values, here and in the notes below: what a model is told of missing text and cut tables.
 NO_TEXT_DOCUMENT = "[Note] 该 PDF 无文本层（requires_ocr=true），文本内容可能缺失。"
 
 

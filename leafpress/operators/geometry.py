@@ -7,6 +7,8 @@ What compares pages (continuations) is a window over table rows and stays a Data
 
 from __future__ import annotations
 
+import itertools
+import operator
 import re
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
@@ -25,6 +27,7 @@ MIN_LENGTH = 8.0
 MAX_COLUMNS, MAX_ROWS = 40, 1000
 #: Fixed value: words that mark a header.
 HEADER_WORDS = ("序号", "部门", "机构", "姓名", "职务", "职责", "电话", "手机", "地址", "楼层", "管理部门")
+#: Fixed value: words of a header from which a panel may begin.
 PANEL_WORDS = ("部门", "部室", "机构")
 CELL_FIELDS = "page int, table int, row int, col int, rowspan int, colspan int, text string, x0 double, y0 double, x1 double, y1 double, is_header boolean"
 
@@ -245,21 +248,26 @@ def split_table(t: Table, column: int) -> list[Table]:
     return out or [t]
 
 
+def begins_again(names: list[str], a: int, b: int) -> bool:
+    """Whether the header's names from place ``b`` on repeat those from ``a`` up to it: three or more, six in ten alike."""
+    left, right = ([x for x in part if x] for part in (names[a:b], names[b:]))
+    n = min(len(left), len(right))
+    return n >= 3 and sum(map(operator.eq, left, right)) >= 0.6 * n
+
+
 def panels(t: Table) -> list[Table]:
-    """Two tables side by side under one frame, told by a header that begins again."""
+    """Two tables side by side under one frame, told by a header that begins again with the name of a panel."""
     if not t.header or t.columns < 6:
         return [t]
     head = sorted((c for c in t.cells if c.row == t.header), key=lambda c: c.col)
     names = [header_text(c.text) for c in head]
-    for i, name in enumerate(names):
-        if not any(w in name for w in PANEL_WORDS):
-            continue
-        for j in range(i + 3, len(names)):
-            if names[j] == name:
-                pairs = list(zip([x for x in names[i:j] if x], [x for x in names[j:] if x], strict=False))
-                if len(pairs) >= 3 and sum(a == b for a, b in pairs) >= 0.6 * len(pairs):
-                    return split_table(t, head[j].col)
-    return [t]
+    places: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        if any(w in name for w in PANEL_WORDS):
+            places.setdefault(name, []).append(k)
+    pairs = sorted(p for own in places.values() for p in itertools.combinations(own, 2) if p[1] - p[0] >= 3)
+    start = next((b for a, b in pairs if begins_again(names, a, b)), None)
+    return [t] if start is None else split_table(t, head[start].col)
 
 
 def solve_page(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float, float]]) -> list[Table]:

@@ -21,6 +21,8 @@ VERSION = r"^\d+\.\d+\.\d+$"
 #: Failures after which the next provider is tried.
 FALLBACK = ("ArtifactParseError", "EncryptedArtifactError", "ProviderExecutionError")
 TRACES_KEPT = 200
+#: What users see where a plugin takes no part.
+WHY = {"Unavailable": "当前环境不可用", "Disabled": "已禁用：不参与路由", "Failed": "加载失败：未进入 Registry"}
 MAX_BYTES = 50 * 1024 * 1024
 
 
@@ -83,7 +85,7 @@ def plugin_status(plugins: DataFrame, providers: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("state") == "disabled", "Disabled").when((F.col("state") == "failed") & F.contains("load_error", F.lit("api_version")), "Incompatible").when(F.col("state") == "failed", "Load Failed").when(F.coalesce("any", F.lit(False)), "Enabled").otherwise("Unavailable")
     )
-    why = F.when(status == "Enabled", "").when(status == "Unavailable", F.when(F.coalesce("reasons", F.lit("")) != "", F.col("reasons")).otherwise("当前环境不可用")).when(status == "Disabled", "已禁用：不参与路由").otherwise("加载失败：未进入 Registry")
+    why = F.when(status == "Enabled", "").when(status == "Unavailable", F.when(F.coalesce("reasons", F.lit("")) != "", F.col("reasons")).otherwise(WHY["Unavailable"])).when(status == "Disabled", WHY["Disabled"]).otherwise(WHY["Failed"])
     return joined.select("plugin_id", "source", status.alias("status"), why.alias("reason"), F.when(F.col("state") == "loaded", F.coalesce("n_providers", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_providers"), (F.col("source") == "builtin").alias("is_builtin"))
 
 
@@ -144,7 +146,7 @@ def unavailable_here(platforms: list[str] | None, python: str | None, *, platfor
     here, now = (platform or sys.platform).lower(), version or sys.version_info[:3]
     wanted = [p.lower() for p in platforms or []]
     if wanted and not any(here.startswith(a) for p in wanted for a in PLATFORMS.get(p, (p,))):
-        return f"platform {here} is not one of {', '.join(wanted)}"
+        return f"made for {', '.join(wanted)}, but the platform is {here}"
     spec = re.fullmatch(r">=\s*(\d+(?:\.\d+){0,2})", (python or "").strip())
     least = tuple(map(int, spec[1].split("."))) if spec else ()
-    return "" if tuple(now[: len(least)]) >= least else f"python {'.'.join(map(str, now))} does not satisfy {python}"
+    return "" if tuple(now[: len(least)]) >= least else f"asks for python {python}, this one is {'.'.join(map(str, now))}"

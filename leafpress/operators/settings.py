@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import sys
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
@@ -11,10 +14,38 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names of the levels, and kinds of activity.
 DEFAULT, USER, ENVIRONMENT, RUNTIME = "Default", "User Config", "Environment", "Runtime Argument"
 ACTIVITY_TYPES = ("workspace", "artifact", "artifact_qa")
 
 
+SCHEMA_VERSION = 1
+
+
+def data_dir(env: Mapping[str, str] | None = None, platform: str | None = None) -> Path:
+    """The user's folder for this engine: as the environment says, or the platform's custom."""
+    env = os.environ if env is None else env
+    if own := (env.get("LEAFPRESS_DATA_DIR") or "").strip():
+        return Path(own).expanduser()
+    if (platform or sys.platform).startswith("win"):
+        return Path(env.get("APPDATA") or Path.home() / "AppData" / "Roaming") / "leafpress"
+    return Path(env.get("XDG_DATA_HOME") or Path.home() / ".local" / "share") / "leafpress"
+
+
+def config_path(env: Mapping[str, str] | None = None) -> Path:
+    own = ((os.environ if env is None else env).get("LEAFPRESS_CONFIG") or "").strip()
+    return Path(own).expanduser() if own else data_dir(env) / "config.json"
+
+
+def state_path(env: Mapping[str, str] | None = None) -> Path:
+    own = ((os.environ if env is None else env).get("LEAFPRESS_STATE") or "").strip()
+    return Path(own).expanduser() if own else data_dir(env) / "state.json"
+
+
+def logs_dir(env: Mapping[str, str] | None = None) -> Path:
+    return data_dir(env) / "logs"
+
+
 @dataclass(frozen=True)
 class Field:
     """A setting: its default, the environment names that may set it, and whether it is text (set if not empty)."""
@@ -77,6 +108,15 @@ def check(config: Any) -> list[str]:
     if not isinstance(config, dict):
         return ["the settings must be an object"]
     out = [f"unknown field {k}" for k in config if k not in FIELDS and k not in ("schema_version", "external_plugin_dirs")]
+    if config.get("schema_version", SCHEMA_VERSION) != SCHEMA_VERSION:
+        out.append(f"schema_version {config['schema_version']!r} is not {SCHEMA_VERSION}")
+    for name, f in FIELDS.items():
+        v = config.get(name)
+        if v is not None and isinstance(f.default, str | bool) and not isinstance(v, type(f.default)):
+            out.append(f"{name} must be {'a text' if isinstance(f.default, str) else 'true or false'}")
+    url = config.get("llm_base_url")
+    if isinstance(url, str) and url.strip() and not url.strip().startswith(("http://", "https://")):
+        out.append("llm_base_url must begin with http:// or https://")
     for name in ("recent_workspace_limit", "recent_activity_limit"):
         v = config.get(name)
         if v is not None and (isinstance(v, bool) or not isinstance(v, int) or v < 0):
@@ -129,10 +169,19 @@ def load_state(path: str | Path) -> tuple[dict, list[str]]:
             elif kind == "recent_activity" and item.get("activity_type") not in ACTIVITY_TYPES:
                 errors.append(f"unknown activity {item.get('activity_type')!r}")
             else:
+                item = migrated(item) if kind == "recent_workspaces" else {"entry_id": uuid.uuid4().hex[:12]} | item
                 out[kind].append({k: item[k] for k in ("workspace_id", "path", "display_name", "last_opened_at", "pinned", "last_artifact_path", "entry_id", "activity_type", "workspace_path", "artifact_path", "title") if k in item})
     return out, errors
 
 
+def migrated(item: dict) -> dict:
+    """A workspace with the id of today's form, made from its path where an older one, or none, is kept."""
+    if str(item.get("workspace_id") or "").startswith("ws_"):
+        return item
+    path = str(item.get("path") or "")
+    return item | {"workspace_id": "ws_" + hashlib.sha256(path.encode()).hexdigest()[:12]}
+
+
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Plugin manifests as rows; what can't be parsed is in ``_corrupt_record``."""
     schema = "id string, name string, version string, api_version int, entrypoint string, accepts struct<extensions:array<string>>, capabilities array<struct<id:string,priority:int>>, permissions array<string>, platforms array<string>, _corrupt_record string"

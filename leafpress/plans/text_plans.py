@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from leafpress.functions import text as T
 from leafpress.operators import blocks as B
 from leafpress.operators import context as C
+from leafpress.ship import prepare
 
 
 def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def document_path():

@@ -64,6 +64,12 @@ class ReaderSpec:
     plugin_id: str = ""
     available: bool = True
     reason: str = ""
+    #: Permissions that the plugin's manifest declares, of which ``required`` may ask.
+    declared: tuple[str, ...] = ()
+
+    @property
+    def owner(self) -> str:
+        return self.plugin_id or self.provider_id.rpartition(".")[0]
 
 
 def unavailable(why: str) -> Callable:
@@ -147,7 +153,7 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refus
         except Exception as e:  # a reader's failure is a row
             kind, why = "ArtifactParseError", f"{type(e).__name__}: {e}"
         else:
-            return {"provider_id": s.provider_id, "plugin_id": s.plugin_id or s.provider_id.rpartition(".")[0], "parse_ms": round((time.perf_counter() - began) * 1000, 3), "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta, "blocks": blocks}
+            return {"provider_id": s.provider_id, "plugin_id": s.owner, "parse_ms": round((time.perf_counter() - began) * 1000, 3), "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta, "blocks": blocks}
         out = {**out, "error_type": kind, "error": why, "fallback_from": before}
         before = s.provider_id
         if kind not in FALLBACK:

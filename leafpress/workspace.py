@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafpress.operators import answers
 from leafpress.operators import context as C
+from leafpress.ship import prepare
 from leafpress.sources import readers, scan
 
 
@@ -32,7 +33,7 @@ class Workspace:
                 raise FileNotFoundError(root)
             if not os.path.isdir(root):
                 raise NotADirectoryError(root)
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = prepare(spark), root.rstrip("/")
         self.specs, self.granted = specs if specs is not None else readers.registry(), tuple(granted)
 
     def refs(self) -> DataFrame:

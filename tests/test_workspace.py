@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -70,7 +71,8 @@ def test_files(spark, tmp_path):
     path = tmp_path / "x/state.json"
     settings.save_json({"recent_workspaces": [{"path": "/w", "secret": 1}, 3], "recent_activity": [{"activity_type": "other"}]}, path)
     state, errors = settings.load_state(path)
-    assert state == {"recent_workspaces": [{"path": "/w"}], "recent_activity": []} and len(errors) == 2
+    own = "ws_" + hashlib.sha256(b"/w").hexdigest()[:12]  # an entry without an id gets that of its path
+    assert state == {"recent_workspaces": [{"workspace_id": own, "path": "/w"}], "recent_activity": []} and len(errors) == 2
     path.write_text("{")
     assert settings.load_state(path)[0]["recent_workspaces"] == [] and (tmp_path / "x/state.json.corrupt").exists() and not path.exists()
     assert settings.load_config(tmp_path / "none.json") == ({}, [])
