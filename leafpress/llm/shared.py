@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafpress.ship import prepare
+
 #: Bytes of text that one numpy pass holds at once; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also where it is used from a checkout."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +36,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths of the tables that ``cut`` wrote in this process.
+MADE: list[str] = []
+
+
+def drop_made(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables made after the first ``since``, but ``keep``: all that a finished step left behind."""
+    for path in MADE[since:]:
+        if path != keep._leafpress_path:
+            delete(spark, path)
+    MADE[since:] = [keep._leafpress_path]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: ends the lineage, and lets readers prune columns."""
     spark = df.sparkSession
@@ -50,6 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafpress_path = path
+    MADE.append(path)
     return out
 
 

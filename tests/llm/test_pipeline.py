@@ -39,3 +39,28 @@ def test_query_covers_its_table(spark, name):
         cols = sorted(got.columns)
         assert cols == sorted(want.columns)
         assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist()))
+
+
+def test_stages_with_clashing_names_nulls_and_no_rows(spark):
+    """Null and equal ids, null texts, extra columns with the names that operators use: the columns stay, groups keep their own rows."""
+    from pyspark.sql import functions as F
+
+    good = [" ".join(f"{w}{k}x{j}" for j in range(30) for w in ("alpha", "beta", "gamma")) for k in range(4)]
+    rows = [(None, good[0], "a"), (None, good[1], None), (7, good[2], "b"), (7, good[3], "b"), (8, None, "b"), (None, good[0], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("fp", "row", "size", "key", "root", "n_words", "hits", "items", "__key", "__row", "a.b")})
+    for df, want in ((docs, 4), (docs.limit(0), 0)):
+        out = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, SF)
+            assert out.columns == df.columns, name
+        assert out.count() == want
+        assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == want
+
+
+def test_run_leaves_one_table_a_stage(spark):
+    from leafpress.llm import shared
+
+    before = len(shared.MADE)
+    n = corpus_pipeline.run(spark, SF).count()
+    assert n and len(shared.MADE) - before < 8  # the last stage's own tables and its input
