@@ -103,8 +103,8 @@ def restore_dashes(c: Column) -> Column:
     """Doubled numerals that stand for a dash: between CJK or brackets, and not in a listed word. A pair that stays is passed over whole."""
     # pairs are cut from the left; each is judged by the character before it (a numeral of the pair before included) and by what follows
     parts = F.split(c, "一一", -1)
-    rest = lambda i: F.concat(F.when(F.size(parts) > i + 2, F.concat(F.element_at(parts, (i + 2).cast("int")), F.lit("一一"))).otherwise(F.element_at(parts, (i + 2).cast("int"))))
-    before = lambda i: F.when((i > 0) & (F.element_at(parts, (i + 1).cast("int")) == ""), F.lit("一")).otherwise(F.right(F.element_at(parts, (i + 1).cast("int")), F.lit(1)))
+    rest = lambda i: F.concat(F.when(F.size(parts) > i + 2, F.concat(F.try_element_at(parts, (i + 2).cast("int")), F.lit("一一"))).otherwise(F.try_element_at(parts, (i + 2).cast("int"))))
+    before = lambda i: F.when((i > 0) & (F.try_element_at(parts, (i + 1).cast("int")) == ""), F.lit("一")).otherwise(F.right(F.try_element_at(parts, (i + 1).cast("int")), F.lit(1)))
     good = lambda i: (
         ((before(i) == "") | F.regexp_like(before(i), F.lit(f"[{CJK}）】》”’]")))
         & F.regexp_like(rest(i), F.lit(f"^[{CJK}（【《“‘]"))

@@ -119,8 +119,8 @@ class Table(NamedTuple):
     header: int = 0
 
 
-def grouped(h: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Groups of rules connected by crossings, of three or more each way, in order of their first horizontal one."""
+def grouped(h: np.ndarray, v: np.ndarray, least: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Groups of rules connected by crossings, of ``least`` or more each way, in order of their first horizontal one."""
     meet = (v[None, :, 0] >= h[:, 1, None] - TOLERANCE) & (v[None, :, 0] <= h[:, 2, None] + TOLERANCE) & (h[:, 0, None] >= v[None, :, 1] - TOLERANCE) & (h[:, 0, None] <= v[None, :, 2] + TOLERANCE)
     label = np.arange(len(h))
     while True:  # the least label of all that meet, until nothing changes
@@ -132,7 +132,7 @@ def grouped(h: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
     out = []
     for k in np.unique(label[meet.any(axis=1)]) if len(h) and len(v) else ():
         hs, vs = label == k, over == k
-        if hs.sum() >= 3 and vs.sum() >= 3:
+        if hs.sum() >= least and vs.sum() >= least:
             out.append((h[hs], v[vs]))
     return out
 
@@ -201,10 +201,10 @@ def with_header(t: Table) -> Table:
     return t._replace(header=-row if score >= 2.0 else 0)
 
 
-def one_table(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float, float]]) -> Table | None:
+def one_table(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float, float]], least: int = 2) -> Table | None:
     xs, ys = np.array(centroids(v[:, 0])), np.array(centroids(h[:, 0]))
     cols, rows = len(xs) - 1, len(ys) - 1
-    if cols < 2 or rows < 2 or cols > MAX_COLUMNS or rows > MAX_ROWS:
+    if cols < least or rows < least or cols > MAX_COLUMNS or rows > MAX_ROWS:
         return None
     xm, ym = (xs[1:] + xs[:-1]) / 2, (ys[1:] + ys[:-1]) / 2
     wall_x = np.abs(v[None, :, 0] - xs[1:-1, None]) <= TOLERANCE  # inner column lines by rules
@@ -279,6 +279,12 @@ def solve_page(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float
     return sorted(out, key=lambda t: (t.box[1], t.box[0]))
 
 
+def plain_tables(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float, float]]) -> list[Table]:
+    """The finder for pages without a table of ``solve_page``: frames of any size, down to one cell; all cells for themselves."""
+    found = [one_table(hs, vs, words, 1) for hs, vs in grouped(united(h), united(v), 2)] if len(h) and len(v) else []
+    return sorted((t._replace(header=0) for t in found if t is not None), key=lambda t: (t.box[1], t.box[0]))
+
+
 def settle_pages(pages: list[list[Table]]) -> list[list[Table]]:
     """A page's only table is split like the two of the page before, if it has as many columns as both."""
     out: list[list[Table]] = []

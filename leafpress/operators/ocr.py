@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -146,12 +147,12 @@ def list_marks(boxes: list[dict]) -> list[dict]:
     return out
 
 
-def per_page(boxes: DataFrame, solve: Callable[[list[dict]], list[dict]], extra: str = "") -> DataFrame:
-    """``solve`` on each page's boxes (doc, page, box_no, text, x0, y0, x1, y1) in order.
+def per_page(boxes: DataFrame, solve: Callable[[list[dict]], list[dict]], extra: str = "", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``solve`` on each page's boxes (doc, page, box_no, text, x0, y0, x1, y1 and what ``carry`` names) in order.
 
     A page is one row with its boxes as an array, so a worker gets many pages at once and no group of its own for each.
     """
-    names = ["doc", "page", "box_no", "text", "x0", "y0", "x1", "y1"]
+    names = ["doc", "page", "box_no", "text", "x0", "y0", "x1", "y1", *carry]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*names).schema) + extra
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
     pages = boxes.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(*names[2:]))).alias("boxes"))
@@ -192,12 +193,56 @@ def merge_transformations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rule_id", "version").agg(F.sum(F.greatest("n", F.lit(0))).alias("n")).where("n > 0")
 
 
+def pairs(c: Column) -> Column:
+    return F.size(F.split(c, "一一", -1)) - 1
+
+
 def transformations(before: DataFrame, text: str = "text") -> DataFrame:
     """How many dashes and spacings the repair of texts changes."""
     dashed = T.restore_dashes(F.col(text))
-    pairs = lambda c: F.size(F.split(c, "一一", -1)) - 1
-    counted = before.agg(F.sum(F.greatest(pairs(F.col(text)) - pairs(dashed), F.lit(0))).alias("ocr.dash-confusion"), F.sum(F.when(T.space_english(dashed) != dashed, 1).otherwise(0)).alias("ocr.english-spacing"))
-    return merge_transformations(counted.select(F.expr("stack(2, 'ocr.dash-confusion', '1', `ocr.dash-confusion`, 'ocr.english-spacing', '1', `ocr.english-spacing`) as (rule_id, version, n)")))
+    counted = before.agg(F.sum(F.greatest(pairs(F.col(text)) - pairs(dashed), F.lit(0))).alias("dash"), F.sum(F.when(T.space_english(dashed) != dashed, 1).otherwise(0)).alias("english"))
+    return report(counted.withColumn("list", F.lit(0)))
+
+
+def report(counts: DataFrame) -> DataFrame:
+    """Counts of one row (dash, english, list) by rule and version, zero ones left out."""
+    rules = "stack(3, 'ocr.dash-confusion', '1', cast(dash as long), 'ocr.english-spacing', '1', cast(english as long), 'ocr.list-marker', '1', cast(list as long))"
+    return merge_transformations(counts.select(F.expr(f"{rules} as (rule_id, version, n)")))
+
+
+def finished(boxes: list[dict]) -> list[dict]:
+    """A page's phrases and list marks restored, with what each box gained; ``dashed`` is its text before."""
+    spaced_out = joined_phrases(boxes)
+    listed = list_marks(spaced_out)
+    return [{**c, "english": b["text"] != b["dashed"], "listed": c["text"].startswith(BULLET) and not b["text"].startswith(BULLET)} for b, c in zip(spaced_out, listed, strict=True)]
+
+
+def processed(boxes: DataFrame) -> DataFrame:
+    """All repairs of recognised boxes, with flags of what each gained: ``dashes``, ``english``, ``listed``."""
+    # one projection after another: inside a lambda a column's name would mean its new value
+    own = boxes.withColumn("dashed", T.restore_dashes(F.col("text"))).withColumn("dashes", F.greatest(pairs(F.col("text")) - pairs(F.col("dashed")), F.lit(0)))
+    own = own.withColumn("text", T.space_english(F.col("dashed")))
+    return per_page(own, finished, ", english boolean, listed boolean", carry=("dashes", "dashed")).drop("dashed")
+
+
+def processed_report(done: DataFrame) -> DataFrame:
+    """The counts of all three rules over what ``processed`` gave."""
+    ones = lambda c: F.count_if(F.col(c))
+    return report(done.agg(F.sum("dashes").alias("dash"), ones("english").alias("english"), ones("listed").alias("list")))
+
+
+def page_blocks(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks of recognised documents: a page's tables (doc, page, table_index), which have no height, and its rows by their top.
+
+    At one height rows come before tables. Blank rows are left out, and rows keep their numbers on the page.
+    """
+    own = W.partitionBy("doc", "page").orderBy("row")
+    text = assemble(rows).withColumn("text", T.strip(F.col("text"))).where("text <> ''").withColumn("line_index", F.row_number().over(own) - 1)
+    none = lambda t: F.lit(None).cast(t)
+    lines = text.select("doc", "page", "top", F.lit(0).alias("kind"), F.col("line_index").alias("place"), F.lit("text_block").alias("block_type"), "text", "line_index", none("int").alias("table_index"))
+    grids = tables.select("doc", "page", F.lit(0.0).alias("top"), F.lit(1).alias("kind"), F.col("table_index").alias("place"), F.lit("table").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"), "table_index")
+    seq = F.row_number().over(W.partitionBy("doc").orderBy("page", "top", "kind", "place"))
+    return lines.unionByName(grids).withColumn("seq", seq).withColumn("block_id", T.block_id(F.col("seq"))).drop("kind", "place")
 
 
 def assemble(rows: DataFrame) -> DataFrame:

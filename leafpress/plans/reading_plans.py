@@ -8,6 +8,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from leafpress.operators import activity as A
 from leafpress.operators import blocks as B
 from leafpress.operators import context as C
 from leafpress.operators import geometry as G
@@ -232,7 +233,47 @@ def config_resolved(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, name string, value string, source string")
 
 
-QUERIES = {f.__name__: f for f in (pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain, workspace_listing, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type, duplicates_rejected, config_resolved)}
+def marked_boxes(spark, sf_dir):
+    """Boxes with a cut phrase in every fourth pair, a bullet in the first box of a page and a doubled numeral in some."""
+    k = F.col("box_no") % 4
+    text = F.when(k == 0, F.concat("text", F.lit(" Google"))).when(k == 1, F.concat(F.lit("Reader "), "text")).when((k == 2) & (F.col("page") == 1), F.lit("第一一章")).otherwise(F.col("text"))
+    return table_plans.boxes(spark, sf_dir).withColumn("text", F.when(F.col("box_no") == 0, F.concat(F.lit(" ▪  "), text)).otherwise(text))
+
+
+def ocr_report(spark, sf_dir):
+    """What all repairs of recognised boxes change, by rule."""
+    return O.processed_report(O.processed(marked_boxes(spark, sf_dir)))
+
+
+def ocr_page_blocks(spark, sf_dir):
+    """Recognised rows and, on every second page, two tables as blocks in order."""
+    b = table_plans.boxes(spark, sf_dir)
+    pages = b.select("doc", "page").distinct().where("page % 2 = 0").withColumn("table_index", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = O.page_blocks(O.page_rows(b), pages)
+    return out.select("doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("line_index", "table_index")])
+
+
+def recents_cleared(spark, sf_dir):
+    """Recent workspaces after one is removed and the list cleared: pinned ones stay, and an entry appended since counts."""
+    log = read(spark, sf_dir, "events").select(F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at"))
+    more = A.upsert(log, log.agg(F.max("opened_at").alias("opened_at")).select(F.lit("/ws/late").alias("workspace_key"), F.expr("opened_at + interval 1 day").alias("opened_at")))
+    pins = log.where("try_cast(substring(workspace_key, 5, 20) as bigint) % 41 = 0").unionByName(log.limit(1).withColumn("workspace_key", F.lit("/ws/late")))
+    recents = A.recent_workspaces(more, pins)
+    return A.pinned_only(A.removed(recents, "/ws/41")).select("workspace_key", "opens")
+
+
+def pdf_plain_tables(spark, sf_dir):
+    """Files whose page has one frame of three cells only: the plain finder's table."""
+
+    def make(doc, pdf):
+        names = sorted(pdf["n_name"])[:3]
+        return W.pdf([W.grid_marks([names], [40.0, 180.0, 320.0, 460.0], 60, 20, 8) + [("text", 40, 120, "below", 9)]])
+
+    b = R.read(files_of(read(spark, sf_dir, "nation"), "n_regionkey", make, "pdf")).select(number_of().alias("region"), F.inline("blocks")).where("block_type = 'table'")
+    return b.select("region", F.array_join(F.col("grid")[0], "|").alias("cells"), "extraction_method", "confidence", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"))
+
+
+QUERIES = {f.__name__: f for f in (pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain, workspace_listing, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type, duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables)}
 
 _S = "s AS (SELECT floor(s_suppkey / 20)::INT AS doc, *, row_number() OVER (PARTITION BY floor(s_suppkey / 20) ORDER BY s_suppkey) AS k FROM supplier), d AS (SELECT doc, count(*) AS n FROM s GROUP BY doc)"
 _TEXT = r"regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')"
@@ -281,6 +322,18 @@ ORACLES = {
     "split_phrases": rf"""WITH w AS (SELECT conv_id AS doc, turn::INT AS page, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM conversations), b AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS k, len(w) AS n, unnest(w) AS t FROM w)
         SELECT doc, page, k AS box_no, CASE WHEN k % 4 = 0 AND k + 1 < n THEN t || ' Google Reader' WHEN k % 4 = 0 THEN t || ' Google' WHEN k % 4 = 1 THEN t ELSE t END AS text FROM b""",
     "paragraphs_of_type": "SELECT conv_id::VARCHAR AS artifact_id, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations WHERE role = 'user' GROUP BY 1",
+    "ocr_report": rf"""WITH w AS (SELECT conv_id AS doc, turn::INT AS page, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM conversations), b AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS k, len(w) AS n FROM w),
+        c AS (SELECT doc, page, k % 6 AS c, count(*) FILTER (WHERE k // 6 * 30 + k % 3 <= 640) AS n FROM b GROUP BY 1, 2, 3), n AS (SELECT 'ocr.english-spacing' AS rule_id, 2 * count(*) FILTER (WHERE k % 4 = 0 AND k + 1 < n) AS n FROM b
+            UNION ALL SELECT 'ocr.dash-confusion', count(*) FILTER (WHERE k % 4 = 2 AND page = 1) FROM b UNION ALL SELECT 'ocr.list-marker', (SELECT count(*) FROM b WHERE k = 0) + coalesce(sum(n) FILTER (WHERE c > 0 AND n > 1), 0) FROM c)
+        SELECT rule_id, '1' AS version, n::BIGINT AS n FROM n WHERE n > 0""",
+    "ocr_page_blocks": rf"""WITH w AS (SELECT conv_id AS doc, turn::INT AS page, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM conversations), b AS (SELECT doc, page, generate_subscripts(w, 1)::INT - 1 AS k, unnest(w) AS t FROM w),
+        r AS (SELECT doc, page, k // 6 AS line_index, string_agg(t, ' ' ORDER BY k) AS text, min(k // 6 * 30.0 + k % 3) AS top FROM b GROUP BY 1, 2, 3),
+        e AS (SELECT doc, page, top, 0 AS kind, line_index AS place, 'text_block' AS block_type, text, line_index, -1 AS table_index FROM r UNION ALL SELECT DISTINCT doc, page, 0.0, 1, i, 'table', '', -1, i FROM r, (VALUES (1), (2)) AS t(i) WHERE page % 2 = 0),
+        s AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top, kind, place) AS seq FROM e)
+        SELECT doc, page, seq, 'b' || lpad(seq::VARCHAR, 4, '0') AS block_id, block_type, text, line_index::BIGINT AS line_index, table_index::BIGINT AS table_index FROM s""",
+    "recents_cleared": "SELECT '/ws/' || user_id AS workspace_key, count(*) AS opens FROM events WHERE user_id % 41 = 0 AND user_id <> 41 GROUP BY 1 UNION ALL SELECT '/ws/late', 1",
+    "pdf_plain_tables": """WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation)
+        SELECT n_regionkey::INT AS region, string_agg(n_name, '|' ORDER BY k) AS cells, 'page-library' AS extraction_method, 0.7::DOUBLE AS confidence, 1::BIGINT AS n_rows, 3::BIGINT AS n_cols FROM n WHERE k <= 3 GROUP BY 1""",
     "duplicates_rejected": "SELECT o_custkey % 50 AS provider, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) = 1 AS kept FROM orders",
     "config_resolved": """SELECT * FROM (VALUES ('field', 'llm_model', 'm-env', 'Environment'), ('field', 'recent_workspace_limit', '0', 'User Config'), ('field', 'restore_last_workspace', 'False', 'User Config'), ('field', 'model_dir', '/m', 'Environment'), ('field', 'recent_activity_limit', '3', 'Runtime Argument'),
         ('dir', '0', '/a', 'User Config'), ('dir', '1', '/b', 'User Config'), ('dir', '2', '/c', 'Environment'), ('dir', '3', '/d', 'Runtime Argument')) AS t(kind, name, value, source)""",

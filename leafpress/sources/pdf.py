@@ -17,6 +17,7 @@ from typing import Any, NamedTuple
 import numpy as np
 
 from leafpress.operators import geometry as G
+from leafpress.operators.pages import GRID_CONFIDENCE, LIBRARY_CONFIDENCE
 from leafpress.sources.office import EncryptedError, collapse
 
 SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
@@ -596,9 +597,12 @@ class Page:
             v += [(x, y0, y1) for x in (x0, x1)] if y1 - y0 >= G.MIN_LENGTH else []
         return np.array(h, float).reshape(-1, 3), np.array(v, float).reshape(-1, 3)
 
-    def tables(self, lines: list[list[Char]]) -> list[G.Table]:
+    def tables(self, lines: list[list[Char]]) -> tuple[list[G.Table], bool]:
+        """Tables of ruled grids; on a page without any, those of the plain finder, and whether it is these."""
         words = [(w.text, w.x0, (w.top + w.bottom) / 2, w.size if w.size > 0 else 10.0) for line in lines for w in line]
-        return G.solve_page(*self.rules(), words)
+        rules = self.rules()
+        found = G.solve_page(*rules, words)
+        return (found, False) if found else (G.plain_tables(*rules, words), True)
 
 
 def pdf_string(raw: Any) -> str | None:
@@ -608,11 +612,20 @@ def pdf_string(raw: Any) -> str | None:
     return text or None
 
 
+def method(spare: bool) -> dict:
+    """How a table was found, and how sure that is."""
+    if spare:
+        return {"extraction_method": "page-library", "confidence": LIBRARY_CONFIDENCE}
+    return {"extraction_method": "pdf-vector-grid", "confidence": GRID_CONFIDENCE}
+
+
 def read_pdf(data: bytes) -> tuple[dict, list[dict]]:
     doc = Document(data)
     pages = [Page(doc, p) for p in doc.pages()]
     lines = [p.words() for p in pages]
-    tables = G.settle_pages([p.tables(own) for p, own in zip(pages, lines, strict=True)])
+    solved = [p.tables(own) for p, own in zip(pages, lines, strict=True)]
+    plain = [spare for _, spare in solved]
+    tables = G.settle_pages([found for found, _ in solved])
     chains = G.linked(tables)
     blocks, about = [], []
     for k, (page, own, found) in enumerate(zip(pages, lines, tables, strict=True), 1):
@@ -623,7 +636,7 @@ def read_pdf(data: bytes) -> tuple[dict, list[dict]]:
             for c in t.cells:
                 grid[c.row - 1][c.col - 1] = collapse(c.text)
             merged = [f"{c.row},{c.col},{c.rowspan},{c.colspan}" for c in t.cells if c.rowspan > 1 or c.colspan > 1]
-            placed.append((t.box[1], 1, {"block_type": "table", "page": k, "table_index": n, "grid": grid, "n_rows": t.rows, "n_cols": t.columns, "merged": merged, "header_row": t.header or None, "extraction_method": "pdf-vector-grid", "confidence": 0.98, **chains[k - 1][n - 1]}))
+            placed.append((t.box[1], 1, {"block_type": "table", "page": k, "table_index": n, "grid": grid, "n_rows": t.rows, "n_cols": t.columns, "merged": merged, "header_row": t.header or None, **method(plain[k - 1]), **chains[k - 1][n - 1]}))
         if page.images:
             placed.append((0.0, 2, {"block_type": "image_reference", "page": k, "image_count": len(page.images)}))
         blocks += [b for *_, b in sorted(placed, key=lambda x: x[:2])]
