@@ -229,9 +229,13 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         return rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(3)}"])
 
     def other():
-        return rng.choice(
-            [f"{rng.randint(1, 20)}.{rng.randint(0, 9)}", f"{rng.choice((19, 20))}{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", d(rng.randint(1, 6)), d(rng.randint(7, 19)), f"v{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"{word()} at {word()}", f"{word()} dot {word()}", f"{d(4)} - {d(4)}", f"#{d(8)}", f"{d(5)}-{d(4)}", f"{rng.choice((19, 20))}{d(2)} {rng.choice((19, 20))}{d(2)}", f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(1)}.{d(1)}.{d(1)}", f"300.{d(3)}.999.{d(2)}", f"({d(4)}) {d(2)}-{d(2)}"]
-        )
+        n, year = rng.randint, f"{rng.choice((19, 20))}{d(2)}"
+        plain = [f"{n(1, 20)}.{n(0, 9)}", d(n(1, 6)), d(n(7, 19)), f"#{d(8)}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}:{d(2)}:{d(2)}"]
+        dates = [f"{year}-0{n(1, 9)}-{n(10, 28)}", f"{n(10, 28)}/0{n(1, 9)}/{year}", f"{year} {rng.choice((19, 20))}{d(2)}", f"({d(4)}) {d(2)}-{d(2)}"]
+        codes = [f"v{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(1)}.{d(1)}.{d(1)}", f"300.{d(3)}.999.{d(2)}", f"{d(5)}-{d(4)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)} - {d(4)}"]
+        groups = [f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", ", ".join(f"{d(2)}-{d(2)}" for _ in range(n(2, 4)))]
+        words = [f"{word()} at {word()}", f"{word()} dot {word()}", f"{word()} at {word()} dot {word()}"]
+        return rng.choice([*plain, *dates, *codes, *groups, *words])
 
     made = {"email": email, "ip": ip, "card": card, "phone": phone}
     text, spans = word(), []
