@@ -95,6 +95,21 @@ def test_links_beside_every_scope(most):
 
 
 # Sentences written by hand, not by the generator that trains the field, and looked at only after training was settled.
+WRITTEN = [
+    ("write j.doe at northmail dot org or ring (312) 555-0143", [("email", "j.doe at northmail dot org"), ("phone", "(312) 555-0143")]),
+    ("the server at 10.1.2.3 answers, the one in room 10 does not", [("ip", "10.1.2.3")]),
+    ("mastercard 5105 1051 0510 5100, see page 12", [("card", "5105 1051 0510 5100")]),
+    ("info (AT) museum (DOT) fr", [("email", "info (AT) museum (DOT) fr")]),
+    ("mobile 206.555.0199 or +33 145 678 901", [("phone", "206.555.0199"), ("phone", "+33 145 678 901")]),
+    ("look at chapter dot five of the book", []),
+    ("ratio 16-9, 4-3, 21-9 and 1.85", []),
+    ("born 1984-07-21, died 2019", []),
+    ("part number 88123-4410 replaced 88123-4409", []),
+    ("ISBN 978-0-13-110362-7 and ISBN 978-1-49-195016-0", []),
+    ("at 12:05:33 it rained", []),
+    ("she lives at 221 baker street dot dot dot", []),
+    ("population 8,336,817 in 2019, 8,804,190 in 2020", []),
+]
 
 
 def test_sentences_written_by_hand():
