@@ -96,7 +96,12 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 def text_part(text: Column) -> Column:
     """A text column as a list of one part."""
     fields = [F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref")]
-    return F.array(F.struct(*fields, *[F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
+    return F.array(
+        F.struct(
+            *fields,
+            *[F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+        )
+    )
 
 
 def format_conversations(rows: DataFrame, *, parts: str | None = None, trained: str = "assistant") -> DataFrame:
@@ -163,9 +168,23 @@ def digests(formatted: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=schema)
 
-    schema = pa.schema(list(zip(names, [to_arrow_type(formatted.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)))
+    schema = pa.schema(
+        list(
+            zip(
+                names,
+                [
+                    to_arrow_type(formatted.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(),
+                    pa.int64()
+                ],
+                strict=True
+            )
+        )
+    )
     tokens = F.aggregate(F.col("attachments"), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens")
-    return dealt.select("conv_id", "formatted", "loss_start", "loss_end", tokens).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long")
+    return dealt.select("conv_id", "formatted", "loss_start", "loss_end", tokens).mapInArrow(
+        run,
+        f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long"
+    )
 
 
 def op7_chat_format(spark, sf_dir):

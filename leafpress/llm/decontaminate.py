@@ -87,7 +87,13 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
                         out.append((item, words.text(a, a + n), n, keys[size][a : a + n - size + 1].view(np.int64).tolist()))
                 if out:
                     item, w, n, own = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["item", "w", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(item, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int32()),
+                            pa.array(own, pa.list_(pa.int64()))
+                        ],
+                        ["item", "w", "n", "keys"]
+                    )
 
     return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, w string, n int, keys array<long>")
 
@@ -109,7 +115,12 @@ class Filter:
         def packed(key, group):
             bits = np.zeros(1 << CHUNK, np.uint8)
             bits[group.column("p").to_numpy() & ((1 << CHUNK) - 1)] = 1
-            return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+            return pa.table(
+                {
+                    "chunk": pa.array([key[0].as_py()], pa.int64()),
+                    "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+                }
+            )
 
         places = keys.select("h").mapInArrow(positions, "p long").distinct()
         chunks = places.withColumn("chunk", F.shiftright("p", CHUNK)).groupBy("chunk").applyInArrow(packed, "chunk long, bits binary")
@@ -178,7 +189,9 @@ def places(docs: DataFrame, sought, sizes: list[int], window: int, names: tuple[
             n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             ids = pa.array(np.arange(row, row + len(n)), pa.int64())
             row += len(n)
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(n, pa.int64()), pa.array(found, kind)], [*b.schema.names, "row", "n_words", "places"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, ids, pa.array(n, pa.int64()), pa.array(found, kind)], [*b.schema.names, "row", "n_words", "places"]
+            )
 
     return cut(map_rows(docs, run, f", row long, n_words long, places {PLACES}", names))
 
@@ -216,14 +229,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         for b in batches:
             spans = [union(np.stack([x.values.field(k).to_numpy() for k in (0, 1)], 1)) for x in b.column(1)]
             n = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([s.astype(np.int32).tobytes() for s in spans], pa.binary())], ["row", "n_hit", "hits"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array([s.astype(np.int32).tobytes() for s in spans], pa.binary())],
+                ["row", "n_hit", "hits"]
+            )
 
     hits = held.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans")).mapInArrow(unite, "row long, n_hit long, hits binary")
     found = held.select("row", "w").distinct().join(windows.distinct(), "w").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = marked.select("doc_id", F.col(row).alias("row"), F.col(n_words).alias("n_words")).join(hits, "row", "left").join(found, "row", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), digest(names).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("hits", F.lit("").cast("binary")).alias("hits"), names.alias("items"))
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), digest(names).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), F.coalesce("hits", F.lit("").cast("binary")).alias("hits"), names.alias("items")
+    )
 
 
 def digest(names: Column) -> Column:

@@ -111,12 +111,18 @@ def drawn(to: Column, quota: Column, blocks: Column, start: Column) -> Column:
     return whole(to + start) - whole(start)
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7, shard_rows: int = SHARD_ROWS, group: int = GROUP) -> DataFrame:
+def mix(
+    docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 7, shard_rows: int = SHARD_ROWS, group: int = GROUP
+) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, text) with size, source_size, target and the words ``taken`` from it."""
     # rows without an id are told apart by their text
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    sized = cut(sized.select("doc_id", "source", "size", number(F.col("key"), seed=seed).alias("dealt"), number(F.col("key"), seed=seed + 1).alias("place")))
+    sized = cut(
+        sized.select(
+            "doc_id", "source", "size", number(F.col("key"), seed=seed).alias("dealt"), number(F.col("key"), seed=seed + 1).alias("place")
+        )
+    )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = source_targets(sources, weights, most).withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long"))
     sources = sources.withColumn("groups", F.least(F.lit(group), F.ceil(F.col("shards") / group)).cast("long"))
@@ -128,10 +134,15 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST,
     sources = cut(apportion(sources, "share", ["source"], "seats").drop("share", "seats"))
     shard = F.pmod(F.col("d.dealt"), F.col("s.shards"))
     rows = sized.alias("d").join(sources.alias("s"), matched(["source"], "d", "s"))
-    rows = rows.select("d.doc_id", "d.source", "d.size", "d.place", "s.source_size", "s.target", shard.alias("shard"), F.pmod(shard, F.col("s.groups")).alias("grp"))
+    rows = rows.select(
+        "d.doc_id", "d.source", "d.size", "d.place", "s.source_size", "s.target", shard.alias("shard"),
+        F.pmod(shard, F.col("s.groups")).alias("grp")
+    )
     shards = cut(rows.groupBy("source", "grp", "shard").agg(F.sum("size").alias("shard_size")))
     groups = shards.groupBy("source", "grp").agg(F.sum("shard_size").alias("group_size"))
-    groups = groups.alias("g").join(sources.select("source", "quota", "block").alias("s"), matched(["source"], "g", "s")).select("g.*", F.col("s.quota").alias("seats"), "s.block")
+    groups = groups.alias("g").join(
+        sources.select("source", "quota", "block").alias("s"), matched(["source"], "g", "s")
+    ).select("g.*", F.col("s.quota").alias("seats"), "s.block")
     groups = apportion(groups, "group_size", ["grp"], "seats", ["source"]).select("source", "grp", "block", F.col("quota").alias("seats"))
     shards = shards.alias("d").join(groups.alias("g"), matched(["source", "grp"], "d", "g")).select("d.*", "g.block", "g.seats")
     shards = apportion(shards, "shard_size", ["shard"], "seats", ["source", "grp"])
@@ -150,7 +161,10 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST,
         return upto(k) * F.col("block") + (at % F.col("block")) * (upto(k + 1) - upto(k))
 
     taken = F.col("size") * F.col("full") + tokens(F.col("end")) - tokens(F.col("end") - F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken")
+    )
 
 
 def op10_mix_sources(spark, sf_dir):

@@ -91,7 +91,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 HINT = re.compile(r"[0-9]|@|[(\[] ?at ?[)\]]| at [A-Za-z0-9.-]{1,40} dot | at [A-Za-z0-9-]+(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[A-Za-z0-9-]", re.I)
 OPENERS = frozenset("+([")
-WORDS = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "address": "ip", "host": "ip"}
+WORDS = {
+    "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email",
+    "contact": "email", "card": "card", "visa": "card", "ip": "ip", "address": "ip", "host": "ip"
+}
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[(\[] ?at ?[)\]] ?| at |@)[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )[A-Za-z0-9-]+)+", re.I)
 TLD = frozenset("com org net edu gov io de fr uk es info".split())
 
@@ -121,7 +124,11 @@ def features(kind: str, segment: str, before: str, after: str) -> list[str]:
     digits = "".join(groups)
     seps = set(re.sub(r"[A-Za-z0-9]", "", segment))
     shape = "-".join(str(len(g)) for g in groups) if len(groups) <= 6 else "many"
-    out = [f"{kind}|bias", f"{kind}|seps={''.join(sorted(seps))[:4]}", f"{kind}|after={'mark' if after[:1] in '%/°$€:' and after else 'other'}", f"{kind}|before={'mark' if before[-1:] in '.,:/#$€v-_' and before else 'other'}"]
+    out = [
+        f"{kind}|bias", f"{kind}|seps={''.join(sorted(seps))[:4]}",
+        f"{kind}|after={'mark' if after[:1] in '%/°$€:' and after else 'other'}",
+        f"{kind}|before={'mark' if before[-1:] in '.,:/#$€v-_' and before else 'other'}"
+    ]
     hint = next((WORDS[w] for w in reversed(re.findall(r"[a-z]+", before[-16:].lower())) if w in WORDS), "none")
     out.append(f"{kind}|hint={'own' if hint == kind else 'none' if hint == 'none' else 'other'}")
     if kind == "email":
@@ -134,7 +141,10 @@ def features(kind: str, segment: str, before: str, after: str) -> list[str]:
     if kind == "ip":
         out.append(f"ip|octets={all(map(octet, groups))}")
     if kind == "phone":
-        out += [f"phone|plus={segment[0] == '+'}", f"phone|paren={'(' in segment and ')' in segment}", f"phone|year={len(groups) > 1 and len(groups[0]) == 4 and groups[0][:2] in ('19', '20')}", f"phone|single={len(groups) == 1}"]
+        out += [
+            f"phone|plus={segment[0] == '+'}", f"phone|paren={'(' in segment and ')' in segment}",
+            f"phone|year={len(groups) > 1 and len(groups[0]) == 4 and groups[0][:2] in ('19', '20')}", f"phone|single={len(groups) == 1}"
+        ]
     return out
 
 
@@ -226,13 +236,24 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         return sep.join(digits[k : k + 4] for k in range(0, 16, 4))
 
     def phone():
-        return rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(3)}"])
+        return rng.choice(
+            [
+                f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}",
+                f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(3)}"
+            ]
+        )
 
     def other():
         n, year = rng.randint, f"{rng.choice((19, 20))}{d(2)}"
         plain = [f"{n(1, 20)}.{n(0, 9)}", d(n(1, 6)), d(n(7, 19)), f"#{d(8)}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}:{d(2)}:{d(2)}"]
-        dates = [f"{year}-0{n(1, 9)}-{n(10, 28)}", f"{n(10, 28)}/0{n(1, 9)}/{year}", f"{year} {rng.choice((19, 20))}{d(2)}", f"({d(4)}) {d(2)}-{d(2)}"]
-        codes = [f"v{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(1)}.{d(1)}.{d(1)}", f"300.{d(3)}.999.{d(2)}", f"{d(5)}-{d(4)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)} - {d(4)}"]
+        dates = [
+            f"{year}-0{n(1, 9)}-{n(10, 28)}", f"{n(10, 28)}/0{n(1, 9)}/{year}", f"{year} {rng.choice((19, 20))}{d(2)}",
+            f"({d(4)}) {d(2)}-{d(2)}"
+        ]
+        codes = [
+            f"v{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"{d(1)}.{d(1)}.{d(1)}", f"300.{d(3)}.999.{d(2)}", f"{d(5)}-{d(4)}",
+            f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)} - {d(4)}"
+        ]
         groups = [f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", ", ".join(f"{d(2)}-{d(2)}" for _ in range(n(2, 4)))]
         words = [f"{word()} at {word()}", f"{word()} dot {word()}", f"{word()} at {word()} dot {word()}"]
         return rng.choice([*plain, *dates, *codes, *groups, *words])
@@ -353,7 +374,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    )
 
 
 def op2_personal_data(spark, sf_dir):

@@ -132,7 +132,10 @@ def measure(texts: Texts, limits: Limits) -> dict[str, np.ndarray]:
     return out
 
 
-FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "coverage": "double"}
+FIELDS = {
+    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean",
+    "kept": "boolean", "coverage": "double"
+}
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -143,7 +146,9 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         for b in batches:
             parts = [measure(t, limits) for t in blocks(b.column(1))]
             if parts:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate([p[k] for p in parts])) for k in FIELDS)], ["doc_id", *FIELDS])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *(pa.array(np.concatenate([p[k] for p in parts])) for k in FIELDS)], ["doc_id", *FIELDS]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))

@@ -14,7 +14,13 @@ from leafpress.llm.substrings import op5_substring_dedup
 from leafpress.llm.suffixes import op4_suffix_array_dedup
 from leafpress.llm.tokens import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_quality_rules, op4_suffix_array_dedup, op5_substring_dedup, op6_decontaminate, op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_personal_data, op3_quality_rules, op4_suffix_array_dedup, op5_substring_dedup, op6_decontaminate,
+        op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources
+    )
+}
 
 _ISLANDS = """
         islands AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM repeated)),

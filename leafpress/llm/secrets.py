@@ -29,8 +29,12 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?ai:client_?id|access_?key_?id|key_?id|account_?id|user(?:name|_?id)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{4,})""")
-ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[A-Za-z0-9.-]{3,255}(?::[0-9]{2,5})?|(?<![A-Za-z0-9])(?ai:endpoint|host)\x20?[:=]\x20?[A-Za-z0-9.-]{4,255}")
+IDENTIFIER = re.compile(
+    r"""(?<![A-Za-z0-9_])(?ai:client_?id|access_?key_?id|key_?id|account_?id|user(?:name|_?id)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{4,})"""
+)
+ENDPOINT = re.compile(
+    r"(?:https?|s3|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp)://[A-Za-z0-9.-]{3,255}(?::[0-9]{2,5})?|(?<![A-Za-z0-9])(?ai:endpoint|host)\x20?[:=]\x20?[A-Za-z0-9.-]{4,255}"
+)
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 SCOPE_LINES = 12
 
@@ -122,10 +126,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 rows.append((*n, hashlib.sha256(digest(base).encode()).hexdigest(), digest([*base, *added]), len(added)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
+    )
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
@@ -154,7 +163,9 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             yield b.set_column(at, b.schema.field(at), texts)
 
     out = map_rows(docs, run)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    return out.withColumn(
+        "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    ) if "n_chars" in docs.columns else out
 
 
 def op8_secret_scan(spark, sf_dir):

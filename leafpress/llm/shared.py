@@ -188,7 +188,9 @@ def encode(packed: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Arra
     """Dictionary-encode the byte strings of ``lengths`` that lie one after another in ``packed``."""
     offsets = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=offsets[1:])
-    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+    array = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))]
+    )
     coded = array.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 

@@ -283,11 +283,16 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, b
     table stays empty.
     """
     mine, place = fresh(docs, "__key", "__place")
-    ident = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-")))
+    ident = F.concat(
+        F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("-")), F.lit("\n"),
+        F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-"))
+    )
     key = F.sha2(ident, 256)
     marked = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), shingle)
     marked = cut(marked.select("doc_id.doc_id", "doc_id.key", "fp"))
-    first = marked.join(grouped(marked, budget, bucket), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "key").distinct()
+    first = marked.join(grouped(marked, budget, bucket), "fp").where(
+        F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ).select("root", "key").distinct()
     chosen = cut(first.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")))
     keys = chosen.where("n = 1").select(F.col("key").alias(mine))
     tied = first.join(own_exchange(chosen.where("n > 1").select("root"), "root"), "root")
@@ -295,7 +300,10 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, b
     least = texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "key")).alias("of"))
     keys = cut(keys.unionByName(least.select(F.col("of.key").alias(mine))))
     own = docs.withColumn(mine, key)
-    order = [own[f"`{f.name}`"] for f in docs.schema.fields if f.name not in ("doc_id", "text") and f.dataType.simpleString() in ("string", "int", "bigint", "double", "float", "boolean", "date", "timestamp")]
+    order = [
+        own[f"`{f.name}`"] for f in docs.schema.fields if f.name not in ("doc_id", "text")
+        and f.dataType.simpleString() in ("string", "int", "bigint", "double", "float", "boolean", "date", "timestamp")
+    ]
     one = own.withColumn(place, F.row_number().over(W.partitionBy(mine).orderBy(*order or [F.lit(0)]))).where(F.col(place) == 1)
     return one.join(keys, mine, "left_semi").select(*[one[f"`{c}`"] for c in docs.columns])
 

@@ -115,7 +115,9 @@ def classes(texts: Texts, length: int = LENGTH, stride: int = STRIDE, shard: int
     if len(full):
         codes[full] = block_codes(data, full, stride)
     pieces = max(2, -(-len(data) // shard))
-    cuts = np.unique(np.concatenate([[0], starts[np.searchsorted(starts, np.arange(1, pieces) * len(data) // pieces).clip(max=count - 1)], [len(data)]]))
+    cuts = np.unique(
+        np.concatenate([[0], starts[np.searchsorted(starts, np.arange(1, pieces) * len(data) // pieces).clip(max=count - 1)], [len(data)]])
+    )
     parts = []
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         order, before = shard_transform(codes[lo:hi], ends[lo:hi] - lo, begin[lo:hi] - lo, stride, depth)

@@ -205,7 +205,13 @@ def solver(unit, classes: Callable, hot: int) -> Callable:
         if some:
             n = len(some)
             packed = [(found[code[k]] + np.uint32(start[k])).tobytes() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], ["uid", "packed", "start", "once", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(uid[some]), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()),
+                    pa.nulls(n, pa.binary())
+                ],
+                ["uid", "packed", "start", "once", "s"]
+            )
 
     def onward(flags, owner, at, label, split, distinct, uid, start, once, code):
         """The first of each class of windows, in runs that are all repeated or all single so far."""
@@ -233,7 +239,13 @@ def solver(unit, classes: Callable, hot: int) -> Callable:
     def sent(out, once):
         uid, start, s = zip(*out, strict=True)
         n = len(out)
-        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.nulls(n, pa.binary()), pa.array(start, pa.int32()), pa.array([once] * n), pa.array(s, pa.binary())], ["uid", "packed", "start", "once", "s"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(uid, pa.int64()), pa.nulls(n, pa.binary()), pa.array(start, pa.int32()), pa.array([once] * n),
+                pa.array(s, pa.binary())
+            ],
+            ["uid", "packed", "start", "once", "s"]
+        )
 
     return bucket
 
@@ -254,7 +266,13 @@ def cutter(unit, deal: int) -> Callable:
                 for i in range(len(texts)):
                     own = slice(cuts[i], cuts[i + 1])
                     s += unit.pack(texts.raw(i), list(zip(at[own].tolist(), (at[own] + count[own] + unit.length - 1).tolist(), strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(uid[row]), pa.array((start[row] + at).astype(np.int32)), pa.array(again), pa.array(once[row]), pa.array(s, pa.binary())], ["m", "uid", "start", "again", "once", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(least.view(np.int64)), pa.array(uid[row]), pa.array((start[row] + at).astype(np.int32)), pa.array(again),
+                        pa.array(once[row]), pa.array(s, pa.binary())
+                    ],
+                    ["m", "uid", "start", "again", "once", "s"]
+                )
 
     return run
 
@@ -288,11 +306,19 @@ def read_marks(docs: DataFrame, unit) -> DataFrame:
                     whole.append(unit.digest(raw))
                 n, units = len(texts), np.diff(first)
                 ends = [np.array([0, u]).tobytes() for u in units]
-                cols = [b.column(0).slice(int(texts.rows[0]), n), pa.array(np.arange(at, at + n), pa.int64()), pa.array(key, pa.binary()), pa.array(units, pa.int64()), pa.array(whole, pa.string()), pa.array(ends, pa.binary()), pa.array(packed, pa.binary()), pa.array(z, pa.binary())]
+                cols = [
+                    b.column(0).slice(int(texts.rows[0]), n), pa.array(np.arange(at, at + n), pa.int64()), pa.array(key, pa.binary()),
+                    pa.array(units, pa.int64()), pa.array(whole, pa.string()), pa.array(ends, pa.binary()), pa.array(packed, pa.binary()),
+                    pa.array(z, pa.binary())
+                ]
                 at += n
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "key", "n_units", "whole", "ends", "packed", "z"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, uid long, key binary, n_units long, whole string, ends binary, packed binary, z binary"))
+    return cut(
+        docs.select("doc_id", "text").mapInArrow(
+            mark, f"doc_id {kind}, uid long, key binary, n_units long, whole string, ends binary, packed binary, z binary"
+        )
+    )
 
 
 def unpack(batches):
@@ -320,9 +346,13 @@ def repeated_windows(marked: DataFrame, reps: DataFrame, unit, classes: Callable
     labels, equal windows.
     """
     length = unit.length
-    runs = marked.select("uid", "packed").join(reps.select("uid"), "uid", "left_semi").mapInArrow(unpack, "m long, uid long, start int, count int, again boolean")
+    runs = marked.select("uid", "packed").join(reps.select("uid"), "uid", "left_semi").mapInArrow(
+        unpack, "m long, uid long, start int, count int, again boolean"
+    )
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again")).where("times > 1 or again").select("m", "times")
-    asked = runs.join(own_exchange(often, "m"), "m").groupBy("uid").agg(F.collect_list(F.struct("m", "start", "count", "times", "again")).alias("asked"))
+    asked = runs.join(own_exchange(often, "m"), "m").groupBy("uid").agg(
+        F.collect_list(F.struct("m", "start", "count", "times", "again")).alias("asked")
+    )
 
     def travel(batches):
         """The packed super-k-mers of a text."""
@@ -346,7 +376,10 @@ def repeated_windows(marked: DataFrame, reps: DataFrame, unit, classes: Callable
     def packed_rows(out):
         cols = [pa.array(np.concatenate([x[i] for x in out])) for i in range(6)]
         n = len(cols[0])
-        return pa.RecordBatch.from_arrays([*cols, pa.array(np.ones(n, bool)), pa.array([s for x in out for s in x[6]], pa.binary())], ["m", "salt", "uid", "start", "times", "again", "once", "s"])
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array(np.ones(n, bool)), pa.array([s for x in out for s in x[6]], pa.binary())],
+            ["m", "salt", "uid", "start", "times", "again", "once", "s"]
+        )
 
     strings = marked.select("uid", "z").join(asked, "uid").select("uid", "z", "asked").mapInArrow(travel, STRINGS)
     solve = solver(unit, classes, hot)
@@ -403,7 +436,9 @@ def without_repeats(docs: DataFrame, unit, classes: Callable, hot: int = HOT) ->
 
     # a text with copies goes whole, so only the others need theirs again
     alone = reps.where("n = 1").select("uid")
-    shorter = marked.select("uid", "z").join(found, "uid").join(alone, "uid", "left_semi").select("uid", "z", "spans").mapInArrow(finish, "uid long, n_removed long, n_spans long, kept string, removed binary")
+    shorter = marked.select("uid", "z").join(found, "uid").join(alone, "uid", "left_semi").select("uid", "z", "spans").mapInArrow(
+        finish, "uid long, n_removed long, n_spans long, kept string, removed binary"
+    )
     copies = reps.where("n > 1").select("key", F.lit(True).alias("copied"))
     rows = marked.select("doc_id", "uid", "key", "n_units", "whole", "ends").join(copies, "key", "left").join(shorter, "uid", "left")
     gone = F.coalesce(F.col("copied") & (F.col("n_units") >= unit.length), F.lit(False))

@@ -120,7 +120,10 @@ class Chunk:
         bucket = np.array([xxhash.xxh32_intdigest(r) % n_buckets for r in raw], np.uint16)
         order = np.argsort(bucket, kind="stable")
         numbers, begin = np.unique(bucket[order], return_index=True)
-        lists = [make.compress(b"".join(len(raw[i]).to_bytes(4, "little") + raw[i] for i in order[lo:hi])) for lo, hi in zip(begin, [*begin[1:], len(raw)], strict=False)]
+        lists = [
+            make.compress(b"".join(len(raw[i]).to_bytes(4, "little") + raw[i] for i in order[lo:hi]))
+            for lo, hi in zip(begin, [*begin[1:], len(raw)], strict=False)
+        ]
         n = len(lists)
         columns = {
             "chunk": pa.array([number] * (n + 1), pa.int64()),
@@ -157,7 +160,12 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER,
         if now.ids:
             yield now.batch(number, n_buckets, own)
 
-    made = cut(docs.select("doc_id", "text").mapInArrow(frequencies, f"chunk long, bucket int, packed binary, buckets binary, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>"))
+    made = cut(
+        docs.select("doc_id", "text").mapInArrow(
+            frequencies,
+            f"chunk long, bucket int, packed binary, buckets binary, ids array<{kind}>, n_bytes array<long>, sizes array<int>, special array<int>"
+        )
+    )
 
     def pieces(batches):
         """Streams over the lists of a bucket: a pre-token is tokenised where it comes first, and looked up after that."""
@@ -175,8 +183,12 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER,
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "pieces"])
 
     lists = made.where("bucket is not null").select("chunk", "bucket", "packed")
-    counted = lists.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(pieces, "chunk long, bucket int, pieces binary")
-    back = counted.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "pieces"))), lambda x: x["pieces"]).alias("pieces"))
+    counted = lists.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(
+        pieces, "chunk long, bucket int, pieces binary"
+    )
+    back = counted.groupBy("chunk").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bucket", "pieces"))), lambda x: x["pieces"]).alias("pieces")
+    )
 
     def sums(batches):
         make = zstandard.ZstdDecompressor()
@@ -191,7 +203,9 @@ def token_counts(docs: DataFrame, *, path: str | None = None, over: int = OVER,
                 total = np.concatenate([[0], np.cumsum(each[places] * times)])
                 ends = np.cumsum(sizes)
                 tokens = total[ends] - total[ends - sizes] + special.values.to_numpy()
-                yield pa.RecordBatch.from_arrays([ids.values, lengths.values, pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.values, lengths.values, pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+                )
 
     chunks = made.where("bucket is null").drop("bucket")
     whole = chunks.join(back, "chunk", "left").select("ids", "n_bytes", "sizes", "special", "packed", "buckets", "pieces")
@@ -221,7 +235,9 @@ def unpack(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     steps, times = np.frombuffer(data, "<u4").astype(np.int64).reshape(2, -1)
     total = np.cumsum(steps)
     begin = np.cumsum(sizes) - sizes
-    before = np.where(sizes > 0, total[np.minimum(begin, max(0, len(total) - 1))] - steps[np.minimum(begin, max(0, len(steps) - 1))], 0) if len(total) else np.zeros(len(sizes), np.int64)
+    before = np.where(
+        sizes > 0, total[np.minimum(begin, max(0, len(total) - 1))] - steps[np.minimum(begin, max(0, len(steps) - 1))], 0
+    ) if len(total) else np.zeros(len(sizes), np.int64)
     return total - np.repeat(before, sizes), times
 
 

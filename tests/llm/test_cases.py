@@ -71,7 +71,9 @@ def test_fresh_names(spark):
 def test_keep_one_with_any_names(spark):
     from leafpress.llm import simhash
 
-    df = spark.createDataFrame([(None, None, 1), (None, "", 2), (3, "a b c d", 3), (3, "a b c d", 4)], "doc_id long, text string, `__key` int").withColumns({"__place": F.lit("x"), "a.b": F.lit(1)})
+    df = spark.createDataFrame(
+        [(None, None, 1), (None, "", 2), (3, "a b c d", 3), (3, "a b c d", 4)], "doc_id long, text string, `__key` int"
+    ).withColumns({"__place": F.lit("x"), "a.b": F.lit(1)})
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     # null and empty texts share fingerprint zero; null ids come last only among others
@@ -86,7 +88,12 @@ def test_hot_keys_are_split(spark):
     from leafpress.llm import simhash
 
     saved = {}
-    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+    for k, v in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false"
+    }.items():
         saved[k] = spark.conf.get(k, None)
         spark.conf.set(k, v)
     try:
@@ -142,7 +149,9 @@ def test_decontamination_with_any_names(spark):
 
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(1, text, b"x"), (1, "clean words only", b"y"), (None, None, None), (2, "word " * 60_000 + text, b"z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, `__row` binary").withColumns({"n_words": F.lit("own"), "__leafpress_hits": F.lit(1), "a.b": F.lit(2)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__row` binary").withColumns(
+        {"n_words": F.lit("own"), "__leafpress_hits": F.lit(1), "a.b": F.lit(2)}
+    )
     bench = spark.createDataFrame([(5, text[:60].upper())], "item_id long, text string")
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean words only"]
@@ -156,7 +165,9 @@ def test_stages_with_any_names_and_no_rows(spark):
     """Filters keep the columns of their input, whatever they are called, and empty tables."""
     from leafpress.llm import secrets
 
-    df = spark.createDataFrame([(1, None, 3), (2, "token=abcdefgh1", 4)], "doc_id long, text string, c0 int").withColumns({"a.b": F.lit(2), "row": F.lit(1), "Kept": F.lit(1)})
+    df = spark.createDataFrame(
+        [(1, None, 3), (2, "token=abcdefgh1", 4)], "doc_id long, text string, c0 int"
+    ).withColumns({"a.b": F.lit(2), "row": F.lit(1), "Kept": F.lit(1)})
     for stage in (quality.filter_quality, secrets.redact_secrets):
         assert stage(df).columns == df.columns and stage(df.limit(0)).count() == 0
         stage(df).collect()

@@ -73,7 +73,13 @@ def test_token_counts(docs, empty):
     assert tokens.token_counts(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|> b<|endoftext|>", "日本語テキスト😀 x՘y", "   lead  \n\n trail   ", "it's we'll\xa0　 z", "\U0003fc36 a₏1", "<|endoftext", "٣٤ ½ ǅ"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a<|endoftext|> b<|endoftext|>", "日本語テキスト😀 x՘y", "   lead  \n\n trail   ", "it's we'll\xa0　 z", "\U0003fc36 a₏1", "<|endoftext",
+        "٣٤ ½ ǅ"
+    ]
+)
 def test_pre_tokens(text):
     from tokenizers import Tokenizer
 
@@ -101,7 +107,10 @@ def test_packing():
 
 # 2
 
-BASE_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+}
 
 
 def plain_luhn(d):
@@ -109,7 +118,11 @@ def plain_luhn(d):
 
 
 def brute_pii(text):
-    keep = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and plain_luhn(d), "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15}
+    keep = {
+        "email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and plain_luhn(d),
+        "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15
+    }
     return sorted((k, m.start(), m.end()) for k, p in BASE_PII.items() for m in re.finditer(p, text) if keep[k](m.group()))
 
 
@@ -134,7 +147,13 @@ def test_semi_crf():
     assert [(k, text[s:e]) for k, s, e in found] == [("email", "jo at example dot com"), ("phone", "(499) 555-6503")]
 
 
-@pytest.mark.parametrize("text", ["JO AT EXAMPLE DOT COM", "jo (at ) example.com", "jo at example.com", "jo at example (dot) com", "write to jo at mail.example [dot]com"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "JO AT EXAMPLE DOT COM", "jo (at ) example.com", "jo at example.com", "jo at example (dot) com",
+        "write to jo at mail.example [dot]com"
+    ]
+)
 def test_added_without_digits(spark, text):
     """A span that the field finds in the whole text is found in rows, whether or not a digit stands far away."""
     kept = [x for x in pii.viterbi(text, pii.train()) if x[0] == "email"]
@@ -182,7 +201,9 @@ def brute_over(text, limits):
             worst = max([worst, *(c * sum(map(len, g)) / total / limits.top[n] for g, c in count.items() if c > 1)])
     lines = [x for x in (text or "").split("\n") if re.search(SPACE, x)]
     dup = [x for k, x in enumerate(lines) if x in lines[:k]]
-    return worst > 1 or (len(lines) > 1 and len(dup) > limits.lines * len(lines)) or sum(map(len, dup)) > limits.line_chars * max(1, sum(map(len, lines)))
+    return worst > 1 or (
+        len(lines) > 1 and len(dup) > limits.lines * len(lines)
+    ) or sum(map(len, dup)) > limits.line_chars * max(1, sum(map(len, lines)))
 
 
 def test_quality(docs, empty):
@@ -205,8 +226,12 @@ def brute_repeats(units, length):
         for i in range(len(u) - length + 1):
             if count[key(u, i)] > 1:
                 gone[i : i + length] = True
-        kept = bytes(x for x, g in zip(u, gone, strict=False) if not g) if isinstance(u, bytes) else b" ".join(x for x, g in zip(u, gone, strict=False) if not g)
-        yield len(u), int(gone.sum()), int((gone[:-1] & ~np.concatenate([[False], gone[:-2]]))[: len(u)].sum()) if len(u) else 0, hashlib.sha256(kept).hexdigest()
+        kept = bytes(
+            x for x, g in zip(u, gone, strict=False) if not g
+        ) if isinstance(u, bytes) else b" ".join(x for x, g in zip(u, gone, strict=False) if not g)
+        yield len(u), int(gone.sum()), int(
+            (gone[:-1] & ~np.concatenate([[False], gone[:-2]]))[: len(u)].sum()
+        ) if len(u) else 0, hashlib.sha256(kept).hexdigest()
 
 
 @pytest.mark.parametrize("hot,bits", [(4000, 64), (5, 64), (60, 8)])
@@ -249,7 +274,10 @@ def test_contamination(spark, docs, empty, bits, monkeypatch):
     """Also where the filter lets everything through."""
     monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
     monkeypatch.setattr(decontaminate, "MOST_BITS", max(bits, 4))
-    items = [(1, PASSAGE[:150]), (2, "W3 the"), (3, None), (4, "..."), (None, "日本"), (6, "one"), (6, "of the of the of the w1 w2 w3 w4 w5 w6"), (7, " ".join(NEAR[5:40]))]
+    items = [
+        (1, PASSAGE[:150]), (2, "W3 the"), (3, None), (4, "..."), (None, "日本"), (6, "one"), (6, "of the of the of the w1 w2 w3 w4 w5 w6"),
+        (7, " ".join(NEAR[5:40]))
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in items:
@@ -278,7 +306,13 @@ def test_contamination(spark, docs, empty, bits, monkeypatch):
 def test_chat(spark):
     rng = random.Random(5)
     bits = ["<|", "|>", "\\", "<|end|>", "<|image:0|>", "\n", "é", "<\\|", "ok", "<|turn|>"]
-    data = [(c, t, rng.choice(["user", "assistant", "system", None, "a|<|b"]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))])) for c in (1, 2, None) for t in (0, 1, 1, None, 3)]
+    data = [
+        (
+            c, t, rng.choice(["user", "assistant", "system", None, "a|<|b"]),
+            rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))])
+        )
+        for c in (1, 2, None) for t in (0, 1, 1, None, 3)
+    ]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(3))
     got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
     groups = collections.defaultdict(list)
@@ -289,12 +323,18 @@ def test_chat(spark):
         loss = "".join(x for *_, r, x in turns if r == "assistant")
         r = got[c]
         assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest())
-        assert (r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(f) for _, f, *_ in turns))
+        assert (r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) == (
+            len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(f) for _, f, *_ in turns)
+        )
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
 def test_typed_parts(spark):
-    parts = [("text", "see <|", None, None, None, None, None), ("image", None, "s3://i", 56, 57, None, None), ("audio", None, "a", None, None, 2.0, None), ("document", None, "d", None, None, None, 3), ("text", "end", None, None, None, None, None)]
+    parts = [
+        ("text", "see <|", None, None, None, None, None), ("image", None, "s3://i", 56, 57, None, None),
+        ("audio", None, "a", None, None, 2.0, None), ("document", None, "d", None, None, None, 3),
+        ("text", "end", None, None, None, None, None)
+    ]
     df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", None)], f"conv_id long, turn int, role string, body array<{chat.PART}>")
     a, b = chat.format_conversations(df, parts="body").orderBy("turn").collect()
     assert a["formatted"] == "<|turn|>assistant<|text|>see <\\|<|image:0|><|audio:1|><|document:2|>end<|end|>"
@@ -328,7 +368,10 @@ def brute_secrets(text):
 
 def test_base_secrets():
     rng = random.Random(4)
-    bits = ["token", "=", " ", "AKIA", "ABCDEF12", "abcdef0123456789", "password", ":", '"', "ſecret", "Token", "api_key", "apikey", "x", "AKIAAKIAAKIAAKIA", "0" * 40, "\n"]
+    bits = [
+        "token", "=", " ", "AKIA", "ABCDEF12", "abcdef0123456789", "password", ":", '"', "ſecret", "Token", "api_key", "apikey", "x",
+        "AKIAAKIAAKIAAKIA", "0" * 40, "\n"
+    ]
     for _ in range(10_000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
         assert sorted(x[:3] for x in secrets.base_spans(text)) == brute_secrets(text), text
@@ -337,7 +380,9 @@ def test_base_secrets():
 def test_linked_secrets(spark, docs, empty):
     weak = "A7f9Qx2LmP0vTz8KwR4bYn6D"
     text = f"cfg\nclient_id=app-prod-7731\nkey {weak}\nhost: db.example.com\n\nnothing {weak} here"
-    r = secrets.find_secrets(spark.createDataFrame([(1, text), (2, f"only {weak}"), (3, None)], "doc_id int, text string")).orderBy("doc_id").collect()
+    r = secrets.find_secrets(
+        spark.createDataFrame([(1, text), (2, f"only {weak}"), (3, None)], "doc_id int, text string")
+    ).orderBy("doc_id").collect()
     assert r[0]["spans"] == "identifier:4:27,secret:32:56,endpoint:57:77" and r[0]["n_linked"] == 3
     assert r[1]["spans"] == r[2]["spans"] == "" and r[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.redact(text).count("[SECRET]") == 2 and secrets.redact(text).endswith(f"{weak} here")
@@ -411,7 +456,10 @@ def test_keep_one_of_each_group(spark):
     rng = random.Random(3)
     far = [" ".join(rng.choice(WORDS[:150]) for _ in range(80)) for _ in range(6)]
     assert len(set(classes(range(6), [brute_fingerprint(t) for t in far], 3).values())) == 6
-    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (None, far[2]), (5, far[2]), (6, far[3]), (6, far[4]), (6, far[4]), (7, far[4]), (7, far[5]), (7, far[5].upper())]
+    rows = [
+        (None, far[0]), (None, far[1]), (None, far[1]), (None, far[2]), (5, far[2]), (6, far[3]), (6, far[4]), (6, far[4]), (7, far[4]),
+        (7, far[5]), (7, far[5].upper())
+    ]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(None, far[0]), (None, far[1]), (5, far[2]), (6, far[3]), (6, far[4]), (7, min(far[5], far[5].upper()))]
     assert collections.Counter(map(tuple, kept)) == collections.Counter(want)
@@ -421,7 +469,14 @@ def test_trie_spans_chains():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 2**63, 40, dtype=np.uint64)
     for _ in range(3):  # chains of near ones
-        fps = np.concatenate([fps, fps ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64))])
+        fps = np.concatenate(
+            [
+                fps,
+                fps ^ (
+                    np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+                ) ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64))
+            ]
+        )
     fps = np.unique(fps)
     forest = simhash.Forest(len(fps))
     a, b = simhash.trie_links(fps, front=50)
@@ -482,7 +537,12 @@ def test_apportionment(spark):
     rng = random.Random(6)
     for seats in (0, 3, 7, 100, 1001):
         shares = [(k, float(rng.choice([0, 1, 5, 17, 400, 1000.5]))) for k in range(12)]
-        got = {r["k"]: r["quota"] for r in mixing.apportion(spark.createDataFrame(shares, "k int, s double").withColumn("seats", F.lit(seats)), "s", ["k"], "seats").collect()}
+        got = {
+            r["k"]: r["quota"]
+            for r in mixing.apportion(
+                spark.createDataFrame(shares, "k int, s double").withColumn("seats", F.lit(seats)), "s", ["k"], "seats"
+            ).collect()
+        }
         quotients = sorted(((s / (2 * j - 1), -k) for k, s in shares for j in range(1, seats + 1) if s > 0), reverse=True)[:seats]
         assert got == {k: sum(-q[1] == k for q in quotients) for k, _ in shares}
 
@@ -490,7 +550,10 @@ def test_apportionment(spark):
 @pytest.mark.parametrize("text", ["x" * 300_000, " ".join(["long"] * 60_000), "é" * 100_000])
 def test_very_long_text(spark, text):
     df = spark.createDataFrame([(1, text, "s"), (2, None, None)], "doc_id long, text string, source string")
-    for f in (tokens.token_counts, pii.find_personal_data, quality.quality, suffixes.remove_repeated_bytes, substrings.remove_repeated_words, secrets.find_secrets, simhash.near_duplicates, mixing.mix):
+    for f in (
+        tokens.token_counts, pii.find_personal_data, quality.quality, suffixes.remove_repeated_bytes, substrings.remove_repeated_words,
+        secrets.find_secrets, simhash.near_duplicates, mixing.mix
+    ):
         assert f(df).count() == 2
 
 
