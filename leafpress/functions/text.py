@@ -10,7 +10,10 @@ SPACE = r"[\s\x1c-\x1f]"
 BULLET = r"^\s*[•●▪◦]\s*"
 CJK = "㐀-鿿"
 #: Fixed value: words that keep a doubled numeral from being read as a dash.
-DASH_SUFFIXES = ("对应", "列举", "说明", "核实", "答复", "回复", "记录", "查看", "检查", "确认", "介绍", "呈现", "列出", "解决", "落实", "兑现", "告知", "询问", "解答", "分析", "比较", "匹配", "排查", "处理", "展示", "验证", "罗列")
+DASH_SUFFIXES = (
+    "对应", "列举", "说明", "核实", "答复", "回复", "记录", "查看", "检查", "确认", "介绍", "呈现", "列出", "解决", "落实", "兑现", "告知", "询问", "解答", "分析", "比较", "匹配",
+    "排查", "处理", "展示", "验证", "罗列"
+)
 #: Fixed value: compact phrases and how they are written.
 COMPACT_PHRASES = {"googlereader": "Google Reader"}
 
@@ -85,12 +88,16 @@ def _decimal(n: Column, pattern: str) -> Column:
 def size_label(n: Column) -> Column:
     """B as an integer, larger units with one decimal, in steps of 1024."""
     unit = lambda k, u: F.concat(_decimal(n / F.lit(float(1024**k)), "0.0"), F.lit(f" {u}"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+    return F.when(
+        n < 1024, F.concat(n.cast("string"), F.lit(" B"))
+    ).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 
 def card_size_label(n: Column) -> Column:
     """The shorter form on cards: KB without decimals, MB with one."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(_decimal(n / F.lit(1024.0), "0"), F.lit(" KB"))).otherwise(F.concat(_decimal(n / F.lit(1048576.0), "0.0"), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(
+        n < 1024**2, F.concat(_decimal(n / F.lit(1024.0), "0"), F.lit(" KB"))
+    ).otherwise(F.concat(_decimal(n / F.lit(1048576.0), "0.0"), F.lit(" MB")))
 
 
 def path_key(c: Column) -> Column:
@@ -103,14 +110,22 @@ def restore_dashes(c: Column) -> Column:
     """Doubled numerals that stand for a dash: between CJK or brackets, and not in a listed word. A pair that stays is passed over whole."""
     # pairs are cut from the left; each is judged by the character before it (a numeral of the pair before included) and by what follows
     parts = F.split(c, "一一", -1)
-    rest = lambda i: F.concat(F.when(F.size(parts) > i + 2, F.concat(F.try_element_at(parts, (i + 2).cast("int")), F.lit("一一"))).otherwise(F.try_element_at(parts, (i + 2).cast("int"))))
-    before = lambda i: F.when((i > 0) & (F.try_element_at(parts, (i + 1).cast("int")) == ""), F.lit("一")).otherwise(F.right(F.try_element_at(parts, (i + 1).cast("int")), F.lit(1)))
+    rest = lambda i: F.concat(
+        F.when(
+            F.size(parts) > i + 2, F.concat(F.try_element_at(parts, (i + 2).cast("int")), F.lit("一一"))
+        ).otherwise(F.try_element_at(parts, (i + 2).cast("int")))
+    )
+    before = lambda i: F.when(
+        (i > 0) & (F.try_element_at(parts, (i + 1).cast("int")) == ""), F.lit("一")
+    ).otherwise(F.right(F.try_element_at(parts, (i + 1).cast("int")), F.lit(1)))
     good = lambda i: (
         ((before(i) == "") | F.regexp_like(before(i), F.lit(f"[{CJK}）】》”’]")))
         & F.regexp_like(rest(i), F.lit(f"^[{CJK}（【《“‘]"))
         & ~F.regexp_like(rest(i), F.lit(f"^({'|'.join(DASH_SUFFIXES)})"))
     )
-    joined = F.transform(parts, lambda x, i: F.when(i == F.size(parts) - 1, x).otherwise(F.concat(x, F.when(good(i), F.lit("——")).otherwise(F.lit("一一")))))
+    joined = F.transform(
+        parts, lambda x, i: F.when(i == F.size(parts) - 1, x).otherwise(F.concat(x, F.when(good(i), F.lit("——")).otherwise(F.lit("一一"))))
+    )
     return F.when(F.contains(c, F.lit("一一")), F.array_join(joined, "")).otherwise(c)
 
 

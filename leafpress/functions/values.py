@@ -48,7 +48,9 @@ def boolean(c: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    return F.when(c.isNull(), "").when(F.date_format(c, "HH:mm:ss.SSSSSS") == "00:00:00.000000", F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return F.when(c.isNull(), "").when(
+        F.date_format(c, "HH:mm:ss.SSSSSS") == "00:00:00.000000", F.date_format(c, "yyyy-MM-dd")
+    ).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
 
 
 def text(c: Column) -> Column:

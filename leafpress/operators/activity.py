@@ -15,13 +15,17 @@ def recent_activity(log: DataFrame, limit: int = ACTIVITIES, owner: str = "user_
     """Newest entry of each (owner, type, workspace, artifact), newest first, ``limit`` per owner. Partial maxima go first, so only keys are shuffled."""
     newest = log.groupBy(owner, "activity_type", "workspace_key", "artifact_key").agg(F.max(F.struct("opened_at", "entry_id", "title")).alias("e"))
     rank = F.row_number().over(W.partitionBy(owner).orderBy(F.col("e.opened_at").desc(), F.col("e.entry_id").desc()))
-    return newest.withColumn("position", rank).where(F.col("position") <= limit).select(owner, "position", "activity_type", "workspace_key", "artifact_key", "e.opened_at", "e.entry_id", "e.title")
+    return newest.withColumn("position", rank).where(F.col("position") <= limit).select(
+        owner, "position", "activity_type", "workspace_key", "artifact_key", "e.opened_at", "e.entry_id", "e.title"
+    )
 
 
 def recent_workspaces(opens: DataFrame, pins: DataFrame, limit: int = WORKSPACES) -> DataFrame:
     """Pinned ones first and never evicted, of the others the newest ``limit``."""
     last = opens.groupBy("workspace_key").agg(F.max("opened_at").alias("opened_at"), F.count(F.lit(1)).alias("opens"))
-    pinned = last.join(pins.select("workspace_key").distinct().withColumn("pinned", F.lit(True)), "workspace_key", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    pinned = last.join(
+        pins.select("workspace_key").distinct().withColumn("pinned", F.lit(True)), "workspace_key", "left"
+    ).withColumn("pinned", F.coalesce("pinned", F.lit(False)))
     free = pinned.where("not pinned").orderBy(F.col("opened_at").desc(), "workspace_key").limit(limit)
     kept = pinned.where("pinned").unionByName(free)
     return kept.withColumn("position", F.row_number().over(W.orderBy(F.col("pinned").desc(), F.col("opened_at").desc(), "workspace_key")))
@@ -49,7 +53,9 @@ def search(query: str, *, workspaces: DataFrame | None = None, files: DataFrame
         hit = F.lit(False)
         for f in fields:
             hit |= F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(q))
-        return df.where(hit if q else F.lit(False)).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(fields[0]).alias("label"))
+        return df.where(hit if q else F.lit(False)).select(
+            F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(fields[0]).alias("label")
+        )
 
     parts = []
     if workspaces is not None:

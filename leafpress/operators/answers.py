@@ -29,7 +29,10 @@ class ChatClient:
 
     def __call__(self, system: str, user: str) -> str:
         body = {"model": self.model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"})
+        request = urllib.request.Request(
+            f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(),
+            {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"}
+        )
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 return json.loads(r.read())["choices"][0]["message"]["content"]
@@ -72,6 +75,8 @@ def ask(contexts: DataFrame, question: str, model: Callable[[str, str], str]) ->
                 except ModelError as e:
                     answers.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["artifact_id", "answer", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["artifact_id", "answer", "error"]
+            )
 
     return C.prompt(contexts, question).select("artifact_id", "system", "prompt").mapInArrow(run, "artifact_id string, answer string, error string")

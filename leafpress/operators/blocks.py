@@ -64,7 +64,10 @@ def joined_content(blocks: DataFrame, sep: str = "\n") -> DataFrame:
 
 
 #: Fixed value: how block types are called in summaries.
-TYPE_LABELS = {"heading": "Heading", "paragraph": "Paragraph", "list_item": "ListItem", "table": "Table", "image_reference": "Image", "text_block": "TextBlock", "textbox": "Textbox", "slide": "Slide"}
+TYPE_LABELS = {
+    "heading": "Heading", "paragraph": "Paragraph", "list_item": "ListItem", "table": "Table", "image_reference": "Image",
+    "text_block": "TextBlock", "textbox": "Textbox", "slide": "Slide"
+}
 
 
 def summary(artifacts: DataFrame, types: str = "types") -> DataFrame:
@@ -74,9 +77,16 @@ def summary(artifacts: DataFrame, types: str = "types") -> DataFrame:
     used where the table has them.
     """
     have, label = set(artifacts.columns), F.create_map(*[F.lit(x) for kv in TYPE_LABELS.items() for x in kv])
-    named = lambda text, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(text), F.col(c).cast("string"))) if c in have else F.lit(None).cast("string")
+    named = lambda text, c: F.when(
+        F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(text), F.col(c).cast("string"))
+    ) if c in have else F.lit(None).cast("string")
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?")) if c in have else F.lit("?")
-    kinds = F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(F.lit("  - "), F.coalesce(F.try_element_at(label, t), t), F.lit(": "), F.size(F.filter(types, lambda x: x == t)).cast("string")))
+    kinds = F.transform(
+        F.array_sort(F.array_distinct(types)),
+        lambda t: F.concat(
+            F.lit("  - "), F.coalesce(F.try_element_at(label, t), t), F.lit(": "), F.size(F.filter(types, lambda x: x == t)).cast("string")
+        )
+    )
     listed = lambda head, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n{head}\n"), F.array_join(rows, "\n")))
     text = F.concat_ws(
         "\n", F.concat(F.lit("文件："), "name"), F.concat(F.lit("类型："), F.upper("artifact_type")), F.concat(F.lit("路径："), "path"), named("标题：", "title"), listed("结构：", kinds),
@@ -88,4 +98,7 @@ def summary(artifacts: DataFrame, types: str = "types") -> DataFrame:
 
 
 def preview(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("name", F.upper("artifact_type").alias("kind"), "content", F.length("content").alias("n_chars"), F.col("artifact_type").isin(*PREVIEW_TYPES).alias("supported"))
+    return artifacts.select(
+        "name", F.upper("artifact_type").alias("kind"), "content", F.length("content").alias("n_chars"),
+        F.col("artifact_type").isin(*PREVIEW_TYPES).alias("supported")
+    )

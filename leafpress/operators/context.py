@@ -39,7 +39,10 @@ def render_table(b: Column, max_rows: int) -> Column:
         F.lit("[Table "), F.coalesce(b["n_rows"], F.size(b["grid"])).cast("string"), F.lit("x"), F.coalesce(b["n_cols"], F.lit(0)).cast("string"), F.when(where != "", F.concat(F.lit(" | "), where)).otherwise(F.lit("")), F.when(b["continues_from_previous"], F.lit(" | 续上一页表格")).otherwise(F.lit("")), F.lit("]")
     )
     rows = F.transform(F.slice(b["grid"], 1, max_rows), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, T.cell), " | "), F.lit(" |")))
-    flags = [F.when(b[k], F.lit(f"[Note] 本表在解析阶段已被截断（{k}=true，{label}未完整读取）。")) for k, label in (("rows_truncated", "行"), ("columns_truncated", "列"), ("cells_truncated", "单元格记录"))]
+    flags = [
+        F.when(b[k], F.lit(f"[Note] 本表在解析阶段已被截断（{k}=true，{label}未完整读取）。"))
+        for k, label in (("rows_truncated", "行"), ("columns_truncated", "列"), ("cells_truncated", "单元格记录"))
+    ]
     return F.concat_ws(
         "\n", head, F.coalesce(rows, F.array().cast("array<string>")), F.when(F.size(b["grid"]) > max_rows, F.concat(F.lit("...（表格共 "), F.size(b["grid"]).cast("string"), F.lit(f" 行，已截断显示前 {max_rows} 行）"))), *flags, F.when(b["continued_on_next"], F.lit("（表格在下一页继续）"))
     )
@@ -62,10 +65,20 @@ def render(b: Column, *, tables: bool = False, max_table_rows: int = 200) -> Col
     for k, label in named.items():
         out = out.when(kind == k, F.concat(F.lit(f"[{label}] "), text))
     out = out.when(kind == "slide", T.strip(F.concat(F.lit("[Slide "), b["slide"].cast("string"), F.lit("] "), F.coalesce(b["text"], F.lit("")))))
-    out = out.when(kind == "image_reference", F.when(b["image_count"] > 1, F.concat(F.lit("[Image Reference] x"), b["image_count"].cast("string"))).otherwise(F.lit("[Image Reference]")))
+    out = out.when(
+        kind == "image_reference",
+        F.when(
+            b["image_count"] > 1, F.concat(F.lit("[Image Reference] x"), b["image_count"].cast("string"))
+        ).otherwise(F.lit("[Image Reference]"))
+    )
     if tables:
         out = out.when(kind == "table", render_table(b, max_table_rows))
-    return out.otherwise(F.concat(F.lit("["), kind, F.lit("]"), F.when(F.coalesce(b["text"], F.lit("")) != "", F.concat(F.lit(" "), b["text"])).otherwise(F.lit(""))))
+    return out.otherwise(
+        F.concat(
+            F.lit("["), kind, F.lit("]"),
+            F.when(F.coalesce(b["text"], F.lit("")) != "", F.concat(F.lit(" "), b["text"])).otherwise(F.lit(""))
+        )
+    )
 
 
 def build(artifacts: DataFrame, policy: Policy | None = None, *, pages: str | None = None) -> DataFrame:
@@ -88,9 +101,13 @@ def build(artifacts: DataFrame, policy: Policy | None = None, *, pages: str | No
         page, rendered = b["page"], b["rendered"]
         turn = page.isNotNull() & (acc["page"].isNull() | (page != acc["page"]))
         header = F.concat(F.lit("\n[Page "), page.cast("string"), F.lit("]"))
-        note = F.when(F.array_contains(F.coalesce(F.col(pages), blank), page), F.concat(F.lit("\n"), note_page(page))).otherwise(F.lit("")) if pages else F.lit("")
+        note = F.when(
+            F.array_contains(F.coalesce(F.col(pages), blank), page), F.concat(F.lit("\n"), note_page(page))
+        ).otherwise(F.lit("")) if pages else F.lit("")
         added = F.when(turn, F.concat(header, note)).otherwise(F.lit(""))
-        state = lambda text, chars, consumed, page, reason: F.struct(text.alias("text"), chars.alias("chars"), consumed.alias("consumed"), page.alias("page"), reason.alias("reason"))
+        state = lambda text, chars, consumed, page, reason: F.struct(
+            text.alias("text"), chars.alias("chars"), consumed.alias("consumed"), page.alias("page"), reason.alias("reason")
+        )
         over = F.lit(f"max_chars={p.max_chars} reached")
         before = acc["chars"] + F.length(added)
         return (
@@ -103,18 +120,32 @@ def build(artifacts: DataFrame, policy: Policy | None = None, *, pages: str | No
 
     done = artifacts.withColumn("_c", F.aggregate("blocks", start, step)).withColumn("n_blocks", F.size("blocks"))
     omitted = F.when(F.col("_c.reason").isNotNull(), F.col("n_blocks") - F.col("_c.consumed")).otherwise(F.lit(0))
-    marker = F.when(F.col("_c.reason").isNotNull(), F.concat(F.lit("\n[Context Truncated] truncated=true omitted_blocks="), omitted.cast("string"), F.lit(" reason="), F.col("_c.reason"))).otherwise(F.lit(""))
-    warning = F.when(F.col("_c.reason").isNotNull(), F.array(F.concat(F.lit("context truncated: "), F.col("_c.reason"), F.lit(" (omitted_blocks="), omitted.cast("string"), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    marker = F.when(
+        F.col("_c.reason").isNotNull(),
+        F.concat(
+            F.lit("\n[Context Truncated] truncated=true omitted_blocks="), omitted.cast("string"), F.lit(" reason="), F.col("_c.reason")
+        )
+    ).otherwise(F.lit(""))
+    warning = F.when(
+        F.col("_c.reason").isNotNull(),
+        F.array(F.concat(F.lit("context truncated: "), F.col("_c.reason"), F.lit(" (omitted_blocks="), omitted.cast("string"), F.lit(")")))
+    ).otherwise(F.array().cast("array<string>"))
     if "warnings" in artifacts.schema["blocks"].dataType.elementType.names:  # of the blocks that were rendered, the one over the budget too
         seen = F.col("_c.consumed") + F.when(F.startswith("_c.reason", F.lit("max_chars")), 1).otherwise(0)
         own = F.flatten(F.transform(F.slice("blocks", F.lit(1), seen), lambda b: F.coalesce(b["warnings"], F.array().cast("array<string>"))))
         warning = F.concat(own, warning)
-    return done.select("artifact_id", "n_blocks", F.col("_c.consumed").alias("consumed"), F.col("_c.reason").isNotNull().alias("truncated"), omitted.alias("omitted_blocks"), F.col("_c.reason").alias("reason"), F.concat("_c.text", marker).alias("context"), warning.alias("warnings"))
+    return done.select(
+        "artifact_id", "n_blocks", F.col("_c.consumed").alias("consumed"), F.col("_c.reason").isNotNull().alias("truncated"),
+        omitted.alias("omitted_blocks"), F.col("_c.reason").alias("reason"), F.concat("_c.text", marker).alias("context"),
+        warning.alias("warnings")
+    )
 
 
 def of_lines(artifacts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Contexts of text artifacts, whose lines are paragraphs."""
-    line = F.transform("lines", lambda x: F.struct(F.concat(F.lit("[Paragraph] "), x["text"]).alias("rendered"), F.lit(None).cast("int").alias("page")))
+    line = F.transform(
+        "lines", lambda x: F.struct(F.concat(F.lit("[Paragraph] "), x["text"]).alias("rendered"), F.lit(None).cast("int").alias("page"))
+    )
     return build(artifacts.withColumn("blocks", line), policy)
 
 

@@ -37,7 +37,9 @@ def page_lines(lines: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFrame
     dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("bottom") - F.col("top"))
     flat, steep = (dy <= 1.0) & (dx >= MIN_LENGTH), (dx <= 1.0) & (dy >= MIN_LENGTH)
     h = lines.where(flat).select("doc", "page", "x0", "x1", ((F.col("top") + F.col("bottom")) / 2).alias("y"))
-    v = lines.where(~flat & steep).select("doc", "page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("top").alias("y0"), F.col("bottom").alias("y1"))
+    v = lines.where(~flat & steep).select(
+        "doc", "page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("top").alias("y0"), F.col("bottom").alias("y1")
+    )
     drawn = rects.where(~(F.col("fill") & ~F.col("stroke") & (F.least(dx, dy) > 2.0)))
     wide, tall = F.col("x1") - F.col("x0") >= MIN_LENGTH, F.col("bottom") - F.col("top") >= MIN_LENGTH
     rh = drawn.where(wide).select("doc", "page", "x0", "x1", F.explode(F.array("top", "bottom")).alias("y"))
@@ -47,7 +49,9 @@ def page_lines(lines: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFrame
 
 def fragments(words: DataFrame) -> DataFrame:
     """Words with text, the font size 10 where it is unknown."""
-    return words.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''").withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(10.0))
+    return words.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''").withColumn(
+        "size", F.when(F.col("size") > 0, F.col("size")).otherwise(10.0)
+    )
 
 
 def rounded_box(box: Column) -> Column:
@@ -60,18 +64,25 @@ def merge_rules(h: DataFrame) -> DataFrame:
     """Horizontal rules on one level, within ``JOIN`` of the level's first, united where they touch: gaps and islands over windows."""
     level = W.partitionBy("doc", "page")
     spread = F.array_sort(F.collect_set("y").over(level))
-    anchors = F.aggregate(spread, F.array().cast("array<double>"), lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > JOIN), F.concat(acc, F.array(y))).otherwise(acc))
+    anchors = F.aggregate(
+        spread, F.array().cast("array<double>"),
+        lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > JOIN), F.concat(acc, F.array(y))).otherwise(acc)
+    )
     out = h.withColumn("anchor", F.array_max(F.filter(anchors, lambda a: a <= F.col("y"))))
     order = W.partitionBy("doc", "page", "anchor").orderBy("x0", "x1")
     reach = F.max("x1").over(order.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("new", F.when(reach.isNull() | (F.col("x0") > reach + JOIN), 1).otherwise(0))
     out = out.withColumn("y", F.avg("y").over(W.partitionBy("doc", "page", "anchor"))).withColumn("island", F.sum("new").over(order))
-    return out.groupBy("doc", "page", "anchor", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.first("y").alias("y")).drop("anchor", "island")
+    return out.groupBy("doc", "page", "anchor", "island").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.first("y").alias("y")
+    ).drop("anchor", "island")
 
 
 def crossings(h: DataFrame, v: DataFrame) -> DataFrame:
     """Pairs of rules of a page that cross within the tolerance."""
-    near = (F.col("x") >= F.col("hx0") - TOLERANCE) & (F.col("x") <= F.col("hx1") + TOLERANCE) & (F.col("hy") >= F.col("y0") - TOLERANCE) & (F.col("hy") <= F.col("y1") + TOLERANCE)
+    near = (
+        F.col("x") >= F.col("hx0") - TOLERANCE
+    ) & (F.col("x") <= F.col("hx1") + TOLERANCE) & (F.col("hy") >= F.col("y0") - TOLERANCE) & (F.col("hy") <= F.col("y1") + TOLERANCE)
     return h.select("doc", "page", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(v, ["doc", "page"]).where(near)
 
 
@@ -121,7 +132,9 @@ class Table(NamedTuple):
 
 def grouped(h: np.ndarray, v: np.ndarray, least: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
     """Groups of rules connected by crossings, of ``least`` or more each way, in order of their first horizontal one."""
-    meet = (v[None, :, 0] >= h[:, 1, None] - TOLERANCE) & (v[None, :, 0] <= h[:, 2, None] + TOLERANCE) & (h[:, 0, None] >= v[None, :, 1] - TOLERANCE) & (h[:, 0, None] <= v[None, :, 2] + TOLERANCE)
+    meet = (
+        v[None, :, 0] >= h[:, 1, None] - TOLERANCE
+    ) & (v[None, :, 0] <= h[:, 2, None] + TOLERANCE) & (h[:, 0, None] >= v[None, :, 1] - TOLERANCE) & (h[:, 0, None] <= v[None, :, 2] + TOLERANCE)
     label = np.arange(len(h))
     while True:  # the least label of all that meet, until nothing changes
         over = np.where(meet, label[:, None], len(h)).min(axis=0, initial=len(h))
@@ -150,7 +163,10 @@ def merged_units(right: np.ndarray, down: np.ndarray) -> list[tuple[int, int, in
             while todo:
                 i, j = todo.pop()
                 own.append((i, j))
-                for a, b, open_ in ((i, j + 1, j + 1 < cols and right[i, j]), (i, j - 1, j > 0 and right[i, j - 1]), (i + 1, j, i + 1 < rows and down[i, j]), (i - 1, j, i > 0 and down[i - 1, j])):
+                for a, b, open_ in (
+                    (i, j + 1, j + 1 < cols and right[i, j]), (i, j - 1, j > 0 and right[i, j - 1]),
+                    (i + 1, j, i + 1 < rows and down[i, j]), (i - 1, j, i > 0 and down[i - 1, j])
+                ):
                     if open_ and not seen[a, b]:
                         seen[a, b] = True
                         todo.append((a, b))
@@ -166,7 +182,9 @@ def text_width(text: str, size: float) -> float:
 def joined_line(words: list[tuple[str, float, float, float]]) -> str:
     out, last = "", None
     for text, x, _, size in sorted(words, key=lambda w: w[1]):
-        if last is not None and x - (last[1] + text_width(last[0], last[3])) > max(last[3], size) * 0.45 and out[-1].isascii() and text[0].isascii() and out[-1].isalnum() and text[0].isalnum():
+        if last is not None and x - (
+            last[1] + text_width(last[0], last[3])
+        ) > max(last[3], size) * 0.45 and out[-1].isascii() and text[0].isascii() and out[-1].isalnum() and text[0].isalnum():
             out += " "
         out, last = out + text, (text, x, 0.0, size)
     return out.strip()
@@ -213,7 +231,10 @@ def one_table(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float,
     floor_y = np.abs(h[None, :, 0] - ys[1:-1, None]) <= TOLERANCE
     floor_at = (h[None, :, 1] - TOLERANCE <= xm[:, None]) & (xm[:, None] <= h[None, :, 2] + TOLERANCE)
     down = ~(floor_y.astype(np.int32) @ floor_at.T.astype(np.int32) > 0)
-    cells = [Cell(r0 + 1, c0 + 1, r1 - r0 + 1, c1 - c0 + 1, tuple(round(float(x), 3) for x in (xs[c0], ys[r0], xs[c1 + 1], ys[r1 + 1]))) for r0, c0, r1, c1 in merged_units(right, down)]
+    cells = [
+        Cell(r0 + 1, c0 + 1, r1 - r0 + 1, c1 - c0 + 1, tuple(round(float(x), 3) for x in (xs[c0], ys[r0], xs[c1 + 1], ys[r1 + 1])))
+        for r0, c0, r1, c1 in merged_units(right, down)
+    ]
     box = np.array([c.box for c in cells])
     held: dict[int, list] = {}
     for w in words:
@@ -222,7 +243,9 @@ def one_table(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, float,
         if not inside.any():
             inside = (box[:, 0] - 1 <= x) & (x <= box[:, 2] + 1) & (box[:, 1] - 2 <= y) & (y <= box[:, 3] + 2)
         if inside.any():
-            far = np.abs(x - (box[:, 0] + box[:, 2]) / 2) / np.maximum(box[:, 2] - box[:, 0], 1) + np.abs(y - (box[:, 1] + box[:, 3]) / 2) / np.maximum(box[:, 3] - box[:, 1], 1)
+            far = np.abs(
+                x - (box[:, 0] + box[:, 2]) / 2
+            ) / np.maximum(box[:, 2] - box[:, 0], 1) + np.abs(y - (box[:, 1] + box[:, 3]) / 2) / np.maximum(box[:, 3] - box[:, 1], 1)
             held.setdefault(int(np.where(inside, far, np.inf).argmin()), []).append(w)
     cells = [c._replace(text=cell_text(held.get(k, []))) for k, c in enumerate(cells)]
     return with_header(Table(cells, cols, rows, tuple(round(float(x), 3) for x in (xs[0], ys[0], xs[-1], ys[-1]))))
@@ -243,7 +266,13 @@ def split_table(t: Table, column: int) -> list[Table]:
             continue
         xs, ys = (np.array(centroids(x for c in own for x in (c.box[k], c.box[k + 2]))) for k in (0, 1))
         at = lambda line, x: int(np.abs(line - x).argmin())
-        placed = [Cell(at(ys, c.box[1]) + 1, at(xs, c.box[0]) + 1, max(at(ys, c.box[3]) - at(ys, c.box[1]), 1), max(at(xs, c.box[2]) - at(xs, c.box[0]), 1), c.box, c.text) for c in own]
+        placed = [
+            Cell(
+                at(ys, c.box[1]) + 1, at(xs, c.box[0]) + 1, max(at(ys, c.box[3]) - at(ys, c.box[1]), 1),
+                max(at(xs, c.box[2]) - at(xs, c.box[0]), 1), c.box, c.text
+            )
+            for c in own
+        ]
         out.append(with_header(Table(placed, max(len(xs) - 1, 0), len(ys) - 1, (float(xs[0]), float(ys[0]), float(xs[-1]), float(ys[-1])))))
     return out or [t]
 
@@ -316,7 +345,9 @@ def linked(pages: list[list[Table]]) -> list[list[dict]]:
         own = []
         for n, t in enumerate(found):
             last = pages[k - 1][n] if k and n < len(pages[k - 1]) else None
-            same = last is not None and last.columns == t.columns and any(a and a == b for a, b in ((signature(t), signature(last)), (profile(t), profile(last))))
+            same = last is not None and last.columns == t.columns and any(
+                a and a == b for a, b in ((signature(t), signature(last)), (profile(t), profile(last)))
+            )
             count += not same
             name = out[k - 1][n]["continuation_id"] if same else f"table-chain-{count}"
             if same:
@@ -356,7 +387,10 @@ def chains(tables: DataFrame) -> DataFrame:
     """Continuations over pages. ``tables``: doc, page, table, columns, signature (array), profile (array)."""
     place = W.partitionBy("doc", "table").orderBy("page")
     before = lambda c: F.lag(c).over(place)
-    same = (before("page") == F.col("page") - 1) & (before("columns") == F.col("columns")) & (((F.size("signature") > 0) & (before("signature") == F.col("signature"))) | ((F.size("profile") > 0) & (before("profile") == F.col("profile"))))
+    same = (before("page") == F.col("page") - 1) & (before("columns") == F.col("columns")) & (
+        ((F.size("signature") > 0) & (before("signature") == F.col("signature")))
+        | ((F.size("profile") > 0) & (before("profile") == F.col("profile")))
+    )
     out = tables.withColumn("continues_from_previous", F.coalesce(same, F.lit(False)))
     out = out.withColumn("continued_on_next", F.coalesce(F.lead("continues_from_previous").over(place), F.lit(False)))
     number = F.sum(F.when(F.col("continues_from_previous"), 0).otherwise(1)).over(W.partitionBy("doc").orderBy("page", "table"))
@@ -373,7 +407,12 @@ def header_rows(cells: DataFrame) -> DataFrame:
         named += F.max(F.when(F.contains(text, F.lit(w)), 1.5).otherwise(0.0))
     key = ["doc", "page", "table"]
     columns = cells.groupBy(*key).agg(F.max(F.col("col") + F.col("colspan") - 1).alias("columns"))
-    rows = cells.where("row <= 8").groupBy(*key, "row").agg(F.count(F.lit(1)).alias("n"), F.count_if(text != "").alias("texts"), F.sum("colspan").alias("spans"), named.alias("named"), F.count_if((text != "") & (F.length(text) <= 20)).alias("short"))
-    score = F.when((F.col("n") < 2) | (F.col("texts") == 0), -10.0).otherwise(F.col("spans") / F.greatest("columns", F.lit(1)) + F.col("named") + F.col("short") / F.col("texts") + F.col("n") * 0.1)
+    rows = cells.where("row <= 8").groupBy(*key, "row").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(text != "").alias("texts"), F.sum("colspan").alias("spans"), named.alias("named"),
+        F.count_if((text != "") & (F.length(text) <= 20)).alias("short")
+    )
+    score = F.when((F.col("n") < 2) | (F.col("texts") == 0), -10.0).otherwise(
+        F.col("spans") / F.greatest("columns", F.lit(1)) + F.col("named") + F.col("short") / F.col("texts") + F.col("n") * 0.1
+    )
     best = rows.join(columns, key).groupBy(*key).agg(F.max(F.struct(score.alias("score"), (-F.col("row")).alias("row"))).alias("b"))
     return best.select(*key, F.when(F.col("b.score") >= 2.0, -F.col("b.row")).otherwise(0).alias("header_row"))

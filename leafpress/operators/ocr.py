@@ -22,11 +22,20 @@ BULLET = "• "
 def parse_result(rows: DataFrame, column: str = "result") -> DataFrame:
     """Boxes of JSON results (texts, scores, polygons or boxes): blank texts and unusable shapes are left out."""
     parsed = rows.withColumn("_r", F.from_json(column, RESULT))
-    at = F.posexplode(F.arrays_zip(F.col("_r.rec_texts").alias("text"), F.coalesce(F.col("_r.rec_scores"), F.array().cast("array<double>")).alias("score"), F.coalesce(F.col("_r.rec_polys"), F.array().cast("array<array<array<double>>>")).alias("poly"), F.coalesce(F.col("_r.rec_boxes"), F.array().cast("array<array<double>>")).alias("box")))
+    at = F.posexplode(
+        F.arrays_zip(
+            F.col("_r.rec_texts").alias("text"), F.coalesce(F.col("_r.rec_scores"), F.array().cast("array<double>")).alias("score"),
+            F.coalesce(F.col("_r.rec_polys"), F.array().cast("array<array<array<double>>>")).alias("poly"),
+            F.coalesce(F.col("_r.rec_boxes"), F.array().cast("array<array<double>>")).alias("box")
+        )
+    )
     out = parsed.select(*[c for c in rows.columns if c != column], at.alias("box_no", "b"))
     good = (F.size("b.poly") >= 3) & F.forall("b.poly", lambda p: F.size(p) >= 2)
     box = F.when(F.coalesce(good, F.lit(False)), polygon_box(F.col("b.poly"))).when(F.size("b.box") == 4, F.col("b.box"))
-    return out.select(*[c for c in rows.columns if c != column], "box_no", T.strip(F.col("b.text")).alias("text"), F.coalesce("b.score", F.lit(0.0)).alias("score"), box.alias("box")).where("text <> '' and box is not null")
+    return out.select(
+        *[c for c in rows.columns if c != column], "box_no", T.strip(F.col("b.text")).alias("text"),
+        F.coalesce("b.score", F.lit(0.0)).alias("score"), box.alias("box")
+    ).where("text <> '' and box is not null")
 
 
 def polygon_box(poly: Column) -> Column:
@@ -48,7 +57,10 @@ def owner_spans(spans: Column) -> Column:
     """The part of each span that it owns: up to the middle of overlaps."""
     start = lambda s, i: F.when(i > 0, (F.get(spans, i - 1)["end"] + s["start"]) / 2).otherwise(s["start"].cast("double"))
     end = lambda s, i: F.when(i + 1 < F.size(spans), (s["end"] + F.get(spans, i + 1)["start"]) / 2).otherwise(s["end"].cast("double"))
-    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), start(s, i).alias("own_start"), end(s, i).alias("own_end")))
+    return F.transform(
+        spans,
+        lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), start(s, i).alias("own_start"), end(s, i).alias("own_end"))
+    )
 
 
 def tiles(images: DataFrame) -> DataFrame:
@@ -56,7 +68,10 @@ def tiles(images: DataFrame) -> DataFrame:
     out = images.withColumn("_y", owner_spans(tile_spans(F.col("height")))).withColumn("_x", owner_spans(tile_spans(F.col("width"))))
     out = out.where((F.size("_x") > 1) | (F.size("_y") > 1))
     out = out.select("image", F.posexplode("_y").alias("ty", "y"), "_x").select("image", "ty", "y", F.posexplode("_x").alias("tx", "x"))
-    return out.select("image", "ty", "tx", F.col("x.start").alias("l"), F.col("y.start").alias("t"), F.col("x.end").alias("r"), F.col("y.end").alias("b"), F.col("x.own_start").alias("ol"), F.col("y.own_start").alias("ot"), F.col("x.own_end").alias("o_r"), F.col("y.own_end").alias("ob"))
+    return out.select(
+        "image", "ty", "tx", F.col("x.start").alias("l"), F.col("y.start").alias("t"), F.col("x.end").alias("r"), F.col("y.end").alias("b"),
+        F.col("x.own_start").alias("ol"), F.col("y.own_start").alias("ot"), F.col("x.own_end").alias("o_r"), F.col("y.own_end").alias("ob")
+    )
 
 
 def owned(boxes: DataFrame) -> DataFrame:
@@ -64,7 +79,9 @@ def owned(boxes: DataFrame) -> DataFrame:
     cx, cy = (F.col("x0") + F.col("x1")) / 2 + F.col("l"), (F.col("y0") + F.col("y1")) / 2 + F.col("t")
     inside = lambda c, lo, hi, edge: (c >= F.col(lo)) & ((c < F.col(hi)) | ((F.col(edge) == F.col(hi)) & (c <= F.col(hi))))
     kept = boxes.where(inside(cx, "ol", "o_r", "r") & inside(cy, "ot", "ob", "b"))
-    return kept.withColumns({"x0": F.col("x0") + F.col("l"), "x1": F.col("x1") + F.col("l"), "y0": F.col("y0") + F.col("t"), "y1": F.col("y1") + F.col("t")})
+    return kept.withColumns(
+        {"x0": F.col("x0") + F.col("l"), "x1": F.col("x1") + F.col("l"), "y0": F.col("y0") + F.col("t"), "y1": F.col("y1") + F.col("t")}
+    )
 
 
 def repaired(text: Column) -> Column:
@@ -185,7 +202,9 @@ def table_like(rows: DataFrame) -> DataFrame:
     wide = rows.groupBy("doc", "page").agg((F.max("row") + 1).alias("n_rows"), (F.max("place") + 1).alias("n_cols"))
     stable = rows.where("place < 4").groupBy("doc", "page", "place").agg(F.count(F.lit(1)).alias("n"), (F.max("x0") - F.min("x0")).alias("spread"))
     stable = stable.groupBy("doc", "page").agg(F.count_if((F.col("n") >= 2) & (F.col("spread") <= 48.0)).alias("stable"))
-    return wide.join(stable, ["doc", "page"]).select("doc", "page", ((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("stable") >= 2)).alias("table_like"))
+    return wide.join(stable, ["doc", "page"]).select(
+        "doc", "page", ((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("stable") >= 2)).alias("table_like")
+    )
 
 
 def merge_transformations(rows: DataFrame) -> DataFrame:
@@ -200,7 +219,10 @@ def pairs(c: Column) -> Column:
 def transformations(before: DataFrame, text: str = "text") -> DataFrame:
     """How many dashes and spacings the repair of texts changes."""
     dashed = T.restore_dashes(F.col(text))
-    counted = before.agg(F.sum(F.greatest(pairs(F.col(text)) - pairs(dashed), F.lit(0))).alias("dash"), F.sum(F.when(T.space_english(dashed) != dashed, 1).otherwise(0)).alias("english"))
+    counted = before.agg(
+        F.sum(F.greatest(pairs(F.col(text)) - pairs(dashed), F.lit(0))).alias("dash"),
+        F.sum(F.when(T.space_english(dashed) != dashed, 1).otherwise(0)).alias("english")
+    )
     return report(counted.withColumn("list", F.lit(0)))
 
 
@@ -214,13 +236,18 @@ def finished(boxes: list[dict]) -> list[dict]:
     """A page's phrases and list marks restored, with what each box gained; ``dashed`` is its text before."""
     spaced_out = joined_phrases(boxes)
     listed = list_marks(spaced_out)
-    return [{**c, "english": b["text"] != b["dashed"], "listed": c["text"].startswith(BULLET) and not b["text"].startswith(BULLET)} for b, c in zip(spaced_out, listed, strict=True)]
+    return [
+        {**c, "english": b["text"] != b["dashed"], "listed": c["text"].startswith(BULLET) and not b["text"].startswith(BULLET)}
+        for b, c in zip(spaced_out, listed, strict=True)
+    ]
 
 
 def processed(boxes: DataFrame) -> DataFrame:
     """All repairs of recognised boxes, with flags of what each gained: ``dashes``, ``english``, ``listed``."""
     # one projection after another: inside a lambda a column's name would mean its new value
-    own = boxes.withColumn("dashed", T.restore_dashes(F.col("text"))).withColumn("dashes", F.greatest(pairs(F.col("text")) - pairs(F.col("dashed")), F.lit(0)))
+    own = boxes.withColumn("dashed", T.restore_dashes(F.col("text"))).withColumn(
+        "dashes", F.greatest(pairs(F.col("text")) - pairs(F.col("dashed")), F.lit(0))
+    )
     own = own.withColumn("text", T.space_english(F.col("dashed")))
     return per_page(own, finished, ", english boolean, listed boolean", carry=("dashes", "dashed")).drop("dashed")
 
@@ -239,8 +266,14 @@ def page_blocks(rows: DataFrame, tables: DataFrame) -> DataFrame:
     own = W.partitionBy("doc", "page").orderBy("row")
     text = assemble(rows).withColumn("text", T.strip(F.col("text"))).where("text <> ''").withColumn("line_index", F.row_number().over(own) - 1)
     none = lambda t: F.lit(None).cast(t)
-    lines = text.select("doc", "page", "top", F.lit(0).alias("kind"), F.col("line_index").alias("place"), F.lit("text_block").alias("block_type"), "text", "line_index", none("int").alias("table_index"))
-    grids = tables.select("doc", "page", F.lit(0.0).alias("top"), F.lit(1).alias("kind"), F.col("table_index").alias("place"), F.lit("table").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"), "table_index")
+    lines = text.select(
+        "doc", "page", "top", F.lit(0).alias("kind"), F.col("line_index").alias("place"), F.lit("text_block").alias("block_type"), "text",
+        "line_index", none("int").alias("table_index")
+    )
+    grids = tables.select(
+        "doc", "page", F.lit(0.0).alias("top"), F.lit(1).alias("kind"), F.col("table_index").alias("place"),
+        F.lit("table").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"), "table_index"
+    )
     seq = F.row_number().over(W.partitionBy("doc").orderBy("page", "top", "kind", "place"))
     return lines.unionByName(grids).withColumn("seq", seq).withColumn("block_id", T.block_id(F.col("seq"))).drop("kind", "place")
 

@@ -31,9 +31,19 @@ def blocks(lines: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
     Text inside a table is a line as well. ``tables`` has doc, page, table_index, top, n_rows, n_cols; ``images`` doc, page, n.
     """
     none = lambda t: F.lit(None).cast(t)
-    text = text_lines(lines).select("doc", "page", "top", F.lit(0).alias("kind"), F.col("line_index").alias("place"), F.lit("text_block").alias("block_type"), "text", "line_index", none("int").alias("table_index"), none("int").alias("image_count"))
-    grid = tables.select("doc", "page", "top", F.lit(1).alias("kind"), F.col("table_index").alias("place"), F.lit("table").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"), "table_index", none("int").alias("image_count"))
-    image = images.where("n > 0").select("doc", "page", F.lit(0.0).alias("top"), F.lit(2).alias("kind"), F.lit(0).alias("place"), F.lit("image_reference").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"), none("int").alias("table_index"), F.col("n").cast("int").alias("image_count"))
+    text = text_lines(lines).select(
+        "doc", "page", "top", F.lit(0).alias("kind"), F.col("line_index").alias("place"), F.lit("text_block").alias("block_type"), "text",
+        "line_index", none("int").alias("table_index"), none("int").alias("image_count")
+    )
+    grid = tables.select(
+        "doc", "page", "top", F.lit(1).alias("kind"), F.col("table_index").alias("place"), F.lit("table").alias("block_type"),
+        none("string").alias("text"), none("int").alias("line_index"), "table_index", none("int").alias("image_count")
+    )
+    image = images.where("n > 0").select(
+        "doc", "page", F.lit(0.0).alias("top"), F.lit(2).alias("kind"), F.lit(0).alias("place"),
+        F.lit("image_reference").alias("block_type"), none("string").alias("text"), none("int").alias("line_index"),
+        none("int").alias("table_index"), F.col("n").cast("int").alias("image_count")
+    )
     every = text.unionByName(grid).unionByName(image)
     seq = F.row_number().over(W.partitionBy("doc").orderBy("page", "top", "kind", "place"))
     return every.withColumn("seq", seq).withColumn("block_id", T.block_id(F.col("seq"))).drop("kind", "place")
@@ -42,12 +52,19 @@ def blocks(lines: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
 def page_meta(pages: DataFrame, lines: DataFrame, images: DataFrame) -> DataFrame:
     """Of each page its text, images and whether only recognition can read it. ``pages`` has doc and page."""
     text = text_lines(lines).groupBy("doc", "page").agg(F.sum(F.length("text")).alias("text_chars"), F.count(F.lit(1)).alias("text_block_count"))
-    out = pages.join(text, ["doc", "page"], "left").join(images.select("doc", "page", "n"), ["doc", "page"], "left").na.fill(0, ["text_chars", "text_block_count", "n"])
-    return out.select("doc", "page", "text_chars", "text_block_count", (F.col("n") > 0).alias("has_images"), (F.col("text_chars") == 0).alias("requires_ocr"))
+    out = pages.join(text, ["doc", "page"], "left").join(
+        images.select("doc", "page", "n"), ["doc", "page"], "left"
+    ).na.fill(0, ["text_chars", "text_block_count", "n"])
+    return out.select(
+        "doc", "page", "text_chars", "text_block_count", (F.col("n") > 0).alias("has_images"),
+        (F.col("text_chars") == 0).alias("requires_ocr")
+    )
 
 
 def document_meta(meta: DataFrame) -> DataFrame:
-    return meta.groupBy("doc").agg(F.count(F.lit(1)).alias("page_count"), F.sum("text_chars").alias("text_chars"), (F.sum("text_chars") == 0).alias("requires_ocr"))
+    return meta.groupBy("doc").agg(
+        F.count(F.lit(1)).alias("page_count"), F.sum("text_chars").alias("text_chars"), (F.sum("text_chars") == 0).alias("requires_ocr")
+    )
 
 
 def with_recognised(original: DataFrame, recognised: DataFrame, meta: DataFrame) -> DataFrame:

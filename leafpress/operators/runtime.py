@@ -35,12 +35,19 @@ def route(refs: DataFrame, providers: DataFrame, capability: str = "artifact.rea
     own = explode_providers(providers.where(F.col("capability") == capability))
     pairs = refs.join(own, "extension", "left")
     usable = F.col("available") & F.col("provider_id").isNotNull()
-    row = F.struct((-F.col("priority")).alias("rank"), F.col("provider_id").alias("provider_id"), F.col("plugin_id").alias("plugin_id"), F.col("reason").alias("reason"))
+    row = F.struct(
+        (-F.col("priority")).alias("rank"), F.col("provider_id").alias("provider_id"), F.col("plugin_id").alias("plugin_id"),
+        F.col("reason").alias("reason")
+    )
     grouped = pairs.groupBy("artifact_id", "extension").agg(
         F.array_sort(F.collect_list(F.when(usable, row))).alias("chain"), F.array_sort(F.collect_list(F.when(~usable & F.col("provider_id").isNotNull(), row))).alias("unavailable")
     )
     error = F.when(F.size("chain") > 0, None).when(F.size("unavailable") > 0, "ProviderNotAvailableError").otherwise("CapabilityNotFoundError")
-    return grouped.select("artifact_id", "extension", F.get("chain", 0)["provider_id"].alias("selected"), F.array_join(F.transform("chain", lambda x: x["provider_id"]), ">").alias("chain"), error.alias("error_type"), F.when(F.size("chain") == 0, F.get("unavailable", 0)["reason"]).alias("reason"))
+    return grouped.select(
+        "artifact_id", "extension", F.get("chain", 0)["provider_id"].alias("selected"),
+        F.array_join(F.transform("chain", lambda x: x["provider_id"]), ">").alias("chain"), error.alias("error_type"),
+        F.when(F.size("chain") == 0, F.get("unavailable", 0)["reason"]).alias("reason")
+    )
 
 
 def fallback(attempts: DataFrame) -> DataFrame:
@@ -54,13 +61,19 @@ def fallback(attempts: DataFrame) -> DataFrame:
     ends = F.when(F.col("error_type").isNull() | ~F.col("error_type").isin(*FALLBACK), 1).otherwise(0)
     out = out.withColumn("_ended", F.coalesce(F.sum(ends).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = out.where("_ended = 0").withColumn("fallback_from", F.lag("provider_id").over(order))
-    return out.select("artifact_id", "position", "provider_id", F.when(F.col("error_type").isNull(), "ok").otherwise("error").alias("status"), "error_type", "fallback_from")
+    return out.select(
+        "artifact_id", "position", "provider_id", F.when(F.col("error_type").isNull(), "ok").otherwise("error").alias("status"),
+        "error_type", "fallback_from"
+    )
 
 
 def outcome(traces: DataFrame) -> DataFrame:
     """One row per artifact: who read it, or the last error."""
     last = F.max_by(F.struct("provider_id", "status", "error_type", "fallback_from"), "position")
-    return traces.groupBy("artifact_id").agg(last.alias("t"), F.count(F.lit(1)).alias("attempts")).select("artifact_id", F.when(F.col("t.status") == "ok", F.col("t.provider_id")).alias("provider_id"), "t.fallback_from", F.when(F.col("t.status") != "ok", F.col("t.error_type")).alias("error_type"), "attempts")
+    return traces.groupBy("artifact_id").agg(last.alias("t"), F.count(F.lit(1)).alias("attempts")).select(
+        "artifact_id", F.when(F.col("t.status") == "ok", F.col("t.provider_id")).alias("provider_id"), "t.fallback_from",
+        F.when(F.col("t.status") != "ok", F.col("t.error_type")).alias("error_type"), "attempts"
+    )
 
 
 def effective_permissions(declared: Column, granted: list[str]) -> Column:
@@ -79,14 +92,26 @@ def unique_first(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, Dat
 
 def plugin_status(plugins: DataFrame, providers: DataFrame) -> DataFrame:
     """A row per plugin: ``plugins`` (plugin_id, source, state, load_error), state loaded, disabled or failed."""
-    reasons = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("available"), F.struct("provider_id", "reason")))), lambda x: F.concat(x["provider_id"], F.lit(": "), x["reason"])), "; ")
+    reasons = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(~F.col("available"), F.struct("provider_id", "reason")))),
+            lambda x: F.concat(x["provider_id"], F.lit(": "), x["reason"])
+        ),
+        "; "
+    )
     seen = providers.groupBy("plugin_id").agg(F.bool_or("available").alias("any"), reasons.alias("reasons"), F.count(F.lit(1)).alias("n_providers"))
     joined = plugins.join(seen, "plugin_id", "left")
     status = (
         F.when(F.col("state") == "disabled", "Disabled").when((F.col("state") == "failed") & F.contains("load_error", F.lit("api_version")), "Incompatible").when(F.col("state") == "failed", "Load Failed").when(F.coalesce("any", F.lit(False)), "Enabled").otherwise("Unavailable")
     )
-    why = F.when(status == "Enabled", "").when(status == "Unavailable", F.when(F.coalesce("reasons", F.lit("")) != "", F.col("reasons")).otherwise(WHY["Unavailable"])).when(status == "Disabled", WHY["Disabled"]).otherwise(WHY["Failed"])
-    return joined.select("plugin_id", "source", status.alias("status"), why.alias("reason"), F.when(F.col("state") == "loaded", F.coalesce("n_providers", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_providers"), (F.col("source") == "builtin").alias("is_builtin"))
+    why = F.when(status == "Enabled", "").when(
+        status == "Unavailable", F.when(F.coalesce("reasons", F.lit("")) != "", F.col("reasons")).otherwise(WHY["Unavailable"])
+    ).when(status == "Disabled", WHY["Disabled"]).otherwise(WHY["Failed"])
+    return joined.select(
+        "plugin_id", "source", status.alias("status"), why.alias("reason"),
+        F.when(F.col("state") == "loaded", F.coalesce("n_providers", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_providers"),
+        (F.col("source") == "builtin").alias("is_builtin")
+    )
 
 
 def system_status(plugins: DataFrame) -> DataFrame:
@@ -105,8 +130,13 @@ def guard(refs: DataFrame, root: str, workspace_id: str, max_bytes: int = MAX_BY
 
 def facade_error(error: Column, only_disabled: Column) -> Column:
     """The error a caller sees for an error of the runtime."""
-    passed = ("ArtifactParseError", "EncryptedArtifactError", "WorkspaceBoundaryError", "ArtifactNotFoundError", "ArtifactTooLargeError", "PluginPermissionError")
-    return F.when(error.isNull(), None).when((error == "CapabilityNotFoundError") & only_disabled, "PluginDisabledError").when(error == "CapabilityNotFoundError", "UnsupportedArtifactTypeError").when(error.isin(*passed), error).otherwise("ArtifactParseError")
+    passed = (
+        "ArtifactParseError", "EncryptedArtifactError", "WorkspaceBoundaryError", "ArtifactNotFoundError", "ArtifactTooLargeError",
+        "PluginPermissionError"
+    )
+    return F.when(error.isNull(), None).when(
+        (error == "CapabilityNotFoundError") & only_disabled, "PluginDisabledError"
+    ).when(error == "CapabilityNotFoundError", "UnsupportedArtifactTypeError").when(error.isin(*passed), error).otherwise("ArtifactParseError")
 
 
 def recent_traces(traces: DataFrame, kept: int = TRACES_KEPT) -> DataFrame:
@@ -129,7 +159,12 @@ def valid_manifest(m: DataFrame) -> DataFrame:
 
 def first_set(levels: list[tuple[str, Column]]) -> Column:
     """Value and source of the first level that is set (strings: non-empty; others: not null)."""
-    return F.coalesce(*[F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(c.cast("string").alias("value"), F.lit(name).alias("source"))) for name, c in levels])
+    return F.coalesce(
+        *[
+            F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(c.cast("string").alias("value"), F.lit(name).alias("source")))
+            for name, c in levels
+        ]
+    )
 
 
 def keep_traces(traces: DataFrame, path: str) -> None:

@@ -68,7 +68,9 @@ FIELDS = {
 }
 
 
-def resolve(user: Mapping[str, Any] | None = None, env: Mapping[str, str] | None = None, runtime: Mapping[str, Any] | None = None) -> dict[str, tuple[Any, str, str]]:
+def resolve(
+    user: Mapping[str, Any] | None = None, env: Mapping[str, str] | None = None, runtime: Mapping[str, Any] | None = None
+) -> dict[str, tuple[Any, str, str]]:
     """Each field's value, source and detail: runtime before environment before user before default."""
     user, env, runtime = user or {}, os.environ if env is None else env, runtime or {}
     out = {}
@@ -170,7 +172,16 @@ def load_state(path: str | Path) -> tuple[dict, list[str]]:
                 errors.append(f"unknown activity {item.get('activity_type')!r}")
             else:
                 item = migrated(item) if kind == "recent_workspaces" else {"entry_id": uuid.uuid4().hex[:12]} | item
-                out[kind].append({k: item[k] for k in ("workspace_id", "path", "display_name", "last_opened_at", "pinned", "last_artifact_path", "entry_id", "activity_type", "workspace_path", "artifact_path", "title") if k in item})
+                out[kind].append(
+                    {
+                        k: item[k]
+                        for k in (
+                            "workspace_id", "path", "display_name", "last_opened_at", "pinned", "last_artifact_path", "entry_id",
+                            "activity_type", "workspace_path", "artifact_path", "title"
+                        )
+                        if k in item
+                    }
+                )
     return out, errors
 
 

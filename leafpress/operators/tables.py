@@ -27,7 +27,9 @@ def merged_cells(cells: DataFrame) -> DataFrame:
 
 def trim(row: Column) -> Column:
     """A row without trailing empty values."""
-    last = F.aggregate(F.transform(row, lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+    last = F.aggregate(
+        F.transform(row, lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x)
+    )
     return F.slice(row, F.lit(1), last)
 
 

@@ -39,10 +39,15 @@ def xlsx(sheets: list[tuple[str, list[list], list[str]]]) -> bytes:
             return f'<c r="{at}"><v>{v!r}</v></c>'
         return f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
 
-    parts = {"xl/workbook.xml": f'<workbook {ns} xmlns:r="{REL}"><sheets>{"".join(f"<sheet name={quoteattr(n)} sheetId={quoteattr(str(k))} r:id={quoteattr(f'rId{k}')}/>" for k, (n, _, _) in enumerate(sheets, 1))}</sheets></workbook>', "xl/_rels/workbook.xml.rels": relations([f"worksheets/sheet{k}.xml" for k in range(1, len(sheets) + 1)])}
+    parts = {
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{REL}"><sheets>{"".join(f"<sheet name={quoteattr(n)} sheetId={quoteattr(str(k))} r:id={quoteattr(f'rId{k}')}/>" for k, (n, _, _) in enumerate(sheets, 1))}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": relations([f"worksheets/sheet{k}.xml" for k in range(1, len(sheets) + 1)])
+    }
     for k, (_, rows, merged) in enumerate(sheets, 1):
         body = "".join(f'<row r="{r}">{"".join(cell(r, c, v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate(rows, 1))
-        parts[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet {ns}><sheetData>{body}</sheetData>" + (f"<mergeCells>{''.join(f'<mergeCell ref={quoteattr(m)}/>' for m in merged)}</mergeCells>" if merged else "") + "</worksheet>"
+        parts[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet {ns}><sheetData>{body}</sheetData>" + (
+            f"<mergeCells>{''.join(f'<mergeCell ref={quoteattr(m)}/>' for m in merged)}</mergeCells>" if merged else ""
+        ) + "</worksheet>"
     return package(parts)
 
 
@@ -68,8 +73,16 @@ def table(rows: list[list]) -> str:
 
 
 def docx(body: str, images: int = 0) -> bytes:
-    styles = "".join(f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 10)) + '<w:style w:styleId="LB"><w:name w:val="List Bullet"/></w:style>'
-    return package({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/styles.xml": f"<w:styles {W}>{styles}</w:styles>", "word/_rels/document.xml.rels": relations([f"media/image{k}.png" for k in range(1, images + 1)])})
+    styles = "".join(
+        f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 10)
+    ) + '<w:style w:styleId="LB"><w:name w:val="List Bullet"/></w:style>'
+    return package(
+        {
+            "word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>",
+            "word/styles.xml": f"<w:styles {W}>{styles}</w:styles>",
+            "word/_rels/document.xml.rels": relations([f"media/image{k}.png" for k in range(1, images + 1)])
+        }
+    )
 
 
 P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="' + REL + '"'
@@ -89,8 +102,14 @@ def slide_table(rows: list[list[str]]) -> str:
 
 def pptx(slides: list[str]) -> bytes:
     ids = "".join(f'<p:sldId id="{255 + k}" r:id="rId{k}"/>' for k in range(1, len(slides) + 1))
-    parts = {"ppt/presentation.xml": f"<p:presentation {P}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": relations([f"slides/slide{k}.xml" for k in range(1, len(slides) + 1)])}
-    return package(parts | {f"ppt/slides/slide{k}.xml": f"<p:sld {P}><p:cSld><p:spTree>{s}</p:spTree></p:cSld></p:sld>" for k, s in enumerate(slides, 1)})
+    parts = {
+        "ppt/presentation.xml": f"<p:presentation {P}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>",
+        "ppt/_rels/presentation.xml.rels": relations([f"slides/slide{k}.xml" for k in range(1, len(slides) + 1)])
+    }
+    return package(
+        parts
+        | {f"ppt/slides/slide{k}.xml": f"<p:sld {P}><p:cSld><p:spTree>{s}</p:spTree></p:cSld></p:sld>" for k, s in enumerate(slides, 1)}
+    )
 
 
 # --- PDF and XLS
@@ -104,7 +123,9 @@ def pdf(pages: list[list[tuple]], title: str = "", *, packed: bool = False, imag
     import zlib
 
     height, objects = 792, {}
-    stream = lambda data, more="": b"<< /Length %d /Filter /FlateDecode %s>>\nstream\n%s\nendstream" % (len(z := zlib.compress(data)), more.encode(), z)
+    stream = lambda data, more="": b"<< /Length %d /Filter /FlateDecode %s>>\nstream\n%s\nendstream" % (
+        len(z := zlib.compress(data)), more.encode(), z
+    )
     chars = sorted({c for page in pages for m in page if m[0] == "text" for c in m[3]})
     code = {c: k for k, c in enumerate(chars, 1)}
     rows = "\n".join(f"<{k:04x}> <{c.encode('utf-16-be').hex()}>" for c, k in code.items())
@@ -138,7 +159,9 @@ def pdf(pages: list[list[tuple]], title: str = "", *, packed: bool = False, imag
             at.append(f"{n} {len(body)}")
             body += o + b" "
         head = " ".join(at).encode() + b" "
-        objects = {n: o for n, o in objects.items() if n not in plain} | {8: stream(head + body, f"/Type /ObjStm /N {len(plain)} /First {len(head)} ")}
+        objects = {n: o for n, o in objects.items() if n not in plain} | {
+            8: stream(head + body, f"/Type /ObjStm /N {len(plain)} /First {len(head)} ")
+        }
     out = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items()))
     return out + b"trailer << /Root 1 0 R /Info 7 0 R >>\n%%EOF"
 
@@ -215,17 +238,23 @@ def xls(sheets: list[tuple[str, list[list], list[tuple[int, int, int, int]]]]) -
         if merged:
             body += rec(0xE5, struct.pack("<H", len(merged)) + b"".join(struct.pack("<4H", *m) for m in merged))
         bodies.append(body + rec(0x0A, b""))
-    named = lambda at: b"".join(rec(0x85, struct.pack("<IBBBB", p, 0, 0, len(n), 1) + n.encode("utf-16-le")) for (n, *_), p in zip(sheets, at, strict=True))
+    named = lambda at: b"".join(
+        rec(0x85, struct.pack("<IBBBB", p, 0, 0, len(n), 1) + n.encode("utf-16-le")) for (n, *_), p in zip(sheets, at, strict=True)
+    )
     before = sum(map(len, globals_)) + len(named([0] * len(sheets)))
     at = [before + sum(map(len, bodies[:k])) for k in range(len(bodies))]
     book = b"".join([globals_[0], named(at), *globals_[1:], *bodies])
     book += bytes(max(0, 4096 - len(book)))
     n = -(-len(book) // 512)
     n_fat = -(-(n + 2) // 127)
-    entry = lambda name, kind, start, size: (name.encode("utf-16-le") + bytes(64))[:64] + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + struct.pack("<iii", -1, 1 if kind == 5 else -1, -1) + bytes(36) + struct.pack("<IQ", start, size)
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le") + bytes(64))[:64] + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + struct.pack(
+        "<iii", -1, 1 if kind == 5 else -1, -1
+    ) + bytes(36) + struct.pack("<IQ", start, size)
     directory = (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, n_fat + 1, len(book))).ljust(512, b"\0")
     fat = [0xFFFFFFFD] * n_fat + [0xFFFFFFFE] + [n_fat + 2 + k for k in range(n - 1)] + [0xFFFFFFFE]
     fat += [0xFFFFFFFF] * (128 * n_fat - len(fat))
-    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<IIIIIII", n_fat, n_fat, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE) + struct.pack("<I", 0)
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack(
+        "<IIIIIII", n_fat, n_fat, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE
+    ) + struct.pack("<I", 0)
     head += struct.pack("<109I", *range(n_fat), *[0xFFFFFFFF] * (109 - n_fat))
     return head + struct.pack(f"<{len(fat)}I", *fat) + directory + book.ljust(512 * n, b"\0")

@@ -53,24 +53,39 @@ def supplier_files(spark, sf_dir):
 def pdf_roundtrip(spark, sf_dir):
     """Suppliers as PDF files of two pages: a ruled table under a merged title, a small one with a cell over two rows, and a page where the first goes on."""
     t = supplier_files(spark, sf_dir).select(number_of().alias("doc"), F.inline("blocks")).where("block_type = 'table'")
-    t = t.select("doc", "page", "table_index", "continuation_id", "continued_on_next", F.array_join("merged", ";").alias("merged"), F.posexplode("grid").alias("row", "r"))
-    return t.select("doc", *[F.col(c).cast("long").alias(c) for c in ("page", "table_index", "row")], F.array_join("r", "|").alias("cells"), "merged", "continuation_id", "continued_on_next")
+    t = t.select(
+        "doc", "page", "table_index", "continuation_id", "continued_on_next", F.array_join("merged", ";").alias("merged"),
+        F.posexplode("grid").alias("row", "r")
+    )
+    return t.select(
+        "doc", *[F.col(c).cast("long").alias(c) for c in ("page", "table_index", "row")], F.array_join("r", "|").alias("cells"), "merged",
+        "continuation_id", "continued_on_next"
+    )
 
 
 def pdf_file_meta(spark, sf_dir):
     a = supplier_files(spark, sf_dir)
     field = lambda path, kind: F.get_json_object("metadata", path).cast(kind)
-    return a.select(number_of().alias("doc"), "title", "status", field("$.page_count", "long").alias("pages"), field("$.table_count", "long").alias("tables"), field("$.requires_ocr", "boolean").alias("requires_ocr"), field("$.pages[0].text_block_count", "long").alias("lines"))
+    return a.select(
+        number_of().alias("doc"), "title", "status", field("$.page_count", "long").alias("pages"),
+        field("$.table_count", "long").alias("tables"), field("$.requires_ocr", "boolean").alias("requires_ocr"),
+        field("$.pages[0].text_block_count", "long").alias("lines")
+    )
 
 
 def nation_xls(region, pdf):
-    rows = [[k, n, k % 2 == 0, ("date", 36526 + k), ("formula", n.lower())] for k, n in sorted(zip(map(int, pdf["n_nationkey"]), pdf["n_name"], strict=True))]
+    rows = [
+        [k, n, k % 2 == 0, ("date", 36526 + k), ("formula", n.lower())]
+        for k, n in sorted(zip(map(int, pdf["n_nationkey"]), pdf["n_name"], strict=True))
+    ]
     return W.xls([("nations", [["key", "name"], *rows, [], ["end", None, None]], [(0, 0, 1, 3)]), ("empty", [], [])])
 
 
 def xls_roundtrip(spark, sf_dir):
     a = R.read(files_of(read(spark, sf_dir, "nation"), "n_regionkey", nation_xls, "xls"))
-    t = a.select(number_of().alias("region"), F.inline("blocks")).select("region", "sheet", "cell_range", F.array_join("merged", ";").alias("merged"), F.posexplode("grid").alias("row", "r"))
+    t = a.select(number_of().alias("region"), F.inline("blocks")).select(
+        "region", "sheet", "cell_range", F.array_join("merged", ";").alias("merged"), F.posexplode("grid").alias("row", "r")
+    )
     return t.select("region", "sheet", "cell_range", "merged", F.col("row").cast("long").alias("row"), F.array_join("r", "|").alias("cells"))
 
 
@@ -79,7 +94,9 @@ def nation_docx(region, pdf):
     body = W.paragraph("Region", f"H{int(region) % 3 + 1}")
     for k, n in enumerate(names):
         body += W.paragraph(n, "LB") if k % 2 else W.paragraph(n, extra=f'<w:numPr><w:ilvl w:val="{k}"/></w:numPr>')
-    body += '<w:p><w:r><a:blip r:embed="rId1"/><a:blip r:embed="rId2"/><a:blip r:embed="rId9"/></w:r></w:p>' + W.paragraph("outlined", extra='<w:outlineLvl w:val="1"/>')
+    body += '<w:p><w:r><a:blip r:embed="rId1"/><a:blip r:embed="rId2"/><a:blip r:embed="rId9"/></w:r></w:p>' + W.paragraph(
+        "outlined", extra='<w:outlineLvl w:val="1"/>'
+    )
     body += W.table([[("wide", 2, ""), ("tall", 1, "restart")], ["a", (W.table([["in", "side"]]) + W.paragraph("text"), 1, ""), ("", 1, "continue")]])
     return W.docx(body + '<w:sectPr><w:pgSz w:w="100" w:h="200" w:orient="landscape"/></w:sectPr>', images=2)
 
@@ -88,15 +105,26 @@ def docx_blocks(spark, sf_dir):
     """Headings by style and outline, list levels, images, merged and nested cells of DOCX files."""
     b = R.read(files_of(read(spark, sf_dir, "nation"), "n_regionkey", nation_docx, "docx")).select(number_of().alias("region"), F.inline("blocks"))
     text = F.coalesce("text", F.array_join(F.transform("grid", lambda r: F.array_join(r, "|")), ";"), F.lit(""))
-    return b.select("region", F.col("seq").cast("long").alias("seq"), "block_type", text.alias("text"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("level", "list_level", "image_count")], F.coalesce(F.array_join("merged", ";"), F.lit("")).alias("merged"))
+    return b.select(
+        "region", F.col("seq").cast("long").alias("seq"), "block_type", text.alias("text"),
+        *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("level", "list_level", "image_count")],
+        F.coalesce(F.array_join("merged", ";"), F.lit("")).alias("merged")
+    )
 
 
 def office_metadata(spark, sf_dir):
     """Counts that readers of office files report, by kind of file."""
-    paths = {"docx": ("$.heading_count", "$.table_count", "$.section_count"), "xlsx": ("$.sheet_count", "$.sheets[0].non_empty_cells", "$.sheets[0].max_row"), "pptx": ("$.slide_count", "$.slides[0].table_count", "$.slides[0].textbox_count")}
+    paths = {
+        "docx": ("$.heading_count", "$.table_count", "$.section_count"),
+        "xlsx": ("$.sheet_count", "$.sheets[0].non_empty_cells", "$.sheets[0].max_row"),
+        "pptx": ("$.slide_count", "$.slides[0].table_count", "$.slides[0].textbox_count")
+    }
     out = None
     for kind, own in paths.items():
-        rows = table_plans.office_files(spark, sf_dir, kind).select(number_of().alias("region"), F.lit(kind).alias("kind"), *[F.get_json_object("metadata", p).cast("long").alias(f"n{k}") for k, p in enumerate(own)])
+        rows = table_plans.office_files(spark, sf_dir, kind).select(
+            number_of().alias("region"), F.lit(kind).alias("kind"),
+            *[F.get_json_object("metadata", p).cast("long").alias(f"n{k}") for k, p in enumerate(own)]
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -105,17 +133,28 @@ def encoding_fallback(spark, sf_dir):
     """Documents as text files in three encodings; content, lines and blocks are those of the text."""
     text = F.coalesce("text", F.lit(""))
     kind = F.col("doc_id") % 3
-    data = F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(kind == 1, F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-16"))
+    data = F.when(
+        kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))
+    ).when(kind == 1, F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-16"))
     got = R.read(read(spark, sf_dir, "documents").select(document_path().alias("path"), data.alias("content")))
-    return got.select("artifact_id", F.sha2("content", 256).alias("content_sha256"), F.col("line_count").cast("long").alias("line_count"), F.col("n_blocks").cast("long").alias("n_blocks"), "provider_id", "status")
+    return got.select(
+        "artifact_id", F.sha2("content", 256).alias("content_sha256"), F.col("line_count").cast("long").alias("line_count"),
+        F.col("n_blocks").cast("long").alias("n_blocks"), "provider_id", "status"
+    )
 
 
 def markdown_reader(spark, sf_dir):
     """A reader of higher priority takes the files; its line count is that of non-blank lines. One that lacks a permission ends the chain."""
     path = F.concat(F.lit("/ws/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".md")).otherwise(F.lit(".rst")))
     files = read(spark, sf_dir, "documents").select(path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    specs = [R.ReaderSpec("markdown.read", ("md",), R.read_markdown, priority=80), R.ReaderSpec("net.read", ("rst",), R.read_text, priority=90, required=("filesystem.read", "network")), *R.defaults()]
-    return R.read(files, readers=specs).select(number_of().cast("long").alias("doc_id"), "provider_id", F.coalesce("line_count", F.lit(-1)).cast("long").alias("line_count"), "status", "error_type")
+    specs = [
+        R.ReaderSpec("markdown.read", ("md",), R.read_markdown, priority=80),
+        R.ReaderSpec("net.read", ("rst",), R.read_text, priority=90, required=("filesystem.read", "network")), *R.defaults()
+    ]
+    return R.read(files, readers=specs).select(
+        number_of().cast("long").alias("doc_id"), "provider_id", F.coalesce("line_count", F.lit(-1)).cast("long").alias("line_count"),
+        "status", "error_type"
+    )
 
 
 def reader_chain(spark, sf_dir):
@@ -129,10 +168,18 @@ def reader_chain(spark, sf_dir):
     def never(data: bytes):
         raise ValueError("never")
 
-    path = F.concat(F.lit("/ws/"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".txt"), F.lit(".log"), F.lit(".zip"), F.lit(".doc")), (F.col("doc_id") % 4 + 1).cast("int")))
+    path = F.concat(
+        F.lit("/ws/"), F.col("doc_id").cast("string"),
+        F.element_at(F.array(F.lit(".txt"), F.lit(".log"), F.lit(".zip"), F.lit(".doc")), (F.col("doc_id") % 4 + 1).cast("int"))
+    )
     files = read(spark, sf_dir, "documents").select(path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    specs = [R.ReaderSpec("picky.read", ("txt", "log"), picky, priority=200), R.ReaderSpec("never.read", ("log",), never, priority=300), *[s for s in R.defaults() if s.provider_id != "text.read"], R.ReaderSpec("text.read", ("txt",), R.read_text, priority=50)]
-    return R.read(files, readers=specs, max_bytes=20_000).select(number_of().cast("long").alias("doc_id"), "provider_id", "fallback_from", "status", "error_type")
+    specs = [
+        R.ReaderSpec("picky.read", ("txt", "log"), picky, priority=200), R.ReaderSpec("never.read", ("log",), never, priority=300),
+        *[s for s in R.defaults() if s.provider_id != "text.read"], R.ReaderSpec("text.read", ("txt",), R.read_text, priority=50)
+    ]
+    return R.read(files, readers=specs, max_bytes=20_000).select(
+        number_of().cast("long").alias("doc_id"), "provider_id", "fallback_from", "status", "error_type"
+    )
 
 
 def workspace_listing(spark, sf_dir):
@@ -143,20 +190,35 @@ def workspace_listing(spark, sf_dir):
         k = r["n_nationkey"]
         folder = os.path.join(root, ("", "sub", "_under", ".git")[k % 4])
         os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, f"{('', '_', '~$', '.', '')[k % 5]}{k}{('.txt', '.MD', '.tmp', '.zip', '.csv', '')[k % 6]}"), "w", encoding="utf-8") as f:
+        with open(
+            os.path.join(folder, f"{('', '_', '~$', '.', '')[k % 5]}{k}{('.txt', '.MD', '.tmp', '.zip', '.csv', '')[k % 6]}"), "w",
+            encoding="utf-8"
+        ) as f:
             f.write(r["n_name"])
     ws = Workspace(spark, root)
-    read_back = ws.artifacts().select(F.substring("path", len(ws.root) + 2, 1 << 20).alias("relative_path"), F.col("content").alias("content"), "status")
+    read_back = ws.artifacts().select(
+        F.substring("path", len(ws.root) + 2, 1 << 20).alias("relative_path"), F.col("content").alias("content"), "status"
+    )
     return ws.refs().select("relative_path", F.col("size").alias("size"), "extension").join(read_back, "relative_path", "full")
 
 
 def context_warnings(spark, sf_dir):
     """Contexts of part tables, whose rendering leaves rows out and reports flags of the reader."""
     t = table_plans.part_tables(spark, sf_dir)
-    block = F.col("b").withField("block_type", F.lit("table")).withField("text", F.lit(None).cast("string")).withField("table_index", F.lit(None).cast("int"))
+    block = F.col("b").withField("block_type", F.lit("table")).withField("text", F.lit(None).cast("string")).withField(
+        "table_index", F.lit(None).cast("int")
+    )
     for name in ("level", "image_count"):
         block = block.withField(name, F.lit(None).cast("int"))
-    rows = t.select(F.col("p_brand").alias("artifact_id"), F.col("p_brand").alias("name"), F.lit("xlsx").alias("artifact_type"), F.array(F.struct(C.render(block, tables=True, max_table_rows=20).alias("rendered"), F.lit(None).cast("int").alias("page"), C.block_warnings(block, 20).alias("warnings"))).alias("blocks"))
+    rows = t.select(
+        F.col("p_brand").alias("artifact_id"), F.col("p_brand").alias("name"), F.lit("xlsx").alias("artifact_type"),
+        F.array(
+            F.struct(
+                C.render(block, tables=True, max_table_rows=20).alias("rendered"), F.lit(None).cast("int").alias("page"),
+                C.block_warnings(block, 20).alias("warnings")
+            )
+        ).alias("blocks")
+    )
     return C.build(rows, C.Policy(max_chars=1000)).select("artifact_id", "truncated", F.array_join("warnings", "\n").alias("warnings"))
 
 
@@ -164,21 +226,50 @@ def context_warnings(spark, sf_dir):
 
 
 def panel_rules(spark, sf_dir):
-    pages = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc")).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
-    h = pages.select("doc", "page", F.lit(20.0).alias("x0"), F.lit(380.0).alias("x1"), F.explode(F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda i: F.lit(30.0) + i * 12.0)).alias("y"))
-    v = pages.select("doc", "page", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.lit(20.0) + j * 60.0)).alias("x"), F.lit(30.0).alias("y0"), (F.lit(42.0) + F.col("n") * 12.0).alias("y1"))
+    pages = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc")).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn(
+        "page", F.explode(F.array(F.lit(1), F.lit(2)))
+    )
+    h = pages.select(
+        "doc", "page", F.lit(20.0).alias("x0"), F.lit(380.0).alias("x1"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda i: F.lit(30.0) + i * 12.0)).alias("y")
+    )
+    v = pages.select(
+        "doc", "page", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.lit(20.0) + j * 60.0)).alias("x"),
+        F.lit(30.0).alias("y0"), (F.lit(42.0) + F.col("n") * 12.0).alias("y1")
+    )
     return h, v
 
 
 def panel_words(spark, sf_dir):
     n = read(spark, sf_dir, "nation").withColumn("row", F.expr("row_number() over (partition by n_regionkey order by n_nationkey)"))
     key = F.col("n_nationkey").cast("string")
-    page1 = F.array(F.col("n_regionkey").cast("string"), F.col("n_name"), key, F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lower("n_name"), F.concat(F.lit("k"), key))
+    page1 = F.array(
+        F.col("n_regionkey").cast("string"), F.col("n_name"), key, F.concat(F.lit("R"), F.col("n_regionkey").cast("string")),
+        F.lower("n_name"), F.concat(F.lit("k"), key)
+    )
     page2 = F.array(*[F.concat(F.lit("p"), key, F.lit(f"c{c}")) for c in range(1, 7)])
-    body = n.select(F.col("n_regionkey").alias("doc"), "row", F.explode(F.array(F.struct(F.lit(1).alias("page"), page1.alias("t")), F.struct(F.lit(2).alias("page"), page2.alias("t")))).alias("p")).select("doc", "p.page", "row", "p.t")
-    head = n.where("row = 1").select(F.col("n_regionkey").alias("doc"), F.explode(F.array(F.struct(F.lit(1).alias("page"), F.array(*[F.lit(x) for x in ("部门", "姓名", "电话") * 2]).alias("t")), F.struct(F.lit(2).alias("page"), F.array(*[F.lit(f"h{c}") for c in range(1, 7)]).alias("t")))).alias("p")).select("doc", "p.page", F.lit(0).alias("row"), "p.t")
+    body = n.select(
+        F.col("n_regionkey").alias("doc"), "row",
+        F.explode(
+            F.array(F.struct(F.lit(1).alias("page"), page1.alias("t")), F.struct(F.lit(2).alias("page"), page2.alias("t")))
+        ).alias("p")
+    ).select("doc", "p.page", "row", "p.t")
+    head = n.where("row = 1").select(
+        F.col("n_regionkey").alias("doc"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).alias("page"), F.array(*[F.lit(x) for x in ("部门", "姓名", "电话") * 2]).alias("t")),
+                F.struct(F.lit(2).alias("page"), F.array(*[F.lit(f"h{c}") for c in range(1, 7)]).alias("t"))
+            )
+        ).alias("p")
+    ).select("doc", "p.page", F.lit(0).alias("row"), "p.t")
     words = body.unionByName(head).select("doc", "page", "row", F.posexplode("t").alias("c", "text"))
-    return G.fragments(words.select("doc", "page", "text", (F.lit(24.0) + F.col("c") * 60.0).alias("x"), (F.lit(34.0) + F.col("row") * 12.0).alias("y"), F.lit(8.0).alias("size")))
+    return G.fragments(
+        words.select(
+            "doc", "page", "text", (F.lit(24.0) + F.col("c") * 60.0).alias("x"), (F.lit(34.0) + F.col("row") * 12.0).alias("y"),
+            F.lit(8.0).alias("size")
+        )
+    )
 
 
 def pdf_panels(spark, sf_dir):
@@ -189,9 +280,17 @@ def pdf_panels(spark, sf_dir):
 
 def pdf_table_limits(spark, sf_dir):
     """Frames of 39 to 43 columns: over 40 there is no table."""
-    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc"), F.lit(1).alias("page"), (F.col("r_regionkey") + 39).cast("int").alias("n"))
-    h = r.select("doc", "page", F.lit(10.0).alias("x0"), (F.lit(10.0) + F.col("n") * 10.0).alias("x1"), F.explode(F.array(F.lit(20.0), F.lit(40.0), F.lit(60.0))).alias("y"))
-    v = r.select("doc", "page", F.explode(F.transform(F.sequence(F.lit(0), "n"), lambda i: F.lit(10.0) + i * 10.0)).alias("x"), F.lit(20.0).alias("y0"), F.lit(60.0).alias("y1"))
+    r = read(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("doc"), F.lit(1).alias("page"), (F.col("r_regionkey") + 39).cast("int").alias("n")
+    )
+    h = r.select(
+        "doc", "page", F.lit(10.0).alias("x0"), (F.lit(10.0) + F.col("n") * 10.0).alias("x1"),
+        F.explode(F.array(F.lit(20.0), F.lit(40.0), F.lit(60.0))).alias("y")
+    )
+    v = r.select(
+        "doc", "page", F.explode(F.transform(F.sequence(F.lit(0), "n"), lambda i: F.lit(10.0) + i * 10.0)).alias("x"),
+        F.lit(20.0).alias("y0"), F.lit(60.0).alias("y1")
+    )
     words = spark.createDataFrame([], "doc long, page int, text string, x double, y double, size double")
     return G.tables(h, v, words).groupBy("doc").agg(F.count(F.lit(1)).alias("cells"), F.max("col").cast("long").alias("columns"))
 
@@ -200,19 +299,28 @@ def rounded_boxes(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     price, part = F.col("l_extendedprice").cast("double"), (F.col("l_partkey") % 1000).cast("double")
     box = F.array(part, part + 0.5, F.when(F.col("l_linenumber") % 3 != 0, price), part + 1.25)
-    return l.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.size(G.rounded_box(box)).cast("long").alias("n"), F.coalesce(F.get(G.rounded_box(box), F.lit(3)), F.lit(-1.0)).alias("bottom"))
+    return l.select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.size(G.rounded_box(box)).cast("long").alias("n"),
+        F.coalesce(F.get(G.rounded_box(box), F.lit(3)), F.lit(-1.0)).alias("bottom")
+    )
 
 
 def split_phrases(spark, sf_dir):
     """A known phrase cut between neighbouring boxes is written whole in the first."""
     b = table_plans.boxes(spark, sf_dir)
-    text = F.when(F.col("box_no") % 4 == 0, F.concat("text", F.lit(" Google"))).when(F.col("box_no") % 4 == 1, F.concat(F.lit("Reader "), "text")).otherwise(F.col("text"))
+    text = F.when(
+        F.col("box_no") % 4 == 0, F.concat("text", F.lit(" Google"))
+    ).when(F.col("box_no") % 4 == 1, F.concat(F.lit("Reader "), "text")).otherwise(F.col("text"))
     out = O.per_page(b.withColumn("text", text), O.joined_phrases)
     return out.select("doc", "page", "box_no", "text")
 
 
 def paragraphs_of_type(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("artifact_id"), "turn", F.when(F.col("role") == "system", "heading").when(F.col("role") == "user", "paragraph").otherwise("text_block").alias("block_type"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    turns = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("artifact_id"), "turn",
+        F.when(F.col("role") == "system", "heading").when(F.col("role") == "user", "paragraph").otherwise("text_block").alias("block_type"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")
+    )
     return B.blocks_of_type(turns, "paragraph").groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
@@ -225,7 +333,10 @@ def duplicates_rejected(spark, sf_dir):
 
 def config_resolved(spark, sf_dir):
     """``settings.resolve`` and ``settings.plugin_dirs`` themselves, as rows."""
-    got = settings.resolve({"llm_model": "m-user", "recent_workspace_limit": 0, "restore_last_workspace": False}, {"LEAFPRESS_LLM_MODEL": " m-env ", "MODEL_DIR": "/m"}, {"recent_activity_limit": 3})
+    got = settings.resolve(
+        {"llm_model": "m-user", "recent_workspace_limit": 0, "restore_last_workspace": False},
+        {"LEAFPRESS_LLM_MODEL": " m-env ", "MODEL_DIR": "/m"}, {"recent_activity_limit": 3}
+    )
     names = ("llm_model", "recent_workspace_limit", "restore_last_workspace", "model_dir", "recent_activity_limit")
     rows = [("field", n, str(got[n][0]), got[n][1]) for n in names]
     dirs = settings.plugin_dirs(["/a", "/b"], {"LEAFPRESS_PLUGIN_PATH": "/b:/c"}, ["/a", "/d"])
@@ -236,7 +347,9 @@ def config_resolved(spark, sf_dir):
 def marked_boxes(spark, sf_dir):
     """Boxes with a cut phrase in every fourth pair, a bullet in the first box of a page and a doubled numeral in some."""
     k = F.col("box_no") % 4
-    text = F.when(k == 0, F.concat("text", F.lit(" Google"))).when(k == 1, F.concat(F.lit("Reader "), "text")).when((k == 2) & (F.col("page") == 1), F.lit("第一一章")).otherwise(F.col("text"))
+    text = F.when(k == 0, F.concat("text", F.lit(" Google"))).when(k == 1, F.concat(F.lit("Reader "), "text")).when(
+        (k == 2) & (F.col("page") == 1), F.lit("第一一章")
+    ).otherwise(F.col("text"))
     return table_plans.boxes(spark, sf_dir).withColumn("text", F.when(F.col("box_no") == 0, F.concat(F.lit(" ▪  "), text)).otherwise(text))
 
 
@@ -250,14 +363,26 @@ def ocr_page_blocks(spark, sf_dir):
     b = table_plans.boxes(spark, sf_dir)
     pages = b.select("doc", "page").distinct().where("page % 2 = 0").withColumn("table_index", F.explode(F.array(F.lit(1), F.lit(2))))
     out = O.page_blocks(O.page_rows(b), pages)
-    return out.select("doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("line_index", "table_index")])
+    return out.select(
+        "doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", F.coalesce("text", F.lit("")).alias("text"),
+        *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("line_index", "table_index")]
+    )
 
 
 def recents_cleared(spark, sf_dir):
     """Recent workspaces after one is removed and the list cleared: pinned ones stay, and an entry appended since counts."""
-    log = read(spark, sf_dir, "events").select(F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at"))
-    more = A.upsert(log, log.agg(F.max("opened_at").alias("opened_at")).select(F.lit("/ws/late").alias("workspace_key"), F.expr("opened_at + interval 1 day").alias("opened_at")))
-    pins = log.where("try_cast(substring(workspace_key, 5, 20) as bigint) % 41 = 0").unionByName(log.limit(1).withColumn("workspace_key", F.lit("/ws/late")))
+    log = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at")
+    )
+    more = A.upsert(
+        log,
+        log.agg(F.max("opened_at").alias("opened_at")).select(
+            F.lit("/ws/late").alias("workspace_key"), F.expr("opened_at + interval 1 day").alias("opened_at")
+        )
+    )
+    pins = log.where(
+        "try_cast(substring(workspace_key, 5, 20) as bigint) % 41 = 0"
+    ).unionByName(log.limit(1).withColumn("workspace_key", F.lit("/ws/late")))
     recents = A.recent_workspaces(more, pins)
     return A.pinned_only(A.removed(recents, "/ws/41")).select("workspace_key", "opens")
 
@@ -269,11 +394,23 @@ def pdf_plain_tables(spark, sf_dir):
         names = sorted(pdf["n_name"])[:3]
         return W.pdf([W.grid_marks([names], [40.0, 180.0, 320.0, 460.0], 60, 20, 8) + [("text", 40, 120, "below", 9)]])
 
-    b = R.read(files_of(read(spark, sf_dir, "nation"), "n_regionkey", make, "pdf")).select(number_of().alias("region"), F.inline("blocks")).where("block_type = 'table'")
-    return b.select("region", F.array_join(F.col("grid")[0], "|").alias("cells"), "extraction_method", "confidence", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"))
-
-
-QUERIES = {f.__name__: f for f in (pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain, workspace_listing, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type, duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables)}
+    b = R.read(
+        files_of(read(spark, sf_dir, "nation"), "n_regionkey", make, "pdf")
+    ).select(number_of().alias("region"), F.inline("blocks")).where("block_type = 'table'")
+    return b.select(
+        "region", F.array_join(F.col("grid")[0], "|").alias("cells"), "extraction_method", "confidence",
+        F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain,
+        workspace_listing, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
+        duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
+    )
+}
 
 _S = "s AS (SELECT floor(s_suppkey / 20)::INT AS doc, *, row_number() OVER (PARTITION BY floor(s_suppkey / 20) ORDER BY s_suppkey) AS k FROM supplier), d AS (SELECT doc, count(*) AS n FROM s GROUP BY doc)"
 _TEXT = r"regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')"

@@ -28,7 +28,9 @@ _ROWS = "AS t(plugin_id, provider_id, priority, extensions, permissions, require
 
 
 def providers(spark):
-    return spark.sql(f"SELECT plugin_id, provider_id, 'artifact.read' AS capability, priority, split(extensions, ',') AS extensions, split(permissions, ',') AS permissions, split(required, ',') AS required, available, reason FROM VALUES {PROVIDERS} {_ROWS}")
+    return spark.sql(
+        f"SELECT plugin_id, provider_id, 'artifact.read' AS capability, priority, split(extensions, ',') AS extensions, split(permissions, ',') AS permissions, split(required, ',') AS required, available, reason FROM VALUES {PROVIDERS} {_ROWS}"
+    )
 
 
 def plugins(spark):
@@ -37,8 +39,13 @@ def plugins(spark):
 
 def names(spark, sf_dir):
     """File names derived from documents, temporary and hidden ones among them."""
-    name = F.expr(f"concat(element_at(array('', '', '', '', '~$', '.', ''), cast(doc_id % 7 + 1 as int)), 'f', doc_id, element_at({EXTENSIONS}, cast(doc_id % 11 + 1 as int)))")
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), name.alias("name"))
+    name = F.expr(
+        f"concat(element_at(array('', '', '', '', '~$', '.', ''), cast(doc_id % 7 + 1 as int)), 'f', doc_id, element_at({EXTENSIONS}, cast(doc_id % 11 + 1 as int)))"
+    )
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("none")).alias("source"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), name.alias("name")
+    )
 
 
 def scan_filter(spark, sf_dir):
@@ -57,7 +64,15 @@ def provider_routing(spark, sf_dir):
 
 
 def read_guards(spark, sf_dir):
-    rows = refs(spark, sf_dir).withColumns({"path": F.when(F.col("doc_id") % 13 == 0, F.lit("/etc/passwd")).otherwise(F.col("path")), "workspace_id": F.when(F.col("doc_id") % 5 == 0, T.workspace_id(F.when(F.col("doc_id") % 10 == 0, F.lit("/other")).otherwise(F.lit("/ws")))), "exists": F.col("doc_id") % 17 != 0})
+    rows = refs(spark, sf_dir).withColumns(
+        {
+            "path": F.when(F.col("doc_id") % 13 == 0, F.lit("/etc/passwd")).otherwise(F.col("path")),
+            "workspace_id": F.when(
+                F.col("doc_id") % 5 == 0, T.workspace_id(F.when(F.col("doc_id") % 10 == 0, F.lit("/other")).otherwise(F.lit("/ws")))
+            ),
+            "exists": F.col("doc_id") % 17 != 0
+        }
+    )
     known = rows.sparkSession.sql("SELECT concat('ws_', substring(sha2('/ws', 256), 1, 12))").first()[0]
     return R.guard(rows, "/ws", known, max_bytes=8000).select("doc_id", "error_type")
 
@@ -66,8 +81,13 @@ def attempts(spark, sf_dir):
     granted = ["filesystem.read"]
     routed = refs(spark, sf_dir).join(R.explode_providers(providers(spark)).where("available"), "extension")
     position = F.expr("row_number() over (partition by artifact_id order by priority desc, provider_id)")
-    fails = F.when((F.col("doc_id") % 3 == 0) & (F.col("provider_id") != "text.read"), F.lit("ArtifactParseError")).when(F.col("doc_id") % 19 == 0, F.lit("ArtifactNotFoundError"))
-    return routed.select("artifact_id", position.alias("position"), "provider_id", R.missing_permissions(F.col("required"), granted).alias("missing"), fails.alias("outcome"))
+    fails = F.when(
+        (F.col("doc_id") % 3 == 0) & (F.col("provider_id") != "text.read"), F.lit("ArtifactParseError")
+    ).when(F.col("doc_id") % 19 == 0, F.lit("ArtifactNotFoundError"))
+    return routed.select(
+        "artifact_id", position.alias("position"), "provider_id", R.missing_permissions(F.col("required"), granted).alias("missing"),
+        fails.alias("outcome")
+    )
 
 
 def fallback_chain(spark, sf_dir):
@@ -81,7 +101,10 @@ def fallback_outcome(spark, sf_dir):
 
 def permissions_effective(spark, sf_dir):
     granted = ["filesystem.read", "network"]
-    return providers(spark).select("provider_id", F.array_join(R.effective_permissions(F.col("permissions"), granted), ",").alias("effective"), F.array_join(R.missing_permissions(F.col("required"), granted), ",").alias("missing"))
+    return providers(spark).select(
+        "provider_id", F.array_join(R.effective_permissions(F.col("permissions"), granted), ",").alias("effective"),
+        F.array_join(R.missing_permissions(F.col("required"), granted), ",").alias("missing")
+    )
 
 
 def plugin_status(spark, sf_dir):
@@ -94,7 +117,12 @@ def system_status(spark, sf_dir):
 
 def capability_catalog(spark, sf_dir):
     own = R.explode_providers(providers(spark)).join(plugins(spark).where("state = 'disabled'").select("plugin_id"), "plugin_id", "left_anti")
-    return own.groupBy("extension").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "provider_id"))), lambda x: x["provider_id"]), ",").alias("providers"))
+    return own.groupBy("extension").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "provider_id"))), lambda x: x["provider_id"]),
+            ","
+        ).alias("providers")
+    )
 
 
 def manifest_problems(spark, sf_dir):
@@ -105,13 +133,19 @@ def manifest_problems(spark, sf_dir):
 
 
 def effective_config(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('base_url', '', 'http://env', 'http://user', 'http://default'), ('model', 'm-run', 'm-env', '', 'm-default'), ('timeout', '', '', '', '60'), ('ocr', 'false', '', 'true', 'false'), ('max_recent', '0', '', '15', '10') AS t(field, runtime, env, user, base)")
-    picked = R.first_set([("Runtime Override", F.col("runtime")), ("Environment", F.col("env")), ("User Config", F.col("user")), ("Default", F.col("base"))])
+    rows = spark.sql(
+        "SELECT * FROM VALUES ('base_url', '', 'http://env', 'http://user', 'http://default'), ('model', 'm-run', 'm-env', '', 'm-default'), ('timeout', '', '', '', '60'), ('ocr', 'false', '', 'true', 'false'), ('max_recent', '0', '', '15', '10') AS t(field, runtime, env, user, base)"
+    )
+    picked = R.first_set(
+        [("Runtime Override", F.col("runtime")), ("Environment", F.col("env")), ("User Config", F.col("user")), ("Default", F.col("base"))]
+    )
     return rows.select("field", picked.alias("p")).select("field", "p.value", "p.source")
 
 
 def plugin_dirs_merged(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, '/u/a/'), (2, '/u//b'), (3, '/u/a'), (4, '/e/c'), (5, '/u/./b'), (6, '/r/d') AS t(place, dir)").withColumn("key", T.path_key(F.col("dir")))
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1, '/u/a/'), (2, '/u//b'), (3, '/u/a'), (4, '/e/c'), (5, '/u/./b'), (6, '/r/d') AS t(place, dir)"
+    ).withColumn("key", T.path_key(F.col("dir")))
     kept, _ = R.unique_first(rows, "key", "place")
     return kept.select("place", "key")
 
@@ -122,26 +156,49 @@ def trace_recent(spark, sf_dir):
 
 
 def activity_log(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("activity_type"), F.concat(F.lit("/ws/"), (F.col("event_id") % 5).cast("string")).alias("workspace_key"), F.concat(F.lit("/ws/f"), (F.col("event_id") % 23).cast("string")).alias("artifact_key"), F.col("ts").alias("opened_at"), F.col("event_id").alias("entry_id"), F.concat(F.lit("opened "), F.col("event_id").cast("string")).alias("title"))
+    return read(spark, sf_dir, "events").select(
+        "user_id", F.col("event_type").alias("activity_type"),
+        F.concat(F.lit("/ws/"), (F.col("event_id") % 5).cast("string")).alias("workspace_key"),
+        F.concat(F.lit("/ws/f"), (F.col("event_id") % 23).cast("string")).alias("artifact_key"), F.col("ts").alias("opened_at"),
+        F.col("event_id").alias("entry_id"), F.concat(F.lit("opened "), F.col("event_id").cast("string")).alias("title")
+    )
 
 
 def recent_activity(spark, sf_dir):
-    return A.recent_activity(activity_log(spark, sf_dir), 5).select("user_id", F.col("position").cast("long").alias("position"), "activity_type", "workspace_key", "artifact_key", "entry_id")
+    return A.recent_activity(activity_log(spark, sf_dir), 5).select(
+        "user_id", F.col("position").cast("long").alias("position"), "activity_type", "workspace_key", "artifact_key", "entry_id"
+    )
 
 
 def recent_workspaces(spark, sf_dir):
-    opens = read(spark, sf_dir, "events").select(F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at"), "user_id")
+    opens = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at"), "user_id"
+    )
     out = A.recent_workspaces(opens, opens.where("user_id % 37 = 0"))
     return out.select("workspace_key", "pinned", "opens", F.col("position").cast("long").alias("position"))
 
 
 def metadata_search(spark, sf_dir):
-    files = names(spark, sf_dir).select(F.col("doc_id").alias("artifact_id"), "name", F.concat("source", F.lit("/"), "name").alias("relative_path"), F.lit("").alias("extension"))
-    spaces = names(spark, sf_dir).select(F.col("source").alias("display_name"), F.concat(F.lit("/ws/"), "source").alias("path"), F.col("source").alias("workspace_id")).distinct()
-    return A.capped(A.search(" SRC1 ", workspaces=spaces, files=files, activities=activity_log(spark, sf_dir))).select("kind", "key", "label", F.col("position").cast("long").alias("position"))
-
-
-QUERIES = {f.__name__: f for f in (scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, permissions_effective, plugin_status, system_status, capability_catalog, manifest_problems, effective_config, plugin_dirs_merged, trace_recent, recent_activity, recent_workspaces, metadata_search)}
+    files = names(spark, sf_dir).select(
+        F.col("doc_id").alias("artifact_id"), "name", F.concat("source", F.lit("/"), "name").alias("relative_path"),
+        F.lit("").alias("extension")
+    )
+    spaces = names(spark, sf_dir).select(
+        F.col("source").alias("display_name"), F.concat(F.lit("/ws/"), "source").alias("path"), F.col("source").alias("workspace_id")
+    ).distinct()
+    return A.capped(
+        A.search(" SRC1 ", workspaces=spaces, files=files, activities=activity_log(spark, sf_dir))
+    ).select("kind", "key", "label", F.col("position").cast("long").alias("position"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, permissions_effective, plugin_status, system_status,
+        capability_catalog, manifest_problems, effective_config, plugin_dirs_merged, trace_recent, recent_activity, recent_workspaces,
+        metadata_search
+    )
+}
 
 _P = f"providers AS (SELECT plugin_id, provider_id, priority, string_split(extensions, ',') AS extensions, string_split(permissions, ',') AS permissions, string_split(required, ',') AS required, available, reason FROM (VALUES {PROVIDERS}) {_ROWS}), offered AS (SELECT *, unnest(extensions) AS extension FROM providers)"
 _G = f"plugins AS (SELECT * FROM (VALUES {PLUGINS}) AS t(plugin_id, source, state, load_error))"

@@ -23,25 +23,49 @@ def nation_cells(spark, sf_dir):
     n = read(spark, sf_dir, "nation").withColumn("row", F.expr("row_number() over (partition by n_regionkey order by n_nationkey)"))
     cell = lambda c, v, span: F.struct(F.lit(c).alias("col"), v.cast("string").alias("text"), span.alias("colspan"))
     first = F.col("row") == 1
-    cells = F.array(cell(1, F.col("n_nationkey"), F.when(first, 2).otherwise(1)), cell(2, F.when(~first, F.col("n_name")), F.lit(1)), cell(3, F.col("n_regionkey"), F.lit(1)))
-    return n.select("n_regionkey", "row", F.explode(F.filter(cells, lambda c: c["text"].isNotNull())).alias("c")).select("n_regionkey", "row", "c.col", F.lit(1).alias("rowspan"), "c.colspan", "c.text")
+    cells = F.array(
+        cell(1, F.col("n_nationkey"), F.when(first, 2).otherwise(1)), cell(2, F.when(~first, F.col("n_name")), F.lit(1)),
+        cell(3, F.col("n_regionkey"), F.lit(1))
+    )
+    return n.select(
+        "n_regionkey", "row", F.explode(F.filter(cells, lambda c: c["text"].isNotNull())).alias("c")
+    ).select("n_regionkey", "row", "c.col", F.lit(1).alias("rowspan"), "c.colspan", "c.text")
 
 
 def grid_from_cells(spark, sf_dir):
     g = TB.grid(nation_cells(spark, sf_dir), "n_regionkey")
-    return g.select("n_regionkey", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("grid"), F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), "merged")
+    return g.select(
+        "n_regionkey", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("grid"),
+        F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), "merged"
+    )
 
 
 def cells_merged(spark, sf_dir):
-    return TB.merged_cells(nation_cells(spark, sf_dir)).select("n_regionkey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("colspan").cast("long").alias("colspan"))
+    return TB.merged_cells(nation_cells(spark, sf_dir)).select(
+        "n_regionkey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
+        F.col("colspan").cast("long").alias("colspan")
+    )
 
 
 def part_tables(spark, sf_dir):
     """Parts by brand as grids of name, size and price class."""
-    rows = read(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", F.array("p_name", F.col("p_size").cast("string"), F.concat(F.lit("a|b "), F.col("p_type"))).alias("r")).alias("s"))
+    rows = read(spark, sf_dir, "part").select(
+        "p_brand",
+        F.struct(
+            "p_partkey", F.array("p_name", F.col("p_size").cast("string"), F.concat(F.lit("a|b "), F.col("p_type"))).alias("r")
+        ).alias("s")
+    )
     grouped = rows.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["r"]).alias("grid"))
     none = lambda t: F.lit(None).cast(t)
-    return grouped.withColumn("b", F.struct("grid", F.size("grid").alias("n_rows"), F.lit(3).alias("n_cols"), F.col("p_brand").alias("sheet"), none("string").alias("cell_range"), none("int").alias("page"), none("int").alias("slide"), F.lit(True).alias("rows_truncated"), F.lit(False).alias("columns_truncated"), none("boolean").alias("cells_truncated"), F.lit(False).alias("continues_from_previous"), F.lit(True).alias("continued_on_next")))
+    return grouped.withColumn(
+        "b",
+        F.struct(
+            "grid", F.size("grid").alias("n_rows"), F.lit(3).alias("n_cols"), F.col("p_brand").alias("sheet"),
+            none("string").alias("cell_range"), none("int").alias("page"), none("int").alias("slide"), F.lit(True).alias("rows_truncated"),
+            F.lit(False).alias("columns_truncated"), none("boolean").alias("cells_truncated"),
+            F.lit(False).alias("continues_from_previous"), F.lit(True).alias("continued_on_next")
+        )
+    )
 
 
 def table_markdown(spark, sf_dir):
@@ -50,7 +74,10 @@ def table_markdown(spark, sf_dir):
 
 def table_truncation_flags(spark, sf_dir):
     """Lineitems of a supplier as a sheet: one row per line, one column per day of the year."""
-    cells = read(spark, sf_dir, "lineitem").select("l_suppkey", F.expr("row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)").alias("row"), (F.dayofyear("l_shipdate")).alias("col"))
+    cells = read(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.expr("row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)").alias("row"),
+        (F.dayofyear("l_shipdate")).alias("col")
+    )
     return TB.cap(cells, "l_suppkey", rows=50, columns=200, records=30)
 
 
@@ -58,8 +85,13 @@ def html_table_roundtrip(spark, sf_dir):
     """Nations written as an HTML table per region and read back."""
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), esc(F.col("n_name")), F.lit("</td></tr>"))
-    pages = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("body"))
-    return html_grids(pages.select("n_regionkey", F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("html")), "n_regionkey").select("n_regionkey", F.posexplode("grid").alias("row", "r")).select("n_regionkey", F.col("row").cast("long").alias("row"), F.get("r", F.lit(0)).cast("long").alias("n_nationkey"), F.get("r", F.lit(1)).alias("n_name"))
+    pages = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("body")
+    )
+    return html_grids(pages.select("n_regionkey", F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("html")), "n_regionkey").select("n_regionkey", F.posexplode("grid").alias("row", "r")).select(
+        "n_regionkey", F.col("row").cast("long").alias("row"), F.get("r", F.lit(0)).cast("long").alias("n_nationkey"),
+        F.get("r", F.lit(1)).alias("n_name")
+    )
 
 
 def html_grids(pages, key):
@@ -73,7 +105,13 @@ def html_grids(pages, key):
 
 
 def html_table_spans(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "<table><tr><td rowspan=2>A</td><td colspan='2'>B</td></tr><tr><td>C</td><td>D</td></tr></table>"), (2, "<tr><th>x</th><th></th></tr><tr><td></td></tr><tr><td>y</td><td>z</td></tr>"), (3, "")], "k int, html string")
+    rows = spark.createDataFrame(
+        [
+            (1, "<table><tr><td rowspan=2>A</td><td colspan='2'>B</td></tr><tr><td>C</td><td>D</td></tr></table>"),
+            (2, "<tr><th>x</th><th></th></tr><tr><td></td></tr><tr><td>y</td><td>z</td></tr>"), (3, "")
+        ],
+        "k int, html string"
+    )
     return html_grids(rows, "k").select("k", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("grid"))
 
 
@@ -93,9 +131,14 @@ def office_files(spark, sf_dir, kind):
 
 
 def _rows(spark, sf_dir, kind):
-    out = office_files(spark, sf_dir, kind).select(F.regexp_extract("name", r"(\d+)", 1).cast("int").alias("n_regionkey"), F.inline("blocks")).where("block_type = 'table'")
+    out = office_files(spark, sf_dir, kind).select(
+        F.regexp_extract("name", r"(\d+)", 1).cast("int").alias("n_regionkey"), F.inline("blocks")
+    ).where("block_type = 'table'")
     out = out.select("n_regionkey", F.posexplode("grid").alias("row", "r"))
-    return out.select("n_regionkey", F.col("row").cast("long").alias("row"), F.get("r", F.lit(0)).cast("long").alias("n_nationkey"), F.get("r", F.lit(1)).alias("n_name"))
+    return out.select(
+        "n_regionkey", F.col("row").cast("long").alias("row"), F.get("r", F.lit(0)).cast("long").alias("n_nationkey"),
+        F.get("r", F.lit(1)).alias("n_name")
+    )
 
 
 def xlsx_roundtrip(spark, sf_dir):
@@ -112,11 +155,17 @@ def pptx_roundtrip(spark, sf_dir):
 
 def xlsx_records(spark, sf_dir):
     records = R.cell_records(office_files(spark, sf_dir, "xlsx").withColumn("artifact_id", F.regexp_extract("name", r"(\d+)", 1)))
-    return records.select(F.col("artifact_id").alias("region"), "address", F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.lit("")).alias("value"), "formula")
+    return records.select(
+        F.col("artifact_id").alias("region"), "address",
+        F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.lit("")).alias("value"), "formula"
+    )
 
 
 def spreadsheet_values(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.number(F.col("l_quantity")).alias("quantity"), V.boolean(F.col("l_returnflag") == "R").alias("returned"), V.timestamp(F.col("l_shipdate").cast("timestamp_ntz")).alias("shipped"))
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.number(F.col("l_quantity")).alias("quantity"),
+        V.boolean(F.col("l_returnflag") == "R").alias("returned"), V.timestamp(F.col("l_shipdate").cast("timestamp_ntz")).alias("shipped")
+    )
 
 
 def spreadsheet_numbers(spark, sf_dir):
@@ -132,7 +181,11 @@ def column_addresses(spark, sf_dir):
 
 
 def supplier_page(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 20).cast("int").alias("doc"), (F.col("s_suppkey") % 20).cast("int").alias("k"), F.col("s_suppkey").cast("string").alias("a"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("b"), F.col("s_nationkey").cast("string").alias("c"))
+    s = read(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_suppkey") / 20).cast("int").alias("doc"), (F.col("s_suppkey") % 20).cast("int").alias("k"),
+        F.col("s_suppkey").cast("string").alias("a"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("b"),
+        F.col("s_nationkey").cast("string").alias("c")
+    )
     return s.withColumn("page", F.lit(1))
 
 
@@ -144,8 +197,19 @@ def supplier_rules(spark, sf_dir):
     size = s.groupBy("doc", "page").agg((F.max("k") + 1).alias("n"))
     y = F.lit(30.0) + F.col("i") * 12.0
     # each level is drawn in two pieces that touch
-    lines = size.select("doc", "page", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).select("doc", "page", F.explode(F.array(F.struct(F.lit(20.0).alias("x0"), F.lit(100.0).alias("x1")), F.struct(F.lit(101.0).alias("x0"), F.lit(230.0).alias("x1")))).alias("p"), y.alias("y")).select("doc", "page", "p.x0", "p.x1", F.col("y").alias("top"), F.col("y").alias("bottom"))
-    upright = size.select("doc", "page", F.explode(F.array(*[F.lit(x) for x in COLUMNS])).alias("x0"), F.lit(30.0).alias("top"), (F.lit(30.0) + F.col("n") * 12.0).alias("bottom")).withColumn("x1", F.col("x0"))
+    lines = size.select("doc", "page", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).select(
+        "doc", "page",
+        F.explode(
+            F.array(
+                F.struct(F.lit(20.0).alias("x0"), F.lit(100.0).alias("x1")), F.struct(F.lit(101.0).alias("x0"), F.lit(230.0).alias("x1"))
+            )
+        ).alias("p"),
+        y.alias("y")
+    ).select("doc", "page", "p.x0", "p.x1", F.col("y").alias("top"), F.col("y").alias("bottom"))
+    upright = size.select(
+        "doc", "page", F.explode(F.array(*[F.lit(x) for x in COLUMNS])).alias("x0"), F.lit(30.0).alias("top"),
+        (F.lit(30.0) + F.col("n") * 12.0).alias("bottom")
+    ).withColumn("x1", F.col("x0"))
     none = spark.createDataFrame([], "doc int, page int, x0 double, x1 double, top double, bottom double, fill boolean, stroke boolean")
     return G.page_lines(lines.unionByName(upright), none)
 
@@ -175,20 +239,38 @@ def pdf_table_roundtrip(spark, sf_dir):
 
 def pdf_header_row(spark, sf_dir):
     """Tables of nations whose third row is made a header by its words."""
-    cells = nation_cells(spark, sf_dir).select(F.col("n_regionkey").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("table"), "row", "col", "colspan", F.when((F.col("row") == 3) & (F.col("n_regionkey") % 2 == 0), F.concat(F.lit("序号 姓名"), "text")).otherwise(F.col("text")).alias("text"))
+    cells = nation_cells(spark, sf_dir).select(
+        F.col("n_regionkey").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("table"), "row", "col", "colspan",
+        F.when(
+            (F.col("row") == 3) & (F.col("n_regionkey") % 2 == 0), F.concat(F.lit("序号 姓名"), "text")
+        ).otherwise(F.col("text")).alias("text")
+    )
     return G.header_rows(cells).select("doc", F.col("header_row").cast("long").alias("header_row"))
 
 
 def pdf_table_chains(spark, sf_dir):
     """A customer's orders as tables, one a page, two columns or three; a page number is left out now and then."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (F.expr("row_number() over (partition by o_custkey order by o_orderkey)") + F.when(F.col("o_orderkey") % 5 == 0, 100).otherwise(0)).alias("page"), F.lit(1).alias("table"), (F.col("o_orderkey") % 4 / 2 + 2).cast("int").alias("columns"), F.array("o_orderstatus").alias("signature"), F.array(F.lit(0.5)).alias("profile"))
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc"),
+        (
+            F.expr(
+                "row_number() over (partition by o_custkey order by o_orderkey)"
+            ) + F.when(F.col("o_orderkey") % 5 == 0, 100).otherwise(0)
+        ).alias("page"),
+        F.lit(1).alias("table"), (F.col("o_orderkey") % 4 / 2 + 2).cast("int").alias("columns"),
+        F.array("o_orderstatus").alias("signature"), F.array(F.lit(0.5)).alias("profile")
+    )
     o = o.withColumn("profile", F.when(F.col("columns") == 3, F.array().cast("array<double>")).otherwise(F.col("profile")))
     return G.chains(o).select("doc", F.col("page").cast("long").alias("page"), "continues_from_previous", "continued_on_next", "continuation_id")
 
 
 def page_parts(spark, sf_dir):
     """Suppliers as text lines, five to a page, some blank; a rule table on even pages, a library table on each third; images on each fourth."""
-    s = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 40).cast("int").alias("doc"), F.floor(F.col("s_suppkey") % 40 / 5).cast("int").alias("page"), F.col("s_suppkey").alias("k"), F.when(F.floor(F.col("s_suppkey") % 40 / 5) == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "s_name")).alias("text"))
+    s = read(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_suppkey") / 40).cast("int").alias("doc"), F.floor(F.col("s_suppkey") % 40 / 5).cast("int").alias("page"),
+        F.col("s_suppkey").alias("k"),
+        F.when(F.floor(F.col("s_suppkey") % 40 / 5) == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "s_name")).alias("text")
+    )
     lines = s.select("doc", "page", "text", (F.col("k") % 3 * 10.0).alias("top"), F.col("k").cast("double").alias("x0"))
     pages = s.select("doc", "page").distinct()
     table = pages.select("doc", "page", F.lit(10.0).alias("top"), F.lit(0.0).alias("x0"))
@@ -198,7 +280,11 @@ def page_parts(spark, sf_dir):
 def pdf_page_blocks(spark, sf_dir):
     _, lines, grid, library, images = page_parts(spark, sf_dir)
     out = P.blocks(lines, P.with_fallback(grid, library), images)
-    return out.select("doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", "text", F.coalesce(F.col("line_index"), F.lit(-1)).cast("long").alias("line_index"), F.coalesce(F.col("image_count"), F.lit(0)).cast("long").alias("image_count"))
+    return out.select(
+        "doc", "page", F.col("seq").cast("long").alias("seq"), "block_id", "block_type", "text",
+        F.coalesce(F.col("line_index"), F.lit(-1)).cast("long").alias("line_index"),
+        F.coalesce(F.col("image_count"), F.lit(0)).cast("long").alias("image_count")
+    )
 
 
 def pdf_table_fallback(spark, sf_dir):
@@ -214,16 +300,31 @@ def pdf_page_meta(spark, sf_dir):
 def xls_cells(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     kind = (F.col("l_orderkey") % 7).cast("int")
-    return l.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.binary_cell(kind, F.when(kind == V.DATE, F.lit(36526.0) + F.col("l_linenumber") + F.when(F.col("l_quantity") > 25, 0.5).otherwise(0.0)).otherwise(F.col("l_quantity")), F.col("l_returnflag")).alias("value"))
+    return l.select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"),
+        V.binary_cell(
+            kind,
+            F.when(
+                kind == V.DATE, F.lit(36526.0) + F.col("l_linenumber") + F.when(F.col("l_quantity") > 25, 0.5).otherwise(0.0)
+            ).otherwise(F.col("l_quantity")),
+            F.col("l_returnflag")
+        ).alias("value")
+    )
 
 
 # --- recognised boxes: words of conversations as boxes on a page
 
 
 def boxes(spark, sf_dir):
-    t = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("box_no", "text"))
+    t = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"),
+        F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("box_no", "text")
+    )
     x, y = (F.col("box_no") % 6) * 100.0, F.floor(F.col("box_no") / 6) * 30.0 + F.col("box_no") % 3
-    return t.select("doc", "page", "box_no", "text", x.alias("x0"), y.cast("double").alias("y0"), (x + 80.0).alias("x1"), (y + 20.0).cast("double").alias("y1"))
+    return t.select(
+        "doc", "page", "box_no", "text", x.alias("x0"), y.cast("double").alias("y0"), (x + 80.0).alias("x1"),
+        (y + 20.0).cast("double").alias("y1")
+    )
 
 
 def ocr_rows(spark, sf_dir):
@@ -244,19 +345,39 @@ def ocr_list_markers(spark, sf_dir):
 
 
 def ocr_tiles(spark, sf_dir):
-    images = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 211).cast("int").alias("width"), (F.col("p_partkey") % 83 * 97).cast("int").alias("height"))
+    images = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("image"), (F.col("p_size") * 211).cast("int").alias("width"),
+        (F.col("p_partkey") % 83 * 97).cast("int").alias("height")
+    )
     return O.tiles(images)
 
 
 def ocr_tile_owner(spark, sf_dir):
     """Boxes on a grid over each tile; each place of the page is owned once."""
-    spots = ocr_tiles(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"x0": F.col("p") * 500.0, "x1": F.col("p") * 500.0 + 40, "y0": F.col("p") * 450.0, "y1": F.col("p") * 450.0 + 30})
+    spots = ocr_tiles(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns(
+        {"x0": F.col("p") * 500.0, "x1": F.col("p") * 500.0 + 40, "y0": F.col("p") * 450.0, "y1": F.col("p") * 450.0 + 30}
+    )
     return O.owned(spots).groupBy("image", "ty", "tx").agg(F.count(F.lit(1)).alias("owned"), F.sum("x0").alias("x0"), F.sum("y0").alias("y0"))
 
 
 def ocr_boxes_parsed(spark, sf_dir):
-    r = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(F.coalesce("text", F.lit("")), F.lit("  ")).alias("rec_texts"), F.array(F.col("turn") / 10).alias("rec_scores"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.col("turn") + 5.0, F.lit(2.0)), F.array(F.lit(4.0), F.col("turn") + 9.0))).alias("rec_polys"))).alias("result"))
-    return O.parse_result(r).select("conv_id", "turn", "box_no", "text", "score", F.array_join(F.transform("box", lambda x: x.cast("long").cast("string")), ",").alias("box"))
+    r = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn",
+        F.to_json(
+            F.struct(
+                F.array(F.coalesce("text", F.lit("")), F.lit("  ")).alias("rec_texts"), F.array(F.col("turn") / 10).alias("rec_scores"),
+                F.array(
+                    F.array(
+                        F.array(F.lit(1.0), F.lit(2.0)), F.array(F.col("turn") + 5.0, F.lit(2.0)), F.array(F.lit(4.0), F.col("turn") + 9.0)
+                    )
+                ).alias("rec_polys")
+            )
+        ).alias("result")
+    )
+    return O.parse_result(r).select(
+        "conv_id", "turn", "box_no", "text", "score",
+        F.array_join(F.transform("box", lambda x: x.cast("long").cast("string")), ",").alias("box")
+    )
 
 
 SAMPLES = ("第一一章", "状态一一对应", "在Python和Go之间", "googlereader", "使用GoogleReader阅读", "一一一一", "结论一一（见附录）", "plain text", "中A", "")
@@ -272,7 +393,16 @@ def ocr_transformations(spark, sf_dir):
     return O.transformations(rows)
 
 
-QUERIES = {f.__name__: f for f in (grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip, docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, column_addresses, pdf_lines_merged, pdf_line_intersections, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta, xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm, ocr_transformations)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip,
+        docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, column_addresses, pdf_lines_merged,
+        pdf_line_intersections, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
+        xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm,
+        ocr_transformations
+    )
+}
 
 _CELLS = """n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation),
     cells AS (SELECT n_regionkey, row, 1 AS col, CASE WHEN row = 1 THEN 2 ELSE 1 END AS colspan, n_nationkey::VARCHAR AS text FROM n UNION ALL SELECT n_regionkey, row, 2, 1, n_name FROM n WHERE row > 1 UNION ALL SELECT n_regionkey, row, 3, 1, n_regionkey::VARCHAR FROM n)"""

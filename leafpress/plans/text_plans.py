@@ -24,7 +24,11 @@ def artifacts(spark, sf_dir):
 
 def artifact_refs(spark, sf_dir):
     path = document_path()
-    return read(spark, sf_dir, "documents").select(T.artifact_id(path).alias("artifact_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), path.alias("path"), F.lit("txt").alias("artifact_type"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_sha256"), T.workspace_id(F.lit("/ws")).alias("workspace_id"))
+    return read(spark, sf_dir, "documents").select(
+        T.artifact_id(path).alias("artifact_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), path.alias("path"),
+        F.lit("txt").alias("artifact_type"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_sha256"), T.workspace_id(F.lit("/ws")).alias("workspace_id")
+    )
 
 
 def text_blocks(spark, sf_dir):
@@ -32,23 +36,35 @@ def text_blocks(spark, sf_dir):
 
 
 def text_metadata(spark, sf_dir):
-    return artifacts(spark, sf_dir).select("artifact_id", "title", "artifact_type", F.col("line_count").cast("long").alias("line_count"), F.length("content").cast("long").alias("content_chars"), F.size("lines").cast("long").alias("n_blocks"))
+    return artifacts(spark, sf_dir).select(
+        "artifact_id", "title", "artifact_type", F.col("line_count").cast("long").alias("line_count"),
+        F.length("content").cast("long").alias("content_chars"), F.size("lines").cast("long").alias("n_blocks")
+    )
 
 
 def turn_blocks(spark, sf_dir):
     """Conversation turns as text blocks of a paged artifact: the page is turn / 2."""
     rows = read(spark, sf_dir, "conversations")
-    return rows.select(F.concat(F.lit("c_"), F.col("conv_id").cast("string")).alias("artifact_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / 2 + 1).cast("int").alias("page"))
+    return rows.select(
+        F.concat(F.lit("c_"), F.col("conv_id").cast("string")).alias("artifact_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / 2 + 1).cast("int").alias("page")
+    )
 
 
 def block_type_counts(spark, sf_dir):
     docs = B.type_counts(text_blocks(spark, sf_dir))
-    turns = turn_blocks(spark, sf_dir).select("artifact_id", F.when(F.col("role") == "system", F.lit("heading")).otherwise(F.lit("text_block")).alias("block_type"))
+    turns = turn_blocks(spark, sf_dir).select(
+        "artifact_id", F.when(F.col("role") == "system", F.lit("heading")).otherwise(F.lit("text_block")).alias("block_type")
+    )
     return docs.unionByName(B.type_counts(turns))
 
 
 def _columns(contexts, *more):
-    return contexts.select("artifact_id", *[F.col(c).cast("long").alias(c) for c in ("n_blocks", "consumed")], "truncated", F.col("omitted_blocks").cast("long").alias("omitted_blocks"), "reason", F.length("context").cast("long").alias("context_chars"), *more)
+    return contexts.select(
+        "artifact_id", *[F.col(c).cast("long").alias(c) for c in ("n_blocks", "consumed")], "truncated",
+        F.col("omitted_blocks").cast("long").alias("omitted_blocks"), "reason", F.length("context").cast("long").alias("context_chars"),
+        *more
+    )
 
 
 def context_budget(spark, sf_dir):
@@ -64,7 +80,9 @@ def context_max_blocks(spark, sf_dir):
 
 
 def context_text(spark, sf_dir):
-    return C.of_lines(artifacts(spark, sf_dir), C.Policy(max_chars=2000)).select("artifact_id", "context", F.array_join("warnings", "\n").alias("warnings"))
+    return C.of_lines(artifacts(spark, sf_dir), C.Policy(max_chars=2000)).select(
+        "artifact_id", "context", F.array_join("warnings", "\n").alias("warnings")
+    )
 
 
 def qa_prompt(spark, sf_dir):
@@ -86,7 +104,10 @@ def context_paged(spark, sf_dir):
 def transcript(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
     ordered = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(ordered, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("transcript"))
+    return rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.array_join(F.transform(ordered, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("transcript")
+    )
 
 
 def content_joined(spark, sf_dir):
@@ -95,29 +116,53 @@ def content_joined(spark, sf_dir):
 
 
 def artifact_summary(spark, sf_dir):
-    return B.summary(artifacts(spark, sf_dir).withColumns({"types": F.transform("lines", lambda x: F.lit("paragraph")), "provider_id": F.lit("text.read")}))
+    return B.summary(
+        artifacts(spark, sf_dir).withColumns(
+            {"types": F.transform("lines", lambda x: F.lit("paragraph")), "provider_id": F.lit("text.read")}
+        )
+    )
 
 
 def preview_model(spark, sf_dir):
-    return B.preview(artifacts(spark, sf_dir)).select("name", "kind", F.sha2("content", 256).alias("content_sha256"), F.col("n_chars").cast("long").alias("n_chars"), "supported")
+    return B.preview(artifacts(spark, sf_dir)).select(
+        "name", "kind", F.sha2("content", 256).alias("content_sha256"), F.col("n_chars").cast("long").alias("n_chars"), "supported"
+    )
 
 
 def size_labels(spark, sf_dir):
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.pow(F.lit(7), F.col("doc_id") % 9).cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", n.alias("size"), T.size_label(n).alias("label"), T.card_size_label(n).alias("card_label"))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", n.alias("size"), T.size_label(n).alias("label"), T.card_size_label(n).alias("card_label")
+    )
 
 
 def cell_collapse(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.collapse(F.coalesce("text", F.lit(""))), 256).alias("collapsed_sha256"), F.sha2(T.cell(F.col("text")), 256).alias("cell_sha256"), F.sha2(T.header_key(F.coalesce("text", F.lit(""))), 256).alias("header_key_sha256"))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(T.collapse(F.coalesce("text", F.lit(""))), 256).alias("collapsed_sha256"),
+        F.sha2(T.cell(F.col("text")), 256).alias("cell_sha256"),
+        F.sha2(T.header_key(F.coalesce("text", F.lit(""))), 256).alias("header_key_sha256")
+    )
 
 
 def page_ocr_flags(spark, sf_dir):
     """Pages of conversations, short turns standing for pages without text; and the totals of the document."""
-    pages = turn_blocks(spark, sf_dir).groupBy("artifact_id", "page").agg(F.sum(F.when(F.length("text") > 120, F.length("text")).otherwise(F.lit(0))).alias("text_chars"))
-    return pages.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("text_chars").alias("text_chars"), F.sum(F.when(F.col("text_chars") == 0, 1).otherwise(0)).alias("ocr_pages"), (F.sum("text_chars") == 0).alias("requires_ocr"))
+    pages = turn_blocks(spark, sf_dir).groupBy("artifact_id", "page").agg(
+        F.sum(F.when(F.length("text") > 120, F.length("text")).otherwise(F.lit(0))).alias("text_chars")
+    )
+    return pages.groupBy("artifact_id").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.sum("text_chars").alias("text_chars"),
+        F.sum(F.when(F.col("text_chars") == 0, 1).otherwise(0)).alias("ocr_pages"), (F.sum("text_chars") == 0).alias("requires_ocr")
+    )
 
 
-QUERIES = {f.__name__: f for f in (artifact_refs, text_blocks, text_metadata, block_type_counts, context_budget, context_budget_small, context_max_blocks, context_text, context_paged, qa_prompt, transcript, content_joined, artifact_summary, preview_model, size_labels, cell_collapse, page_ocr_flags)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        artifact_refs, text_blocks, text_metadata, block_type_counts, context_budget, context_budget_small, context_max_blocks,
+        context_text, context_paged, qa_prompt, transcript, content_joined, artifact_summary, preview_model, size_labels, cell_collapse,
+        page_ocr_flags
+    )
+}
 
 _ARTIFACTS = r"""
     named AS (SELECT *, '/ws/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, doc_id || '.txt' AS name,

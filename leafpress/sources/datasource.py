@@ -25,7 +25,10 @@ class ArtifactReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         """Files in path order, dealt into parts of about equal bytes."""
         known = set(readers.extensions())
-        found = [(path, n) for path, n, _ in scan.local_files(self.root) if not scan.hidden(os.path.basename(path)) and scan.extension(os.path.basename(path)) in known]
+        found = [
+            (path, n) for path, n, _ in scan.local_files(self.root) if not scan.hidden(os.path.basename(path))
+            and scan.extension(os.path.basename(path)) in known
+        ]
         out, size = [[]], 0
         for path, n in found:
             size += n

@@ -110,7 +110,10 @@ def cell_text(tc: ET.Element) -> str:
         if local(e) == "p":
             parts.append(collapse(paragraph_text(e)))
         elif local(e) == "tbl":
-            parts += [" | ".join(collapse("\n".join(paragraph_text(p) for p in c if local(p) == "p")) for c in row if local(c) == "tc") for row in e if local(row) == "tr"]
+            parts += [
+                " | ".join(collapse("\n".join(paragraph_text(p) for p in c if local(p) == "p")) for c in row if local(c) == "tc")
+                for row in e if local(row) == "tr"
+            ]
     return collapse("\n".join(p for p in parts if p))
 
 
@@ -160,7 +163,14 @@ def read_docx(data: bytes) -> tuple[dict, list[dict]]:
         if local(e) == "tbl":
             n_tab += 1
             cells, rows, cols = table_cells(e)
-            blocks.append({"block_type": "table", "table_index": n_tab, "grid": grid_of(cells, rows, cols), "n_rows": rows, "n_cols": cols, "merged": [f"{c['row']},{c['col']},{c['rowspan']},{c['colspan']}" for c in cells if c["rowspan"] > 1 or c["colspan"] > 1]})
+            blocks.append(
+                {
+                    "block_type": "table", "table_index": n_tab, "grid": grid_of(cells, rows, cols), "n_rows": rows, "n_cols": cols,
+                    "merged": [
+                        f"{c['row']},{c['col']},{c['rowspan']},{c['colspan']}" for c in cells if c["rowspan"] > 1 or c["colspan"] > 1
+                    ]
+                }
+            )
         elif local(e) == "p":
             n_par += 1
             text = paragraph_text(e).strip()
@@ -182,13 +192,21 @@ def read_docx(data: bytes) -> tuple[dict, list[dict]]:
             number = child(props, "numPr")
             depth = attr(child(number, "ilvl"), "val")
             if number is not None or "list" in name.lower():
-                blocks.append({"block_type": "list_item", "text": text, "paragraph_index": n_par, "list_level": int(depth) if depth and depth.isdigit() else 0})
+                blocks.append(
+                    {
+                        "block_type": "list_item", "text": text, "paragraph_index": n_par,
+                        "list_level": int(depth) if depth and depth.isdigit() else 0
+                    }
+                )
             else:
                 blocks.append({"block_type": "paragraph", "text": text, "paragraph_index": n_par})
     sections = [e for e in body.iter() if local(e) == "sectPr"]
     core = pack.core()
     counts = {f"{k}_count": sum(b["block_type"] == k for b in blocks) for k in ("heading", "paragraph", "list_item", "table", "image_reference")}
-    metadata = {"title": core["title"] or first, **counts, "section_count": len(sections), "sections": [section(k, e) for k, e in enumerate(sections, 1)], "core_properties": core}
+    metadata = {
+        "title": core["title"] or first, **counts, "section_count": len(sections),
+        "sections": [section(k, e) for k, e in enumerate(sections, 1)], "core_properties": core
+    }
     return {"title": metadata["title"], "content": "\n".join(b["text"] for b in blocks if b.get("text")), "metadata": as_json(metadata)}, blocks
 
 
@@ -303,8 +321,18 @@ def read_xlsx(data: bytes) -> tuple[dict, list[dict]]:
             else:
                 records.append({"address": f"{number_to_letters(c)}{r}", "row": r, "col": c, "value": value, "formula": formula})
         dims = attr(child(root, "dimension"), "ref") or f"{number_to_letters(first[1])}{first[0]}:{number_to_letters(last_col)}{last_row}"
-        blocks.append({"block_type": "table", "sheet": name, "cell_range": dims, "grid": grid, "n_rows": rows, "n_cols": cols, "merged": merged, "rows_truncated": last_row > rows, "columns_truncated": last_col > cols, "cells_truncated": cut, "records": records})
-        about.append({"name": name, "dimensions": dims, "max_row": last_row, "max_column": last_col, "merged_count": len(merged), "non_empty_cells": len(records)})
+        blocks.append(
+            {
+                "block_type": "table", "sheet": name, "cell_range": dims, "grid": grid, "n_rows": rows, "n_cols": cols, "merged": merged,
+                "rows_truncated": last_row > rows, "columns_truncated": last_col > cols, "cells_truncated": cut, "records": records
+            }
+        )
+        about.append(
+            {
+                "name": name, "dimensions": dims, "max_row": last_row, "max_column": last_col, "merged_count": len(merged),
+                "non_empty_cells": len(records)
+            }
+        )
         content.append(f"[Sheet {name}] {dims}")
         content += [line for row in grid[:50] if (line := "\t".join(row).rstrip("\t"))]
     view = next((e for e in each(child(book, "bookViews")) if local(e) == "workbookView"), None)
@@ -356,7 +384,12 @@ def read_pptx(data: bytes) -> tuple[dict, list[dict]]:
                     tables += 1
                     mine["table_count"] += 1
                     grid = [[body_text(tc).strip() for tc in tr if local(tc) == "tc"] for tr in tbl if local(tr) == "tr"]
-                    blocks.append({"block_type": "table", "slide": k, "shape_index": count, "table_index": tables, "grid": grid, "n_rows": len(grid), "n_cols": len(grid[0]) if grid else 0})
+                    blocks.append(
+                        {
+                            "block_type": "table", "slide": k, "shape_index": count, "table_index": tables, "grid": grid,
+                            "n_rows": len(grid), "n_cols": len(grid[0]) if grid else 0
+                        }
+                    )
             elif local(e) == "pic":
                 mine["image_count"] += 1
                 blocks.append({"block_type": "image_reference", "slide": k, "shape_index": count, "image_count": 1})
@@ -373,4 +406,7 @@ SHAPES = ("sp", "pic", "graphicFrame", "grpSp", "cxnSp")
 
 def body_text(e: ET.Element) -> str:
     body = next((x for x in e.iter() if local(x) == "txBody"), None)
-    return "\n".join("".join(t.text or "" if local(t) == "t" else "\v" for t in p.iter() if local(t) in ("t", "br")) for p in (body if body is not None else ()) if local(p) == "p")
+    return "\n".join(
+        "".join(t.text or "" if local(t) == "t" else "\v" for t in p.iter() if local(t) in ("t", "br"))
+        for p in (body if body is not None else ()) if local(p) == "p"
+    )

@@ -297,7 +297,10 @@ GLYPHS = {
     "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’",
     "quotedblleft": "“", "quotedblright": "”", "ellipsis": "…", "fi": "fi", "fl": "fl", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "Euro": "€", "nbspace": " ",
 }
-ACCENTS = {"acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "caron": "̌", "cedilla": "̧", "ring": "̊", "ogonek": "̨", "macron": "̄"}
+ACCENTS = {
+    "acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "caron": "̌", "cedilla": "̧", "ring": "̊", "ogonek": "̨",
+    "macron": "̄"
+}
 
 
 def glyph(name: str) -> str:
@@ -521,7 +524,10 @@ class Page:
                     self.image(ctm)
                 elif kind == "Form" and depth < DEPTH:
                     m = [float(v) for v in (self.doc.get(own.info, "Matrix") or []) if isinstance(v, int | float)]
-                    self.run(self.doc.content(own), self.doc.get(own.info, "Resources") or resources, times(tuple(m), ctm) if len(m) == 6 else ctm, depth + 1)
+                    self.run(
+                        self.doc.content(own), self.doc.get(own.info, "Resources") or resources,
+                        times(tuple(m), ctm) if len(m) == 6 else ctm, depth + 1
+                    )
             elif x == "ID":  # an inline image: its bytes go up to EI
                 end = re.compile(rb"[\s]EI(?=[\s]|$)").search(data, lexer.at)
                 lexer.at = end.end() if end else len(data)
@@ -577,7 +583,10 @@ class Page:
                     words[-1].append(c)
                 else:
                     words.append([c])
-            made = [Char("".join(c.text for c in w), w[0].x0, w[-1].x1, min(c.top for c in w), max(c.bottom for c in w), w[0].size) for w in words if w]
+            made = [
+                Char("".join(c.text for c in w), w[0].x0, w[-1].x1, min(c.top for c in w), max(c.bottom for c in w), w[0].size)
+                for w in words if w
+            ]
             if made:
                 out.append(made)
         return out
@@ -608,7 +617,9 @@ class Page:
 def pdf_string(raw: Any) -> str | None:
     if not isinstance(raw, bytes):
         return None
-    text = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8-sig" if raw[:3] == b"\xef\xbb\xbf" else "latin-1", "replace")
+    text = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode(
+        "utf-8-sig" if raw[:3] == b"\xef\xbb\xbf" else "latin-1", "replace"
+    )
     return text or None
 
 
@@ -630,13 +641,24 @@ def read_pdf(data: bytes) -> tuple[dict, list[dict]]:
     blocks, about = [], []
     for k, (page, own, found) in enumerate(zip(pages, lines, tables, strict=True), 1):
         texts = [" ".join(w.text for w in line).strip() for line in own]
-        placed = [(line[0].top, 0, {"block_type": "text_block", "text": t, "page": k, "line_index": n}) for n, (line, t) in enumerate(zip(own, texts, strict=True))]
+        placed = [
+            (line[0].top, 0, {"block_type": "text_block", "text": t, "page": k, "line_index": n})
+            for n, (line, t) in enumerate(zip(own, texts, strict=True))
+        ]
         for n, t in enumerate(found, 1):
             grid = [[""] * t.columns for _ in range(t.rows)]
             for c in t.cells:
                 grid[c.row - 1][c.col - 1] = collapse(c.text)
             merged = [f"{c.row},{c.col},{c.rowspan},{c.colspan}" for c in t.cells if c.rowspan > 1 or c.colspan > 1]
-            placed.append((t.box[1], 1, {"block_type": "table", "page": k, "table_index": n, "grid": grid, "n_rows": t.rows, "n_cols": t.columns, "merged": merged, "header_row": t.header or None, **method(plain[k - 1]), **chains[k - 1][n - 1]}))
+            placed.append(
+                (
+                    t.box[1], 1,
+                    {
+                        "block_type": "table", "page": k, "table_index": n, "grid": grid, "n_rows": t.rows, "n_cols": t.columns,
+                        "merged": merged, "header_row": t.header or None, **method(plain[k - 1]), **chains[k - 1][n - 1]
+                    }
+                )
+            )
         if page.images:
             placed.append((0.0, 2, {"block_type": "image_reference", "page": k, "image_count": len(page.images)}))
         blocks += [b for *_, b in sorted(placed, key=lambda x: x[:2])]
@@ -645,6 +667,12 @@ def read_pdf(data: bytes) -> tuple[dict, list[dict]]:
     info = doc.deref(doc.trailer.get("Info"))
     title = pdf_string(doc.get(info, "Title"))
     total = sum(p["text_chars"] for p in about)
-    counts = {f"{name}_count": sum(b["block_type"] == kind for b in blocks) for name, kind in (("table", "table"), ("image_reference", "image_reference"))}
+    counts = {
+        f"{name}_count": sum(b["block_type"] == kind for b in blocks)
+        for name, kind in (("table", "table"), ("image_reference", "image_reference"))
+    }
     metadata = {"title": title, "page_count": len(about), "requires_ocr": bool(about) and not total, "pages": about, **counts}
-    return {"title": title, "content": "\n".join(b["text"] for b in blocks if b.get("text")), "metadata": json.dumps(metadata, ensure_ascii=False)}, blocks
+    return {
+        "title": title, "content": "\n".join(b["text"] for b in blocks if b.get("text")),
+        "metadata": json.dumps(metadata, ensure_ascii=False)
+    }, blocks

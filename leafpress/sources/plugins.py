@@ -211,8 +211,17 @@ class Assembly:
 
     def providers(self, spark: SparkSession) -> DataFrame:
         """The table that routing and status work on."""
-        rows = [(s.owner, s.provider_id, CAPABILITY, s.priority, list(s.extensions), list(s.declared or s.required), list(s.required), s.available, s.reason) for s in self.specs]
-        return spark.createDataFrame(rows, "plugin_id string, provider_id string, capability string, priority int, extensions array<string>, permissions array<string>, required array<string>, available boolean, reason string")
+        rows = [
+            (
+                s.owner, s.provider_id, CAPABILITY, s.priority, list(s.extensions), list(s.declared or s.required), list(s.required),
+                s.available, s.reason
+            )
+            for s in self.specs
+        ]
+        return spark.createDataFrame(
+            rows,
+            "plugin_id string, provider_id string, capability string, priority int, extensions array<string>, permissions array<string>, required array<string>, available boolean, reason string"
+        )
 
 
 def assemble(folders: Iterable[str] = (), disabled: Iterable[str] = ()) -> Assembly:

@@ -153,7 +153,11 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refus
         except Exception as e:  # a reader's failure is a row
             kind, why = "ArtifactParseError", f"{type(e).__name__}: {e}"
         else:
-            return {"provider_id": s.provider_id, "plugin_id": s.owner, "parse_ms": round((time.perf_counter() - began) * 1000, 3), "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta, "blocks": blocks}
+            return {
+                "provider_id": s.provider_id, "plugin_id": s.owner, "parse_ms": round((time.perf_counter() - began) * 1000, 3),
+                "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta,
+                "blocks": blocks
+            }
         out = {**out, "error_type": kind, "error": why, "fallback_from": before}
         before = s.provider_id
         if kind not in FALLBACK:
@@ -161,7 +165,9 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refus
     return out
 
 
-def read(files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted: Iterable[str] = ("filesystem.read",), max_bytes: int = MAX_BYTES) -> DataFrame:
+def read(
+    files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted: Iterable[str] = ("filesystem.read",), max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """``files`` (path, content; e.g. of a binaryFile scan) to one row per file with nested blocks and records.
 
     Files over ``max_bytes``, and those whose content is null, give a row with an error.
@@ -181,10 +187,16 @@ def read(files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted:
         found = made.pop("blocks", [])
         none = dict.fromkeys(BLOCK_NAMES[1:])
         blocks = [{**none, **{k: v for k, v in b.items() if k != "records"}, "seq": k, "block_id": f"b{k:04d}"} for k, b in enumerate(found, 1)]
-        records = [{**{k: v for k, v in r.items() if k != "value"}, "sheet": b.get("sheet"), "value": json.dumps(r["value"])} for b in found for r in b.get("records", [])]
+        records = [
+            {**{k: v for k, v in r.items() if k != "value"}, "sheet": b.get("sheet"), "value": json.dumps(r["value"])} for b in found
+            for r in b.get("records", [])
+        ]
         identity = {"artifact_id": "a_" + hashlib.sha256(path.encode()).hexdigest()[:16], "name": name, "path": path, "artifact_type": ext}
         about = {"file_size": size, "file_sha256": None if content is None else hashlib.sha256(content).hexdigest()}
-        return {**identity, **about, **made, "title": made.get("title") or name.rpartition(".")[0] or name, "n_blocks": len(blocks), "blocks": blocks, "records": records}
+        return {
+            **identity, **about, **made, "title": made.get("title") or name.rpartition(".")[0] or name, "n_blocks": len(blocks),
+            "blocks": blocks, "records": records
+        }
 
     def run(batches):
         for batch in batches:
@@ -195,7 +207,10 @@ def read(files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted:
                     yield pa.RecordBatch.from_pylist([row], schema=arrow)
                 except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:  # a reader's blocks don't fit the schema
                     keep = {k: row[k] for k in ("artifact_id", "name", "path", "artifact_type", "file_size", "file_sha256")}
-                    bad = {"status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}", "n_blocks": 0, "blocks": [], "records": []}
+                    bad = {
+                        "status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}", "n_blocks": 0,
+                        "blocks": [], "records": []
+                    }
                     yield pa.RecordBatch.from_pylist([keep | bad], schema=arrow)
 
     own = files if "size" in files.columns else files.withColumn("size", F.octet_length("content").cast("long"))
@@ -252,7 +267,9 @@ def opened(spark: SparkSession, paths: list[str], max_bytes: int) -> DataFrame:
                 if size <= max_bytes:
                     with open(path, "rb") as f:
                         data = f.read()
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["path", "length", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["path", "length", "content"]
+                )
 
     return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, length long, content binary")
 

@@ -47,7 +47,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:(//)?", "")
-    return files.select(path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    return files.select(
+        path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified_at")
+    )
 
 
 def local_files(root: str) -> list[tuple[str, int, float]]:
@@ -70,7 +73,9 @@ def local_files(root: str) -> list[tuple[str, int, float]]:
 def list_local(spark: SparkSession, root: str) -> DataFrame:
     """Like ``list_files`` by the driver's own walk: names with ``_`` kept, hidden directories pruned."""
     rows = [(path, os.path.basename(path), size, at) for path, size, at in local_files(root)]
-    return spark.createDataFrame(rows, "path string, name string, size long, modified double").select("path", "name", "size", F.timestamp_seconds("modified").alias("modified_at"))
+    return spark.createDataFrame(rows, "path string, name string, size long, modified double").select(
+        "path", "name", "size", F.timestamp_seconds("modified").alias("modified_at")
+    )
 
 
 def refs(files: DataFrame, root: str, claimed: DataFrame) -> DataFrame:

@@ -135,7 +135,9 @@ def shared_strings(parts: list[bytes]) -> list[str]:
 
 
 def rk(raw: int) -> float:
-    value = float((raw if raw < 1 << 31 else raw - (1 << 32)) >> 2) if raw & 2 else struct.unpack("<d", struct.pack("<Q", (raw & 0xFFFFFFFC) << 32))[0]
+    value = float((raw if raw < 1 << 31 else raw - (1 << 32)) >> 2) if raw & 2 else struct.unpack(
+        "<d", struct.pack("<Q", (raw & 0xFFFFFFFC) << 32)
+    )[0]
     return value / 100 if raw & 1 else value
 
 
@@ -252,7 +254,12 @@ def read_xls(data: bytes) -> tuple[dict, list[dict]]:
                 grid.append(row)
         wide = max(map(len, grid), default=0)
         place = f"A1:{number_to_letters(max(wide, 1))}{max(len(grid), 1)}"
-        blocks.append({"block_type": "table", "sheet": name, "cell_range": place, "grid": grid, "n_rows": len(grid), "n_cols": wide, "merged": merged, "extraction_method": "biff8"})
+        blocks.append(
+            {
+                "block_type": "table", "sheet": name, "cell_range": place, "grid": grid, "n_rows": len(grid), "n_cols": wide,
+                "merged": merged, "extraction_method": "biff8"
+            }
+        )
         about.append({"name": name, "max_row": rows, "max_column": cols, "merged_count": len(merged)})
         content.append(f"[Sheet {name}] {place}")
         content += ["\t".join(row) for row in grid[:50]]

@@ -25,7 +25,10 @@ class WorkspaceBoundaryError(ValueError):
 class Workspace:
     """Files below a root (local, or any store that Spark reads)."""
 
-    def __init__(self, spark: SparkSession, root: str, *, specs: list[readers.ReaderSpec] | None = None, granted: Iterable[str] = ("filesystem.read",)):
+    def __init__(
+        self, spark: SparkSession, root: str, *, specs: list[readers.ReaderSpec] | None = None,
+        granted: Iterable[str] = ("filesystem.read",)
+    ):
         self.local = "://" not in root
         if self.local:
             root = os.path.realpath(root)
@@ -70,12 +73,29 @@ class Workspace:
         rows = (self.artifacts() if artifacts is None else artifacts).where("status = 'ok'")
 
         def rendered(b):
-            return F.struct(C.render(b, tables=True, max_table_rows=p.max_table_rows).alias("rendered"), b["page"].alias("page"), C.block_warnings(b, p.max_table_rows).alias("warnings"))
+            return F.struct(
+                C.render(b, tables=True, max_table_rows=p.max_table_rows).alias("rendered"), b["page"].alias("page"),
+                C.block_warnings(b, p.max_table_rows).alias("warnings")
+            )
 
         prefix = len(self.root) + 2
         about = F.from_json("metadata", "struct<requires_ocr:boolean,pages:array<struct<page:int,requires_ocr:boolean>>>")
-        rows = rows.withColumn("about", about).withColumns({"requires_ocr": F.col("about.requires_ocr"), "ocr_pages": F.transform(F.filter(F.coalesce("about.pages", F.array().cast("array<struct<page:int,requires_ocr:boolean>>")), lambda x: x["requires_ocr"]), lambda x: x["page"])})
-        return C.build(rows.withColumns({"blocks": F.transform("blocks", rendered), "relative_path": F.substring("path", prefix, 1 << 20)}), p, pages="ocr_pages")
+        rows = rows.withColumn("about", about).withColumns(
+            {
+                "requires_ocr": F.col("about.requires_ocr"),
+                "ocr_pages": F.transform(
+                    F.filter(
+                        F.coalesce("about.pages", F.array().cast("array<struct<page:int,requires_ocr:boolean>>")),
+                        lambda x: x["requires_ocr"]
+                    ),
+                    lambda x: x["page"]
+                )
+            }
+        )
+        return C.build(
+            rows.withColumns({"blocks": F.transform("blocks", rendered), "relative_path": F.substring("path", prefix, 1 << 20)}), p,
+            pages="ocr_pages"
+        )
 
     def ask(self, question: str, model: Callable[[str, str], str], policy: C.Policy | None = None) -> DataFrame:
         return answers.ask(self.contexts(policy), question, model)

@@ -15,8 +15,14 @@ HEAD = ["序号", "姓名", "职务"]
 
 
 def two_pages(**options):
-    first = [("text", 60, 40, "Overview of liquidity 流动性", 12), *W.grid_marks([HEAD, ["1", "Ann", ("both", 2)], ["2", "Bob", ""], ["whole", None, None]], XS, 100, 24)]
-    second = [*W.grid_marks([HEAD, ["3", "Cy", "x"]], XS, 60, 24), *W.grid_marks([["a", "b"], ["c", "d"]], XS[:3], 300, 30), ("text", 60, 500, "closing words", 10)]
+    first = [
+        ("text", 60, 40, "Overview of liquidity 流动性", 12),
+        *W.grid_marks([HEAD, ["1", "Ann", ("both", 2)], ["2", "Bob", ""], ["whole", None, None]], XS, 100, 24)
+    ]
+    second = [
+        *W.grid_marks([HEAD, ["3", "Cy", "x"]], XS, 60, 24), *W.grid_marks([["a", "b"], ["c", "d"]], XS[:3], 300, 30),
+        ("text", 60, 500, "closing words", 10)
+    ]
     return W.pdf([first, second, []], "资产", **options)
 
 
@@ -24,15 +30,21 @@ def two_pages(**options):
 def test_pdf(packed):
     meta, blocks = pdf.read_pdf(two_pages(packed=packed))
     tables = [b for b in blocks if b["block_type"] == "table"]
-    assert meta["title"] == "资产" and [(t["page"], t["table_index"], t["n_rows"], t["n_cols"]) for t in tables] == [(1, 1, 4, 3), (2, 1, 2, 3), (2, 2, 2, 2)]
+    assert meta["title"] == "资产" and [
+        (t["page"], t["table_index"], t["n_rows"], t["n_cols"]) for t in tables
+    ] == [(1, 1, 4, 3), (2, 1, 2, 3), (2, 2, 2, 2)]
     assert tables[0]["grid"] == [HEAD, ["1", "Ann", "both"], ["2", "Bob", ""], ["whole", "", ""]] and tables[0]["merged"] == ["2,3,2,1", "4,1,1,3"]
     assert tables[1]["grid"] == [HEAD, ["3", "Cy", "x"]] and tables[2]["grid"] == [["a", "b"], ["c", "d"]]
     assert [t["header_row"] for t in tables[:2]] == [1, 1]
-    assert [(t["continuation_id"], t["continues_from_previous"], t["continued_on_next"]) for t in tables[:2]] == [("table-chain-1", False, True), ("table-chain-1", True, False)]
+    assert [
+        (t["continuation_id"], t["continues_from_previous"], t["continued_on_next"]) for t in tables[:2]
+    ] == [("table-chain-1", False, True), ("table-chain-1", True, False)]
     texts = [(b["page"], b["text"]) for b in blocks if b["block_type"] == "text_block"]
     assert texts[0] == (1, "Overview of liquidity 流动性") and texts[1] == (1, "序号 姓名 职务") and texts[-1] == (2, "closing words")
     about = json.loads(meta["metadata"])
-    assert about["page_count"] == 3 and about["table_count"] == 3 and not about["requires_ocr"] and [p["requires_ocr"] for p in about["pages"]] == [False, False, True]
+    assert about["page_count"] == 3 and about["table_count"] == 3 and not about["requires_ocr"] and [
+        p["requires_ocr"] for p in about["pages"]
+    ] == [False, False, True]
 
 
 def test_pdf_images_and_damage():
@@ -56,7 +68,9 @@ def test_pdf_fonts():
     data = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] /Count 1 >> endobj 3 0 obj << /Type /Page /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >> endobj 4 0 obj << /Length " + str(len(content)).encode() + b" >> stream\n" + content + b"\nendstream endobj 5 0 obj << /Type /Font /Subtype /Type1 /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [65 /eacute /B] >> >> endobj"
     doc = pdf.Document(data)
     page = pdf.Page(doc, next(doc.pages()))
-    assert [[w.text for w in line] for line in page.words()] == [["café", "(x)"], ["é", "B", "é"]] or [[w.text for w in line] for line in page.words()][:1] == [["café", "(x)"]]
+    assert [
+        [w.text for w in line] for line in page.words()
+    ] == [["café", "(x)"], ["é", "B", "é"]] or [[w.text for w in line] for line in page.words()][:1] == [["café", "(x)"]]
     h, v = page.rules()
     assert len(h) == 2 and len(v) == 1
 
@@ -81,9 +95,15 @@ def test_metadata(spark):
     }
     got = {r["name"]: json.loads(r["metadata"]) for r in R.read(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()}
     doc, book, show = got["a.docx"], got["b.xlsx"], got["c.pptx"]
-    assert (doc["heading_count"], doc["paragraph_count"], doc["table_count"], doc["sections"]) == (1, 1, 1, [{"index": 1, "orientation": "PORTRAIT", "page_width": 11906, "page_height": 16838}])
-    assert book["active_sheet"] == "s" and book["sheets"][0] == {"name": "s", "dimensions": "A1:C2", "max_row": 2, "max_column": 3, "merged_count": 1, "non_empty_cells": 3}
-    assert show["slides"] == [{"index": 1, "title": "Title", "layout": None, "textbox_count": 2, "table_count": 1, "image_count": 0}] and got["d.txt"] == {"line_count": 3}
+    assert (doc["heading_count"], doc["paragraph_count"], doc["table_count"], doc["sections"]) == (
+        1, 1, 1, [{"index": 1, "orientation": "PORTRAIT", "page_width": 11906, "page_height": 16838}]
+    )
+    assert book["active_sheet"] == "s" and book["sheets"][0] == {
+        "name": "s", "dimensions": "A1:C2", "max_row": 2, "max_column": 3, "merged_count": 1, "non_empty_cells": 3
+    }
+    assert show["slides"] == [
+        {"index": 1, "title": "Title", "layout": None, "textbox_count": 2, "table_count": 1, "image_count": 0}
+    ] and got["d.txt"] == {"line_count": 3}
 
 
 @pytest.fixture
@@ -91,7 +111,11 @@ def folder(tmp_path):
     root = tmp_path / "ws"
     (root / "_sub").mkdir(parents=True)
     (root / ".git").mkdir()
-    for name, data in {"a.txt": b"a", "e.TXT": b"e", "_c.txt": b"c", "~$b.txt": b"lock", ".h.txt": b"h", "t.txt.tmp": b"t", "_sub/x.md": b"x", ".git/y.txt": b"y", "old.doc": office.OLE, "p.pdf": two_pages(), "s.xls": W.xls([("s", [["a", 1]], [])]), "big.txt": b"x" * 100_000, "none": b""}.items():
+    for name, data in {
+        "a.txt": b"a", "e.TXT": b"e", "_c.txt": b"c", "~$b.txt": b"lock", ".h.txt": b"h", "t.txt.tmp": b"t", "_sub/x.md": b"x",
+        ".git/y.txt": b"y", "old.doc": office.OLE, "p.pdf": two_pages(), "s.xls": W.xls([("s", [["a", 1]], [])]), "big.txt": b"x" * 100_000,
+        "none": b""
+    }.items():
         (root / name).write_bytes(data)
     return str(root)
 
@@ -104,7 +128,9 @@ def test_one_listing(spark, folder):
     assert [r["relative_path"] for r in ws.refs().collect()] == names
     got = {r["path"][len(folder) + 1 :]: r for r in ws.artifacts(max_bytes=50_000).collect()}
     assert sorted(got) == names
-    assert {k: r["error_type"] for k, r in got.items() if r["status"] != "ok"} == {"big.txt": "ArtifactTooLargeError", "old.doc": "ProviderNotAvailableError"}
+    assert {k: r["error_type"] for k, r in got.items() if r["status"] != "ok"} == {
+        "big.txt": "ArtifactTooLargeError", "old.doc": "ProviderNotAvailableError"
+    }
     datasource.register(spark)
     assert sorted(r["path"][len(folder) + 1 :] for r in spark.read.format("leafpress").load(folder).collect()) == names
     assert ws.read("_c.txt").first()["content"] == "c" and ws.read("a.txt").first()["content"] == "a"

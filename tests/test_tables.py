@@ -17,7 +17,10 @@ def ruled(xs, ys, skip_v=(), skip_h=()):
 def test_grid_with_merged_cells():
     xs, ys = [20, 80, 130, 180], [0, 12, 24, 36]
     h, v = ruled(xs, ys, skip_v={(0, 1)}, skip_h={(2, 2)})
-    words = [("序号", 25, 4, 10), ("姓名", 135, 4, 10), ("1", 25, 16, 10), ("a", 85, 16, 10), ("b", 96, 16, 10), ("tall", 135, 20, 10), ("z", 500, 500, 10)]
+    words = [
+        ("序号", 25, 4, 10), ("姓名", 135, 4, 10), ("1", 25, 16, 10), ("a", 85, 16, 10), ("b", 96, 16, 10), ("tall", 135, 20, 10),
+        ("z", 500, 500, 10)
+    ]
     (t,) = G.solve_page(h, v, [(w, float(x), float(y), float(s)) for w, x, y, s in words])
     cells = {(c.row, c.col): c for c in t.cells}
     assert (t.columns, t.rows, t.header) == (3, 3, 1)
@@ -44,7 +47,9 @@ def test_panels_and_page_split():
 
 def test_united_rules():
     out = G.united(np.array([(10, 0, 5), (10.4, 6, 9), (11.4, 20, 30), (12, 0, 4)], float))
-    assert [(round(y, 3), a, b) for y, a, b in out] == [(round((10 + 10.4 + 11.4) / 3, 3), 0, 9), (round((10 + 10.4 + 11.4) / 3, 3), 20, 30), (12, 0, 4)]
+    assert [(round(y, 3), a, b) for y, a, b in out] == [
+        (round((10 + 10.4 + 11.4) / 3, 3), 0, 9), (round((10 + 10.4 + 11.4) / 3, 3), 20, 30), (12, 0, 4)
+    ]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -60,10 +65,16 @@ def test_centroids(seed):
 
 
 def test_chains(spark):
-    rows = [("d", 1, 1, 3, ["a"], []), ("d", 2, 1, 3, ["a"], []), ("d", 2, 2, 3, ["a"], []), ("d", 4, 1, 3, ["a"], []), ("d", 5, 1, 3, [], [0.5]), ("d", 6, 1, 3, [], [0.5])]
+    rows = [
+        ("d", 1, 1, 3, ["a"], []), ("d", 2, 1, 3, ["a"], []), ("d", 2, 2, 3, ["a"], []), ("d", 4, 1, 3, ["a"], []),
+        ("d", 5, 1, 3, [], [0.5]), ("d", 6, 1, 3, [], [0.5])
+    ]
     df = spark.createDataFrame(rows, "doc string, page int, table int, columns int, signature array<string>, profile array<double>")
     got = {(r["page"], r["table"]): (r["continuation_id"], r["continues_from_previous"], r["continued_on_next"]) for r in G.chains(df).collect()}
-    assert got == {(1, 1): ("table-chain-1", False, True), (2, 1): ("table-chain-1", True, False), (2, 2): ("table-chain-2", False, False), (4, 1): ("table-chain-3", False, False), (5, 1): ("table-chain-4", False, True), (6, 1): ("table-chain-4", True, False)}
+    assert got == {
+        (1, 1): ("table-chain-1", False, True), (2, 1): ("table-chain-1", True, False), (2, 2): ("table-chain-2", False, False),
+        (4, 1): ("table-chain-3", False, False), (5, 1): ("table-chain-4", False, True), (6, 1): ("table-chain-4", True, False)
+    }
 
 
 def test_docx():
@@ -73,7 +84,10 @@ def test_docx():
         + W.table([[("风险类别", 2, ""), "应对策略"], ["a", ("up", 1, "restart"), "b"], ["c", ("", 1, "continue"), W.table([["姓名", "电话"], ["张伟", "13800000000"]]) and (W.table([["姓名", "电话"], ["张伟", "13800000000"]]), 1, "")]])
     )
     meta, blocks = office.read_docx(W.docx(body, images=1))
-    assert [(b["block_type"], b.get("level"), b.get("list_level"), b.get("image_count")) for b in blocks] == [("paragraph", None, None, None), ("heading", 1, None, None), ("heading", 2, None, None), ("list_item", None, 0, None), ("list_item", None, 1, None), ("heading", 3, None, None), ("image_reference", None, None, 1), ("table", None, None, None)]
+    assert [(b["block_type"], b.get("level"), b.get("list_level"), b.get("image_count")) for b in blocks] == [
+        ("paragraph", None, None, None), ("heading", 1, None, None), ("heading", 2, None, None), ("list_item", None, 0, None),
+        ("list_item", None, 1, None), ("heading", 3, None, None), ("image_reference", None, None, 1), ("table", None, None, None)
+    ]
     assert meta["title"] == "一、项目背景"
     t = blocks[-1]
     assert t["grid"] == [["风险类别", "", "应对策略"], ["a", "up", "b"], ["c", "", "姓名 | 电话 / 张伟 | 13800000000"]]
@@ -88,12 +102,25 @@ def test_xlsx():
     assert by["D2"] == (None, "=C2-B2") and by["D3"] == (2, "=1+1") and by["A3"] == (True, None) and by["B3"] == (1.5, None) and "C3" not in by
     assert meta["content"].splitlines()[:2] == ["[Sheet 资产负债表] A1:D6", "科目\t期初\t期末\t差"]
     _, (big,) = office.read_xlsx(W.xlsx([("s", [[k] * 70 for k in range(510)], [])]))
-    assert (big["n_rows"], big["n_cols"], big["rows_truncated"], big["columns_truncated"], big["cells_truncated"], len(big["records"]), len(big["grid"])) == (500, 64, True, True, True, 5000, 500)
+    assert (
+        big["n_rows"], big["n_cols"], big["rows_truncated"], big["columns_truncated"], big["cells_truncated"], len(big["records"]),
+        len(big["grid"])
+    ) == (500, 64, True, True, True, 5000, 500)
 
 
 def test_pptx():
-    _, blocks = office.read_pptx(W.pptx([W.shape("年度目标", "title") + W.shape("问题一\n问题二"), "<p:grpSp>" + W.shape("内") + "</p:grpSp>" + W.slide_table([["a", "b"], ["c", "d"]]) + "<p:pic/>"]))
-    assert [(b["block_type"], b.get("text"), b.get("slide"), b.get("shape_index")) for b in blocks] == [("slide", "年度目标", 1, None), ("textbox", "年度目标", 1, 1), ("textbox", "问题一\n问题二", 1, 2), ("slide", None, 2, None), ("textbox", "内", 2, 2), ("table", None, 2, 3), ("image_reference", None, 2, 4)]
+    _, blocks = office.read_pptx(
+        W.pptx(
+            [
+                W.shape("年度目标", "title") + W.shape("问题一\n问题二"),
+                "<p:grpSp>" + W.shape("内") + "</p:grpSp>" + W.slide_table([["a", "b"], ["c", "d"]]) + "<p:pic/>"
+            ]
+        )
+    )
+    assert [(b["block_type"], b.get("text"), b.get("slide"), b.get("shape_index")) for b in blocks] == [
+        ("slide", "年度目标", 1, None), ("textbox", "年度目标", 1, 1), ("textbox", "问题一\n问题二", 1, 2), ("slide", None, 2, None),
+        ("textbox", "内", 2, 2), ("table", None, 2, 3), ("image_reference", None, 2, 4)
+    ]
 
 
 def test_encrypted():
@@ -103,5 +130,8 @@ def test_encrypted():
 
 def test_html():
     assert H.grid("<table><tr><td rowspan=2>A</td><td colspan='x'>B</td></tr><tr><td>C<td>D</table>") == [["A", "B"], ["", "C", "D"]]
-    assert [(c["row"], c["col"], c["rowspan"], c["colspan"], c["text"], c["is_header"]) for c in H.cells("<tr><th rowspan=2>A</th><th>B  b</th></tr><tr><td>C</td></tr>")] == [(1, 1, 2, 1, "A", True), (1, 2, 1, 1, "B b", True), (2, 2, 1, 1, "C", False)]
+    assert [
+        (c["row"], c["col"], c["rowspan"], c["colspan"], c["text"], c["is_header"])
+        for c in H.cells("<tr><th rowspan=2>A</th><th>B  b</th></tr><tr><td>C</td></tr>")
+    ] == [(1, 1, 2, 1, "A", True), (1, 2, 1, 1, "B b", True), (2, 2, 1, 1, "C", False)]
     assert H.grid(None) == [] and H.grid("no table") == []

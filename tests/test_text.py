@@ -12,13 +12,21 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("text,lines,blocks", [("A\n\n\nB\n", 5, [(0, "A"), (3, "B")]), ("第一行内容\n第二行内容\n", 3, [(0, "第一行内容"), (1, "第二行内容")]), ("a\r\nb\rc", 3, [(0, "a"), (1, "b"), (2, "c")]), ("", 1, []), ("　x \x1c", 1, [(0, "x")])])
+@pytest.mark.parametrize(
+    "text,lines,blocks",
+    [
+        ("A\n\n\nB\n", 5, [(0, "A"), (3, "B")]), ("第一行内容\n第二行内容\n", 3, [(0, "第一行内容"), (1, "第二行内容")]),
+        ("a\r\nb\rc", 3, [(0, "a"), (1, "b"), (2, "c")]), ("", 1, []), ("　x \x1c", 1, [(0, "x")])
+    ]
+)
 def test_lines(spark, text, lines, blocks):
     row = B.text_artifacts(spark.createDataFrame([(text,)], "t string"), F.lit("/ws/a.txt"), F.col("t")).first()
     assert (row["line_count"], [tuple(x) for x in row["lines"]], row["title"], row["artifact_type"]) == (lines, blocks, "a", "txt")
 
 
-@pytest.mark.parametrize("text,want", [("第一一章", "第——章"), ("状态一一对应", "状态一一对应"), ("一一一章", "——一章"), ("一一一一章", None), ("a一一章", "a一一章"), ("一一", "一一"), ("", "")])
+@pytest.mark.parametrize(
+    "text,want", [("第一一章", "第——章"), ("状态一一对应", "状态一一对应"), ("一一一章", "——一章"), ("一一一一章", None), ("a一一章", "a一一章"), ("一一", "一一"), ("", "")]
+)
 def test_dashes(spark, text, want):
     def sequential(s):
         out, at = "", 0
@@ -34,7 +42,13 @@ def test_dashes(spark, text, want):
     assert want is None or sequential(text) == want
 
 
-@pytest.mark.parametrize("text,want", [("在Python和Go之间", "在 Python 和 Go 之间"), ("googlereader", "Google Reader"), ("使用HelloWorldAgain吧", "使用 Hello World Again 吧"), ("中A", "中A"), ("helloWorld 中文字", "helloWorld 中文字")])
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("在Python和Go之间", "在 Python 和 Go 之间"), ("googlereader", "Google Reader"), ("使用HelloWorldAgain吧", "使用 Hello World Again 吧"),
+        ("中A", "中A"), ("helloWorld 中文字", "helloWorld 中文字")
+    ]
+)
 def test_spacing(spark, text, want):
     assert one(spark, text, T.space_english) == want == O.spaced(text)
 
@@ -45,17 +59,27 @@ def test_suffix(spark, name, want):
 
 
 def test_letters(spark):
-    got = [r[0] for r in spark.createDataFrame([(n,) for n in (1, 26, 27, 52, 702, 703, 18278)], "n int").select(T.column_letters(F.col("n"))).collect()]
+    got = [
+        r[0]
+        for r in spark.createDataFrame(
+            [(n,) for n in (1, 26, 27, 52, 702, 703, 18278)], "n int"
+        ).select(T.column_letters(F.col("n"))).collect()
+    ]
     assert got == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ"]
 
 
 def test_values(spark):
-    assert [one(spark, x, V.number, "double") for x in (1200.0, 1234.5, 0.1234567, 1e20, None)] == ["1200", "1234.5", "0.123457", "100000000000000000000", ""]
+    assert [
+        one(spark, x, V.number, "double") for x in (1200.0, 1234.5, 0.1234567, 1e20, None)
+    ] == ["1200", "1234.5", "0.123457", "100000000000000000000", ""]
     assert [V.spreadsheet_text(x) for x in (None, True, 3, 2.0, 1234.5, "a\n b")] == ["", "TRUE", "3", "2", "1234.5", "a / b"]
 
 
 def context(spark, blocks, policy, **more):
-    df = spark.createDataFrame([("a_1", "n.pdf", "pdf", blocks)], "artifact_id string, name string, artifact_type string, blocks array<struct<rendered:string,page:int>>")
+    df = spark.createDataFrame(
+        [("a_1", "n.pdf", "pdf", blocks)],
+        "artifact_id string, name string, artifact_type string, blocks array<struct<rendered:string,page:int>>"
+    )
     for k, v in more.items():
         df = df.withColumn(k, v)
     return C.build(df, policy, pages="ocr" if "ocr" in more else None).first()
@@ -97,10 +121,19 @@ def test_budget(spark, chars, limit):
 
 def test_render(spark):
     fields = "block_type string, text string, level int, slide int, image_count int"
-    rows = [("heading", "H", 2, None, None), ("heading", "H", None, None, None), ("slide", None, None, 3, None), ("slide", "T", None, 3, None), ("image_reference", None, None, None, 2), ("image_reference", None, None, None, 1), ("custom", "x", None, None, None), ("custom", None, None, None, None), ("list_item", "i", None, None, None)]
-    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"k int, b struct<{fields.replace(' string', ':string').replace(' int', ':int')}>")
+    rows = [
+        ("heading", "H", 2, None, None), ("heading", "H", None, None, None), ("slide", None, None, 3, None), ("slide", "T", None, 3, None),
+        ("image_reference", None, None, None, 2), ("image_reference", None, None, None, 1), ("custom", "x", None, None, None),
+        ("custom", None, None, None, None), ("list_item", "i", None, None, None)
+    ]
+    df = spark.createDataFrame(
+        [(k, r) for k, r in enumerate(rows)], f"k int, b struct<{fields.replace(' string', ':string').replace(' int', ':int')}>"
+    )
     got = [r[0] for r in df.orderBy("k").select(C.render(F.col("b"))).collect()]
-    assert got == ["[Heading 2] H", "[Heading ?] H", "[Slide 3]", "[Slide 3] T", "[Image Reference] x2", "[Image Reference]", "[custom] x", "[custom]", "[List Item] i"]
+    assert got == [
+        "[Heading 2] H", "[Heading ?] H", "[Slide 3]", "[Slide 3] T", "[Image Reference] x2", "[Image Reference]", "[custom] x", "[custom]",
+        "[List Item] i"
+    ]
 
 
 def test_ocr_pages():
@@ -112,7 +145,10 @@ def test_ocr_pages():
     assert [b["text"] for b in O.joined_phrases([box("用google", 0, 0, 1, 1), box("reader看", 0, 0, 1, 1)])] == ["用 Google Reader", "看"]
 
 
-@pytest.mark.parametrize("length,want", [(7000, [(0, 3000), (2744, 5744), (5488, 7000)]), (1500, [(0, 1500)]), (3000, [(0, 3000)]), (0, []), (5744, [(0, 3000), (2744, 5744)])])
+@pytest.mark.parametrize(
+    "length,want",
+    [(7000, [(0, 3000), (2744, 5744), (5488, 7000)]), (1500, [(0, 1500)]), (3000, [(0, 3000)]), (0, []), (5744, [(0, 3000), (2744, 5744)])]
+)
 def test_tiles(spark, length, want):
     assert [tuple(x) for x in one(spark, length, O.tile_spans, "int")] == want
     with pytest.raises(ValueError):

@@ -53,18 +53,25 @@ def test_boundary(spark, folder, tmp_path):
 
 
 def test_stream(spark, folder, tmp_path):
-    query = watch.artifacts(spark, str(folder)).select("name", "status", "n_blocks").writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query = watch.artifacts(spark, str(folder)).select("name", "status", "n_blocks").writeStream.format("memory").queryName("watched").option(
+        "checkpointLocation", str(tmp_path / "ck")
+    ).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r["name"] for r in spark.sql("select * from watched where status = 'ok'").collect()} == {"a.txt", "t.xlsx", "p.pptx", "d.docx"}
 
 
 def test_precedence():
-    s = settings.resolve({"llm_model": "u", "restore_last_workspace": False, "recent_workspace_limit": 0, "api_key_env": "LEAFPRESS_LLM_API_KEY"}, {"LEAFPRESS_LLM_MODEL": " e ", "MODEL_DIR": "/m", "LEAFPRESS_LLM_API_KEY": "k"}, {"recent_activity_limit": 3})
+    s = settings.resolve(
+        {"llm_model": "u", "restore_last_workspace": False, "recent_workspace_limit": 0, "api_key_env": "LEAFPRESS_LLM_API_KEY"},
+        {"LEAFPRESS_LLM_MODEL": " e ", "MODEL_DIR": "/m", "LEAFPRESS_LLM_API_KEY": "k"}, {"recent_activity_limit": 3}
+    )
     assert s["llm_model"] == ("e", settings.ENVIRONMENT, "LEAFPRESS_LLM_MODEL") and s["model_dir"] == ("/m", settings.ENVIRONMENT, "MODEL_DIR")
     assert s["restore_last_workspace"][:2] == (False, settings.USER) and s["recent_workspace_limit"][:2] == (0, settings.USER)
     assert s["recent_activity_limit"][:2] == (3, settings.RUNTIME) and s["llm_base_url"][:2] == ("", settings.DEFAULT) and s["api_key_env"][1] == settings.DEFAULT
     assert settings.secret(s, {"LEAFPRESS_LLM_API_KEY": " k "}) == "k" and answers.client(s, "k") == (None, "Not Configured")
-    assert settings.plugin_dirs(["/a", "/b"], {"LEAFPRESS_PLUGIN_PATH": "/b:/c"}, ["/a", "/d"]) == [("/a", settings.USER), ("/b", settings.USER), ("/c", settings.ENVIRONMENT), ("/d", settings.RUNTIME)]
+    assert settings.plugin_dirs(["/a", "/b"], {"LEAFPRESS_PLUGIN_PATH": "/b:/c"}, ["/a", "/d"]) == [
+        ("/a", settings.USER), ("/b", settings.USER), ("/c", settings.ENVIRONMENT), ("/d", settings.RUNTIME)
+    ]
 
 
 def test_files(spark, tmp_path):
@@ -88,4 +95,7 @@ def test_data_source(spark, folder):
 
     datasource.register(spark)
     got = {r["name"]: (r["status"], r["provider_id"], r["n_blocks"]) for r in spark.read.format("leafpress").load(str(folder)).collect()}
-    assert got == {"a.txt": ("ok", "text.read", 2), "t.xlsx": ("ok", "xlsx.read", 1), "p.pptx": ("ok", "pptx.read", 3), "d.docx": ("ok", "docx.read", 2)}
+    assert got == {
+        "a.txt": ("ok", "text.read", 2), "t.xlsx": ("ok", "xlsx.read", 1), "p.pptx": ("ok", "pptx.read", 3),
+        "d.docx": ("ok", "docx.read", 2)
+    }
