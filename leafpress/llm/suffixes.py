@@ -25,7 +25,7 @@ from leafpress.llm.superkmers import HOT, Bytes, without_repeats
 LENGTH = 200
 STRIDE = 50
 #: Bytes of strings whose suffixes are sorted together; beyond that, shards' transforms are merged.
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 17
 BASE_A = 0xC2B2AE3D27D4EB4F
 
 

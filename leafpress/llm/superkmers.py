@@ -38,9 +38,9 @@ HOT = 1_000
 #: Windows of one super-k-mer.
 MOST_WINDOWS = 4_096
 #: Bytes of texts that one pass of the minimiser holds.
-PASS_BYTES = 1 << 19
+PASS_BYTES = 1 << 18
 #: Bytes of packed super-k-mers that are solved at once, if the last group is complete.
-BUCKET_BYTES = 1 << 19
+BUCKET_BYTES = 1 << 18
 #: Super-k-mers of one row batch.
 ROWS = 200_000
 
