@@ -128,3 +128,21 @@ def test_sentences_written_by_hand():
         got = {(k, text[s:e]) for k, s, e in [*base, *pii.added_spans(text, base, weights)]}
         hit, extra, missed = hit + len(got & set(gold)), extra + len(got - set(gold)), missed + len(set(gold) - got)
     assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + extra)
+
+
+def test_base_columns_beside_sql(spark):
+    """Counts of base spans on a whole table beside DuckDB's own regular expressions."""
+    import duckdb
+
+    docs = "/root/testdata/sf0.001/documents.parquet"
+    digits = r"length(regexp_replace(m, '[^0-9]', '', 'g'))"
+    want = duckdb.sql(rf"""
+        SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+            len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda m: len(list_filter(string_split(m, '.'), lambda p: try_cast(p AS HUGEINT) <= 255)) = 4)) AS n_ip,
+            len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: {digits} BETWEEN 8 AND 15)) AS n_phone,
+            len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda m: length(m) >= 8)) AS n_assign,
+            len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda m: length(m) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda m: length(m) >= 32)) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{docs}') ORDER BY doc_id""").fetchall()
+    table = spark.read.parquet(docs)
+    got = pii.find_personal_data(table).join(secrets.find_secrets(table).drop("spans", "base_sha256"), "doc_id").orderBy("doc_id")
+    assert [tuple(r) for r in got.select("doc_id", "n_email", "n_ip", "n_phone", "n_assign", "n_access", "n_hex").collect()] == want
