@@ -12,7 +12,7 @@ import hashlib
 import json
 import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -23,6 +23,8 @@ from leafpress import schema
 from leafpress.operators.runtime import FALLBACK, MAX_BYTES
 from leafpress.sources import office, pdf, scan as listing, xls
 
+#: Artifacts that leave a worker at once, and bytes of their files.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-16", "latin-1")
 
 
@@ -198,20 +200,30 @@ def read(
             "blocks": blocks, "records": records
         }
 
+    def batch_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The rows as one batch; where a reader's blocks don't fit the schema, each for itself, and those as errors."""
+        try:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+            if len(rows) > 1:
+                for row in rows:
+                    yield from batch_of([row])
+                return
+            keep = {k: rows[0][k] for k in ("artifact_id", "name", "path", "artifact_type", "file_size", "file_sha256")}
+            bad = {"status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}"}
+            yield pa.RecordBatch.from_pylist([keep | bad | {"n_blocks": 0, "blocks": [], "records": []}], schema=arrow)
+
     def run(batches):
         for batch in batches:
+            rows, held = [], 0
             for path, content, size in zip(*batch.columns, strict=True):
-                data = content.as_py()
-                row = artifact(path.as_py(), data, size.as_py())
-                try:
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
-                except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:  # a reader's blocks don't fit the schema
-                    keep = {k: row[k] for k in ("artifact_id", "name", "path", "artifact_type", "file_size", "file_sha256")}
-                    bad = {
-                        "status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}", "n_blocks": 0,
-                        "blocks": [], "records": []
-                    }
-                    yield pa.RecordBatch.from_pylist([keep | bad], schema=arrow)
+                rows.append(artifact(path.as_py(), content.as_py(), size.as_py()))
+                held += size.as_py() or 0
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield from batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield from batch_of(rows)
 
     own = files if "size" in files.columns else files.withColumn("size", F.octet_length("content").cast("long"))
     fits = F.col("size") <= max_bytes
