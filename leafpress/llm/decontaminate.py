@@ -161,7 +161,7 @@ def occurrences(docs: DataFrame, sought, sizes: list[int]) -> DataFrame:
 PLACES = "array<struct<h:long,p:int,before:int,words:string>>"
 
 
-def places(docs: DataFrame, sought, sizes: list[int], window: int, names: tuple[str, str, str]) -> DataFrame:
+def places(docs: DataFrame, sought, sizes: list[int], window: int, names: tuple[str, str, str], texts_too: bool) -> DataFrame:
     """``docs`` with a row id, the number of words, and the places of shingles that may be prefixes: with the words
     around (the shingle's first is ``before`` words into them). Written, so that the ids stay."""
     at = docs.columns.index("text")
@@ -189,14 +189,20 @@ def places(docs: DataFrame, sought, sizes: list[int], window: int, names: tuple[
             n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             ids = pa.array(np.arange(row, row + len(n)), pa.int64())
             row += len(n)
+            columns = list(b.columns)
+            if not texts_too:
+                columns[at] = pa.nulls(b.num_rows, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, ids, pa.array(n, pa.int64()), pa.array(found, kind)], [*b.schema.names, "row", "n_words", "places"]
+                [*columns, ids, pa.array(n, pa.int64()), pa.array(found, kind)], [*b.schema.names, "row", "n_words", "places"]
             )
 
-    return cut(map_rows(docs, run, f", row long, n_words long, places {PLACES}", names))
+    marked = map_rows(docs, run, f", row long, n_words long, places {PLACES}", names)
+    return cut(marked if texts_too else marked.drop("text"))
 
 
-def windows_held(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, str, str]]:
+def windows_held(
+    docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, *, texts_too: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, str, str]]:
     """``docs`` with row ids, words and places (named by the last result); (row, first, end, w) of all windows that occur; (item, w)."""
     spark = prepare(docs.sparkSession)
     names = tuple(fresh(docs, "__row", "__n_words", "__places"))
@@ -210,7 +216,7 @@ def windows_held(docs: DataFrame, benchmark: DataFrame, window: int, shingle: in
     prefixes = cut(ordered.groupBy("w").agg(F.first("n").alias("n"), rarest).where("best.times > 0").select("w", "n", "best.h", "best.offset"))
     sought.unpersist()
     sought = spark.sparkContext.broadcast(Filter(prefixes.select("h").distinct()))
-    marked = places(docs, sought, sizes, window, names)
+    marked = places(docs, sought, sizes, window, names, texts_too)
     sought.destroy()
     # length and position first, then every word
     begin = F.col("before") - F.col("offset")
@@ -262,7 +268,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
 
     Null and wordless texts stay, an empty benchmark keeps all, repeated rows are judged alike.
     """
-    marked, held, _, (row, _, at) = windows_held(docs, benchmark, window, shingle)
+    marked, held, _, (row, _, at) = windows_held(docs, benchmark, window, shingle, texts_too=True)
     dirty = held.select(F.col("row").alias(row)).distinct()
     own = [F.col(f"`{c}`") for c in docs.columns]
     without = marked.where(F.size(at) == 0).select(*own)
