@@ -295,7 +295,8 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, b
     ).select("root", "key").distinct()
     chosen = cut(first.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")))
     keys = chosen.where("n = 1").select(F.col("key").alias(mine))
-    tied = first.join(own_exchange(chosen.where("n > 1").select("root"), "root"), "root")
+    # written, so that its size is known where the texts are joined, and they are not shuffled for a few rows
+    tied = cut(first.join(own_exchange(chosen.where("n > 1").select("root"), "root"), "root"))
     texts = docs.select(key.alias("key"), "text").join(tied, "key")
     least = texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "key")).alias("of"))
     keys = cut(keys.unionByName(least.select(F.col("of.key").alias(mine))))
