@@ -25,6 +25,8 @@ from leafpress.llm.shared import WORD_BYTES, Runs, Texts, blocks, byte_set, map_
 
 SYMBOLS = byte_set(b"#*$%&|<>")
 BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts measured at once: some twenty arrays of as many places are held beside them.
+HELD_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -144,7 +146,7 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            parts = [measure(t, limits) for t in blocks(b.column(1))]
+            parts = [measure(t, limits) for t in blocks(b.column(1), HELD_BYTES)]
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), *(pa.array(np.concatenate([p[k] for p in parts])) for k in FIELDS)], ["doc_id", *FIELDS]
@@ -164,7 +166,7 @@ def filter_quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            kept = [measure(t, limits)["kept"] for t in blocks(b.column(at))]
+            kept = [measure(t, limits)["kept"] for t in blocks(b.column(at), HELD_BYTES)]
             if kept:
                 yield b.filter(pa.array(np.concatenate(kept)))
 
