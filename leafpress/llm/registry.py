@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from leafpress.llm import mixing, quality
+from leafpress.llm import mixing, quality, sql
 from leafpress.llm.chat import op7_chat_format
 from leafpress.llm.decontaminate import op6_decontaminate
+from leafpress.llm.licenses import op11_license_scan
 from leafpress.llm.mixing import op10_mix_sources
 from leafpress.llm.pii import op2_personal_data
+from leafpress.llm.prefixes import op12_conversation_trie
 from leafpress.llm.quality import op3_quality_rules
+from leafpress.llm.resampling import op13_importance_resampling
 from leafpress.llm.secrets import op8_secret_scan
 from leafpress.llm.simhash import op9_simhash_near_dedup
 from leafpress.llm.substrings import op5_substring_dedup
@@ -18,7 +21,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_personal_data, op3_quality_rules, op4_suffix_array_dedup, op5_substring_dedup, op6_decontaminate,
-        op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources
+        op7_chat_format, op8_secret_scan, op9_simhash_near_dedup, op10_mix_sources, op11_license_scan, op12_conversation_trie,
+        op13_importance_resampling
     )
 }
 
@@ -130,4 +134,7 @@ ORACLES = {
             sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS attachment_tokens
         FROM formatted GROUP BY conv_id""",
     "op10_mix_sources": _MIX,
+    "op11_license_scan": sql.LICENSES,
+    "op12_conversation_trie": sql.TRIE,
+    "op13_importance_resampling": sql.RESAMPLING,
 }
