@@ -6,8 +6,9 @@ at word p of the text and word t of the template votes for the diagonal p - t. D
 merged, so words put in or left out don't end a span. A merged span is verified word by word: the share of the
 template's words that stand at their place on one of its diagonals, ``LEAST`` or more, gives the template's label.
 
-Hits are known by the SHA-256 of their text in lower case, so a text with many copies is voted for and verified once: votes are
-sets of places, combined before they are shuffled, and texts are fetched only for keys with hits, one copy each.
+Hits are known by the SHA-256 of their text, so a text with many copies is voted for and verified once: votes are sets
+of places, combined before they are shuffled, and texts are fetched only for keys with hits, one copy each (bitmaps of
+at most ``FILTER_BITS`` bits keep nearly all others from the shuffle, up to some million texts with hits).
 Spans of one text are an array that its length bounds. The join back to the rows is of plain shuffles, so a text
 with very many copies can be split.
 
@@ -34,10 +35,14 @@ from pyspark.sql import functions as F
 from leafpress.llm.shared import cut, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROLL = 4
 DRIFT = 3
 LEAST = 0.7
+#: Bits of the filter of texts with hits (2 MB at most, in bitmaps of 2 ** 15 bits).
+FILTER_BITS = 1 << 24
 #: Phrases and the labels they give.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices as licenses and their stewards publish them, and short forms of them.
@@ -90,13 +95,9 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-
-
 def words_of(text: Column) -> Column:
-    """The words of a text in lower case."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words of a text; of all A-Z only these are lower-cased, which takes time for each letter."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
 def starts(n: Column, length: int) -> Column:
@@ -110,9 +111,9 @@ def runs(hashed: Column, roll: int) -> Column:
 
 
 def runs_of(rows: DataFrame, roll: int) -> DataFrame:
-    """``rows`` with a column ``words``, exploded to (the other columns, place, hash)."""
+    """``rows`` with a column ``words``, exploded to (the other columns, place, hash). Any case: hits are verified."""
     own = [c for c in rows.columns if c != "words"]
-    hashed = rows.select(*own, F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
+    hashed = rows.select(*own, F.transform("words", lambda w: F.xxhash64(F.lower(w))).alias("hashed"))
     return hashed.select(*own, F.posexplode(runs(F.col("hashed"), roll)).alias("place", "hash"))
 
 
@@ -149,7 +150,7 @@ def merged(hits: DataFrame, drift: int, roll: int) -> DataFrame:
 def license_spans(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, *, roll: int = ROLL, drift: int = DRIFT, least: float = LEAST
 ) -> DataFrame:
-    """(key, spans) of the distinct texts of ``docs`` (key, text in lower case: the same key, the same text) that have verified spans.
+    """(key, spans) of the distinct texts of ``docs`` (key, text: the same key, the same text) that have verified spans.
 
     A span has its label, the template's number, its first and last word in the text, its votes, and as ``share`` the
     part of the template's words that stand at their place on one of the span's diagonals.
@@ -159,20 +160,27 @@ def license_spans(
         raise ValueError(f"a template has fewer than {roll} words")
     rows = docs.sparkSession.createDataFrame(list(enumerate(known)), "template int, words array<string>")
     theirs = runs_of(rows, roll).select("hash", "template", F.col("place").alias("at"))
-    ours = runs_of(docs.select("key", words_of(F.col("text")).alias("words")), roll)
+    ours = runs_of(docs.select("key", F.regexp_extract_all("text", F.lit(ANY_CASE), F.lit(0)).alias("words")), roll)
     hits = ours.join(F.broadcast(theirs), "hash").select("key", "template", "place", "at")  # as large as the templates
     found = cut(merged(hits, drift, roll))
-    # words are made below an aggregate: above it they would be made again for each word that is verified
-    texts = docs.select("key", "text").join(found.select("key"), "key", "left_semi").select("key", words_of(F.col("text")).alias("words"))
-    held = texts.groupBy("key").agg(F.first("words").alias("words")).join(found, "key")
-    held = held.withColumn("known", F.lit(known)) if known else held.withColumn("known", F.array().cast("array<array<string>>"))
-    labels = F.lit([label for label, _ in templates]) if known else F.array().cast("array<string>")
-
-    def verified(span: Column) -> Column:
-        own = F.get(F.col("known"), span["template"])
+    # of the texts only those go on whose key may be found: by bitmaps of keys, a table of a bounded size
+    spot = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    bits = found.select(spot().alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    texts = docs.select("key", "text", spot().alias("spot")).withColumn("bucket", F.bitmap_bucket_number("spot"))
+    texts = texts.join(F.broadcast(bits), "bucket").where(may).groupBy("key").agg(F.first("text").alias("text"))
+    held = texts.join(found, "key")
+    own_words = F.array(*[F.array(*map(F.lit, w)) for w in known]) if known else F.array().cast("array<array<string>>")
+    labels = F.array(*[F.lit(label) for label, _ in templates]) if known else F.array().cast("array<string>")
+
+    def verified(words: Column, span: Column) -> Column:
+        own = F.get(own_words, span["template"])
 
         def stands(at: Column) -> Column:
-            return F.exists(span["diagonals"], lambda d: F.coalesce(F.get(F.col("words"), d + at) == F.get(own, at), F.lit(False)))
+            return F.exists(span["diagonals"], lambda d: F.coalesce(F.get(words, d + at) == F.get(own, at), F.lit(False)))
 
         share = F.size(F.filter(F.sequence(F.lit(0), F.size(own) - 1), stands)) / F.size(own)
         return F.struct(
@@ -180,8 +188,9 @@ def license_spans(
             span["last"].alias("last"), span["votes"].alias("votes"), share.alias("share")
         )
 
-    spans = F.filter(F.transform("spans", verified), lambda x: x["share"] >= least)
-    return held.select("key", spans.alias("spans")).where(F.size("spans") > 0)
+    # the words of a text are bound by a lambda, so they are made once, not for each word that is compared
+    spans = F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda w: F.transform("spans", lambda x: verified(w, x))))
+    return held.select("key", F.filter(spans, lambda x: x["share"] >= least).alias("spans")).where(F.size("spans") > 0)
 
 
 def scan_licenses(
@@ -194,18 +203,19 @@ def scan_licenses(
     base_labels and labels: those of phrases, and all, distinct, sorted, comma-joined; score: the greatest share of a
     template that a verified span covers, 0 without one; spans: the verified spans, in order of their places.
     """
-    keyed = docs.select("doc_id", lower(F.col("text")).alias("text"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.sha2("text", 256)))
     found = cut(license_spans(keyed, templates, roll=roll, drift=drift, least=least))
-    # only texts that hold the last word of a phrase are searched for the phrase
-    may = F.lit(False)
-    for phrase, _ in phrases:
-        may |= F.contains("text", F.lit(phrase.split()[-1]))
+    # only texts that hold the last word of a phrase, in any case, are searched for the phrase
+    ends = "|".join(sorted({re.escape(phrase.split()[-1]) for phrase, _ in phrases}))
+    may = F.regexp_like("text", F.lit(f"(?i){ends}")) if phrases else F.lit(False)
     none = F.array().cast("array<array<int>>")
-    base = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(may, words_of(F.col("text"))).alias("own"))
+    base = keyed.select(
+        "doc_id", "key", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"), F.when(may, words_of(F.col("text"))).alias("own")
+    )
     places = F.array(*phrase_places(F.col("own"), phrases)) if phrases else none
     base = base.select("doc_id", "key", "n_words", F.when(F.col("own").isNotNull(), places).otherwise(none).alias("places"))
-    labels = F.lit([label for _, label in phrases]) if phrases else F.array().cast("array<string>")
+    labels = F.array(*[F.lit(label) for _, label in phrases]) if phrases else F.array().cast("array<string>")
     every = F.flatten("places")
     base = base.select(
         "doc_id", "key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
