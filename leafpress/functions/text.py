@@ -134,6 +134,8 @@ def space_english(c: Column) -> Column:
     out = c
     for compact, written in COMPACT_PHRASES.items():
         out = F.regexp_replace(out, f"(?i)(?<![A-Za-z]){compact}(?![A-Za-z])", written)
-    spaced = F.regexp_replace(out, r"(?<=(?<![A-Za-z])[A-Z][A-Za-z]{0,60}[a-z])(?=[A-Z][a-z])", " ")
+    # words of letters, each split where a small letter is followed by a capital with a small one, if it begins with a capital
+    # (the end of a match is where the next one begins, so no length of a word is too great)
+    spaced = F.regexp_replace(out, r"((?:(?<![A-Za-z])(?=[A-Z])|(?<!^)\G(?<=[a-z]))[A-Za-z]*?[a-z])(?=[A-Z][a-z])", "$1 ")
     spaced = F.regexp_replace(spaced, f"(?<=[{CJK}])(?=[A-Za-z])|(?<=[A-Za-z])(?=[{CJK}])", " ")
     return F.when(F.regexp_like(out, F.lit(f"[{CJK}]")) & (F.length(strip(out)) >= 5), spaced).otherwise(out)

@@ -2,29 +2,36 @@
 
 A page is solved as a whole from small numpy arrays (``solve_page``, applied per page): lines crossing each
 other form components, their coordinates a grid, missing walls join units to cells, words fall into cells.
-What compares pages (continuations) is a window over table rows and stays a DataFrame plan.
+What compares pages is scanned over ranges of pages: splits as composed functions (``tables``), continuations as
+joins and counts (``chains``). ``components`` finds the groups of rules of all pages by joins.
 """
 
 from __future__ import annotations
 
 import itertools
 import operator
+import pickle
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from leafpress import scratch
 from leafpress.functions import text as T
 
 TOLERANCE = 2.0
 JOIN = 1.5
 MIN_LENGTH = 8.0
 MAX_COLUMNS, MAX_ROWS = 40, 1000
+#: Pages of a range; ranges of a document are worked on side by side.
+PAGES = 1000
 #: Fixed value: words that mark a header.
 HEADER_WORDS = ("序号", "部门", "机构", "姓名", "职务", "职责", "电话", "手机", "地址", "楼层", "管理部门")
 #: Fixed value: words of a header from which a panel may begin.
@@ -78,12 +85,15 @@ def merge_rules(h: DataFrame) -> DataFrame:
     ).drop("anchor", "island")
 
 
+def near_crossing() -> Column:
+    """A horizontal rule (hx0, hx1, hy) and a vertical one (x, y0, y1) meet within the tolerance."""
+    along = (F.col("x") >= F.col("hx0") - TOLERANCE) & (F.col("x") <= F.col("hx1") + TOLERANCE)
+    return along & (F.col("hy") >= F.col("y0") - TOLERANCE) & (F.col("hy") <= F.col("y1") + TOLERANCE)
+
+
 def crossings(h: DataFrame, v: DataFrame) -> DataFrame:
     """Pairs of rules of a page that cross within the tolerance."""
-    near = (
-        F.col("x") >= F.col("hx0") - TOLERANCE
-    ) & (F.col("x") <= F.col("hx1") + TOLERANCE) & (F.col("hy") >= F.col("y0") - TOLERANCE) & (F.col("hy") <= F.col("y1") + TOLERANCE)
-    return h.select("doc", "page", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(v, ["doc", "page"]).where(near)
+    return h.select("doc", "page", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(v, ["doc", "page"]).where(near_crossing())
 
 
 def centroids(values: Iterable[float], tolerance: float = JOIN) -> list[float]:
@@ -314,13 +324,18 @@ def plain_tables(h: np.ndarray, v: np.ndarray, words: list[tuple[str, float, flo
     return sorted((t._replace(header=0) for t in found if t is not None), key=lambda t: (t.box[1], t.box[0]))
 
 
-def settle_pages(pages: list[list[Table]]) -> list[list[Table]]:
+def settled(tables: list[Table], before: tuple[int, int] | None) -> list[Table]:
     """A page's only table is split like the two of the page before, if it has as many columns as both."""
+    if len(tables) == 1 and before and tables[0].columns == sum(before):
+        return split_table(tables[0], before[0] + 1)
+    return tables
+
+
+def settle_pages(pages: list[list[Table]]) -> list[list[Table]]:
+    """The pages of one file in memory, one after another."""
     out: list[list[Table]] = []
     for tables in pages:
-        if len(tables) == 1 and out and len(out[-1]) == 2 and tables[0].columns == sum(t.columns for t in out[-1]):
-            tables = split_table(tables[0], out[-1][0].columns + 1)
-        out.append(tables)
+        out.append(settled(tables, columns_of(out[-1]) if out else None))
     return out
 
 
@@ -357,46 +372,200 @@ def linked(pages: list[list[Table]]) -> list[list[dict]]:
     return out
 
 
-def tables(h: DataFrame, v: DataFrame, words: DataFrame) -> DataFrame:
-    """Cells of all documents; a document's pages are solved together, as a split looks at the page before."""
+def tables(h: DataFrame, v: DataFrame, words: DataFrame, *, pages_per_range: int = PAGES) -> DataFrame:
+    """Cells of all documents. Pages are solved one by one; what a page hands to the next is scanned over ranges of pages.
+
+    Whether a page's only table is split depends on the page before, as it is after its own split. So each page is a
+    function from what the page before was to what this page is (``Step``). A range of pages is one function too, the
+    composition of theirs; the functions of a document's ranges give what stands before each range, and then all
+    ranges settle their pages side by side. No document is one group.
+    """
     packed = (
         h.groupBy("doc", "page").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("h"))
         .join(v.groupBy("doc", "page").agg(F.collect_list(F.struct("x", "y0", "y1")).alias("v")), ["doc", "page"])
         .join(words.groupBy("doc", "page").agg(F.collect_list(F.struct("text", "x", "y", "size")).alias("words")), ["doc", "page"], "left")
+        .select("doc", "page", F.floor(F.col("page") / pages_per_range).cast("long").alias("part"), "h", "v", "words")
     )
-    kind = h.schema["doc"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pages = []
-        numbers = sorted(pdf["page"])
-        for page in numbers:
-            row = pdf[pdf["page"] == page].iloc[0]
-            rules = [np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in row[k]], float).reshape(-1, 3) for k in ("h", "v")]
-            words = [] if row["words"] is None else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in row["words"]]
-            pages.append(solve_page(*rules, words))
-        rows = []
-        for page, found in zip(numbers, settle_pages(pages), strict=True):
-            for k, t in enumerate(found, 1):
-                rows += [(key[0], page, k, c.row, c.col, c.rowspan, c.colspan, c.text, *c.box, c.row == t.header) for c in t.cells]
-        return pd.DataFrame(rows, columns=["doc", "page", "table", "row", "col", "rowspan", "colspan", "text", "x0", "y0", "x1", "y1", "is_header"])
-
-    return packed.groupBy("doc").applyInPandas(run, f"doc {kind}, {CELL_FIELDS}")
-
-
-def chains(tables: DataFrame) -> DataFrame:
-    """Continuations over pages. ``tables``: doc, page, table, columns, signature (array), profile (array)."""
-    place = W.partitionBy("doc", "table").orderBy("page")
-    before = lambda c: F.lag(c).over(place)
-    same = (before("page") == F.col("page") - 1) & (before("columns") == F.col("columns")) & (
-        ((F.size("signature") > 0) & (before("signature") == F.col("signature")))
-        | ((F.size("profile") > 0) & (before("profile") == F.col("profile")))
+    kind, number = (h.schema[c].dataType.simpleString() for c in ("doc", "page"))
+
+    def solve(batches):
+        for b in few(batches):
+            out = []
+            for r in b.to_pylist():
+                rules = [np.array([tuple(x.values()) for x in r[k]], float).reshape(-1, 3) for k in ("h", "v")]
+                found = solve_page(*rules, [tuple(w.values()) for w in r["words"] or ()])
+                out.append({**{k: r[k] for k in ("doc", "page", "part")}, "step": pickle.dumps(Step.of(found)), "tables": pickle.dumps(found)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*(b.schema.field(k) for k in ("doc", "page", "part")), ("step", pa.binary()), ("tables", pa.binary())]))
+
+    solved = scratch.cut(packed.mapInArrow(solve, f"doc {kind}, page {number}, part long, step binary, tables binary"))
+    before = states(solved.select("doc", "page", "part", "step"), kind)
+
+    def settle(batches):
+        now, state = None, None
+        for b in few(batches):
+            out = []
+            for r in b.to_pylist():
+                if now != (r["doc"], r["part"]):
+                    now, state = (r["doc"], r["part"]), pickle.loads(r["state"]) if r["state"] else None
+                found = settled(pickle.loads(r["tables"]), state)
+                state = columns_of(found)
+                for k, t in enumerate(found, 1):
+                    out += [
+                        (r["doc"], r["page"], k, c.row, c.col, c.rowspan, c.colspan, c.text, *map(float, c.box), c.row == t.header) for c in t.cells
+                    ]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(cells)], schema=cells)
+
+    out = f"doc {kind}, {CELL_FIELDS.replace('page int', f'page {number}')}"
+    cells = to_arrow_schema(StructType.fromDDL(out))
+    dealt = solved.select("doc", "page", "part", "tables").join(before, ["doc", "part"], "left")
+    dealt = dealt.repartition("doc", "part").sortWithinPartitions("doc", "part", "page")
+    return dealt.mapInArrow(settle, out)
+
+
+def few(batches: Iterable[pa.RecordBatch], n: int = 64) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, so many at a time: a page may be large."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
+def columns_of(tables: list[Table]) -> tuple[int, int] | None:
+    """What a page hands to the next: the columns of its two tables, nothing if it has fewer or more."""
+    return (tables[0].columns, tables[1].columns) if len(tables) == 2 else None
+
+
+class Step(NamedTuple):
+    """A function from what the page before hands on to what this page does: ``known`` where listed, else ``other``."""
+
+    other: tuple[int, int] | None
+    known: dict[tuple[int, int], tuple[int, int] | None]
+
+    @classmethod
+    def of(cls, tables: list[Table]) -> Step:
+        """Of one page: if it has one table, that may be split like the two before it, wherever these part."""
+        n = tables[0].columns if len(tables) == 1 else 0
+        return cls(columns_of(tables), {(a, n - a): made for a in range(1, n) if (made := columns_of(split_table(tables[0], a + 1)))})
+
+    def __call__(self, state: tuple[int, int] | None) -> tuple[int, int] | None:
+        return self.known.get(state, self.other) if state else self.other
+
+    def then(self, after: Step) -> Step:
+        """This one, then ``after``: associative, and no larger than this one."""
+        return Step(after(self.other), {k: after(v) for k, v in self.known.items()})
+
+
+def states(steps: DataFrame, kind: str) -> DataFrame:
+    """(doc, part, state): what stands before each range (doc, part) of pages; ``steps`` has doc, page, part, step."""
+
+    def composed(key, value):
+        """Runs of equal (doc, part) or doc in sorted rows to one row, or a row for each."""
+
+        def run(batches):
+            now, held, out = None, None, []
+            for b in batches:
+                for r in b.to_pylist():
+                    step = pickle.loads(r["step"])
+                    if now != (this := tuple(r[k] for k in key)):
+                        if value == "step" and now is not None:
+                            out.append((*now, pickle.dumps(held)))
+                        now, held = this, step if value == "step" else None
+                    elif value == "step":
+                        held = held.then(step)
+                    if value == "state":  # held is what stands before this range
+                        out.append((r["doc"], r["part"], held and pickle.dumps(held)))
+                        held = step(held)
+                if out:
+                    yield rows(b, out)
+                    out = []
+            if value == "step" and now is not None:
+                yield rows(b, [(*now, pickle.dumps(held))])
+
+        def rows(b, out):
+            kinds = pa.schema([b.schema.field("doc"), b.schema.field("part"), (value, pa.binary())])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+        return run
+
+    ranges = steps.repartition("doc", "part").sortWithinPartitions("doc", "part", "page").select("doc", "part", "step")
+    ranges = ranges.mapInArrow(composed(("doc", "part"), "step"), f"doc {kind}, part long, step binary")
+    ranges = ranges.repartition("doc").sortWithinPartitions("doc", "part")  # a row a range
+    return ranges.mapInArrow(composed(("doc",), "state"), f"doc {kind}, part long, state binary")
+
+
+def chains(tables: DataFrame, *, pages_per_range: int = PAGES) -> DataFrame:
+    """Continuations over pages. ``tables``: doc, page, table (a key), columns, signature (array), profile (array).
+
+    The page before is an equi-join. Numbers are counted within ranges of pages, to which the counts of the ranges
+    before are added; a chain's number is carried over ranges in the same way. So a document is many groups.
+    """
+    key = ["doc", "page", "table"]
+    last = tables.select(
+        "doc", (F.col("page") + 1).alias("page"), "table", F.col("columns").alias("_columns"), F.col("signature").alias("_signature"),
+        F.col("profile").alias("_profile")
+    )
+    same = (F.col("_columns") == F.col("columns")) & (
+        ((F.size("signature") > 0) & (F.col("_signature") == F.col("signature")))
+        | ((F.size("profile") > 0) & (F.col("_profile") == F.col("profile")))
+    )
+    part = F.floor(F.col("page") / pages_per_range).cast("long")
+    found = tables.join(last, key, "left").select(*key, part.alias("_part"), F.coalesce(same, F.lit(False)).alias("continues_from_previous"))
+    found = scratch.cut(found)
+    # numbers of the chains that start in a range, then of all before it
+    begins = (~F.col("continues_from_previous")).cast("long")
+    counts = found.groupBy("doc", "_part").agg(F.sum(begins).alias("n"))
+    earlier = W.partitionBy("doc").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("doc", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum(begins).over(W.partitionBy("doc", "_part").orderBy("page", "table"))
+    numbered = found.withColumn("_own", own).join(counts, ["doc", "_part"])
+    numbered = numbered.withColumn("_number", F.when(~F.col("continues_from_previous"), F.col("_own") + F.col("_before")))
+    numbered = scratch.cut(numbered.select(*key, "_part", "continues_from_previous", "_number"))
+    ends = numbered.groupBy("doc", "table", "_part").agg(F.max("_number").alias("n"))
+    along = W.partitionBy("doc", "table").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("doc", "table", "_part", F.last("n", ignorenulls=True).over(along).alias("_carried"))
+    inside = W.partitionBy("doc", "_part", "table").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
+    named = numbered.withColumn("_number", F.last("_number", ignorenulls=True).over(inside)).join(ends, ["doc", "table", "_part"])
+    named = named.withColumn("continuation_id", F.concat(F.lit("table-chain-"), F.coalesce("_number", "_carried").cast("string")))
+    more = numbered.where("continues_from_previous").select("doc", (F.col("page") - 1).alias("page"), "table", F.lit(True).alias("_next"))
+    named = named.join(more, key, "left").select(
+        *key, "continues_from_previous", F.coalesce("_next", F.lit(False)).alias("continued_on_next"), "continuation_id"
+    )
+    return tables.join(named, key)
+
+
+def crossing_ids(h: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules with an ``id`` in their page: horizontal ones from 1 in order of level, from and to, vertical ones from -1 down."""
+    page = W.partitionBy("doc", "page")
+    flat = h.withColumn("id", F.row_number().over(page.orderBy("y", "x0", "x1")))
+    return flat, v.withColumn("id", -F.row_number().over(page.orderBy("x", "y0", "y1")))
+
+
+def components(h: DataFrame, v: DataFrame, least: int = 3) -> DataFrame:
+    """(doc, page, id, component) of the rules connected by crossings, on all pages at once, as joins.
+
+    Each rule takes the least label among the rules that it crosses, and a label takes its own label (pointer
+    jumping), until nothing changes: a number of rounds that grows with the logarithm of the longest chain. Groups
+    of fewer than ``least`` rules either way are left out, as in ``grouped``. ``h`` and ``v`` come from ``crossing_ids``.
+    """
+    x = v.select("doc", "page", F.col("id").alias("v"), "x", "y0", "y1")
+    meet = h.select("doc", "page", F.col("id").alias("h"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(x, ["doc", "page"])
+    edges = scratch.cut(meet.where(near_crossing()).select("doc", "page", "h", "v"))
+    labels = edges.select("doc", "page", "h", F.col("h").alias("label")).distinct()
+    at = ["doc", "page"]
+    while True:
+        over = edges.join(labels, [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("label"))
+        back = edges.join(over, [*at, "v"]).groupBy(*at, "h").agg(F.min("label").alias("least"))
+        new = back.join(labels, [*at, "h"]).select(*at, "h", "label", F.least("label", "least").alias("new"))
+        jump = new.select(*at, F.col("h").alias("new"), F.col("new").alias("to"))
+        step = scratch.cut(new.join(jump, [*at, "new"]).select(*at, "h", "label", F.least("new", "to").alias("new")))
+        labels = step.select(*at, "h", F.col("new").alias("label"))
+        if step.where("new <> label").isEmpty():
+            break
+    over = edges.join(labels, [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("component"))
+    every = labels.select(*at, F.col("h").alias("id"), F.col("label").alias("component")).unionByName(
+        over.select(*at, F.col("v").alias("id"), "component")
     )
-    out = tables.withColumn("continues_from_previous", F.coalesce(same, F.lit(False)))
-    out = out.withColumn("continued_on_next", F.coalesce(F.lead("continues_from_previous").over(place), F.lit(False)))
-    number = F.sum(F.when(F.col("continues_from_previous"), 0).otherwise(1)).over(W.partitionBy("doc").orderBy("page", "table"))
-    started = F.when(~F.col("continues_from_previous"), F.concat(F.lit("table-chain-"), number.cast("string")))
-    out = out.withColumn("_start", started)
-    return out.withColumn("continuation_id", F.last("_start", ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, 0))).drop("_start")
+    kept = every.groupBy(*at, "component").agg(F.count_if(F.col("id") > 0).alias("nh"), F.count_if(F.col("id") < 0).alias("nv"))
+    return every.join(kept.where((F.col("nh") >= least) & (F.col("nv") >= least)).select(*at, "component"), [*at, "component"])
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from leafpress import scratch
 from leafpress.operators import activity as A
 from leafpress.operators import blocks as B
 from leafpress.operators import context as C
@@ -18,6 +19,7 @@ from leafpress.operators import settings
 from leafpress.plans import office_bytes as W
 from leafpress.plans import table_plans
 from leafpress.plans.text_plans import document_path, read
+from leafpress.sources import discovery
 from leafpress.sources import readers as R
 from leafpress.workspace import Workspace
 
@@ -182,26 +184,62 @@ def reader_chain(spark, sf_dir):
     )
 
 
+def written(files):
+    """A new folder that executors have filled with ``files`` (relative_path, content)."""
+    root = scratch.local_path(scratch.new_path(files.sparkSession))
+    if root is None:
+        raise RuntimeError("spark.checkpoint.dir is no path that executors can write files to")
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "w", encoding="utf-8") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    files.select("relative_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def picked(names, k):
+    return F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(k) % len(names) + 1).cast("int"))
+
+
 def workspace_listing(spark, sf_dir):
     """Files of nations below a folder, hidden, unfinished and ``_`` names among them: listed once as refs and once as artifacts."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = tempfile.mkdtemp(prefix="listing-", dir=os.makedirs(base, exist_ok=True) or base)
-    for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
-        k = r["n_nationkey"]
-        folder = os.path.join(root, ("", "sub", "_under", ".git")[k % 4])
-        os.makedirs(folder, exist_ok=True)
-        with open(
-            os.path.join(folder, f"{('', '_', '~$', '.', '')[k % 5]}{k}{('.txt', '.MD', '.tmp', '.zip', '.csv', '')[k % 6]}"), "w",
-            encoding="utf-8"
-        ) as f:
-            f.write(r["n_name"])
-    ws = Workspace(spark, root)
+    k = "n_nationkey"
+    path = F.concat(picked(("", "sub/", "_under/", ".git/"), k), picked(("", "_", "~$", ".", ""), k), F.col(k).cast("string"), picked((".txt", ".MD", ".tmp", ".zip", ".csv", ""), k))
+    ws = Workspace(spark, written(read(spark, sf_dir, "nation").select(path.alias("relative_path"), F.col("n_name").alias("content"))))
     read_back = ws.artifacts().select(
         F.substring("path", len(ws.root) + 2, 1 << 20).alias("relative_path"), F.col("content").alias("content"), "status"
     )
     return ws.refs().select("relative_path", F.col("size").alias("size"), "extension").join(read_back, "relative_path", "full")
 
 
+def supplier_files(spark, sf_dir):
+    """A folder with a file for each supplier, in a tree of three levels, under names that Spark's own listing passes over, and others."""
+    k = "s_suppkey"
+    s = read(spark, sf_dir, "supplier")
+    folder = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), picked(("", "_deep/", "a=b/", "x._COPYING_/"), k))
+    name = F.concat(picked(("", "_", "_a=", "y "), k), F.col(k).cast("string"), picked((".txt", ".csv", "._COPYING_", ".log", ".bin"), k))
+    content = F.repeat(F.lit("x"), (F.col(k) * 37 % 500 + 1).cast("int"))
+    return written(s.select(F.concat(folder, name).alias("relative_path"), content.alias("content")))
+
+
+def discovery_pushed(spark, sf_dir):
+    """Files of some types and sizes; both filters go to the listing, so of other types no size is asked for."""
+    root = supplier_files(spark, sf_dir)
+    found = discovery.files(spark, root, entries=20).where(F.col("extension").isin("txt", "log") & (F.col("size") > 100))
+    return found.select(F.substring("path", len(root) + 2, 1 << 20).alias("relative_path"), "name", "extension", "size")
+
+
+def discovery_directories(spark, sf_dir):
+    """The directories of that tree with their numbers of entries, found level by level."""
+    root = supplier_files(spark, sf_dir)
+    return discovery.directories(spark, root).select(F.substring("path", len(root) + 2, 1 << 20).alias("relative_path"), "entries")
+
+
 def context_warnings(spark, sf_dir):
     """Contexts of part tables, whose rendering leaves rows out and reports flags of the reader."""
     t = table_plans.part_tables(spark, sf_dir)
@@ -407,7 +445,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain,
-        workspace_listing, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
+        workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
         duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
     )
 }
@@ -418,6 +456,11 @@ _STRIP = r"'^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
 _TYPED = r"CASE WHEN k % 4 = 0 THEN t || ' Google' WHEN k % 4 = 1 THEN 'Reader ' || t ELSE t END"
 _PANELS = "n AS (SELECT n_regionkey AS doc, n_nationkey::VARCHAR AS key, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)"
 
+_TREE = """WITH f AS (
+        SELECT 'n' || s_nationkey || '/' || ['', '_deep/', 'a=b/', 'x._COPYING_/'][s_suppkey % 4 + 1] AS dir,
+            ['', '_', '_a=', 'y '][s_suppkey % 4 + 1] || s_suppkey || ext AS name, ext, n
+        FROM (SELECT *, ['.txt', '.csv', '._COPYING_', '.log', '.bin'][s_suppkey % 5 + 1] AS ext, s_suppkey * 37 % 500 + 1 AS n FROM supplier))"""
+
 ORACLES = {
     "pdf_roundtrip": f"""WITH {_S},
         rows AS (SELECT doc, 1 AS page, 1 AS table_index, 0 AS row, 'Suppliers of ' || doc || '||' AS cells FROM d UNION ALL SELECT doc, 1, 1, 1, '{"|".join(HEAD)}' FROM d UNION ALL SELECT doc, 1, 1, k + 1, s_suppkey || '|' || s_name || '|' || s_nationkey FROM s
@@ -445,6 +488,16 @@ ORACLES = {
             CASE WHEN n > 20000 THEN 'ArtifactTooLargeError' WHEN kind = 3 THEN 'ProviderNotAvailableError' WHEN kind = 2 THEN 'CapabilityNotFoundError' WHEN kind = 1 AND n % 2 = 1 THEN 'ArtifactParseError' END AS error_type FROM d""",
     "workspace_listing": """WITH f AS (SELECT n_nationkey AS k, n_name, ['', 'sub/', '_under/', '.git/'][n_nationkey % 4 + 1] AS dir, ['', '_', '~$', '.', ''][n_nationkey % 5 + 1] AS pre, ['.txt', '.MD', '.tmp', '.zip', '.csv', ''][n_nationkey % 6 + 1] AS ext FROM nation)
         SELECT dir || pre || k || ext AS relative_path, strlen(n_name) AS size, lower(substr(ext, 2)) AS extension, n_name AS content, 'ok' AS status FROM f WHERE dir <> '.git/' AND pre NOT IN ('~$', '.') AND ext IN ('.txt', '.MD', '.csv')""",
+    "discovery_pushed": f"""{_TREE}
+        SELECT dir || name AS relative_path, name, lower(substr(ext, 2)) AS extension, n AS size FROM f WHERE ext IN ('.txt', '.log') AND n > 100""",
+    "discovery_directories": f"""{_TREE},
+        up AS (SELECT dir, string_split(dir, '/') AS p, name FROM f),
+        inside AS (
+            SELECT p[1] AS folder, name AS entry FROM up WHERE len(p) = 2
+            UNION SELECT p[1], p[2] FROM up WHERE len(p) = 3
+            UNION SELECT p[1] || '/' || p[2], name FROM up WHERE len(p) = 3
+            UNION SELECT '', p[1] FROM up)
+        SELECT folder AS relative_path, count(*) AS entries FROM inside GROUP BY folder""",
     "context_warnings": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
         t AS (SELECT p_brand, max(n) AS n, length('[Document]') + 1 + length('Name: ' || p_brand) + 1 + length('Type: XLSX') + 1 + length('Artifact ID: ' || p_brand) AS head,
             length('[Table ' || max(n) || 'x3 | sheet=' || p_brand || ']') + sum(CASE WHEN k <= 20 THEN 1 + length('| ' || p_name || ' | ' || p_size || ' | a\\|b ' || p_type || ' |') ELSE 0 END)

@@ -172,6 +172,14 @@ def spreadsheet_numbers(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", V.number(F.col("p_retailprice")).alias("price"))
 
 
+def spreadsheet_doubles(spark, sf_dir):
+    """Doubles of all sizes, from below the normal ones to infinity, whole ones and not-a-number among them: length and first 15 characters."""
+    scaled = (F.col("l_partkey") + 0.0) / (F.col("l_linenumber") + 2) * F.pow(F.lit(2.0), (F.col("l_orderkey") % 2110 - 1080).cast("double"))
+    x = F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(F.when(F.col("l_linenumber") % 2 == 0, -scaled).otherwise(scaled))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.number(x).alias("value"))
+    return rows.select("l_orderkey", "l_linenumber", F.left("value", F.lit(15)).alias("value"), F.length("value").cast("long").alias("n_chars"))
+
+
 def column_addresses(spark, sf_dir):
     n = (F.col("p_partkey") * 7 % 18278 + 1).cast("int")
     return read(spark, sf_dir, "part").select("p_partkey", F.concat(T.column_letters(n), F.col("p_size").cast("string")).alias("address"))
@@ -231,6 +239,33 @@ def pdf_line_intersections(spark, sf_dir):
     return G.crossings(h, v).groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scattered_rules(spark, sf_dir):
+    """Customers as rules, forty to a page: a horizontal one each, and a vertical one near it or not."""
+    c = read(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") / 40).cast("long").alias("doc"), F.lit(1).alias("page"), (F.col("c_custkey") % 40).cast("double").alias("k"),
+        (F.col("c_nationkey") * 20).cast("double").alias("left")
+    )
+    h = c.select("doc", "page", F.col("left").alias("x0"), (F.col("left") + 70.0).alias("x1"), (F.col("k") * 10.0).alias("y"))
+    v = c.select("doc", "page", (F.col("left") + 30.0).alias("x"), (F.col("k") * 10.0 - 35.0).alias("y0"), (F.col("k") * 10.0 + 35.0).alias("y1"))
+    return h, v
+
+
+def pdf_rule_components(spark, sf_dir):
+    """Groups of rules that cross, on all pages at once."""
+    found = G.components(*G.crossing_ids(*scattered_rules(spark, sf_dir)), least=2)
+    return found.select("doc", F.col("id").cast("long").alias("id"), F.col("component").cast("long").alias("component"))
+
+
+def pdf_chains_of_one_document(spark, sf_dir):
+    """All events as tables of one document, a page each, some pages left out."""
+    rows = read(spark, sf_dir, "events").select(
+        F.lit("all").alias("doc"), (F.col("event_id") + F.floor(F.col("event_id") / 50)).alias("page"), F.lit(1).alias("table"),
+        (F.floor(F.col("event_id") / 7) % 2 + 2).cast("int").alias("columns"), F.array("event_type").alias("signature"),
+        F.array().cast("array<double>").alias("profile")
+    )
+    return G.chains(rows).select("page", "continues_from_previous", "continued_on_next", "continuation_id")
+
+
 def pdf_table_roundtrip(spark, sf_dir):
     h, v = supplier_rules(spark, sf_dir)
     cells = G.tables(h, v, supplier_words(spark, sf_dir))
@@ -397,8 +432,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip,
-        docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, column_addresses, pdf_lines_merged,
-        pdf_line_intersections, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
+        docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, spreadsheet_doubles, column_addresses, pdf_lines_merged,
+        pdf_line_intersections, pdf_rule_components, pdf_chains_of_one_document, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
         xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm,
         ocr_transformations
     )
@@ -435,10 +470,37 @@ ORACLES = {
     "xlsx_records": """WITH r AS (SELECT n_regionkey::VARCHAR AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_nationkey, n_name FROM nation)
         SELECT region, 'A' || k AS address, n_nationkey::VARCHAR AS value, NULL AS formula FROM r UNION ALL SELECT region, 'B' || k, n_name, NULL FROM r UNION ALL SELECT region, 'C' || k, (n_nationkey * 2)::VARCHAR, '=A' || k || '*2' FROM r""",
     "spreadsheet_values": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::BIGINT::VARCHAR AS quantity, CASE WHEN l_returnflag = 'R' THEN 'TRUE' ELSE 'FALSE' END AS returned, CASE WHEN l_shipdate::TIME = TIME '00:00:00' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS shipped FROM lineitem",
+    "spreadsheet_doubles": """
+        WITH x AS (
+            SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN 'nan'::DOUBLE ELSE
+                (l_partkey + 0.0::DOUBLE) / (l_linenumber + 2) * pow(2.0::DOUBLE, l_orderkey % 2110 - 1080)
+                * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END END AS x FROM lineitem)
+        SELECT l_orderkey, l_linenumber, left(value, 15) AS value, length(value) AS n_chars FROM (
+            SELECT *, CASE WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END
+                WHEN x = 0 THEN '0' WHEN x = trunc(x) THEN format('{:.0f}', x) ELSE format('{:g}', x) END AS value FROM x)""",
     "column_addresses": """WITH n AS (SELECT p_partkey, p_size, (p_partkey * 7 % 18278)::BIGINT AS z FROM part)
         SELECT p_partkey, CASE WHEN z < 26 THEN chr((65 + z)::INT) WHEN z < 702 THEN chr((65 + (z - 26) // 26)::INT) || chr((65 + (z - 26) % 26)::INT) ELSE chr((65 + (z - 702) // 676)::INT) || chr((65 + (z - 702) // 26 % 26)::INT) || chr((65 + (z - 702) % 26)::INT) END || p_size AS address FROM n""",
     "pdf_lines_merged": f"WITH {_SUPPLIERS} SELECT doc, page, 20.0::DOUBLE AS x0, 230.0::DOUBLE AS x1, (30 + 12 * unnest(generate_series(0, n)))::DOUBLE AS y FROM size",
     "pdf_line_intersections": f"WITH {_SUPPLIERS} SELECT doc, page, ((n + 1) * 4)::BIGINT AS n FROM size",
+    # reachability by a recursive query: a horizontal rule, and what it meets over vertical ones
+    "pdf_rule_components": """
+        WITH RECURSIVE c AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 * 10.0 AS y, c_nationkey * 20.0 AS x FROM customer),
+        h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY y, x) AS id FROM c),
+        v AS (SELECT *, -row_number() OVER (PARTITION BY doc ORDER BY x, y) AS id FROM c),
+        e AS (SELECT doc, h.id AS h, v.id AS v FROM h JOIN v USING (doc) WHERE v.x + 30 BETWEEN h.x - 2 AND h.x + 72 AND h.y BETWEEN v.y - 37 AND v.y + 37),
+        near AS (SELECT DISTINCT a.doc, a.h AS h, b.h AS other FROM e a JOIN e b USING (doc, v)),
+        reach AS (SELECT doc, h, h AS other FROM near UNION SELECT r.doc, r.h, n.other FROM reach r JOIN near n ON r.doc = n.doc AND r.other = n.h),
+        label AS (SELECT doc, h, min(other) AS component FROM reach GROUP BY doc, h),
+        every AS (
+            SELECT doc, h AS id, component FROM label
+            UNION SELECT doc, v, component FROM e JOIN label USING (doc, h))
+        SELECT doc, id, component FROM every
+        WHERE (doc, component) IN (SELECT (doc, component) FROM every GROUP BY doc, component HAVING count(*) FILTER (id > 0) >= 2 AND count(*) FILTER (id < 0) >= 2)""",
+    "pdf_chains_of_one_document": """
+        WITH o AS (SELECT event_id + event_id // 50 AS page, event_id // 7 % 2 AS cols, event_type AS sig FROM events),
+        c AS (SELECT *, coalesce(lag(page) OVER w = page - 1 AND lag(cols) OVER w = cols AND lag(sig) OVER w = sig, false) AS cont FROM o WINDOW w AS (ORDER BY page))
+        SELECT page, cont AS continues_from_previous, coalesce(lead(cont) OVER (ORDER BY page), false) AS continued_on_next,
+            'table-chain-' || sum((NOT cont)::INT) OVER (ORDER BY page) AS continuation_id FROM c""",
     "pdf_table_roundtrip": f"WITH {_SUPPLIERS} SELECT doc, (k + 1)::BIGINT AS row, c.col::BIGINT AS col, 1::BIGINT AS rowspan, 1::BIGINT AS colspan, CASE c.col WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN replace(s_name, '#', ' ') ELSE s_nationkey::VARCHAR END AS text FROM s, (VALUES (1), (2), (3)) AS c(col)",
     "pdf_header_row": f"""WITH {_CELLS}, r AS (SELECT n_regionkey AS doc, row, count(*) AS n, sum(colspan) AS spans, bool_or(row = 3 AND n_regionkey % 2 = 0) AS named, count(*) FILTER (WHERE length(text) <= 20) AS short FROM cells WHERE row <= 8 GROUP BY 1, 2),
         q AS (SELECT doc, row, CASE WHEN n < 2 THEN -10 ELSE spans / 3.0 + CASE WHEN named THEN 3.0 ELSE 0 END + short / n + n * 0.1 END AS score FROM r)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -20,6 +21,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to executors that don't have it; once a session, before the first query."""
-    with tempfile.TemporaryDirectory() as folder:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/leafpress", "zip", ROOT, "leafpress"))
+    """Send the package to executors that don't have it; once a session, before the first query.
+
+    Executors fetch the archive when their first task starts, so it stays on the driver's disk until the driver ends.
+    """
+    folder = tempfile.mkdtemp(prefix="leafpress-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/leafpress", "zip", ROOT, "leafpress"))

@@ -3,51 +3,50 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In
 
-from leafpress.sources import readers, scan
+from leafpress import scratch
+from leafpress.sources import discovery, readers, scan
 
-BATCH_BYTES = 32 << 20
 OUT = "path string, name string, artifact_type string, title string, content string, n_blocks int, provider_id string, fallback_from string, status string, error_type string, error string"
 
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class ArtifactReader(DataSourceReader):
+    """Reads directories side by side: those of a listing, or else each directory in the root with all below it."""
 
+    def __init__(self, root: str, listing: str | None, entries: int, max_bytes: int):
+        self.root, self.listing, self.entries, self.max_bytes = root, listing, entries, max_bytes
+        self.wanted = frozenset(readers.extensions())
 
-class ArtifactReader(DataSourceReader):
-    def __init__(self, root: str, max_bytes: int):
-        self.root, self.max_bytes = root, max_bytes
-
-    def partitions(self) -> list[Files]:
-        """Files in path order, dealt into parts of about equal bytes."""
-        known = set(readers.extensions())
-        found = [
-            (path, n) for path, n, _ in scan.local_files(self.root) if not scan.hidden(os.path.basename(path))
-            and scan.extension(os.path.basename(path)) in known
-        ]
-        out, size = [[]], 0
-        for path, n in found:
-            size += n
-            if size > BATCH_BYTES and out[-1]:
-                out.append([])
-                size = n
-            out[-1].append(path)
-        return [Files(p) for p in out]
-
-    def read(self, partition: Files):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes the artifact type, which a name tells: files of other types are not opened."""
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("artifact_type",):
+                self.wanted &= {f.value} if isinstance(f, EqualTo) else set(f.value)
+            else:
+                yield f
+
+    def partitions(self) -> list[discovery.Directories]:
+        if self.listing:
+            return discovery.partitions_of(self.listing, self.entries)
+        return [discovery.Directories([self.root])] + [discovery.Directories([p], deep=True) for p in discovery.subdirectories(self.root)[1]]
+
+    def read(self, partition: discovery.Directories):
         specs = readers.registry()
-        for path in partition.paths:
-            name = os.path.basename(path)
+        for path, name, size, _ in discovery.files_below(partition, lambda name: scan.extension(name) in self.wanted):
             ext = scan.extension(name)
-            if os.path.getsize(path) > self.max_bytes:
+            if size > self.max_bytes:
                 made = readers.too_large(self.max_bytes)
             else:
-                with open(path, "rb") as f:
-                    made = readers.attempt(readers.chain(ext, specs), frozenset(["filesystem.read"]), f.read(), readers.refusal(ext, specs))
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                except OSError:  # it has gone meanwhile
+                    continue
+                made = readers.attempt(readers.chain(ext, specs), frozenset(["filesystem.read"]), data, readers.refusal(ext, specs))
             yield path, name, ext, made.get("title") or name.rpartition(".")[0], made.get("content"), len(made.get("blocks", [])), made.get("provider_id"), made.get("fallback_from"), made["status"], made["error_type"], made["error"]
 
 
@@ -60,8 +59,18 @@ class ArtifactSource(DataSource):
         return OUT
 
     def reader(self, schema) -> ArtifactReader:
-        return ArtifactReader(self.options["path"], int(self.options.get("maxBytes", readers.MAX_BYTES)))
+        entries, limit = self.options.get("entries", discovery.ENTRIES), self.options.get("maxBytes", readers.MAX_BYTES)
+        return ArtifactReader(self.options["path"], self.options.get("listing"), int(entries), int(limit))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArtifactSource)
+    spark.conf.set(discovery.PUSHDOWN, "true")
+
+
+def load(spark: SparkSession, root: str, *, entries: int = discovery.ENTRIES, **options) -> DataFrame:
+    """The source over directories that executors have listed, packed into partitions of about equal numbers of entries."""
+    register(spark)
+    path = scratch.new_path(spark)
+    discovery.directories(spark, root.rstrip("/") or "/").write.parquet(path)
+    return spark.read.format(ArtifactSource.name()).options(listing=path, entries=entries, **options).load(root)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import os
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress import schema
+from leafpress import schema, scratch
 from leafpress.operators.runtime import FALLBACK, MAX_BYTES
-from leafpress.sources import office, pdf, scan as listing, xls
+from leafpress.sources import discovery, office, pdf, scan as listing, xls
 
 #: Artifacts that leave a worker at once, and bytes of their files.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Bytes of files that one task reads, about.
+PART_BYTES = 128 << 20
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-16", "latin-1")
 
 
@@ -242,10 +245,21 @@ def claimed(files: DataFrame, readers: Iterable[ReaderSpec] | None) -> DataFrame
 def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     """Read all files below ``root`` that some reader claims and that are neither hidden nor temporary.
 
-    The size limit is a filter on the scan, so that of larger files no content is read, whatever their size.
-    Spark's sources pass over names that begin with ``_``; ``scan_paths`` reads files by their paths.
+    A root that all executors see is listed by ``discovery.files``, whatever the names; of any other store Spark's own
+    source lists the files and passes over names that begin with ``_``. Files over the size limit are not opened.
     """
-    return within_limit(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), **options)
+    if (local := scratch.local_path(root)) is None:
+        return within_limit(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), **options)
+    return read_listed(discovery.files(spark, local).where(F.col("extension").isin(*extensions(options.get("readers")))), **options)
+
+
+def read_listed(files: DataFrame, **options) -> DataFrame:
+    """Read the files of a listing (path, size), each where it is dealt: about ``PART_BYTES`` to a task."""
+    listed = scratch.cut(files.select("path", F.col("size").alias("length")))
+    total = listed.agg(F.sum(F.least("length", F.lit(options.get("max_bytes", MAX_BYTES))))).first()[0] or 0
+    # files of one folder lie side by side in the listing, so they are dealt anew
+    dealt = listed.repartition(1 + total // PART_BYTES, "path")
+    return within_limit(opened(dealt, options.get("max_bytes", MAX_BYTES)), **options)
 
 
 def scan_paths(spark: SparkSession, paths: list[str], **options) -> DataFrame:
@@ -256,7 +270,7 @@ def scan_paths(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     plain = [p for p in paths if p not in set(under)]
     parts = [spark.read.format("binaryFile").load([escaped(p) for p in plain])] if plain else []
     if under:  # names that Spark's listing passes over are opened where the executors see them
-        parts.append(opened(spark, under, options.get("max_bytes", MAX_BYTES)))
+        parts.append(opened(spark.createDataFrame([(p,) for p in under], "path string"), options.get("max_bytes", MAX_BYTES)))
     out = [within_limit(p, **options) for p in parts]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
@@ -266,24 +280,25 @@ def escaped(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def opened(spark: SparkSession, paths: list[str], max_bytes: int) -> DataFrame:
-    """The shape of a binaryFile scan for files that all executors see under a local path."""
+def opened(paths: DataFrame, max_bytes: int) -> DataFrame:
+    """The shape of a binaryFile scan for files (path) that all executors see; of a file that has gone, content and length are null."""
 
     def run(batches):
-        import os
-
         for b in batches:
             for path in b.column(0).to_pylist():
-                size = os.path.getsize(path)
-                data = None
-                if size <= max_bytes:
-                    with open(path, "rb") as f:
-                        data = f.read()
+                size = data = None
+                try:
+                    size = os.path.getsize(path)
+                    if size <= max_bytes:
+                        with open(path, "rb") as f:
+                            data = f.read()
+                except OSError:
+                    size = data = None
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["path", "length", "content"]
                 )
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, length long, content binary")
+    return paths.select("path").mapInArrow(run, "path string, length long, content binary")
 
 
 def within_limit(files: DataFrame, max_bytes: int = MAX_BYTES, **options) -> DataFrame:
@@ -291,6 +306,7 @@ def within_limit(files: DataFrame, max_bytes: int = MAX_BYTES, **options) -> Dat
     own = claimed(files, options.get("readers"))
     path = F.regexp_replace("path", "^file:(//)?", "").alias("path")
     fit = own.where(F.col("length") <= max_bytes).select(path, "content", F.col("length").alias("size"))
+    own = own.where("length IS NOT NULL")
     large = own.where(F.col("length") > max_bytes).select(path, F.lit(None).cast("binary").alias("content"), F.col("length").alias("size"))
     return read(fit, max_bytes=max_bytes, **options).unionByName(read(large, max_bytes=max_bytes, **options))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +41,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, size, modified_at) of all files below ``root``, on any store that Spark reads.
 
     The content column is not selected, so no file is opened. Spark's sources pass over names that begin with
-    ``_``; ``list_local`` keeps them, for a local root.
+    ``_``; ``discovery.files`` keeps them, for a root that all executors see.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:(//)?", "")
@@ -53,29 +51,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def local_files(root: str) -> list[tuple[str, int, float]]:
-    """(path, size, time) of the files below a local root: names with ``_`` kept, hidden directories pruned."""
-    out, todo = [], [root]
-    while todo:
-        with os.scandir(todo.pop()) as entries:
-            for e in entries:
-                try:
-                    if e.is_dir(follow_symlinks=False):
-                        todo += [] if e.name.startswith(".") else [e.path]
-                    elif e.is_file():
-                        stat = e.stat()
-                        out.append((e.path, stat.st_size, stat.st_mtime))
-                except OSError:
-                    continue
-    return sorted(out)
-
-
 def list_local(spark: SparkSession, root: str) -> DataFrame:
-    """Like ``list_files`` by the driver's own walk: names with ``_`` kept, hidden directories pruned."""
-    rows = [(path, os.path.basename(path), size, at) for path, size, at in local_files(root)]
-    return spark.createDataFrame(rows, "path string, name string, size long, modified double").select(
-        "path", "name", "size", F.timestamp_seconds("modified").alias("modified_at")
-    )
+    """Like ``list_files`` for a root that all executors see: listed by them, names with ``_`` kept, hidden directories left out."""
+    from leafpress.sources import discovery
+
+    return discovery.files(spark, root).drop("extension")
 
 
 def refs(files: DataFrame, root: str, claimed: DataFrame) -> DataFrame:

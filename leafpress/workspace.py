@@ -41,8 +41,13 @@ class Workspace:
 
     def refs(self) -> DataFrame:
         claimed = self.spark.createDataFrame([(e,) for e in readers.extensions(self.specs)], "extension string")
-        files = scan.list_local(self.spark, self.root) if self.local else scan.list_files(self.spark, self.root)
-        return scan.refs(files, self.root, claimed)
+        return scan.refs(self.files(), self.root, claimed)
+
+    def files(self) -> DataFrame:
+        """(path, name, size, modified_at) of what is listed below the root; on a local root, filters go to the listing."""
+        if self.local:
+            return scan.list_local(self.spark, self.root)
+        return scan.list_files(self.spark, self.root)
 
     def resolve(self, path: str) -> str:
         """The path if it is inside; links are followed on a local root."""
@@ -53,13 +58,6 @@ class Workspace:
 
     def artifacts(self, **options) -> DataFrame:
         """Artifacts of the files that ``refs`` lists."""
-        if self.local:
-            known = set(readers.extensions(self.specs))
-            under = [p for p, *_ in scan.local_files(self.root) if any(x.startswith("_") for x in p[len(self.root) :].split("/"))]
-            more = [p for p in under if not scan.hidden(os.path.basename(p)) and scan.extension(os.path.basename(p)) in known]
-            if more:
-                listed = readers.scan_paths(self.spark, more, readers=self.specs, granted=self.granted, **options)
-                return readers.scan(self.spark, self.root, readers=self.specs, granted=self.granted, **options).unionByName(listed)
         return readers.scan(self.spark, self.root, readers=self.specs, granted=self.granted, **options)
 
     def read(self, path: str, mode: str = "full", **options) -> DataFrame:

@@ -158,3 +158,12 @@ def test_tiles(spark, length, want):
 def test_owner_spans(spark):
     row = spark.createDataFrame([([(0, 100), (80, 200)],)], "s array<struct<start:int,end:int>>").select(O.owner_spans(F.col("s")).alias("o")).first()
     assert [(x["own_start"], x["own_end"]) for x in row["o"]] == [(0.0, 90.0), (90.0, 200.0)]
+
+
+def test_camel_case_words_of_any_length(spark):
+    """Columns and page code split words alike, however long they are."""
+
+    words = ["Ab" + "x" * 70 + "Defg", "aBcDe", "GoogleReaderApp", "ABcDef", "xAbCd", "Ab1CdEf", "A" + "bC" * 300]
+    df = spark.createDataFrame([(f"中文中文{w}中",) for w in words], "t string")
+    got = [r["g"] for r in df.select("t", T.space_english(F.col("t")).alias("g")).orderBy("t").collect()]
+    assert got == [O.spaced(t) for t in sorted(f"中文中文{w}中" for w in words)]
