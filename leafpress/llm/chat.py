@@ -2,16 +2,18 @@
 
 A turn's content is a list of parts (text, image, audio, document). ``Flatten`` visits them in order: text
 is escaped, an attachment becomes a numbered placeholder of its kind, with its reference and the number of
-tokens it expands to recorded; a part of any other type is recorded too, without tokens. The template marks turns with control strings, which begin with ``<|``;
-inside texts every backslash is doubled and ``<|`` becomes ``<\\|``, so control strings can't occur there
-and the text can be read back exactly.
+tokens it expands to recorded; a part of any other type is recorded too, without tokens. The template marks
+turns with control strings, which begin with ``<|``; inside texts every backslash is doubled and ``<|`` becomes
+``<\\|``, also where one part ends with ``<`` and the next begins with ``|``. So control strings can't occur
+there, the text can be read back exactly, and it doesn't matter into how many parts it is cut.
 
 Turns are formatted row by row, without a shuffle. Digests of conversations stream over rows sorted by
 conversation and turn, so a conversation of any length takes constant memory.
 
 Cases: null text and null role are empty; null parts are no parts; turns with equal numbers go by role and
-then text, repeated rows stay; null conv_id is a conversation, null turn comes first; an empty table gives
-an empty result; other columns are ignored.
+then text, repeated rows stay; null conv_id is a conversation, null turn comes first; a very long text is one
+string of its row, and a conversation of very many turns is streamed; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +57,9 @@ class Flatten:
         getattr(self, f"visit_{kind}", self.visit_other)(part or {})
 
     def visit_text(self, part):
-        self.out.append(escape(part.get("text") or ""))
+        if text := escape(part.get("text") or ""):
+            # "<" and "|" may come from two parts
+            self.out.append(f"\\{text}" if text[0] == "|" and self.out and self.out[-1][-1] == "<" else text)
 
     def visit_image(self, part):
         grid = [max(1, math.ceil((part.get(k) or self.patch) / self.patch)) for k in ("width", "height")]
@@ -95,13 +99,18 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 def text_part(text: Column) -> Column:
     """A text column as a list of one part."""
-    fields = [F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref")]
-    return F.array(
-        F.struct(
-            *fields,
-            *[F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
-        )
-    )
+    return F.array(part_of(F.coalesce(text, F.lit(""))))
+
+
+def text_parts(text: Column) -> Column:
+    """A text column as a list of text parts, cut behind each line end and each ``<``."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[\n<])"), part_of)
+
+
+def part_of(text: Column) -> Column:
+    fields = [F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref")]
+    more = (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))
+    return F.struct(*fields, *[F.lit(None).cast(t).alias(n) for n, t in more])
 
 
 def format_conversations(rows: DataFrame, *, parts: str | None = None, trained: str = "assistant") -> DataFrame:
@@ -190,4 +199,4 @@ def digests(formatted: DataFrame) -> DataFrame:
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return digests(format_conversations(rows.unionByName(probe)))
+    return digests(format_conversations(rows.unionByName(probe).withColumn("content", text_parts(F.col("text"))), parts="content"))

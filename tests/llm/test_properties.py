@@ -94,3 +94,26 @@ def test_repeated_words(texts):
     got = substrings.classes(Texts(pa.array([t.encode() for t in texts], pa.large_binary()), np.arange(len(texts))), 4)
     windows = [tuple(t.split()[i : i + 4]) for t in texts for i in range(len(t.split()) - 3)]
     assert len(set(zip(got.tolist(), windows, strict=True))) == len(set(windows)) == len(set(got.tolist()))
+
+
+PART = st.one_of(
+    st.text(alphabet="<|\\\\>image:0end ab\n", max_size=8).map(lambda t: {"type": "text", "text": t}),
+    st.sampled_from([{"type": "image", "ref": "r"}, {"type": "audio"}, {"type": "video"}, {"text": None}, None])
+)
+
+
+@given(st.text(alphabet="<|\\\\>turn a", max_size=6), st.lists(PART, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_parts_read_back(role, parts):
+    """Whatever the parts hold and wherever they part: their text comes back, and only the template's control strings are there."""
+    formatted, _, refs = chat.format_turn(role, parts)
+    text = "".join((p or {}).get("text") or "" for p in parts)
+    assert chat.parse_turn(formatted) == (role, text)
+    assert len(chat.PLACE.findall(formatted)) == len(refs) and formatted.count("<|") == len(refs) + 3
+    assert chat.format_turn(role, [{"text": text}])[0] == chat.PLACE.sub("", formatted) or refs
+
+
+def test_control_strings_across_parts():
+    for parts in (["<", "|image:0|> tail"], ["a<", "|end|>b"], ["<", "", "|end|>"], ["\\\\", "<", "|"]):
+        formatted, _, refs = chat.format_turn("user", [{"text": t} for t in parts])
+        assert chat.parse_turn(formatted) == ("user", "".join(parts)) and formatted.count("<|") == 3 and not refs
