@@ -7,8 +7,8 @@ merged, so words put in or left out don't end a span. A merged span is verified
 template's words that stand at their place on one of its diagonals, ``LEAST`` or more, gives the template's label.
 
 Hits are known by the SHA-256 of their text, so a text with many copies is voted for and verified once: votes are sets
-of places, combined before they are shuffled, and texts are fetched only for keys with hits, one copy each (bitmaps of
-at most ``FILTER_BITS`` bits keep nearly all others from the shuffle, up to some million texts with hits).
+of places, combined before they are shuffled, and texts are fetched only for keys with hits, one copy each
+(``shared.near_keys`` keeps nearly all others from the shuffle, up to some million texts with hits).
 Spans of one text are an array that its length bounds. The join back to the rows is of plain shuffles, so a text
 with very many copies can be split.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import cut, table
+from leafpress.llm.shared import cut, near_keys, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words, before A-Z are lower-cased.
@@ -41,8 +41,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROLL = 4
 DRIFT = 3
 LEAST = 0.7
-#: Bits of the filter of texts with hits (2 MB at most, in bitmaps of 2 ** 15 bits).
-FILTER_BITS = 1 << 24
 #: Phrases and the labels they give.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices as licenses and their stewards publish them, and short forms of them.
@@ -173,15 +171,7 @@ def license_spans(
     ours = runs_of(docs.select("key", split_words(F.col("text")).alias("words")), roll)
     hits = ours.join(F.broadcast(theirs), "hash").select("key", "template", "place", "at")  # as large as the templates
     found = cut(merged(hits, drift, roll))
-    # of the texts only those go on whose key may be found: by bitmaps of keys, a table of a bounded size
-    spot = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    bits = found.select(spot().alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    at = F.bitmap_bit_position("spot")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
-    texts = docs.select("key", "text", spot().alias("spot")).withColumn("bucket", F.bitmap_bucket_number("spot"))
-    texts = texts.join(F.broadcast(bits), "bucket").where(may).groupBy("key").agg(F.first("text").alias("text"))
+    texts = near_keys(docs.select("key", "text"), found, "key").groupBy("key").agg(F.first("text").alias("text"))
     held = texts.join(found, "key")
     own_words = F.array(*[F.array(*map(F.lit, w)) for w in known]) if known else F.array().cast("array<array<string>>")
     labels = F.array(*[F.lit(label) for label, _ in templates]) if known else F.array().cast("array<string>")

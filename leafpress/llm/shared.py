@@ -97,14 +97,36 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 
 
 def own_exchange(df: DataFrame, key: str) -> DataFrame:
-    """``df``, an aggregate by the long ``key``, with the key as a new expression.
+    """``df``, an aggregate by the long or binary ``key``, with the key as a new expression.
 
     A join on it then shuffles the aggregate's result again instead of reusing its exchange. Both sides of the join
     are plain shuffles, and only such joins are split by adaptive execution where a key is hot.
     """
+    if df.schema[key].dataType.simpleString() == "binary":
+        return df.withColumn(key, F.concat(F.col(key), F.lit(b"")))
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
+#: Bits of the filter that ``near_keys`` makes (2 MB at most, in bitmaps of 2 ** 15 bits).
+FILTER_BITS = 1 << 24
+
+
+def near_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` is not in ``keys``, and with all others: bitmaps of a bounded size are sent to all tasks.
+
+    A join with ``keys`` then shuffles little else than what it finds, up to some million keys; it may follow with any number.
+    """
+    spot, bucket, bits = fresh(df, "__spot", "__bucket", "__bits")
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    maps = keys.select(place.alias(spot)).groupBy(F.bitmap_bucket_number(spot).alias(bucket))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias(bits))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    placed = df.withColumn(spot, place).withColumn(bucket, F.bitmap_bucket_number(spot))
+    return placed.join(F.broadcast(maps), bucket).where(may).drop(spot, bucket, bits)
+
+
 def by_key(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by ``cols`` and sort inside, for Python code that streams over runs of a key."""
     return df.repartition(partitions(df.sparkSession), *cols)

@@ -10,16 +10,24 @@ binary trie (a node is a range of them): pairs of nodes are traversed together,
 bits are added up, and a pair over the budget is dropped. A pair of nodes that already lie in one
 component is dropped too, so a bucket yields a spanning forest and never all pairs of a group.
 
+``keep_one`` with a similarity: texts whose sets of shingles share a least hash are a bucket (``shared_minima``); the
+buckets' fingerprint tries are joined in the same way at a wide budget, and of the pairs that are left each is tested
+on its two sets before it links them (``similar_links``), so every link is verified. Of pairs at similarity 0.8 one in
+600 shares none of ``MINIMA`` least hashes.
+
 ``components``: alternating large-star and small-star over those links, all as joins and aggregates;
 each round is written to the shared folder. Nothing is collected but the number of changes.
 
 Cases: null, empty and wordless texts have fingerprint zero and link like any other; fewer words than a
-shingle make one shingle; equal texts and repeated rows share a fingerprint and so a component; an empty
-table gives an empty result; other columns are not read.
+shingle make one shingle; equal texts and repeated rows share a fingerprint and so a component; with null ids
+only, a component's id is null; equal ids are told apart by nothing but their texts; a text of any length is one
+fingerprint and one set, held at once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import WORD_BYTES, Runs, blocks, by_key, cut, fresh, own_exchange, table
+from leafpress.llm.shared import BLOCK_BYTES, WORD_BYTES, Runs, blocks, by_key, cut, fresh, mix, near_keys, own_exchange, partitions, table
 
 BITS = 64
 BUDGET = 3
@@ -38,12 +46,19 @@ BUCKET = 50_000
 HELD = 100_000
 #: How often a bucket is dealt: after the third time its members agree in 37 of 64 bits (budget 3).
 DEALS = 3
+#: Least hashes of a set that make its buckets, and what sets their orders apart.
+MINIMA = 4
+ORDERS = tuple(0x9E3779B97F4A7C15 * k & (1 << 64) - 1 for k in range(1, MINIMA + 1))
+#: A bucket with more sets is dealt again by its other least hashes.
+HOT = 1_000
+#: Differing bits at which fingerprints of sets of similarity 0.8 are still paired.
+WIDE = 24
 #: Node pairs that one step of the traversal holds.
 FRONT = 200_000
 
 
-def simhash_block(texts, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprints of a block of texts."""
+def shingle_hashes(texts, shingle: int) -> tuple[list[int], np.ndarray]:
+    """The hashes of all shingles of a block of texts, one text after another, and how many each has."""
     runs = Runs(texts, WORD_BYTES[texts.data])
     first, hashes, count = runs.first, [], np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -62,7 +77,17 @@ def simhash_block(texts, shingle: int = SHINGLE) -> np.ndarray:
             own = [digest(line[a:b], 42) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
         count[i] = len(own)
         hashes.extend(own)
-    out = np.zeros(len(texts), np.uint64)
+    return hashes, count
+
+
+def simhash_block(texts, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprints of a block of texts."""
+    return simhash(*shingle_hashes(texts, shingle))
+
+
+def simhash(hashes: Sequence[int] | np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts from the hashes of their shingles."""
+    out = np.zeros(len(count), np.uint64)
     has = np.flatnonzero(count)
     if len(has):
         values = np.array(hashes, np.uint64)
@@ -104,6 +129,11 @@ class Forest:
                 return self.up
             self.up = above
 
+    def root(self, k: int) -> int:
+        while (above := self.up[k]) != k:
+            k = above
+        return int(k)
+
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         kept = []
         at = np.arange(len(a))
@@ -122,8 +152,11 @@ class Forest:
         return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def trie_links(fps: np.ndarray, bounds: np.ndarray | None = None, budget: int = BUDGET, front: int = FRONT) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices) that span the components of all pairs within ``budget`` bits of a bucket.
+def trie_links(
+    fps: np.ndarray, bounds: np.ndarray | None = None, budget: int = BUDGET, front: int = FRONT,
+    test: Callable[[int, int], bool] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) that span the components of all pairs within ``budget`` bits of a bucket, and that pass ``test`` if there is one.
 
     A bucket's fingerprints lie between two ``bounds``, sorted and distinct; all buckets are traversed at once.
     """
@@ -148,6 +181,13 @@ def trie_links(fps: np.ndarray, bounds: np.ndarray | None = None, budget: int =
         al, ah, bl, bh, d = (x[~one] for x in (al, ah, bl, bh, d))
         if not len(al):
             continue
+        if level < 0 and test:
+            for a, b in zip(al.tolist(), bl.tolist(), strict=True):
+                x, y = forest.root(a), forest.root(b)
+                if x != y and test(a, b):
+                    forest.up[max(x, y)] = min(x, y)
+                    out.append((np.array([a]), np.array([b])))
+            continue
         if level < 0:
             made = forest.join(al, bl)
             out.append((al[made], bl[made]))
@@ -274,9 +314,131 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BU
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, code, minima): of each text's set of shingles the fingerprint, a digest, and ``MINIMA`` least hashes under own orders."""
+
+    def run(batches):
+        for b in batches:
+            for block in blocks(b.column(1)):
+                hashes, count = shingle_hashes(block, shingle)
+                values, at = np.array(hashes, np.uint64), np.concatenate([[0], np.cumsum(count)])
+                sets = [np.unique(values[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)]
+                fps = simhash(np.concatenate(sets), np.array([len(x) for x in sets]))
+                least, has = np.zeros((len(sets), MINIMA), np.int64), count > 0
+                for k, seed in enumerate(ORDERS if len(values) else ()):
+                    least[has, k] = np.minimum.reduceat(mix(values ^ np.uint64(seed)), at[:-1][has]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(int(block.rows[0]), len(block)), pa.array(fps.view(np.int64)),
+                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(least.tolist(), pa.list_(pa.int64()))
+                    ],
+                    ["doc_id", "fp", "code", "minima"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, code binary, minima array<long>")
+
+
+def shared_minima(sets: DataFrame, hot: int) -> DataFrame:
+    """(a, b, c, d, code, fp): the buckets of ``sets`` (code, fp, minima) with two sets or more.
+
+    A bucket is a least hash (its order a, its value c); one of more than ``hot`` sets is dealt again by each of the
+    other least hashes (b, d), and as that is the last deal, a bucket may then have any size.
+    """
+    one = sets.select("code", "fp", "minima", F.posexplode("minima").alias("a", "c"))
+    sizes = cut(one.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    some = one.join(own_exchange(sizes, "c"), ["a", "c"])
+    few = some.where(F.col("n") <= hot).select("a", F.lit(-1).alias("b"), "c", F.lit(0).cast("long").alias("d"), "code", "fp")
+    more = some.where(F.col("n") > hot).select("a", "c", "code", "fp", F.posexplode("minima").alias("b", "d")).where("a <> b")
+    return few.unionByName(more.select("a", "b", "c", "d", "code", "fp"))
+
+
+def similar_links(buckets: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """(a, b): codes of sets whose Jaccard similarity is ``similarity`` or more, spanning the components within each bucket."""
+    held = buckets.join(own_exchange(sets, "code"), "code")
+    keys = ["a", "b", "c", "d"]
+    dealt = held.repartition(partitions(held.sparkSession), *keys).sortWithinPartitions(*keys, "fp", "code").select(*keys, "fp", "code", "members")
+
+    def run(batches):
+        now, held, bounds, size = None, [], [], 0
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:4] != now:
+                    if size >= BLOCK_BYTES:
+                        yield from links(held, bounds)
+                        held, bounds, size = [], [], 0
+                    now = row[:4]
+                    bounds.append(len(held))
+                held.append(row[4:])
+                size += len(row[6]) + 64
+        if held:
+            yield from links(held, bounds)
+
+    def links(held, bounds):
+        """Of whole buckets at once; their rows are sorted by fingerprint as a signed number."""
+        fps = np.array([x[0] for x in held], np.int64).view(np.uint64)
+        order = np.lexsort((fps, np.repeat(np.arange(len(bounds)), np.diff([*bounds, len(held)]))))
+        codes, sets = ([held[k][i] for k in order.tolist()] for i in (1, 2))
+
+        def alike(i: int, j: int) -> bool:
+            x, y = len(sets[i]), len(sets[j])
+            if min(x, y) < similarity * max(x, y):
+                return False
+            both = len(np.intersect1d(np.frombuffer(sets[i], np.uint32), np.frombuffer(sets[j], np.uint32), assume_unique=True))
+            return both >= similarity * ((x + y) // 4 - both)
+
+        a, b = trie_links(fps[order], np.array([*bounds, len(held)]), budget, FRONT, alike)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array([codes[k] for k in side.tolist()], pa.binary()) for side in (a, b)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def set_members(texts: DataFrame, shingle: int) -> DataFrame:
+    """(code, members): the set of each text (code, text) as sorted 32-bit hashes, packed."""
+
+    def run(batches):
+        for b in batches:
+            for block in blocks(b.column(1)):
+                hashes, count = shingle_hashes(block, shingle)
+                values, at = np.array(hashes, np.uint64), np.concatenate([[0], np.cumsum(count)])
+                sets = [np.unique((values[lo:hi] >> np.uint64(32)).astype(np.uint32)).tobytes() for lo, hi in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(block.rows[0]), len(block)), pa.array(sets, pa.binary())], ["code", "members"])
+
+    return texts.select("code", "text").mapInArrow(run, "code binary, members binary")
+
+
+def similar_classes(docs: DataFrame, marked: DataFrame, *, shingle: int, similarity: float, budget: int, hot: int) -> DataFrame:
+    """(code, root, component_id) of each set in ``marked`` (doc_id, key, fp, code, minima): its component and that one's least doc_id.
+
+    ``docs`` (key, text) gives the texts of the sets that share a least hash with another one.
+    """
+    nodes = cut(
+        marked.groupBy("code").agg(
+            F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("minima").alias("minima")
+        )
+    )
+    buckets = cut(shared_minima(nodes.select("code", "fp", "minima"), hot))
+    wanted = nodes.join(buckets.select("code").distinct(), "code", "left_semi").select("key", "code")
+    wanted = cut(wanted)
+    texts = near_keys(docs, wanted, "key").join(wanted, "key").dropDuplicates(["code"])
+    sets = cut(set_members(texts, shingle))
+    roots = components(similar_links(buckets, sets, similarity, budget))
+    placed = nodes.join(roots, nodes.code == roots.node, "left").select("code", "least", F.coalesce("root", "code").alias("root"))
+    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(own_exchange(of_root, "root"), "root").select("code", "root", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, bucket: int = BUCKET, similarity: float | None = None,
+    hot: int = HOT
+) -> DataFrame:
     """The columns of ``docs`` for one row of each group: that with the least doc_id (null last), then text (null last).
 
+    Groups are those of ``near_duplicates``. With a ``similarity``, they are the components of texts whose sets of
+    shingles have that Jaccard similarity: texts that share one of ``MINIMA`` least hashes are a bucket, whose
+    fingerprints' trie is joined with itself at ``budget`` bits, and each pair that is left is tested on its sets.
+
     Rows are told apart by a digest of id and text, so that groups with equal or null ids each keep their own; of
     rows with the same id and text one stays. Texts are shuffled once, by that digest; the survivors are chosen by
     digests, and texts are compared only where rows of one group share the id. Columns may have any name; an empty
@@ -288,11 +450,15 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, b
         F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-"))
     )
     key = F.sha2(ident, 256)
-    marked = fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"), shingle)
-    marked = cut(marked.select("doc_id.doc_id", "doc_id.key", "fp"))
-    first = marked.join(grouped(marked, budget, bucket), "fp").where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select("root", "key").distinct()
+    keyed = docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text")
+    if similarity is None:
+        marked, group = cut(fingerprints(keyed, shingle).select("doc_id.doc_id", "doc_id.key", "fp")), "fp"
+        classes = grouped(marked, budget, bucket)
+    else:
+        marked, group = cut(sketches(keyed, shingle).select("doc_id.doc_id", "doc_id.key", "fp", "code", "minima")), "code"
+        texts = docs.select(key.alias("key"), "text")
+        classes = similar_classes(texts, marked, shingle=shingle, similarity=similarity, budget=budget, hot=hot)
+    first = marked.join(classes, group).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "key").distinct()
     chosen = cut(first.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")))
     keys = chosen.where("n = 1").select(F.col("key").alias(mine))
     # written, so that its size is known where the texts are joined, and they are not shuffled for a few rows
