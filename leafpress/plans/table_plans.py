@@ -10,6 +10,7 @@ from leafpress.functions import values as V
 from leafpress.operators import context as C
 from leafpress.operators import geometry as G
 from leafpress.operators import ocr as O
+from leafpress.operators import spatial as S
 from leafpress.operators import pages as P
 from leafpress.operators import tables as TB
 from leafpress.plans import office_bytes
@@ -250,6 +251,29 @@ def scattered_rules(spark, sf_dir):
     return h, v
 
 
+def word_cells(spark, sf_dir):
+    """Customers as cells of a page, orders as words on it: the cell of each word, or the one that it nearly touches."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("k"))
+    boxes = c.select(
+        F.lit(1).alias("doc"), (F.col("k") % 3).alias("page"), F.col("k").alias("box"), (F.col("k") % 40 * 30.0).alias("x0"),
+        (F.floor(F.col("k") / 40) * 20.0).alias("y0"), (F.col("k") % 40 * 30.0 + 25.0).alias("x1"), (F.floor(F.col("k") / 40) * 20.0 + 15.0).alias("y1")
+    )
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("page"))
+    words = o.select(
+        F.lit(1).alias("doc"), "page", F.col("o_orderkey").alias("point"), (F.col("o_orderkey") * 7 % 1250 + 0.5).alias("x"),
+        (F.col("o_orderkey") * 13 % 800 + 0.25).alias("y")
+    )
+    return S.points_in_boxes(words, boxes).select("page", F.col("point").alias("o_orderkey"), F.col("box").cast("long").alias("box"))
+
+
+def nearest_lines(spark, sf_dir):
+    """The nearest supplier of each customer on a page, both as points."""
+    place = lambda k: [(F.col(k) * 37 % 600 + 0.0).alias("x"), (F.col(k) * 53 % 800 + 0.5).alias("y")]
+    points = read(spark, sf_dir, "customer").select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.col("c_custkey").alias("point"), *place("c_custkey"))
+    others = read(spark, sf_dir, "supplier").select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.col("s_suppkey").alias("other"), *place("s_suppkey"))
+    return S.nearest(points, others).select(F.col("point").alias("c_custkey"), F.col("other").alias("s_suppkey"), F.round("distance", 6).alias("distance"))
+
+
 def pdf_rule_components(spark, sf_dir):
     """Groups of rules that cross, on all pages at once."""
     found = G.components(*G.crossing_ids(*scattered_rules(spark, sf_dir)), least=2)
@@ -433,7 +457,7 @@ QUERIES = {
     for f in (
         grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip,
         docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, spreadsheet_doubles, column_addresses, pdf_lines_merged,
-        pdf_line_intersections, pdf_rule_components, pdf_chains_of_one_document, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
+        pdf_line_intersections, pdf_rule_components, word_cells, nearest_lines, pdf_chains_of_one_document, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
         xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm,
         ocr_transformations
     )
@@ -482,6 +506,22 @@ ORACLES = {
         SELECT p_partkey, CASE WHEN z < 26 THEN chr((65 + z)::INT) WHEN z < 702 THEN chr((65 + (z - 26) // 26)::INT) || chr((65 + (z - 26) % 26)::INT) ELSE chr((65 + (z - 702) // 676)::INT) || chr((65 + (z - 702) // 26 % 26)::INT) || chr((65 + (z - 702) % 26)::INT) END || p_size AS address FROM n""",
     "pdf_lines_merged": f"WITH {_SUPPLIERS} SELECT doc, page, 20.0::DOUBLE AS x0, 230.0::DOUBLE AS x1, (30 + 12 * unnest(generate_series(0, n)))::DOUBLE AS y FROM size",
     "pdf_line_intersections": f"WITH {_SUPPLIERS} SELECT doc, page, ((n + 1) * 4)::BIGINT AS n FROM size",
+    "word_cells": """
+        WITH b AS (
+            SELECT c_custkey AS box, c_custkey % 3 AS page, c_custkey % 40 * 30.0 AS x0, c_custkey // 40 * 20.0 AS y0, x0 + 25 AS x1, y0 + 15 AS y1
+            FROM customer),
+        w AS (SELECT o_orderkey, o_custkey % 3 AS page, o_orderkey * 7 % 1250 + 0.5 AS x, o_orderkey * 13 % 800 + 0.25 AS y FROM orders),
+        near AS (
+            SELECT *, NOT (x0 <= x AND x < x1 AND y0 <= y AND y < y1) AS outside, abs(x - (x0 + x1) / 2) / 25 + abs(y - (y0 + y1) / 2) / 15 AS far
+            FROM w JOIN b USING (page) WHERE x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 2 AND y1 + 2)
+        SELECT page::INT AS page, o_orderkey, box FROM near
+        QUALIFY row_number() OVER (PARTITION BY page, o_orderkey ORDER BY outside, far, box) = 1""",
+    "nearest_lines": """
+        WITH c AS (SELECT c_custkey, c_custkey * 37 % 600 + 0.0 AS x, c_custkey * 53 % 800 + 0.5 AS y FROM customer),
+        s AS (SELECT s_suppkey, s_suppkey * 37 % 600 + 0.0 AS x, s_suppkey * 53 % 800 + 0.5 AS y FROM supplier),
+        d AS (SELECT c_custkey, s_suppkey, sqrt((c.x - s.x)::DOUBLE ** 2 + (c.y - s.y)::DOUBLE ** 2) AS distance FROM c, s)
+        SELECT c_custkey, s_suppkey, round(distance, 6) AS distance FROM d
+        QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) = 1""",
     # reachability by a recursive query: a horizontal rule, and what it meets over vertical ones
     "pdf_rule_components": """
         WITH RECURSIVE c AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 * 10.0 AS y, c_nationkey * 20.0 AS x FROM customer),
