@@ -21,6 +21,7 @@ from leafpress.plans import table_plans
 from leafpress.plans.text_plans import document_path, read
 from leafpress.sources import discovery
 from leafpress.sources import readers as R
+from leafpress.sources import tracelog
 from leafpress.workspace import Workspace
 
 HEAD = ["序号", "姓名", "职务"]
@@ -159,8 +160,8 @@ def markdown_reader(spark, sf_dir):
     )
 
 
-def reader_chain(spark, sf_dir):
-    """Readers that fail hand on to the next by priority; what is left over is the last error."""
+def chain_files(spark, sf_dir):
+    """Documents as files of four types, and readers of which some fail."""
 
     def picky(data: bytes):
         if len(data) % 2:
@@ -179,8 +180,35 @@ def reader_chain(spark, sf_dir):
         R.ReaderSpec("picky.read", ("txt", "log"), picky, priority=200), R.ReaderSpec("never.read", ("log",), never, priority=300),
         *[s for s in R.defaults() if s.provider_id != "text.read"], R.ReaderSpec("text.read", ("txt",), R.read_text, priority=50)
     ]
-    return R.read(files, readers=specs, max_bytes=20_000).select(
-        number_of().cast("long").alias("doc_id"), "provider_id", "fallback_from", "status", "error_type"
+    return files, specs
+
+
+def outcomes(artifacts):
+    return artifacts.select(number_of().cast("long").alias("doc_id"), "provider_id", "fallback_from", "status", "error_type")
+
+
+def reader_chain(spark, sf_dir):
+    """Readers that fail hand on to the next by priority; what is left over is the last error."""
+    files, specs = chain_files(spark, sf_dir)
+    return outcomes(R.read(files, readers=specs, max_bytes=20_000))
+
+
+def reader_stages(spark, sf_dir):
+    """The same in stages: the failures of one reader are the next one's files."""
+    files, specs = chain_files(spark, sf_dir)
+    return outcomes(R.read_staged(files, readers=specs, max_bytes=20_000))
+
+
+def read_traces(spark, sf_dir):
+    """What the log holds after documents were read: a row for each reader that was asked, the last two of each document."""
+    files, specs = chain_files(spark, sf_dir)
+    folder = scratch.local_path(scratch.new_path(spark))
+    if folder is None:
+        raise RuntimeError("spark.checkpoint.dir is no path that executors can write files to")
+    tracelog.append(R.traces(R.read(files, readers=specs, max_bytes=20_000)), folder)
+    tracelog.compact(spark, folder, kept=2)
+    return tracelog.log(spark, folder).select(
+        number_of("path").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"), "provider_id", "status", "error_type", "fallback_from"
     )
 
 
@@ -445,7 +473,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain,
-        workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
+        reader_stages, read_traces, workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
         duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
     )
 }
@@ -456,6 +484,11 @@ _STRIP = r"'^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
 _TYPED = r"CASE WHEN k % 4 = 0 THEN t || ' Google' WHEN k % 4 = 1 THEN 'Reader ' || t ELSE t END"
 _PANELS = "n AS (SELECT n_regionkey AS doc, n_nationkey::VARCHAR AS key, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)"
 
+_CHAIN = """WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, doc_id % 4 AS kind FROM documents)
+        SELECT doc_id, CASE WHEN n > 20000 OR kind > 1 THEN NULL WHEN n % 2 = 0 THEN 'picky.read' WHEN kind = 0 THEN 'text.read' END AS provider_id,
+            CASE WHEN n > 20000 OR kind > 1 THEN NULL WHEN kind = 0 AND n % 2 = 1 THEN 'picky.read' WHEN kind = 1 THEN 'never.read' END AS fallback_from,
+            CASE WHEN n <= 20000 AND (kind = 0 OR kind = 1 AND n % 2 = 0) THEN 'ok' ELSE 'error' END AS status,
+            CASE WHEN n > 20000 THEN 'ArtifactTooLargeError' WHEN kind = 3 THEN 'ProviderNotAvailableError' WHEN kind = 2 THEN 'CapabilityNotFoundError' WHEN kind = 1 AND n % 2 = 1 THEN 'ArtifactParseError' END AS error_type FROM d"""
 _TREE = """WITH f AS (
         SELECT 'n' || s_nationkey || '/' || ['', '_deep/', 'a=b/', 'x._COPYING_/'][s_suppkey % 4 + 1] AS dir,
             ['', '_', '_a=', 'y '][s_suppkey % 4 + 1] || s_suppkey || ext AS name, ext, n
@@ -481,11 +514,16 @@ ORACLES = {
         SELECT 'a_' || substr(sha256(path), 1, 16) AS artifact_id, sha256(regexp_replace(body, {_STRIP}, '', 'g')) AS content_sha256, len(string_split(body, chr(10))) AS line_count, len(list_filter(string_split(body, chr(10)), lambda x: regexp_replace(x, {_STRIP}, '', 'g') <> '')) AS n_blocks, 'text.read' AS provider_id, 'ok' AS status FROM a""",
     "markdown_reader": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'markdown.read' END AS provider_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(string_split({_TEXT}, chr(10)), lambda x: regexp_replace(x, {_STRIP}, '', 'g') <> '')) ELSE -1 END::BIGINT AS line_count,
         CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'error' END AS status, CASE WHEN doc_id % 2 = 1 THEN 'PluginPermissionError' END AS error_type FROM documents""",
-    "reader_chain": """WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, doc_id % 4 AS kind FROM documents)
-        SELECT doc_id, CASE WHEN n > 20000 OR kind > 1 THEN NULL WHEN n % 2 = 0 THEN 'picky.read' WHEN kind = 0 THEN 'text.read' END AS provider_id,
-            CASE WHEN n > 20000 OR kind > 1 THEN NULL WHEN kind = 0 AND n % 2 = 1 THEN 'picky.read' WHEN kind = 1 THEN 'never.read' END AS fallback_from,
-            CASE WHEN n <= 20000 AND (kind = 0 OR kind = 1 AND n % 2 = 0) THEN 'ok' ELSE 'error' END AS status,
-            CASE WHEN n > 20000 THEN 'ArtifactTooLargeError' WHEN kind = 3 THEN 'ProviderNotAvailableError' WHEN kind = 2 THEN 'CapabilityNotFoundError' WHEN kind = 1 AND n % 2 = 1 THEN 'ArtifactParseError' END AS error_type FROM d""",
+    "reader_chain": _CHAIN,
+    "reader_stages": _CHAIN,
+    "read_traces": """
+        WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, doc_id % 4 AS kind FROM documents),
+        tried AS (
+            SELECT doc_id, 0 AS position, 'never.read' AS provider_id, true AS failed, NULL AS fallback_from FROM d WHERE n <= 20000 AND kind = 1
+            UNION ALL SELECT doc_id, kind, 'picky.read', n % 2 = 1, CASE WHEN kind = 1 THEN 'never.read' END FROM d WHERE n <= 20000 AND kind < 2
+            UNION ALL SELECT doc_id, 1, 'text.read', false, 'picky.read' FROM d WHERE n <= 20000 AND kind = 0 AND n % 2 = 1)
+        SELECT doc_id, position::BIGINT AS position, provider_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+            CASE WHEN failed THEN 'ArtifactParseError' END AS error_type, fallback_from FROM tried""",
     "workspace_listing": """WITH f AS (SELECT n_nationkey AS k, n_name, ['', 'sub/', '_under/', '.git/'][n_nationkey % 4 + 1] AS dir, ['', '_', '~$', '.', ''][n_nationkey % 5 + 1] AS pre, ['.txt', '.MD', '.tmp', '.zip', '.csv', ''][n_nationkey % 6 + 1] AS ext FROM nation)
         SELECT dir || pre || k || ext AS relative_path, strlen(n_name) AS size, lower(substr(ext, 2)) AS extension, n_name AS content, 'ok' AS status FROM f WHERE dir <> '.git/' AND pre NOT IN ('~$', '.') AND ext IN ('.txt', '.MD', '.csv')""",
     "discovery_pushed": f"""{_TREE}

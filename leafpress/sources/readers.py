@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress import schema, scratch
@@ -129,7 +129,8 @@ _NESTED = ", ".join(x.replace(" ", ":", 1) for x in schema.BLOCKS.split(", ")[1:
 SCAN = (
     "artifact_id string, name string, path string, artifact_type string, title string, content string, line_count int, metadata string, n_blocks int, file_size long, file_sha256 string,"
     f" provider_id string, plugin_id string, fallback_from string, parse_ms double, read_at timestamp, status string, error_type string, error string, blocks array<struct<{_NESTED}>>,"
-    " records array<struct<sheet:string,address:string,row:int,col:int,value:string,formula:string>>"
+    " records array<struct<sheet:string,address:string,row:int,col:int,value:string,formula:string>>,"
+    " attempts array<struct<provider_id:string,plugin_id:string,status:string,error_type:string,error:string,duration_ms:double,started_at:timestamp,fallback_from:string>>"
 )
 
 
@@ -143,14 +144,24 @@ def refusal(extension: str, readers: Iterable[ReaderSpec]) -> dict:
 
 
 def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refused: dict | None = None) -> dict:
-    """What the chain makes of a file's bytes; ``refused`` is what an empty chain gives."""
-    out = refused or refusal("", ())
-    before = None
+    """What the chain makes of a file's bytes; ``refused`` is what an empty chain gives. ``attempts`` lists every reader that was asked."""
+    out, tried, before = refused or refusal("", ()), [], None
+
+    def note(s: ReaderSpec, began: float, at: dt.datetime, kind: str | None = None, why: str | None = None) -> dict:
+        """Adds to the list; the row's own errors come from the last of it."""
+        tried.append(
+            {
+                "provider_id": s.provider_id, "plugin_id": s.owner, "status": "error" if kind else "ok", "error_type": kind, "error": why,
+                "duration_ms": round((time.perf_counter() - began) * 1000, 3), "started_at": at, "fallback_from": before
+            }
+        )
+        return {**out, "fallback_from": before, "error_type": kind, "error": why, "attempts": tried}
+
     for s in specs:
+        began, at = time.perf_counter(), dt.datetime.now(dt.UTC)
         missing = sorted(set(s.required) - granted)
         if missing:
-            return {**out, "fallback_from": before, "error_type": "PluginPermissionError", "error": ", ".join(missing)}
-        began = time.perf_counter()
+            return note(s, began, at, "PluginPermissionError", ", ".join(missing))
         try:
             meta, blocks = s.read(data)
         except office.EncryptedError as e:
@@ -158,12 +169,10 @@ def attempt(specs: list[ReaderSpec], granted: frozenset[str], data: bytes, refus
         except Exception as e:  # a reader's failure is a row
             kind, why = "ArtifactParseError", f"{type(e).__name__}: {e}"
         else:
-            return {
-                "provider_id": s.provider_id, "plugin_id": s.owner, "parse_ms": round((time.perf_counter() - began) * 1000, 3),
-                "read_at": dt.datetime.now(dt.UTC), "fallback_from": before, "status": "ok", "error_type": None, "error": None, **meta,
-                "blocks": blocks
-            }
-        out = {**out, "error_type": kind, "error": why, "fallback_from": before}
+            done = note(s, began, at)
+            about = {"provider_id": s.provider_id, "plugin_id": s.owner, "parse_ms": tried[-1]["duration_ms"], "read_at": dt.datetime.now(dt.UTC)}
+            return {**done, **about, "status": "ok", **meta, "blocks": blocks}
+        out = note(s, began, at, kind, why)
         before = s.provider_id
         if kind not in FALLBACK:
             break
@@ -214,7 +223,7 @@ def read(
                 return
             keep = {k: rows[0][k] for k in ("artifact_id", "name", "path", "artifact_type", "file_size", "file_sha256")}
             bad = {"status": "error", "error_type": "ProviderExecutionError", "error": f"{type(e).__name__}: {e}"}
-            yield pa.RecordBatch.from_pylist([keep | bad | {"n_blocks": 0, "blocks": [], "records": []}], schema=arrow)
+            yield pa.RecordBatch.from_pylist([keep | bad | {"n_blocks": 0, "blocks": [], "records": [], "attempts": rows[0].get("attempts")}], schema=arrow)
 
     def run(batches):
         for batch in batches:
@@ -233,6 +242,61 @@ def read(
     return own.select("path", F.when(fits, F.col("content")).alias("content"), "size").mapInArrow(run, SCAN)
 
 
+def read_staged(
+    files: DataFrame, *, readers: list[ReaderSpec] | None = None, granted: Iterable[str] = ("filesystem.read",), max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """``read`` in stages: all files by their first reader, those that failed by the next one, until none is left.
+
+    ``files`` has path and content, the paths are a key. Each stage is a job of its own over the files that it needs, dealt by reader, so a slow
+    reader's files are spread over all tasks, and files that succeed are opened once. A stage's result is written
+    before the next begins.
+    """
+    specs = registry() if readers is None else readers
+    own = files if "size" in files.columns else files.withColumn("size", F.octet_length("content").cast("long"))
+    todo, parts, before, stage = own, [], None, 0
+    longest = max((len(chain(e, specs)) for e in extensions(specs)), default=0)
+    while True:
+        place = {e: chain(e, specs)[stage : stage + 1] for e in extensions(specs)}
+        left = [replace(s, extensions=tuple(e for e, own in place.items() if s in own)) for s in specs]
+        # where no reader is left, those that are not there say why there never was one
+        now = [s for s in left if s.extensions] + ([s for s in specs if not s.available] if not stage else [])
+        order = F.lit("")
+        for e, found in place.items():
+            order = F.when(F.lower(F.col("path")).endswith(f".{e}"), F.lit(found[0].provider_id if found else "")).otherwise(order)
+        dealt = todo.withColumn("_reader", order).repartition("_reader", "path").drop("_reader") if stage else todo
+        made = scratch.cut(read(dealt, readers=now, granted=granted, max_bytes=max_bytes))
+        if before is not None:
+            told = before.select("path", F.col("attempts").alias("_earlier"))
+            made = made.join(told, "path").withColumn("attempts", F.concat("_earlier", "attempts"))
+            last = F.element_at("_earlier", -1)["provider_id"]
+            named = F.transform("attempts", lambda x, i: F.when(i == F.size("_earlier"), x.withField("fallback_from", last)).otherwise(x))
+            made = made.withColumns({"fallback_from": last, "attempts": named}).drop("_earlier").select(*before.columns)
+        stage += 1
+        more = F.coalesce(F.col("error_type").isin(*FALLBACK), F.lit(False)) & (F.size("attempts") > 0) & longer_than(stage, specs)
+        before = made.where(more)
+        parts.append(made.where(~more))
+        if stage >= longest or before.isEmpty():
+            break
+        todo = own.join(before.select("path"), "path", "left_semi")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def longer_than(n: int, specs: list[ReaderSpec]) -> Column:
+    """Whether the chain of an artifact's type has more than ``n`` readers."""
+    known = [e for e in extensions(specs) if len(chain(e, specs)) > n]
+    return F.col("artifact_type").isin(*known) if known else F.lit(False)
+
+
+def traces(artifacts: DataFrame) -> DataFrame:
+    """A row for each reader that was asked for each artifact, in order: who, how long, and what came of it."""
+    each = artifacts.select("artifact_id", "path", F.posexplode("attempts").alias("position", "t"))
+    trace_id = F.substring(F.sha2(F.concat_ws(":", "artifact_id", F.col("t.started_at").cast("string"), F.col("position").cast("string")), 256), 1, 16)
+    return each.select(trace_id.alias("trace_id"), "artifact_id", "path", F.col("position").alias("position"), "t.*")
+
+
 def too_large(max_bytes: int) -> dict:
     return {"status": "error", "error_type": "ArtifactTooLargeError", "error": f"over {max_bytes} bytes"}
 
