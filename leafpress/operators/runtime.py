@@ -90,6 +90,26 @@ def unique_first(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, Dat
     return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n")
 
 
+def plugin_views(found: DataFrame, loaded: DataFrame, failures: DataFrame, disabled: DataFrame, broken: DataFrame) -> DataFrame:
+    """A row per plugin (plugin_id, source, state, load_error), as semi and anti joins of what discovery and loading report.
+
+    ``found`` (plugin_id, source); ``loaded`` and ``disabled`` (plugin_id); ``failures`` (plugin_id, place, error), of which
+    the first counts, unless the plugin is disabled; ``broken`` (plugin_id, source, error): manifests that are no good,
+    shown unless a plugin of that id has its row.
+    """
+
+    def state(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("plugin_id", "source", F.lit(name).alias("state"), F.lit("").alias("load_error"))
+
+    off = disabled.distinct()
+    first = failures.groupBy("plugin_id").agg(F.min_by("error", "place").alias("load_error"))
+    failed = found.join(off, "plugin_id", "left_anti").join(first, "plugin_id")
+    views = state(found.join(loaded.distinct(), "plugin_id", "left_semi"), "loaded").unionByName(state(found.join(off, "plugin_id", "left_semi"), "disabled"))
+    views = views.unionByName(failed.select("plugin_id", "source", F.lit("failed").alias("state"), "load_error"))
+    more = broken.join(views.select("plugin_id"), "plugin_id", "left_anti")
+    return views.unionByName(more.select("plugin_id", "source", F.lit("failed").alias("state"), F.col("error").alias("load_error")))
+
+
 def plugin_status(plugins: DataFrame, providers: DataFrame) -> DataFrame:
     """A row per plugin: ``plugins`` (plugin_id, source, state, load_error), state loaded, disabled or failed."""
     reasons = F.array_join(

@@ -15,7 +15,6 @@ from leafpress.operators import context as C
 from leafpress.operators import geometry as G
 from leafpress.operators import ocr as O
 from leafpress.operators import runtime as RT
-from leafpress.operators import settings
 from leafpress.plans import office_bytes as W
 from leafpress.plans import table_plans
 from leafpress.plans.text_plans import document_path, read
@@ -397,19 +396,6 @@ def duplicates_rejected(spark, sf_dir):
     return kept.withColumn("kept", F.lit(True)).unionByName(rejected.withColumn("kept", F.lit(False)))
 
 
-def config_resolved(spark, sf_dir):
-    """``settings.resolve`` and ``settings.plugin_dirs`` themselves, as rows."""
-    got = settings.resolve(
-        {"llm_model": "m-user", "recent_workspace_limit": 0, "restore_last_workspace": False},
-        {"LEAFPRESS_LLM_MODEL": " m-env ", "MODEL_DIR": "/m"}, {"recent_activity_limit": 3}
-    )
-    names = ("llm_model", "recent_workspace_limit", "restore_last_workspace", "model_dir", "recent_activity_limit")
-    rows = [("field", n, str(got[n][0]), got[n][1]) for n in names]
-    dirs = settings.plugin_dirs(["/a", "/b"], {"LEAFPRESS_PLUGIN_PATH": "/b:/c"}, ["/a", "/d"])
-    rows += [("dir", str(k), d, s) for k, (d, s) in enumerate(dirs)]
-    return spark.createDataFrame(rows, "kind string, name string, value string, source string")
-
-
 def marked_boxes(spark, sf_dir):
     """Boxes with a cut phrase in every fourth pair, a bullet in the first box of a page and a doubled numeral in some."""
     k = F.col("box_no") % 4
@@ -474,7 +460,7 @@ QUERIES = {
     for f in (
         pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain,
         reader_stages, read_traces, workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
-        duplicates_rejected, config_resolved, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
+        duplicates_rejected, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
     )
 }
 
@@ -563,6 +549,4 @@ ORACLES = {
     "pdf_plain_tables": """WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation)
         SELECT n_regionkey::INT AS region, string_agg(n_name, '|' ORDER BY k) AS cells, 'page-library' AS extraction_method, 0.7::DOUBLE AS confidence, 1::BIGINT AS n_rows, 3::BIGINT AS n_cols FROM n WHERE k <= 3 GROUP BY 1""",
     "duplicates_rejected": "SELECT o_custkey % 50 AS provider, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) = 1 AS kept FROM orders",
-    "config_resolved": """SELECT * FROM (VALUES ('field', 'llm_model', 'm-env', 'Environment'), ('field', 'recent_workspace_limit', '0', 'User Config'), ('field', 'restore_last_workspace', 'False', 'User Config'), ('field', 'model_dir', '/m', 'Environment'), ('field', 'recent_activity_limit', '3', 'Runtime Argument'),
-        ('dir', '0', '/a', 'User Config'), ('dir', '1', '/b', 'User Config'), ('dir', '2', '/c', 'Environment'), ('dir', '3', '/d', 'Runtime Argument')) AS t(kind, name, value, source)""",
 }

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import text as T
 from leafpress.operators import activity as A
+from leafpress.functions import encodings as E
 from leafpress.operators import runtime as R
+from leafpress.operators import trigrams as G
 from leafpress.plans.text_plans import read
 from leafpress.sources import scan as S
 
@@ -20,10 +22,6 @@ PROVIDERS = """
     ('text', 'text.read', 50, 'txt,md,csv', 'filesystem.read', 'filesystem.read', true, ''),
     ('markdown_x', 'markdown.read', 80, 'md', 'filesystem.read,network', 'filesystem.read,network', true, ''),
     ('csv_x', 'csv.read', 50, 'csv', 'filesystem.read', 'filesystem.read', true, '')"""
-PLUGINS = """
-    ('docx', 'builtin', 'loaded', ''), ('doc_legacy', 'builtin', 'loaded', ''), ('pdf', 'builtin', 'loaded', ''), ('pptx', 'builtin', 'loaded', ''),
-    ('xlsx', 'builtin', 'loaded', ''), ('text', 'builtin', 'loaded', ''), ('markdown_x', 'external', 'loaded', ''), ('csv_x', 'external', 'disabled', ''),
-    ('old_x', 'external', 'failed', 'api_version 0 is not supported'), ('bad_x', 'external', 'failed', 'no entry point')"""
 _ROWS = "AS t(plugin_id, provider_id, priority, extensions, permissions, required, available, reason)"
 
 
@@ -33,10 +31,6 @@ def providers(spark):
     )
 
 
-def plugins(spark):
-    return spark.sql(f"SELECT * FROM VALUES {PLUGINS} AS t(plugin_id, source, state, load_error)")
-
-
 def names(spark, sf_dir):
     """File names derived from documents, temporary and hidden ones among them."""
     name = F.expr(
@@ -99,57 +93,6 @@ def fallback_outcome(spark, sf_dir):
     return out.withColumn("seen_as", R.facade_error(F.col("error_type"), F.lit(False)))
 
 
-def permissions_effective(spark, sf_dir):
-    granted = ["filesystem.read", "network"]
-    return providers(spark).select(
-        "provider_id", F.array_join(R.effective_permissions(F.col("permissions"), granted), ",").alias("effective"),
-        F.array_join(R.missing_permissions(F.col("required"), granted), ",").alias("missing")
-    )
-
-
-def plugin_status(spark, sf_dir):
-    return R.plugin_status(plugins(spark), providers(spark)).withColumn("position", F.expr("row_number() over (order by is_builtin desc, plugin_id)"))
-
-
-def system_status(spark, sf_dir):
-    return R.system_status(plugins(spark))
-
-
-def capability_catalog(spark, sf_dir):
-    own = R.explode_providers(providers(spark)).join(plugins(spark).where("state = 'disabled'").select("plugin_id"), "plugin_id", "left_anti")
-    return own.groupBy("extension").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "provider_id"))), lambda x: x["provider_id"]),
-            ","
-        ).alias("providers")
-    )
-
-
-def manifest_problems(spark, sf_dir):
-    rows = spark.sql("""SELECT id, version, api_version, split(extensions, ',') AS extensions, split(capabilities, ',') AS capabilities, split(permissions, ',') AS permissions FROM VALUES
-        ('reader.docx', '1.0.0', 1, 'docx', 'artifact.read', 'filesystem.read'), ('Bad Id', '1.0', 1, 'x', 'artifact.read', 'filesystem.read'),
-        ('reader.old', '0.1.0', 0, 'x', 'artifact.read,artifact.read', 'filesystem.read,root') AS t(id, version, api_version, extensions, capabilities, permissions)""")
-    return R.valid_manifest(rows).select("id", F.array_join("problems", ",").alias("problems"))
-
-
-def effective_config(spark, sf_dir):
-    rows = spark.sql(
-        "SELECT * FROM VALUES ('base_url', '', 'http://env', 'http://user', 'http://default'), ('model', 'm-run', 'm-env', '', 'm-default'), ('timeout', '', '', '', '60'), ('ocr', 'false', '', 'true', 'false'), ('max_recent', '0', '', '15', '10') AS t(field, runtime, env, user, base)"
-    )
-    picked = R.first_set(
-        [("Runtime Override", F.col("runtime")), ("Environment", F.col("env")), ("User Config", F.col("user")), ("Default", F.col("base"))]
-    )
-    return rows.select("field", picked.alias("p")).select("field", "p.value", "p.source")
-
-
-def plugin_dirs_merged(spark, sf_dir):
-    rows = spark.sql(
-        "SELECT * FROM VALUES (1, '/u/a/'), (2, '/u//b'), (3, '/u/a'), (4, '/e/c'), (5, '/u/./b'), (6, '/r/d') AS t(place, dir)"
-    ).withColumn("key", T.path_key(F.col("dir")))
-    kept, _ = R.unique_first(rows, "key", "place")
-    return kept.select("place", "key")
-
-
 def trace_recent(spark, sf_dir):
     traces = read(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), F.col("ts").alias("started_at"), "event_type")
     return R.recent_traces(traces).select("trace_id", "event_type")
@@ -191,17 +134,39 @@ def metadata_search(spark, sf_dir):
     ).select("kind", "key", "label", F.col("position").cast("long").alias("position"))
 
 
+#: Queries of no, two, three and more letters, in several cases.
+SOUGHT = ("", "1.", ".PDF", "src1", " Src1/f1", "f12", "nothing like it")
+
+
+def metadata_search_indexed(spark, sf_dir):
+    """File names that hold one of several queries, by trigrams; short queries scan."""
+    files = names(spark, sf_dir).select("doc_id", "name", F.concat("source", F.lit("/"), "name").alias("relative_path"))
+    own = G.index(files, "name", "relative_path")
+    out = None
+    for q in SOUGHT:
+        found = G.find(own, q).select(F.lit(q).alias("query"), "doc_id", "name")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def encodings_told(spark, sf_dir):
+    """Documents as bytes in three encodings: the first that fits, and the text."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    data = F.when(k == 0, F.concat(F.lit(E.BOM), F.encode(text, "UTF-8"))).when(k == 1, F.encode(text, "UTF-8")).otherwise(F.encode(text, "UTF-16"))
+    files = read(spark, sf_dir, "documents").select("doc_id", data.alias("content"))
+    told = E.texts(files.where("doc_id % 3 < 2 OR octet_length(content) > 2"))
+    return told.select("doc_id", E.kind(F.col("content")).alias("kind"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, permissions_effective, plugin_status, system_status,
-        capability_catalog, manifest_problems, effective_config, plugin_dirs_merged, trace_recent, recent_activity, recent_workspaces,
-        metadata_search
+        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, trace_recent, recent_activity, recent_workspaces,
+        metadata_search, metadata_search_indexed, encodings_told
     )
 }
 
 _P = f"providers AS (SELECT plugin_id, provider_id, priority, string_split(extensions, ',') AS extensions, string_split(permissions, ',') AS permissions, string_split(required, ',') AS required, available, reason FROM (VALUES {PROVIDERS}) {_ROWS}), offered AS (SELECT *, unnest(extensions) AS extension FROM providers)"
-_G = f"plugins AS (SELECT * FROM (VALUES {PLUGINS}) AS t(plugin_id, source, state, load_error))"
 _N = """names AS (SELECT doc_id, coalesce(source, 'none') AS source, strlen(coalesce(text, '')) AS size,
         ['', '', '', '', '~$', '.', ''][doc_id % 7 + 1] || 'f' || doc_id || ['.docx', '.pdf', '.TXT', '.md', '.xlsx', '.pptx', '.tmp', '', '.csv', '.zip', '.doc'][doc_id % 11 + 1] AS name FROM documents),
     visible AS (SELECT *, lower(regexp_extract(name, '[^.]\\.([^.]+)$', 1)) AS extension FROM names WHERE NOT starts_with(name, '.') AND NOT starts_with(name, '~$') AND lower(name) NOT IN ('.ds_store', 'desktop.ini', 'thumbs.db') AND NOT regexp_matches(lower(name), '\\.(tmp|temp|crdownload|partial)$')),
@@ -224,18 +189,6 @@ ORACLES = {
     "fallback_chain": f"WITH {_P}, {_N}, {_TRY} SELECT * FROM traces",
     "fallback_outcome": f"""WITH {_P}, {_N}, {_TRY}, l AS (SELECT artifact_id, max(position) AS position, count(*) AS attempts FROM traces GROUP BY 1)
         SELECT artifact_id, CASE WHEN status = 'ok' THEN provider_id END AS provider_id, fallback_from, error_type, attempts, error_type AS seen_as FROM l JOIN traces USING (artifact_id, position)""",
-    "permissions_effective": f"""WITH {_P} SELECT provider_id, array_to_string(list_sort(list_intersect(permissions, ['filesystem.read', 'network'])), ',') AS effective,
-        array_to_string(list_sort(list_filter(required, lambda x: x NOT IN ('filesystem.read', 'network'))), ',') AS missing FROM providers""",
-    "plugin_status": f"""WITH {_P}, {_G}, seen AS (SELECT plugin_id, bool_or(available) AS usable, string_agg(provider_id || ': ' || reason, '; ' ORDER BY provider_id) FILTER (WHERE NOT available) AS reasons, count(*) AS n FROM providers GROUP BY 1),
-        s AS (SELECT *, CASE WHEN state = 'disabled' THEN 'Disabled' WHEN state = 'failed' AND contains(load_error, 'api_version') THEN 'Incompatible' WHEN state = 'failed' THEN 'Load Failed' WHEN usable THEN 'Enabled' ELSE 'Unavailable' END AS status FROM plugins LEFT JOIN seen USING (plugin_id))
-        SELECT plugin_id, source, status, CASE status WHEN 'Enabled' THEN '' WHEN 'Unavailable' THEN coalesce(reasons, '当前环境不可用') WHEN 'Disabled' THEN '已禁用：不参与路由' ELSE '加载失败：未进入 Registry' END AS reason,
-        CASE WHEN state = 'loaded' THEN coalesce(n, 0) ELSE 0 END AS n_providers, source = 'builtin' AS is_builtin, row_number() OVER (ORDER BY source = 'builtin' DESC, plugin_id)::INT AS position FROM s""",
-    "system_status": f"WITH {_G} SELECT count(*) FILTER (WHERE state = 'loaded') AS plugins_loaded, count(*) FILTER (WHERE state = 'disabled') AS plugins_disabled, count(*) FILTER (WHERE state = 'failed') AS plugins_failed FROM plugins",
-    "capability_catalog": f"WITH {_P}, {_G} SELECT extension, string_agg(provider_id, ',' ORDER BY priority DESC, provider_id) AS providers FROM offered WHERE plugin_id NOT IN (SELECT plugin_id FROM plugins WHERE state = 'disabled') GROUP BY 1",
-    "manifest_problems": "SELECT * FROM (VALUES ('reader.docx', ''), ('Bad Id', 'id,version'), ('reader.old', 'api_version,permissions,duplicate capability')) AS t(id, problems)",
-    "effective_config": """SELECT field, coalesce(nullif(runtime, ''), nullif(env, ''), nullif(usr, ''), base) AS value, CASE WHEN runtime <> '' THEN 'Runtime Override' WHEN env <> '' THEN 'Environment' WHEN usr <> '' THEN 'User Config' ELSE 'Default' END AS source
-        FROM (VALUES ('base_url', '', 'http://env', 'http://user', 'http://default'), ('model', 'm-run', 'm-env', '', 'm-default'), ('timeout', '', '', '', '60'), ('ocr', 'false', '', 'true', 'false'), ('max_recent', '0', '', '15', '10')) AS t(field, runtime, env, usr, base)""",
-    "plugin_dirs_merged": "SELECT min(place)::INT AS place, regexp_replace(regexp_replace(regexp_replace(dir, '/+', '/', 'g'), '/\\./', '/', 'g'), '/$', '') AS key FROM (VALUES (1, '/u/a/'), (2, '/u//b'), (3, '/u/a'), (4, '/e/c'), (5, '/u/./b'), (6, '/r/d')) AS t(place, dir) GROUP BY 2",
     "trace_recent": "SELECT event_id AS trace_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "recent_activity": """WITH log AS (SELECT user_id, event_type AS activity_type, '/ws/' || event_id % 5 AS workspace_key, '/ws/f' || event_id % 23 AS artifact_key, ts, event_id AS entry_id FROM events),
         newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, activity_type, workspace_key, artifact_key ORDER BY ts DESC, entry_id DESC) = 1),
@@ -249,4 +202,11 @@ ORACLES = {
         UNION ALL SELECT 'activity', event_id::VARCHAR, 'opened ' || event_id FROM events WHERE contains('opened ' || event_id, 'src1')),
         r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY label, key) AS position FROM found)
         SELECT * FROM r WHERE kind = 'workspace' OR position <= CASE kind WHEN 'file' THEN 20 ELSE 10 END""",
+    "metadata_search_indexed": f"""
+        WITH {_N}, q AS (SELECT unnest({list(SOUGHT)}) AS query)
+        SELECT query, doc_id, name FROM names, q
+        WHERE trim(query) <> '' AND (contains(lower(name), lower(trim(query))) OR contains(lower(source || '/' || name), lower(trim(query))))""",
+    "encodings_told": """
+        SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'utf-8' ELSE 'other' END AS kind, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WHERE doc_id % 3 < 2 OR coalesce(text, '') <> ''""",
 }

@@ -105,17 +105,6 @@ def html_grids(pages, key):
     return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, grid array<array<string>>")
 
 
-def html_table_spans(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [
-            (1, "<table><tr><td rowspan=2>A</td><td colspan='2'>B</td></tr><tr><td>C</td><td>D</td></tr></table>"),
-            (2, "<tr><th>x</th><th></th></tr><tr><td></td></tr><tr><td>y</td><td>z</td></tr>"), (3, "")
-        ],
-        "k int, html string"
-    )
-    return html_grids(rows, "k").select("k", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("grid"))
-
-
 def office_files(spark, sf_dir, kind):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [[int(a), str(b)] for a, b in sorted(zip(pdf["n_nationkey"], pdf["n_name"], strict=True))]
@@ -439,28 +428,13 @@ def ocr_boxes_parsed(spark, sf_dir):
     )
 
 
-SAMPLES = ("第一一章", "状态一一对应", "在Python和Go之间", "googlereader", "使用GoogleReader阅读", "一一一一", "结论一一（见附录）", "plain text", "中A", "")
-
-
-def ocr_text_norm(spark, sf_dir):
-    rows = spark.createDataFrame([(k, s) for k, s in enumerate(SAMPLES)], "k int, text string")
-    return rows.select("k", O.repaired(F.col("text")).alias("text"))
-
-
-def ocr_transformations(spark, sf_dir):
-    rows = spark.createDataFrame([(k, s) for k, s in enumerate(SAMPLES)], "k int, text string")
-    return O.transformations(rows)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, html_table_spans, xlsx_roundtrip,
+        grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, xlsx_roundtrip,
         docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, spreadsheet_doubles, column_addresses, pdf_lines_merged,
         pdf_line_intersections, pdf_rule_components, word_cells, nearest_lines, pdf_chains_of_one_document, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
-        xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_text_norm,
-        ocr_transformations
-    )
+        xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, )
 }
 
 _CELLS = """n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation),
@@ -487,7 +461,6 @@ ORACLES = {
     "table_truncation_flags": """WITH c AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS row, dayofyear(l_shipdate) AS col FROM lineitem)
         SELECT l_suppkey, least(max(row), 50) AS n_rows, least(max(col), 200) AS n_cols, least(count(*) FILTER (WHERE row <= 50 AND col <= 200), 30) AS non_empty_cells, max(row) > 50 AS rows_truncated, max(col) > 200 AS columns_truncated, count(*) FILTER (WHERE row <= 50 AND col <= 200) > 30 AS cells_truncated FROM c GROUP BY 1""",
     "html_table_roundtrip": _ROUND,
-    "html_table_spans": "SELECT * FROM (VALUES (1, 'A,B;,C,D'), (2, 'x;y,z'), (3, '')) AS t(k, grid)",
     "xlsx_roundtrip": _ROUND,
     "docx_roundtrip": _ROUND,
     "pptx_roundtrip": _ROUND,
@@ -566,6 +539,4 @@ ORACLES = {
     "ocr_tile_owner": f"""WITH {_TILES}, spots AS (SELECT t.*, p * 500.0 AS x0, p * 450.0 AS y0, p * 500.0 + 20 + l AS cx, p * 450.0 + 15 + t AS cy FROM tiles t, (SELECT unnest(generate_series(0, 5)) AS p))
         SELECT image, ty, tx, count(*) AS owned, sum(x0 + l)::DOUBLE AS x0, sum(y0 + t)::DOUBLE AS y0 FROM spots WHERE ol <= cx AND (cx < o_r OR (r = o_r AND cx <= o_r)) AND ot <= cy AND (cy < ob OR (b = ob AND cy <= ob)) GROUP BY 1, 2, 3""",
     "ocr_boxes_parsed": "SELECT conv_id, turn, 0 AS box_no, trim(coalesce(text, ''), ' ' || chr(10)) AS text, turn / 10 AS score, '1,2,' || greatest(turn + 5, 4) || ',' || (turn + 9) AS box FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(10)) <> ''",
-    "ocr_text_norm": "SELECT * FROM (VALUES (0, '第——章'), (1, '状态一一对应'), (2, '在 Python 和 Go 之间'), (3, 'Google Reader'), (4, '使用 Google Reader 阅读'), (5, '——一一'), (6, '结论——（见附录）'), (7, 'plain text'), (8, '中A'), (9, '')) AS t(k, text)",
-    "ocr_transformations": "SELECT * FROM (VALUES ('ocr.dash-confusion', '1', 3::BIGINT), ('ocr.english-spacing', '1', 3::BIGINT)) AS t(rule_id, version, n)",
 }
