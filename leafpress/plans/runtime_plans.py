@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafpress import scratch
 from leafpress.functions import text as T
 from leafpress.operators import activity as A
 from leafpress.functions import encodings as E
@@ -11,6 +12,7 @@ from leafpress.operators import runtime as R
 from leafpress.operators import trigrams as G
 from leafpress.plans.text_plans import read
 from leafpress.sources import scan as S
+from leafpress.streaming import recents as RS
 
 EXTENSIONS = "array('.docx', '.pdf', '.TXT', '.md', '.xlsx', '.pptx', '.tmp', '', '.csv', '.zip', '.doc')"
 PROVIDERS = """
@@ -113,6 +115,19 @@ def recent_activity(spark, sf_dir):
     )
 
 
+def recents_streamed(spark, sf_dir):
+    """Events as a stream in batches: each user's list as state, some entries pinned."""
+    at, rows = scratch.new_path(spark), read(spark, sf_dir, "events")
+    rows.repartition(4, "event_id").write.parquet(at)
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    entry = F.concat_ws("/", "event_type", (F.col("event_id") % 23).cast("string"))
+    rows = events.select(
+        F.col("user_id").alias("owner"), entry.alias("entry"), F.col("ts").cast("timestamp").alias("opened_at"), F.col("event_id").alias("entry_id"),
+        (F.col("event_id") % 211 == 0).alias("pinned")
+    )
+    return RS.last_lists(RS.recents(rows, 4)).select(F.col("owner").alias("user_id"), "position", "entry", "entry_id", "pinned")
+
+
 def recent_workspaces(spark, sf_dir):
     opens = read(spark, sf_dir, "events").select(
         F.concat(F.lit("/ws/"), F.col("user_id").cast("string")).alias("workspace_key"), F.col("ts").alias("opened_at"), "user_id"
@@ -161,7 +176,7 @@ def encodings_told(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, trace_recent, recent_activity, recent_workspaces,
+        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, trace_recent, recent_activity, recents_streamed, recent_workspaces,
         metadata_search, metadata_search_indexed, encodings_told
     )
 }
@@ -194,6 +209,14 @@ ORACLES = {
         newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, activity_type, workspace_key, artifact_key ORDER BY ts DESC, entry_id DESC) = 1),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, entry_id DESC) AS position FROM newest)
         SELECT user_id, position, activity_type, workspace_key, artifact_key, entry_id FROM ranked WHERE position <= 5""",
+    "recents_streamed": """
+        WITH log AS (SELECT user_id, event_type || '/' || event_id % 23 AS entry, ts, event_id AS entry_id, event_id % 211 = 0 AS pin FROM events),
+        newest AS (
+            SELECT *, bool_or(pin) OVER (PARTITION BY user_id, entry) AS pinned FROM log
+            QUALIFY row_number() OVER (PARTITION BY user_id, entry ORDER BY ts DESC, entry_id DESC) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, pinned ORDER BY ts DESC, entry_id DESC) AS n FROM newest)
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pinned DESC, n) AS position, entry, entry_id, pinned
+        FROM ranked WHERE pinned OR n <= 4""",
     "recent_workspaces": """WITH last AS (SELECT '/ws/' || user_id AS workspace_key, max(ts) AS ts, count(*) AS opens, bool_or(user_id % 37 = 0) AS pinned FROM events GROUP BY 1),
         kept AS (SELECT * FROM last WHERE pinned UNION ALL (SELECT * FROM last WHERE NOT pinned ORDER BY ts DESC, workspace_key LIMIT 10))
         SELECT workspace_key, pinned, opens, row_number() OVER (ORDER BY pinned DESC, ts DESC, workspace_key) AS position FROM kept""",
