@@ -20,24 +20,37 @@ BULLET = "• "
 
 
 def parse_result(rows: DataFrame, column: str = "result") -> DataFrame:
-    """Boxes of JSON results (texts, scores, polygons or boxes): blank texts and unusable shapes are left out."""
-    parsed = rows.withColumn("_r", F.from_json(column, RESULT))
-    at = F.posexplode(
-        F.arrays_zip(
-            F.col("_r.rec_texts").alias("text"), F.coalesce(F.col("_r.rec_scores"), F.array().cast("array<double>")).alias("score"),
-            F.coalesce(F.col("_r.rec_polys"), F.array().cast("array<array<array<double>>>")).alias("poly"),
-            F.coalesce(F.col("_r.rec_boxes"), F.array().cast("array<array<double>>")).alias("box")
-        )
+    """Boxes of JSON results: blank texts and unusable shapes are left out.
+
+    A result is an object of lists (texts, scores, polygons or boxes), or a list of lines ``[polygon, [text, score]]``.
+    """
+    keep = [c for c in rows.columns if c != column]
+    listed = F.startswith(F.ltrim(F.col(column)), F.lit("["))
+    parsed = rows.withColumn("_r", F.when(~listed, F.from_json(column, RESULT)))
+    named = F.arrays_zip(
+        F.col("_r.rec_texts").alias("text"), F.coalesce(F.col("_r.rec_scores"), F.array().cast("array<double>")).alias("score"),
+        F.coalesce(F.col("_r.rec_polys"), F.array().cast("array<array<array<double>>>")).alias("poly"),
+        F.coalesce(F.col("_r.rec_boxes"), F.array().cast("array<array<double>>")).alias("box")
     )
-    out = parsed.select(*[c for c in rows.columns if c != column], at.alias("box_no", "b"))
+    # a line's two parts are of different kinds, so both are read as text first
+    lines = F.transform(F.when(listed, F.from_json(column, "array<array<string>>")), line_box)
+    out = parsed.select(*keep, F.posexplode(F.coalesce(lines, named)).alias("box_no", "b"))
     good = (F.size("b.poly") >= 3) & F.forall("b.poly", lambda p: F.size(p) >= 2)
     box = F.when(F.coalesce(good, F.lit(False)), polygon_box(F.col("b.poly"))).when(F.size("b.box") == 4, F.col("b.box"))
     return out.select(
-        *[c for c in rows.columns if c != column], "box_no", T.strip(F.col("b.text")).alias("text"),
-        F.coalesce("b.score", F.lit(0.0)).alias("score"), box.alias("box")
+        *keep, "box_no", T.strip(F.col("b.text")).alias("text"), F.coalesce("b.score", F.lit(0.0)).alias("score"), box.alias("box")
     ).where("text <> '' and box is not null")
 
 
+def line_box(line: Column) -> Column:
+    """A line of a result that is a list, in the form of the others; without a box of its own."""
+    said = F.from_json(F.get(line, 1), "array<string>")
+    return F.struct(
+        F.get(said, 0).alias("text"), F.get(said, 1).try_cast("double").alias("score"),
+        F.from_json(F.get(line, 0), "array<array<double>>").alias("poly"), F.lit(None).cast("array<double>").alias("box")
+    )
+
+
 def polygon_box(poly: Column) -> Column:
     axis = lambda k, f: f(F.transform(poly, lambda p: F.get(p, k)))
     return F.array(axis(0, F.array_min), axis(1, F.array_min), axis(0, F.array_max), axis(1, F.array_max))

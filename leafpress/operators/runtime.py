@@ -110,6 +110,15 @@ def plugin_views(found: DataFrame, loaded: DataFrame, failures: DataFrame, disab
     return views.unionByName(more.select("plugin_id", "source", F.lit("failed").alias("state"), F.col("error").alias("load_error")))
 
 
+def provider_views(providers: DataFrame, granted: list[str]) -> DataFrame:
+    """Per plugin (plugin_id, views): its providers in order, whether each is available, why not, and its permissions in effect."""
+    view = F.struct(
+        "provider_id", "capability", "priority", "available", F.when(~F.col("available"), F.col("reason")).otherwise("").alias("reason"),
+        F.array_join(effective_permissions(F.col("permissions"), granted), ",").alias("permissions")
+    )
+    return providers.groupBy("plugin_id").agg(F.array_sort(F.collect_list(view)).alias("views"))
+
+
 def plugin_status(plugins: DataFrame, providers: DataFrame) -> DataFrame:
     """A row per plugin: ``plugins`` (plugin_id, source, state, load_error), state loaded, disabled or failed."""
     reasons = F.array_join(

@@ -141,6 +141,15 @@ def save_json(data: Any, path: str | Path) -> None:
     os.replace(part, path)
 
 
+def persist_state(state: Any, path: str | Path) -> list[str]:
+    """Save what an action has left; a failure is told and leaves the state in memory and the file as they were."""
+    try:
+        save_json(state, path)
+    except OSError as e:
+        return [f"the state can't be saved: {e}"]
+    return []
+
+
 def load_config(path: str | Path) -> tuple[dict, list[str]]:
     try:
         data = json.loads(Path(path).read_text(encoding="utf-8"))

@@ -40,3 +40,19 @@ def cap(cells: DataFrame, *key: str, rows: int = ROW_CAP, columns: int = COLUMN_
         F.least(F.max("row"), F.lit(rows)).cast("long").alias("n_rows"), F.least(F.max("col"), F.lit(columns)).cast("long").alias("n_cols"), F.least(F.count_if(inside), F.lit(records)).alias("non_empty_cells"),
         (F.max("row") > rows).alias("rows_truncated"), (F.max("col") > columns).alias("columns_truncated"), (F.count_if(inside) > records).alias("cells_truncated"),
     )
+
+
+def metadata(b: Column) -> Column:
+    """A table block's metadata as JSON, for any format; keys that say nothing are left out."""
+    told = lambda c: F.when(c != "", c)
+    yes = lambda c: F.when(c, F.lit(True))
+    number = lambda c: F.when(c != 0, c)
+    return F.to_json(
+        F.struct(
+            F.coalesce(b["n_rows"], F.size(b["grid"])).alias("rows"), F.coalesce(b["n_cols"], F.size(F.get(b["grid"], 0)), F.lit(0)).alias("columns"),
+            b["grid"].alias("cells"), F.when(F.size(b["merged"]) > 0, b["merged"]).alias("merged_cells"),
+            told(b["extraction_method"]).alias("extraction_method"), number(F.round(b["confidence"], 3)).alias("confidence"),
+            number(b["header_row"]).alias("repeated_header_row"), told(b["continuation_id"]).alias("continuation_id"),
+            yes(b["continues_from_previous"]).alias("continues_from_previous"), yes(b["continued_on_next"]).alias("continued_on_next")
+        )
+    )

@@ -63,6 +63,12 @@ def plugin_status(spark, sf_dir):
     return rows.withColumn("position", F.expr("row_number() over (order by is_builtin desc, plugin_id)"))
 
 
+def plugin_providers(spark, sf_dir):
+    """What a plugin's view lists of its providers."""
+    seen = R.provider_views(providers(spark, sf_dir), GRANTED).select("plugin_id", F.inline("views"))
+    return seen.select("plugin_id", "provider_id", "available", "reason", "permissions")
+
+
 def system_status(spark, sf_dir):
     return R.system_status(views(spark, sf_dir))
 
@@ -163,7 +169,7 @@ def ocr_transformations(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        permissions_effective, plugin_status, system_status, capability_catalog, manifest_problems, effective_config, config_resolved,
+        permissions_effective, plugin_status, plugin_providers, system_status, capability_catalog, manifest_problems, effective_config, config_resolved,
         plugin_dirs_merged, html_table_spans, ocr_text_norm, ocr_transformations
     )
 }
@@ -200,6 +206,7 @@ ORACLES = {
                 WHEN 'Disabled' THEN '已禁用：不参与路由' ELSE '加载失败：未进入 Registry' END AS reason,
             CASE WHEN state = 'loaded' THEN coalesce(n, 0) ELSE 0 END AS n_providers, source = 'builtin' AS is_builtin,
             row_number() OVER (ORDER BY source = 'builtin' DESC, plugin_id)::INT AS position FROM s2""",
+    "plugin_providers": f"WITH {_PROVIDERS} SELECT plugin_id, provider_id, available, reason, array_to_string(effective, ',') AS permissions FROM providers",
     "system_status": f"""
         WITH {_VIEWS} SELECT count(*) FILTER (state = 'loaded') AS plugins_loaded, count(*) FILTER (state = 'disabled') AS plugins_disabled,
             count(*) FILTER (state = 'failed') AS plugins_failed FROM plugins""",

@@ -459,7 +459,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         pdf_roundtrip, pdf_file_meta, xls_roundtrip, docx_blocks, office_metadata, encoding_fallback, markdown_reader, reader_chain,
-        reader_stages, read_traces, workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits, rounded_boxes, split_phrases, paragraphs_of_type,
+        reader_stages, read_traces, workspace_listing, discovery_pushed, discovery_directories, context_warnings, pdf_panels, pdf_table_limits,
+        rounded_boxes, split_phrases, paragraphs_of_type,
         duplicates_rejected, ocr_report, ocr_page_blocks, recents_cleared, pdf_plain_tables
     )
 }

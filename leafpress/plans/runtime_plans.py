@@ -73,6 +73,13 @@ def read_guards(spark, sf_dir):
     return R.guard(rows, "/ws", known, max_bytes=8000).select("doc_id", "error_type")
 
 
+def path_refs(spark, sf_dir):
+    """Documents' paths, each with its ref if it is listed."""
+    path = F.concat(F.lit("/ws/"), "source", F.lit("/"), "name")
+    paths = names(spark, sf_dir).select(F.col("doc_id").alias("asked"), path.alias("path"))
+    return S.refs_of(paths, refs(spark, sf_dir).drop("doc_id", "size")).select("asked", "path", "artifact_id", "extension", "listed")
+
+
 def attempts(spark, sf_dir):
     granted = ["filesystem.read"]
     routed = refs(spark, sf_dir).join(R.explode_providers(providers(spark)).where("available"), "extension")
@@ -176,8 +183,8 @@ def encodings_told(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_filter, provider_routing, read_guards, fallback_chain, fallback_outcome, trace_recent, recent_activity, recents_streamed, recent_workspaces,
-        metadata_search, metadata_search_indexed, encodings_told
+        scan_filter, path_refs, provider_routing, read_guards, fallback_chain, fallback_outcome, trace_recent, recent_activity,
+        recents_streamed, recent_workspaces, metadata_search, metadata_search_indexed, encodings_told
     )
 }
 
@@ -194,6 +201,9 @@ _TRY = """tries AS (SELECT artifact_id, row_number() OVER (PARTITION BY artifact
 
 ORACLES = {
     "scan_filter": f"WITH {_P}, {_N} SELECT doc_id, name, extension FROM visible WHERE extension IN (SELECT extension FROM offered)",
+    "path_refs": f"""
+        WITH {_N} SELECT n.doc_id AS asked, '/ws/' || source || '/' || name AS path, artifact_id, r.extension, r.doc_id IS NOT NULL AS listed
+        FROM names n LEFT JOIN refs r USING (doc_id)""",
     "provider_routing": f"""WITH {_P}, {_N} SELECT r.artifact_id, r.extension, first(provider_id ORDER BY priority DESC, provider_id) FILTER (WHERE available) AS selected,
         coalesce(string_agg(provider_id, '>' ORDER BY priority DESC, provider_id) FILTER (WHERE available), '') AS chain,
         CASE WHEN count(*) FILTER (WHERE available) > 0 THEN NULL WHEN count(provider_id) > 0 THEN 'ProviderNotAvailableError' ELSE 'CapabilityNotFoundError' END AS error_type,

@@ -82,6 +82,36 @@ def table_truncation_flags(spark, sf_dir):
     return TB.cap(cells, "l_suppkey", rows=50, columns=200, records=30)
 
 
+def table_metadata(spark, sf_dir):
+    """Metadata of parts as tables of three formats: which keys they have, and some values."""
+    k = F.col("p_partkey")
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    block = F.struct(
+        F.array(F.array("p_name", F.col("p_size").cast("string")), F.array("p_brand", "p_type")).alias("grid"), F.lit(None).cast("int").alias("n_rows"),
+        F.lit(None).cast("int").alias("n_cols"), F.when(k % 2 == 0, F.array(F.lit("A1:B1"))).alias("merged"),
+        F.when(k % 3 == 0, "pdf-vector-grid").otherwise("").alias("extraction_method"), F.when(k % 3 == 0, (k % 1000) / 1000.0 + 0.00012).alias("confidence"),
+        (k % 5).cast("int").alias("header_row"), F.when(k % 7 == 0, "table-chain-1").otherwise(text(None)).alias("continuation_id"),
+        (k % 7 == 0).alias("continues_from_previous"), (k % 14 == 0).alias("continued_on_next")
+    )
+    told = read(spark, sf_dir, "part").select("p_partkey", TB.metadata(block).alias("m"))
+    return told.select(
+        "p_partkey", F.array_join(F.json_object_keys("m"), ",").alias("keys"), F.get_json_object("m", "$.cells[1][1]").alias("cell"),
+        F.get_json_object("m", "$.confidence").cast("double").alias("confidence"), F.get_json_object("m", "$.columns").cast("long").alias("columns")
+    )
+
+
+def ocr_lines_parsed(spark, sf_dir):
+    """Turns of conversations as results that are lists of lines, some without a shape, a text or a score."""
+    k = F.col("turn")
+    shape = F.when(k % 5 == 4, F.lit("null")).otherwise(F.format_string("[[1,2],[%d,2],[%d,9],[1,9]]", k + 5, k + 6))
+    score = F.when(k % 3 == 0, F.lit("")).otherwise(F.format_string(",0.%d", k))
+    text = F.to_json(F.array(F.coalesce("text", F.lit(""))))
+    line = F.concat(F.lit("["), shape, F.lit(",["), F.expr("substring(x, 2, length(x) - 2)"), score, F.lit("]]"))
+    rows = read(spark, sf_dir, "conversations").withColumn("x", text).select("conv_id", "turn", F.concat(F.lit(" ["), line, F.lit(",[]]")).alias("result"))
+    parsed = O.parse_result(rows)
+    return parsed.select("conv_id", "turn", "text", "score", F.array_join(F.transform("box", lambda x: x.cast("int").cast("string")), ",").alias("box"))
+
+
 def html_table_roundtrip(spark, sf_dir):
     """Nations written as an HTML table per region and read back."""
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -431,10 +461,12 @@ def ocr_boxes_parsed(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_from_cells, cells_merged, table_markdown, table_truncation_flags, html_table_roundtrip, xlsx_roundtrip,
-        docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, spreadsheet_doubles, column_addresses, pdf_lines_merged,
-        pdf_line_intersections, pdf_rule_components, word_cells, nearest_lines, pdf_chains_of_one_document, pdf_table_roundtrip, pdf_header_row, pdf_table_chains, pdf_page_blocks, pdf_table_fallback, pdf_page_meta,
-        xls_cells, ocr_rows, ocr_page_text, ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, )
+        grid_from_cells, cells_merged, table_markdown, table_truncation_flags, table_metadata, html_table_roundtrip, xlsx_roundtrip,
+        docx_roundtrip, pptx_roundtrip, xlsx_records, spreadsheet_values, spreadsheet_numbers, spreadsheet_doubles, column_addresses,
+        pdf_lines_merged, pdf_line_intersections, pdf_rule_components, word_cells, nearest_lines, pdf_table_roundtrip, pdf_header_row,
+        pdf_table_chains, pdf_chains_of_one_document, pdf_page_blocks, pdf_table_fallback, pdf_page_meta, xls_cells, ocr_rows, ocr_page_text,
+        ocr_table_like, ocr_list_markers, ocr_tiles, ocr_tile_owner, ocr_boxes_parsed, ocr_lines_parsed
+    )
 }
 
 _CELLS = """n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation),
@@ -538,5 +570,16 @@ ORACLES = {
     "ocr_tiles": f"WITH {_TILES} SELECT * FROM tiles",
     "ocr_tile_owner": f"""WITH {_TILES}, spots AS (SELECT t.*, p * 500.0 AS x0, p * 450.0 AS y0, p * 500.0 + 20 + l AS cx, p * 450.0 + 15 + t AS cy FROM tiles t, (SELECT unnest(generate_series(0, 5)) AS p))
         SELECT image, ty, tx, count(*) AS owned, sum(x0 + l)::DOUBLE AS x0, sum(y0 + t)::DOUBLE AS y0 FROM spots WHERE ol <= cx AND (cx < o_r OR (r = o_r AND cx <= o_r)) AND ot <= cy AND (cy < ob OR (b = ob AND cy <= ob)) GROUP BY 1, 2, 3""",
+    "table_metadata": """
+        SELECT p_partkey, array_to_string(list_filter(['rows', 'columns', 'cells', CASE WHEN p_partkey % 2 = 0 THEN 'merged_cells' END,
+            CASE WHEN p_partkey % 3 = 0 THEN 'extraction_method' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 1000 <> 0 THEN 'confidence' END,
+            CASE WHEN p_partkey % 5 <> 0 THEN 'repeated_header_row' END, CASE WHEN p_partkey % 7 = 0 THEN 'continuation_id' END,
+            CASE WHEN p_partkey % 7 = 0 THEN 'continues_from_previous' END, CASE WHEN p_partkey % 14 = 0 THEN 'continued_on_next' END],
+            lambda x: x IS NOT NULL), ',') AS keys, p_type AS cell,
+            CASE WHEN p_partkey % 3 = 0 AND p_partkey % 1000 <> 0 THEN (p_partkey % 1000 / 1000)::DOUBLE END AS confidence, 2::BIGINT AS columns FROM part""",
+    "ocr_lines_parsed": """
+        SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(10)) AS text, CASE WHEN turn % 3 = 0 THEN 0 ELSE ('0.' || turn)::DOUBLE END AS score,
+            '1,2,' || (turn + 6) || ',9' AS box
+        FROM conversations WHERE turn % 5 <> 4 AND trim(coalesce(text, ''), ' ' || chr(10)) <> ''""",
     "ocr_boxes_parsed": "SELECT conv_id, turn, 0 AS box_no, trim(coalesce(text, ''), ' ' || chr(10)) AS text, turn / 10 AS score, '1,2,' || greatest(turn + 5, 4) || ',' || (turn + 9) AS box FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(10)) <> ''",
 }

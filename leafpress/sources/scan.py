@@ -67,3 +67,9 @@ def refs(files: DataFrame, root: str, claimed: DataFrame) -> DataFrame:
     return kept.select(
         T.artifact_id(F.col("path")).alias("artifact_id"), "name", "path", "extension", "size", "modified_at", F.col("extension").alias("artifact_type"), T.workspace_id(F.lit(root)).alias("workspace_id"), F.substring(F.col("path"), len(root) + 2, 1 << 20).alias("relative_path")
     ).orderBy("path")
+
+
+def refs_of(paths: DataFrame, refs: DataFrame) -> DataFrame:
+    """``paths`` (path) with their ref, as a left join; ``listed`` tells whether there is one. A path that is not listed may still be read."""
+    known = refs.select("path", *[F.col(c) for c in refs.columns if c not in paths.columns], F.lit(True).alias("listed"))
+    return paths.join(known, "path", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))

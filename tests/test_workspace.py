@@ -99,3 +99,10 @@ def test_data_source(spark, folder):
         "a.txt": ("ok", "text.read", 2), "t.xlsx": ("ok", "xlsx.read", 1), "p.pptx": ("ok", "pptx.read", 3),
         "d.docx": ("ok", "docx.read", 2)
     }
+
+
+def test_state_that_cannot_be_saved(tmp_path):
+    (tmp_path / "file").write_text("x")
+    (error,) = settings.persist_state({"a": 1}, tmp_path / "file/state.json")
+    assert "can't be saved" in error and (tmp_path / "file").read_text() == "x"
+    assert settings.persist_state({"a": 1}, tmp_path / "state.json") == [] and json.loads((tmp_path / "state.json").read_text()) == {"a": 1}
