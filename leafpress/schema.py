@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-REFS = "artifact_id string, name string, path string, extension string, size bigint, modified_at timestamp, artifact_type string, workspace_id string, relative_path string"
-LOCATOR = "struct<scheme:string,page:int,line_index:int,table_index:int,paragraph_index:int,slide:int,shape_index:int,sheet:string,range:string>"
 BLOCKS = (
     "artifact_id string, seq int, block_id string, block_type string, text string, page int, slide int, sheet string, cell_range string,"
     " line_index int, paragraph_index int, table_index int, shape_index int, level int, list_level int, image_count int,"
     " grid array<array<string>>, n_rows int, n_cols int, merged array<string>, rows_truncated boolean, columns_truncated boolean, cells_truncated boolean,"
     " header_row int, extraction_method string, confidence double, continues_from_previous boolean, continued_on_next boolean, continuation_id string"
 )
-CELLS = "artifact_id string, table_seq int, row int, col int, rowspan int, colspan int, text string, x0 double, y0 double, x1 double, y1 double, is_header boolean"
-CELL_RECORDS = "artifact_id string, sheet string, address string, row int, col int, kind string, text_value string, number_value double, formula string"
-ARTIFACTS = "artifact_id string, name string, path string, artifact_type string, title string, content string, line_count int, metadata string, status string, error_type string, error string, provider_id string, fallback_from string"
 
 
 def struct(ddl: str) -> StructType:

@@ -27,7 +27,7 @@ from leafpress.operators import runtime
 from leafpress.sources import readers
 from leafpress.sources.readers import ReaderSpec
 
-MANIFEST, EXAMPLES = "plugin.json", "examples"
+MANIFEST = "plugin.json"
 #: The version of the format, and the capability that readers offer.
 API_VERSION, CAPABILITY = 1, "artifact.read.full"
 BUILTIN, EXTERNAL = "builtin", "external"
@@ -94,6 +94,7 @@ class Manifest:
 
     def to_dict(self) -> dict[str, Any]:
         """The manifest in its own format."""
+        # fixed values: the keys of manifests
         return {
             "id": self.id,
             "name": self.name,
@@ -203,8 +204,10 @@ class Assembly:
     def only_disabled(self, extension: str) -> bool:
         """Whether disabled plugins alone claim an extension."""
         bare = extension.lower().lstrip(".")
-        whole = assemble(self.folders).specs
-        return any(bare in s.extensions for s in whole) and not any(bare in s.extensions for s in self.specs)
+        off = [s.extensions for s in readers.registry() if s.owner in self.disabled]
+        # manifests tell what disabled plugins claim, so none of them is imported
+        off += [f.manifest.extensions for f in discover(self.folders) if f.manifest and f.manifest.id in self.disabled]
+        return any(bare in own for own in off) and not any(bare in s.extensions for s in self.specs)
 
     def plugins(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.report, "plugin_id string, name string, version string, source string, state string, load_error string")

@@ -92,14 +92,26 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     (tmp_path / "big.txt").write_text("x" * (2 << 20))
     said = []
-    run = lambda *args, ask=lambda _: "": main([str(a) for a in args], spark=spark, say=said.append, ask=ask)
-    assert run(tmp_path) == 0 and len(said) == 3 and run(tmp_path / "none", "--scan") == 1
+    run = lambda *args: main([str(a) for a in args], spark=spark, say=said.append)
+    assert run(tmp_path) == 0 and len(said) == 3 and said[0].startswith("txt: 2, ") and run(tmp_path / "none", "--scan") == 1
     said.clear()
     assert run(tmp_path / "a.txt", "--no-llm", "--show-context") == 0 and "a.txt" in said[0] and "[Paragraph] two" in said[1]
     assert run(tmp_path / "big.txt", "--max-size-mb", 1) == 1 and "ArtifactTooLargeError" in said[-1]
     assert run(tmp_path / "nothing.txt") == 1 and run(tmp_path / "a.txt") == 0 and "Not Configured" in said[-1]
 
 
+def test_questions_from_arguments_and_files(spark, tmp_path, monkeypatch):
+    from leafpress.operators import answers
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "asked").write_text("second?\n\n third? \n")
+    monkeypatch.setattr(answers, "client", lambda *a: (answers.FixedReply("yes"), "ok"))
+    said = []
+    args = [str(tmp_path / "a.txt"), "--question", "first?", "--questions", str(tmp_path / "asked")]
+    assert main(args, spark=spark, say=said.append) == 0
+    assert said[1:] == ["first?\nyes", "second?\nyes", "third?\nyes"]
+
+
 def test_paths_and_state(tmp_path):
     assert settings.data_dir({"LEAFPRESS_DATA_DIR": "/x"}) == settings.config_path({"LEAFPRESS_DATA_DIR": "/x"}).parent == settings.logs_dir({"LEAFPRESS_DATA_DIR": "/x"}).parent
     assert str(settings.data_dir({"APPDATA": "/app"}, "win32")) == "/app/leafpress" and str(
