@@ -39,6 +39,8 @@ LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
 MEMORY = "384MB"
+#: Rows of counts that one numpy pass holds at once.
+ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-case.
 WORD_BYTES = byte_set(bytes([*b"0123456789", *UPPER.encode(), *LOWER.encode(), *range(128, 256)]))
@@ -117,7 +119,7 @@ def counted(docs: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST
                     words[w["row"]] = w["n"]
                     row, bucket, number = c["row"], c["bucket"], c["n"]
                 ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((bucket, pa.int32()), (number, pa.int64()))]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((bucket, pa.int32()), (number, pa.int32()))]
                 features = np.add.reduceat(np.append(number, 0), np.minimum(ends, len(number))[:-1]) * (np.diff(ends) > 0) if n else words
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(int(block.rows[0]), n), pa.array(words), pa.array(features.astype(np.int64)), *lists],
@@ -126,7 +128,7 @@ def counted(docs: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_features long, buckets array<int>, counts array<long>"
+        run, f"doc_id {kind}, n_words long, n_features long, buckets array<int>, counts array<int>"
     )
 
 
@@ -152,12 +154,16 @@ def weighed(counts: DataFrame, gain: np.ndarray) -> DataFrame:
     """(doc_id, n_words, n_features, weight): weight is the sum of the gains of a row's features."""
 
     def run(batches):
-        for b in batches:
-            lists, numbers = b.column(3), b.column(4)
-            ends = lists.offsets.to_numpy()
-            worth = gain[lists.values.to_numpy()] * numbers.values.to_numpy()
-            sums = np.concatenate([[0], np.cumsum(worth)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums[ends[1:]] - sums[ends[:-1]])], ["doc_id", "n_words", "n_features", "weight"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ends = b.column(3).offsets.to_numpy()
+                own = slice(ends[0], ends[-1])
+                worth = gain[b.column(3).values.to_numpy()[own]] * b.column(4).values.to_numpy()[own]
+                sums, ends = np.concatenate([[0], np.cumsum(worth)]), ends - ends[0]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:3], pa.array(sums[ends[1:]] - sums[ends[:-1]])], ["doc_id", "n_words", "n_features", "weight"]
+                )
 
     kind = counts.schema["doc_id"].dataType.simpleString()
     return counts.select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(
