@@ -123,14 +123,14 @@ def recent_activity(spark, sf_dir):
 
 
 def recents_streamed(spark, sf_dir):
-    """Events as a stream in batches: each user's list as state, some entries pinned."""
+    """Events as a stream in batches: each user's list as state, some entries always pinned."""
     at, rows = scratch.new_path(spark), read(spark, sf_dir, "events")
     rows.repartition(4, "event_id").write.parquet(at)
     events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    entry = F.concat_ws("/", "event_type", (F.col("event_id") % 23).cast("string"))
+    entry = F.concat_ws("/", "event_type", ((F.col("event_id") + F.col("user_id")) % 23).cast("string"))
     rows = events.select(
         F.col("user_id").alias("owner"), entry.alias("entry"), F.col("ts").cast("timestamp").alias("opened_at"), F.col("event_id").alias("entry_id"),
-        (F.col("event_id") % 211 == 0).alias("pinned")
+        ((F.col("event_id") + F.col("user_id")) % 23 == 0).alias("pinned")
     )
     return RS.last_lists(RS.recents(rows, 4)).select(F.col("owner").alias("user_id"), "position", "entry", "entry_id", "pinned")
 
@@ -220,7 +220,7 @@ ORACLES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, entry_id DESC) AS position FROM newest)
         SELECT user_id, position, activity_type, workspace_key, artifact_key, entry_id FROM ranked WHERE position <= 5""",
     "recents_streamed": """
-        WITH log AS (SELECT user_id, event_type || '/' || event_id % 23 AS entry, ts, event_id AS entry_id, event_id % 211 = 0 AS pin FROM events),
+        WITH log AS (SELECT user_id, event_type || '/' || (event_id + user_id) % 23 AS entry, ts, event_id AS entry_id, (event_id + user_id) % 23 = 0 AS pin FROM events),
         newest AS (
             SELECT *, bool_or(pin) OVER (PARTITION BY user_id, entry) AS pinned FROM log
             QUALIFY row_number() OVER (PARTITION BY user_id, entry ORDER BY ts DESC, entry_id DESC) = 1),

@@ -194,7 +194,9 @@ def spreadsheet_numbers(spark, sf_dir):
 
 def spreadsheet_doubles(spark, sf_dir):
     """Doubles of all sizes, from below the normal ones to infinity, whole ones and not-a-number among them: length and first 15 characters."""
-    scaled = (F.col("l_partkey") + 0.0) / (F.col("l_linenumber") + 2) * F.pow(F.lit(2.0), (F.col("l_orderkey") % 2110 - 1080).cast("double"))
+    order = F.col("l_orderkey")
+    power = F.when(order % 50 == 0, order % 2110 - 1080).otherwise(order % 60 - 30).cast("double")
+    scaled = (F.col("l_partkey") + 0.0) / (F.col("l_linenumber") + 2) * F.pow(F.lit(2.0), power)
     x = F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(F.when(F.col("l_linenumber") % 2 == 0, -scaled).otherwise(scaled))
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), V.number(x).alias("value"))
     return rows.select("l_orderkey", "l_linenumber", F.left("value", F.lit(15)).alias("value"), F.length("value").cast("long").alias("n_chars"))
@@ -502,7 +504,7 @@ ORACLES = {
     "spreadsheet_doubles": """
         WITH x AS (
             SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN 'nan'::DOUBLE ELSE
-                (l_partkey + 0.0::DOUBLE) / (l_linenumber + 2) * pow(2.0::DOUBLE, l_orderkey % 2110 - 1080)
+                (l_partkey + 0.0::DOUBLE) / (l_linenumber + 2) * pow(2.0::DOUBLE, CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey % 2110 - 1080 ELSE l_orderkey % 60 - 30 END)
                 * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END END AS x FROM lineitem)
         SELECT l_orderkey, l_linenumber, left(value, 15) AS value, length(value) AS n_chars FROM (
             SELECT *, CASE WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END

@@ -3,7 +3,8 @@
 Each owner's list is a map state, from an entry's key to its newest row. Rows of a batch are upserted (a newer one
 counts, whatever the order in which they come), pins are remembered, and of the entries without a pin only the newest
 ``limit`` stay. What is evicted can't come back but by a newer row, as there are ``limit`` entries newer than it, so the
-list is that of all rows so far. The state holds ``limit`` entries and the pinned ones, and survives restarts with
+list is that of all rows so far. (A pin counts from the row that brings it: an entry that was evicted before comes back
+with that row's time.) The state holds ``limit`` entries and the pinned ones, and survives restarts with
 the stream's checkpoint.
 """
 

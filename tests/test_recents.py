@@ -32,7 +32,8 @@ def test_state_over_batches_and_a_restart(spark, tmp_path):
         own = []
         for _ in range(60):
             number += 1
-            own.append((rng.randint(1, 4), f"e{rng.randint(0, 25)}", start + dt.timedelta(minutes=rng.randint(0, 500)), number, rng.random() < 0.02))
+            entry = f"e{rng.randint(0, 25)}"  # two of them are pinned whenever they come
+            own.append((rng.randint(1, 4), entry, start + dt.timedelta(minutes=rng.randint(0, 500)), number, entry in ("e3", "e7")))
         rows.extend(own)
         spark.createDataFrame(own, SCHEMA).coalesce(1).write.parquet(str(folder / f"b={k}"))
 
