@@ -8,7 +8,7 @@ buckets a text. The counts are written as Parquet in the shared folder, where Sp
 ``ranked`` numbers rows in a global order without one task for all: rows are range-partitioned by that order and a
 row id (so equal rows can be split), each range numbers its own, and the sizes of the ranges before are added.
 
-Memory: a block holds ``BLOCK_BYTES`` of texts; a longer text is cut between words into pieces of that size, each
+Memory: a block holds ``BLOCK`` bytes of texts; a longer text is cut between words into pieces of that size, each
 with the words that its last runs need, and the counts of its pieces are added up. DuckDB has a limit of
 ``MEMORY`` and no folder to spill to.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import BLOCK_BYTES, Runs, Texts, blocks, byte_set, cut, partitions, table
+from leafpress.llm.shared import Runs, Texts, blocks, byte_set, cut, partitions, table
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -38,8 +38,9 @@ LEAST_WORDS = 20
 #: Of a hundred texts with ``LEAST_WORDS`` words or more, so many are drawn.
 PERCENT = 5
 SEED = 42
-MEMORY = "384MB"
-#: Rows of counts that one numpy pass holds at once.
+BLOCK = 1 << 19
+MEMORY = "256MB"
+#: Rows of counts that one numpy pass holds at once, and half the rows of texts.
 ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-case.
@@ -85,6 +86,13 @@ class Counter:
         return out
 
 
+def few(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, so many at a time, as what is made of them is several times as large."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 def pieces(texts: Texts, longest: int, limit: int) -> Iterator[tuple[bytes, int]]:
     """The only text of a block, cut between words: pieces of about ``limit`` bytes, each with the words after it that its last runs need, and its own number of words."""
     runs = Runs(texts, WORD_BYTES[texts.data])
@@ -96,12 +104,12 @@ def pieces(texts: Texts, longest: int, limit: int) -> Iterator[tuple[bytes, int]
         at = to
 
 
-def counted(docs: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST, limit: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
+def counted(docs: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST, limit: int = BLOCK, key: str = "doc_id") -> DataFrame:
     """Each row's (doc_id, n_words, n_features, buckets, counts): the buckets of its features and how often each occurs."""
 
     def run(batches):
         count = Counter(n_buckets, longest)
-        for b in batches:
+        for b in few(batches, 2 * ROWS):
             for block in blocks(b.column(1), limit):
                 n = len(block)
                 words = np.zeros(n, np.int64)
@@ -154,16 +162,12 @@ def weighed(counts: DataFrame, gain: np.ndarray) -> DataFrame:
     """(doc_id, n_words, n_features, weight): weight is the sum of the gains of a row's features."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                ends = b.column(3).offsets.to_numpy()
-                own = slice(ends[0], ends[-1])
-                worth = gain[b.column(3).values.to_numpy()[own]] * b.column(4).values.to_numpy()[own]
-                sums, ends = np.concatenate([[0], np.cumsum(worth)]), ends - ends[0]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:3], pa.array(sums[ends[1:]] - sums[ends[:-1]])], ["doc_id", "n_words", "n_features", "weight"]
-                )
+        for b in few(batches, ROWS):
+            ends = b.column(3).offsets.to_numpy()
+            own = slice(ends[0], ends[-1])
+            worth = gain[b.column(3).values.to_numpy()[own]] * b.column(4).values.to_numpy()[own]
+            sums, ends = np.concatenate([[0], np.cumsum(worth)]), ends - ends[0]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums[ends[1:]] - sums[ends[:-1]])], ["doc_id", "n_words", "n_features", "weight"])
 
     kind = counts.schema["doc_id"].dataType.simpleString()
     return counts.select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(
@@ -197,7 +201,7 @@ def ranked(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def resample(
     docs: DataFrame, target: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST, least_words: int = LEAST_WORDS,
-    percent: int = PERCENT, seed: int = SEED, limit: int = BLOCK_BYTES
+    percent: int = PERCENT, seed: int = SEED, limit: int = BLOCK
 ) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): n_words, n_features, weight, score, and its rank if it is drawn.
 
