@@ -211,7 +211,7 @@ def read_traces(spark, sf_dir):
     )
 
 
-def written(files):
+def folder_of(files):
     """A new folder that executors have filled with ``files`` (relative_path, content)."""
     root = scratch.local_path(scratch.new_path(files.sparkSession))
     if root is None:
@@ -237,7 +237,7 @@ def workspace_listing(spark, sf_dir):
     """Files of nations below a folder, hidden, unfinished and ``_`` names among them: listed once as refs and once as artifacts."""
     k = "n_nationkey"
     path = F.concat(picked(("", "sub/", "_under/", ".git/"), k), picked(("", "_", "~$", ".", ""), k), F.col(k).cast("string"), picked((".txt", ".MD", ".tmp", ".zip", ".csv", ""), k))
-    ws = Workspace(spark, written(read(spark, sf_dir, "nation").select(path.alias("relative_path"), F.col("n_name").alias("content"))))
+    ws = Workspace(spark, folder_of(read(spark, sf_dir, "nation").select(path.alias("relative_path"), F.col("n_name").alias("content"))))
     read_back = ws.artifacts().select(
         F.substring("path", len(ws.root) + 2, 1 << 20).alias("relative_path"), F.col("content").alias("content"), "status"
     )
@@ -251,7 +251,7 @@ def supplier_files(spark, sf_dir):
     folder = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), picked(("", "_deep/", "a=b/", "x._COPYING_/"), k))
     name = F.concat(picked(("", "_", "_a=", "y "), k), F.col(k).cast("string"), picked((".txt", ".csv", "._COPYING_", ".log", ".bin"), k))
     content = F.repeat(F.lit("x"), (F.col(k) * 37 % 500 + 1).cast("int"))
-    return written(s.select(F.concat(folder, name).alias("relative_path"), content.alias("content")))
+    return folder_of(s.select(F.concat(folder, name).alias("relative_path"), content.alias("content")))
 
 
 def discovery_pushed(spark, sf_dir):
