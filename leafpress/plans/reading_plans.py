@@ -244,7 +244,7 @@ def workspace_listing(spark, sf_dir):
     return ws.refs().select("relative_path", F.col("size").alias("size"), "extension").join(read_back, "relative_path", "full")
 
 
-def supplier_files(spark, sf_dir):
+def supplier_tree(spark, sf_dir):
     """A folder with a file for each supplier, in a tree of three levels, under names that Spark's own listing passes over, and others."""
     k = "s_suppkey"
     s = read(spark, sf_dir, "supplier")
@@ -256,14 +256,14 @@ def supplier_files(spark, sf_dir):
 
 def discovery_pushed(spark, sf_dir):
     """Files of some types and sizes; both filters go to the listing, so of other types no size is asked for."""
-    root = supplier_files(spark, sf_dir)
+    root = supplier_tree(spark, sf_dir)
     found = discovery.files(spark, root, entries=20).where(F.col("extension").isin("txt", "log") & (F.col("size") > 100))
     return found.select(F.substring("path", len(root) + 2, 1 << 20).alias("relative_path"), "name", "extension", "size")
 
 
 def discovery_directories(spark, sf_dir):
     """The directories of that tree with their numbers of entries, found level by level."""
-    root = supplier_files(spark, sf_dir)
+    root = supplier_tree(spark, sf_dir)
     return discovery.directories(spark, root).select(F.substring("path", len(root) + 2, 1 << 20).alias("relative_path"), "entries")
 
 
