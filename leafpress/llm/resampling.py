@@ -22,11 +22,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -199,6 +200,18 @@ def ranked(rows: DataFrame) -> tuple[DataFrame, int]:
     return dealt.withColumn("rank", (place + offset).cast("long")).drop("_row", "_part"), total
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to Python a few rows at a time: Arrow's buffers are outside Spark's own memory, and rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(2 * ROWS, int(before)) if int(before) > 0 else 2 * ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def resample(
     docs: DataFrame, target: DataFrame, *, n_buckets: int = BUCKETS, longest: int = LONGEST, least_words: int = LEAST_WORDS,
     percent: int = PERCENT, seed: int = SEED, limit: int = BLOCK
@@ -208,10 +221,12 @@ def resample(
     ``target`` (text) is what the drawn texts shall resemble. ``percent`` of the rows with ``least_words`` or more
     are drawn, rounded down.
     """
-    counts = cut(counted(docs, n_buckets=n_buckets, longest=longest, limit=limit))
+    with small_batches(docs.sparkSession):
+        counts = cut(counted(docs, n_buckets=n_buckets, longest=longest, limit=limit))
     aim = counted(target.select(F.lit(0).alias("doc_id"), "text"), n_buckets=n_buckets, longest=longest, limit=limit)
     gain = gains(totals(counts, n_buckets), totals(aim, n_buckets))
-    rows = cut(scored(weighed(counts, gain), seed))
+    with small_batches(docs.sparkSession):
+        rows = cut(scored(weighed(counts, gain), seed))
     placed, n = ranked(rows.where(F.col("n_words") >= least_words))
     drawn = placed.withColumn("rank", F.when(F.col("rank") <= percent * n // 100, F.col("rank")))
     return drawn.unionByName(rows.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))
