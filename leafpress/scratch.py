@@ -14,7 +14,8 @@ def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="leafpress-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -38,3 +39,9 @@ def local_path(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")
     return None if "://" in path else path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's tables, once no result that reads them is needed any more."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
