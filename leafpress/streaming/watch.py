@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafpress.sources import readers
 
@@ -11,7 +10,9 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def artifacts(spark: SparkSession, root: str, **options) -> DataFrame:
-    """New files below ``root`` as they come; write it in append mode with a checkpoint."""
+    """New files below ``root`` as they come; write it in append mode with a checkpoint.
+
+    The size limit is a filter, so of larger files no content is read.
+    """
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(root)
-    own = readers.claimed(files, options.get("readers"))
-    return readers.read(own.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", F.col("length").alias("size")), **options)
+    return readers.within_limit(files, **options)

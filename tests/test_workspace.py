@@ -60,6 +60,20 @@ def test_stream(spark, folder, tmp_path):
     assert {r["name"] for r in spark.sql("select * from watched where status = 'ok'").collect()} == {"a.txt", "t.xlsx", "p.pptx", "d.docx"}
 
 
+def test_stream_does_not_read_large_files(spark, folder, tmp_path):
+    (folder / "large.txt").write_text("x" * 90_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60000")
+    try:
+        query = watch.artifacts(spark, str(folder), max_bytes=50_000).select("name", "error_type").writeStream.format("memory").queryName(
+            "limited"
+        ).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        got = {r["name"]: r["error_type"] for r in spark.sql("select * from limited").collect()}
+        assert got == {"a.txt": None, "t.xlsx": None, "p.pptx": None, "d.docx": None, "large.txt": "ArtifactTooLargeError"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_precedence():
     s = settings.resolve(
         {"llm_model": "u", "restore_last_workspace": False, "recent_workspace_limit": 0, "api_key_env": "LEAFPRESS_LLM_API_KEY"},
