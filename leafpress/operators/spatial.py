@@ -57,9 +57,12 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, key: Sequence[str] =
 def nearest(points: DataFrame, others: DataFrame, *, key: Sequence[str] = PAGE) -> DataFrame:
     """(key, point, other, distance): for each of ``points`` (key, point, x, y) the nearest of ``others`` (key, other, x, y), ties to the least.
 
-    Rings of buckets around a point's own are searched, twice as many in each round, until what has been found is
+    Points at one place are one, and so are others, of which the least counts: what is searched grows with the number of
+    places. Rings of buckets around a point's own are searched, twice as many in each round, until what has been found is
     nearer than any bucket further out can be. Points on pages without others have no row.
     """
+    place = [*key, "x", "y"]
+    others = scratch.cut(others.groupBy(*place).agg(F.min("other").alias("other")))
     grid = grids(others, key, ("x", "x"), ("y", "y"))
     known = others.join(grid, list(key)).select(
         *key, "other", F.col("x").alias("ox"), F.col("y").alias("oy"), bucket(F.col("x"), "wide").alias("_gx"), bucket(F.col("y"), "high").alias("_gy")
@@ -67,26 +70,24 @@ def nearest(points: DataFrame, others: DataFrame, *, key: Sequence[str] = PAGE)
     known = scratch.cut(known)
     # a point off the grid starts at the bucket of its border that is nearest to it
     edge = known.groupBy(*key).agg(*[f(c).alias(f"{n}{c}") for c in ("_gx", "_gy") for n, f in (("lo", F.min), ("hi", F.max))])
-    todo = points.join(grid, list(key)).join(edge, list(key))
+    todo = points.select(*place).distinct().join(grid, list(key)).join(edge, list(key))
     within = lambda c, g: F.greatest(F.col(f"lo{g}"), F.least(F.col(f"hi{g}"), bucket(F.col(c), "wide" if c == "x" else "high")))
     none = F.lit(None).cast(f"struct<distance:double,other:{others.schema['other'].dataType.simpleString()}>")
-    todo = todo.select(*key, "point", "x", "y", within("x", "_gx").alias("cx"), within("y", "_gy").alias("cy"), F.least("wide", "high").alias("step"), F.col("most"), none.alias("best"))
+    todo = todo.select(*place, within("x", "_gx").alias("cx"), within("y", "_gy").alias("cy"), F.least("wide", "high").alias("step"), F.col("most"), none.alias("best"))
     todo, done, low, high = scratch.cut(todo), [], -1, 1
     while not todo.isEmpty():
         ring = todo.withColumn("_dx", F.explode(F.sequence(F.lit(-high), F.lit(high)))).withColumn("_dy", F.explode(F.sequence(F.lit(-high), F.lit(high))))
         ring = ring.where(F.greatest(F.abs("_dx"), F.abs("_dy")) > low).withColumns({"_gx": F.col("cx") + F.col("_dx"), "_gy": F.col("cy") + F.col("_dy")})
         distance = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-        found = ring.select(*key, "point", "x", "y", "_gx", "_gy").join(known, [*key, "_gx", "_gy"])
-        found = found.groupBy(*key, "point").agg(F.min(F.struct(distance.alias("distance"), F.col("other"))).alias("_found"))
-        seen = todo.join(found, [*key, "point"], "left").withColumn("best", F.least("best", "_found")).drop("_found")
+        found = ring.select(*place, "_gx", "_gy").join(known, [*key, "_gx", "_gy"])
+        found = found.groupBy(*place).agg(F.min(F.struct(distance.alias("distance"), F.col("other"))).alias("_found"))
+        seen = todo.join(found, place, "left").withColumn("best", F.least("best", "_found")).drop("_found")
         # a bucket further out begins so many steps from the point's own one
         settled = (F.col("best.distance") < F.col("step") * high) | (F.col("most") + 1 <= high)
         seen = scratch.cut(seen.withColumn("_settled", F.coalesce(settled, F.lit(False))))
-        done.append(seen.where("_settled").select(*key, "point", "best.other", "best.distance"))
+        done.append(seen.where("_settled").select(*place, "best.other", "best.distance"))
         todo, low, high = seen.where("NOT _settled").drop("_settled"), high, high * 2
-    if not done:
-        return todo.select(*key, "point", "best.other", "best.distance")
-    out = done[0]
-    for more in done[1:]:
+    out = todo.select(*place, "best.other", "best.distance")
+    for more in done:
         out = out.unionByName(more)
-    return out.where("other IS NOT NULL")
+    return points.join(out.where("other IS NOT NULL"), place).select(*key, "point", "other", "distance")

@@ -55,3 +55,19 @@ def test_a_page_with_very_many_boxes(spark):
     assert got.where("point = box").count() == n
     others = points.selectExpr("doc", "page", "int(point) other", "x + 2 x", "y + 1 y")
     assert S.nearest(points, others).where("point = other").count() == n
+
+
+def test_many_points_at_few_places(spark, monkeypatch):
+    """30,000 points and others at 9 places each: a place is searched once, and no table of pairs is made."""
+    n, cut, sizes = 30_000, S.scratch.cut, []
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(S.scratch, "cut", counted)
+    others = spark.range(n).selectExpr("1L doc", "1 page", "int(id) other", "(id % 3) * 50.0D x", "floor(id / 3) % 3 * 50.0D y")
+    points = others.selectExpr("doc", "page", "bigint(other) point", "x + 4 x", "y + 3 y")
+    assert S.nearest(points, others).where("other = point % 9 AND distance = 5").count() == n
+    assert max(sizes) == 9
