@@ -545,27 +545,31 @@ def components(h: DataFrame, v: DataFrame, least: int = 3) -> DataFrame:
     Each rule takes the least label among the rules that it crosses, and a label takes its own label (pointer
     jumping), until nothing changes: a number of rounds that grows with the logarithm of the longest chain. Groups
     of fewer than ``least`` rules either way are left out, as in ``grouped``. ``h`` and ``v`` come from ``crossing_ids``.
+
+    All joins shuffle both sides: labels pack so well that a file of a few MB has millions of them, and the planner,
+    which goes by that size, would send them to the driver in each round.
     """
     x = v.select("doc", "page", F.col("id").alias("v"), "x", "y0", "y1")
-    meet = h.select("doc", "page", F.col("id").alias("h"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(x, ["doc", "page"])
+    meet = h.select("doc", "page", F.col("id").alias("h"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y").alias("hy")).join(x.hint("merge"), ["doc", "page"])
     edges = scratch.cut(meet.where(near_crossing()).select("doc", "page", "h", "v"))
     labels = edges.select("doc", "page", "h", F.col("h").alias("label")).distinct()
     at = ["doc", "page"]
     while True:
-        over = edges.join(labels, [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("label"))
-        back = edges.join(over, [*at, "v"]).groupBy(*at, "h").agg(F.min("label").alias("least"))
-        new = back.join(labels, [*at, "h"]).select(*at, "h", "label", F.least("label", "least").alias("new"))
+        over = edges.join(labels.hint("merge"), [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("label"))
+        back = edges.join(over.hint("merge"), [*at, "v"]).groupBy(*at, "h").agg(F.min("label").alias("least"))
+        new = back.join(labels.hint("merge"), [*at, "h"]).select(*at, "h", "label", F.least("label", "least").alias("new"))
         jump = new.select(*at, F.col("h").alias("new"), F.col("new").alias("to"))
-        step = scratch.cut(new.join(jump, [*at, "new"]).select(*at, "h", "label", F.least("new", "to").alias("new")))
+        step = scratch.cut(new.join(jump.hint("merge"), [*at, "new"]).select(*at, "h", "label", F.least("new", "to").alias("new")))
         labels = step.select(*at, "h", F.col("new").alias("label"))
         if step.where("new <> label").isEmpty():
             break
-    over = edges.join(labels, [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("component"))
+    over = edges.join(labels.hint("merge"), [*at, "h"]).groupBy(*at, "v").agg(F.min("label").alias("component"))
     every = labels.select(*at, F.col("h").alias("id"), F.col("label").alias("component")).unionByName(
         over.select(*at, F.col("v").alias("id"), "component")
     )
     kept = every.groupBy(*at, "component").agg(F.count_if(F.col("id") > 0).alias("nh"), F.count_if(F.col("id") < 0).alias("nv"))
-    return every.join(kept.where((F.col("nh") >= least) & (F.col("nv") >= least)).select(*at, "component"), [*at, "component"])
+    kept = kept.where((F.col("nh") >= least) & (F.col("nv") >= least)).select(*at, "component")
+    return every.join(kept.hint("merge"), [*at, "component"])
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

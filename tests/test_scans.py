@@ -124,3 +124,18 @@ def test_components_beside_groups(spark):
                 want.append((p, frozenset(int(np.flatnonzero((hs == x).all(axis=1))[0]) + 1 for x in own)))
         assert sorted((p, sorted(x)) for (p, _), x in got.items()) == sorted((p, sorted(x)) for p, x in want)
         assert all(c == min(x) for (_, c), x in got.items())
+
+
+def test_components_send_nothing_to_the_driver(spark, monkeypatch):
+    """However small the labels' files are, no round broadcasts them."""
+    cut, plans = G.scratch.cut, []
+
+    def seen(df):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(G.scratch, "cut", seen)
+    h, v = spark.createDataFrame([(1, 1, 0.0, 90.0, float(k)) for k in range(5)], RULES), spark.createDataFrame([(1, 1, float(k), 0.0, 9.0) for k in range(5)], UPRIGHT)
+    plans.append(G.components(*G.crossing_ids(h, v)))
+    assert plans[-1].count() == 10 and len(plans) > 2
+    assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
