@@ -9,7 +9,8 @@ then tells equal windows there by their content.
 
 A minimiser with more than ``hot`` super-k-mers is split by salt into shards of about that many. A shard finds
 its own repeats in the same way, and sends its distinct windows on, consecutive ones as one packed string. These
-strings are cut again by minimisers of longer k-mers (``ks``) and dealt to new buckets, where the shards' windows
+strings are cut again by minimisers of longer k-mers (``ks``, each half as far from the window as the one before, so that
+a string becomes a few pieces a deal) and dealt to new buckets, where the shards' windows
 meet and are told apart by the same ``classes``; the last k is the whole window, so a bucket that is still hot
 there holds copies of one window, of which each shard sends one. So the method and what decides are the same at
 every size, no group of any size is gathered in one task, and nothing is left out. Hashes only deal; equality is
@@ -45,6 +46,18 @@ BUCKET_BYTES = 1 << 18
 ROWS = 200_000
 
 
+def halvings(k: int, length: int) -> list[int]:
+    """``k`` and longer ones up to ``length``, each half as far from it as the one before.
+
+    A string whose minimiser is hot at one k has at most ``length`` - k + 1 windows; the next k cuts it into a few pieces,
+    where the whole window at once would make each window a piece.
+    """
+    out = [min(k, length)]
+    while out[-1] < length:
+        out.append(length - (length - out[-1]) // 2)
+    return out
+
+
 class Bytes:
     """Units are the UTF-8 bytes. ``bits`` shortens the hashes, for tests."""
 
@@ -52,7 +65,7 @@ class Bytes:
 
     def __init__(self, length: int = 200, bits: int = 64):
         self.length, self.bits = length, bits
-        self.ks = (24, length // 2, length)
+        self.ks = (24, *halvings(length // 2, length))
         self.symbols = mix(np.arange(1, 257, dtype=np.uint64))
 
     def read(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +87,7 @@ class Words:
 
     def __init__(self, length: int = 35, bits: int = 64):
         self.length, self.bits = length, bits
-        self.ks = (8, 20, length)
+        self.ks = (8, *halvings(20, length))
 
     def read(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         runs = Runs(texts, WORD_BYTES[texts.data])

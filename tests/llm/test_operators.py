@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafpress.llm import chat, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, tokens
+from leafpress.llm import chat, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, superkmers, tokens
 
 RNG = random.Random(17)
 WORDS = [f"w{k}" for k in range(150)] + ["the", "of", "é", "日本", "AbC", "x|y", "#tag"]
@@ -243,6 +243,23 @@ def test_repeats(docs, operator, length, hot, bits):
     assert rows(operator(docs, hot=hot, bits=bits).drop("removed")) == want
 
 
+@pytest.mark.parametrize("unit", [superkmers.Bytes(), superkmers.Words()])
+def test_hot_strings_become_few_pieces(unit):
+    """A string around a hot k-mer, with all windows that hold it, is cut into a few pieces by the next k, not one a window."""
+    import pyarrow as pa
+
+    rng, n = random.Random(3), 40
+    for deal in range(1, len(unit.ks)):
+        size = 2 * unit.length - unit.ks[deal - 1]
+        strings = [rng.randbytes(size) if unit.name == "bytes" else b" ".join(b"%d" % rng.randrange(10**6) for _ in range(size)) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([True] * n), pa.array(strings, pa.binary())], ["uid", "start", "once", "s"]
+        )
+        if deal > 1:  # the first cuts whole super-k-mers
+            assert sum(b.num_rows for b in superkmers.cutter(unit, deal)([batch])) <= 8 * n
+    assert unit.ks[-1] == unit.length
+
+
 def test_repeats_of_nothing(empty):
     assert suffixes.remove_repeated_bytes(empty).count() == 0 and substrings.remove_repeated_words(empty).count() == 0
 
