@@ -58,24 +58,69 @@ def crc(strings: pa.Array) -> pa.Array:
     return pa.array([of(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.uint32())
 
 
+def zeros_tables() -> np.ndarray:
+    """[i, j, x]: what 2 ** i zero bytes make of a CRC-32 register whose byte j is x and whose others are 0."""
+    table = np.array([zlib.crc32(bytes([x])) for x in range(256)], np.uint32)
+    table ^= table[0]  # without the conditioning before and after
+    own = np.arange(256, dtype=np.uint32)
+    step = np.stack([own << np.uint32(8 * j) for j in range(4)])
+    step = (step >> np.uint32(8)) ^ table[step & np.uint32(255)]  # one zero byte
+    out = []
+    for _ in range(LENGTH_BITS):
+        out.append(step)
+        step = shifted(step, step)
+    return np.stack(out)
+
+
+def shifted(register: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = table[0][register & np.uint32(255)]
+    for j in range(1, 4):
+        out = out ^ table[j][register >> np.uint32(8 * j) & np.uint32(255)]
+    return out
+
+
+#: Bits of a word's length in bytes.
+LENGTH_BITS = 31
+ZEROS: list[np.ndarray] = []
+
+
+def joined(before: pa.Array, word: pa.Array, size: pa.Array) -> pa.Array:
+    """The CRC-32 of a string, a space and a word from the string's CRC, the word's CRC and its size in bytes."""
+    if not ZEROS:
+        ZEROS.append(zeros_tables())
+    b, w, n = (np.asarray(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (before, word, size))
+    out = shifted(b, ZEROS[0][0]) ^ np.uint32(zlib.crc32(b" "))
+    for bit in range(int(n.max(initial=0)).bit_length()):
+        at = np.flatnonzero(n >> bit & 1)
+        out[at] = shifted(out[at], ZEROS[0][bit])
+    return pa.array(out ^ w)
+
+
 class Counter:
-    """A DuckDB that counts hashed runs of words."""
+    """A DuckDB that counts hashed runs of words.
+
+    A word is hashed once, and the runs' hashes are made from their words' ones (``joined``), so no run is ever a string.
+    """
 
     def __init__(self, n_buckets: int, longest: int):
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.con.create_function("crc", crc, ["VARCHAR"], "UINTEGER", type="arrow")
-        runs = [" || ' ' || ".join(f"w{k}" for k in range(n + 1)) for n in range(longest)]
-        after = "".join(f", lead(w0, {k}) OVER p AS w{k}" for k in range(1, longest))
+        self.con.create_function("joined", joined, ["UINTEGER", "UINTEGER", "INTEGER"], "UINTEGER", type="arrow")
+        after = "".join(f", lead(c0, {k}) OVER p AS c{k}, lead(z0, {k}) OVER p AS z{k}" for k in range(1, longest))
+        runs = ["c0"]
+        for k in range(1, longest):
+            runs.append(f"joined({runs[-1]}, c{k}, z{k})")
         self.split = rf"""
             CREATE OR REPLACE TEMP TABLE split AS
             SELECT "row", piece, own, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM pieces"""
         self.words = 'SELECT "row", sum(least(len(w), own))::BIGINT AS n FROM split GROUP BY "row"'
         self.count = f"""
             WITH words AS (SELECT "row", piece, own, unnest(w) AS w0, generate_subscripts(w, 1) AS place FROM split),
-            grams AS (SELECT "row", own, place, w0{after} FROM words WINDOW p AS (PARTITION BY piece ORDER BY place)),
-            features AS (SELECT "row", unnest([{", ".join(runs)}]) AS feature FROM grams WHERE place <= own)
-            SELECT "row", (crc(feature) % {n_buckets})::INTEGER AS bucket, count(*) AS n
-            FROM features WHERE feature IS NOT NULL GROUP BY "row", bucket ORDER BY "row", bucket"""
+            hashed AS (SELECT "row", piece, own, place, crc(w0) AS c0, strlen(w0)::INTEGER AS z0 FROM words),
+            grams AS (SELECT "row", own, place, c0{after} FROM hashed WINDOW p AS (PARTITION BY piece ORDER BY place)),
+            features AS (SELECT "row", unnest([{", ".join(runs)}]) AS hash FROM grams WHERE place <= own)
+            SELECT "row", (hash % {n_buckets})::INTEGER AS bucket, count(*) AS n
+            FROM features WHERE hash IS NOT NULL GROUP BY "row", bucket ORDER BY "row", bucket"""
 
     def __call__(self, rows: np.ndarray, texts: pa.Array, own: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """Words of each row, and (row, bucket, n). Of a text only the runs count that begin with one of its first ``own`` words."""

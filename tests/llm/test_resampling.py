@@ -92,3 +92,17 @@ def test_ranks_with_many_equal_rows(spark, monkeypatch):
     assert all((r["score"] != 5) == (r["rank"] <= 400) for r in got)
     sizes = [r["count"] for r in made[0].groupBy("_part").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2000
+
+
+def test_hashes_of_runs_are_made_from_their_words():
+    """Words are hashed once each, and CRCs of words joined by spaces come from theirs: none, short, long and non-ASCII ones."""
+    import zlib
+
+    import pyarrow as pa
+
+    from leafpress.llm import resampling
+
+    words = ["", "a", "b1", "é", "日本語", "x" * 255, "y" * 256, "z" * 70_001, "word"] * 2
+    before = [zlib.crc32(w.encode()) for w in words[::-1]]
+    got = resampling.joined(pa.array(before, pa.uint32()), pa.array([zlib.crc32(w.encode()) for w in words], pa.uint32()), pa.array([len(w.encode()) for w in words], pa.int32()))
+    assert got.to_pylist() == [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words[::-1], words, strict=True)]
