@@ -1,17 +1,19 @@
 """Recents as keyed state: upsert by entry, ordered eviction, pins that never leave.
 
-Each owner's list is a map state, from an entry's key to its newest row. Rows of a batch are upserted (a newer one
+Each owner's list is one value of state, read and written once a batch, as each call between Python and the state's store
+costs more than the list's own work. Rows of a batch are upserted (a newer one
 counts, whatever the order in which they come), pins are remembered, and of the entries without a pin only the newest
 ``limit`` stay. What is evicted can't come back but by a newer row, as there are ``limit`` entries newer than it, so the
 list is that of all rows so far. (A pin counts from the row that brings it: an entry that was evicted before comes back
 with that row's time.) The state holds ``limit`` entries and the pinned ones, and survives restarts with
-the stream's checkpoint.
+the stream's checkpoint (those of the map state of before can't be read: such a stream begins a new one).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from leafpress.operators.activity import ACTIVITIES
 #: State stores of the keyed API.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ENTRY = "opened_at timestamp, entry_id bigint, pinned boolean"
+#: An owner's list in its order, as one value: how often it was made, and its entries' columns.
+STATE = "version bigint, entries array<string>, opened array<bigint>, numbers array<bigint>, pins array<boolean>"
 
 
 class Recents(StatefulProcessor):
@@ -30,32 +34,26 @@ class Recents(StatefulProcessor):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getMapState("entries", "entry string", ENTRY)
-        self.version = handle.getValueState("version", "n bigint")
+        self.list = handle.getValueState("list", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = {k[0]: tuple(v) for k, v in self.entries.iterator()}
-        before = set(own)
+        n, own = 1, {}  # entry: (microseconds, number, pinned)
+        if state := self.list.get():
+            before, *columns = state
+            n, own = before + 1, {e: (at, number, pin) for e, at, number, pin in zip(*columns, strict=True)}
         for part in rows:
-            for entry, at, number, pinned in part[["entry", "opened_at", "entry_id", "pinned"]].itertuples(index=False):
-                old = own.get(entry)
-                new = (pd.Timestamp(at).to_pydatetime(), int(number))
-                kept = new if old is None or (pd.Timestamp(old[0]), old[1]) < (pd.Timestamp(new[0]), new[1]) else old[:2]
-                own[entry] = (*kept, bool(pinned) or bool(old and old[2]))
-        free = sorted((e for e in own if not own[e][2]), key=lambda e: (pd.Timestamp(own[e][0]), own[e][1]), reverse=True)
-        for entry in free[self.limit :]:
-            del own[entry]
-        for entry in before - set(own):
-            self.entries.removeKey((entry,))
-        for entry, row in own.items():
-            self.entries.updateValue((entry,), row)
-        n = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((n,))
-        order = sorted(own, key=lambda e: (own[e][2], pd.Timestamp(own[e][0]), own[e][1]), reverse=True)
+            moments = part["opened_at"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for entry, at, number, pin in zip(part["entry"].tolist(), moments, part["entry_id"].tolist(), part["pinned"].tolist(), strict=True):
+                new, old = (at, int(number), bool(pin)), own.get(entry)
+                own[entry] = new if old is None else (*max(old[:2], new[:2]), old[2] or new[2])
+        order = sorted(own, key=lambda e: (own[e][2], own[e][:2]), reverse=True)
+        order = order[: sum(own[e][2] for e in order) + self.limit]  # pins come first
+        at, number, pins = ([own[e][k] for e in order] for k in range(3))
+        self.list.update((n, order, at, number, pins))
         yield pd.DataFrame(
             {
                 "owner": [key[0]] * len(order), "version": [n] * len(order), "position": range(1, len(order) + 1), "entry": order,
-                "opened_at": [own[e][0] for e in order], "entry_id": [own[e][1] for e in order], "pinned": [own[e][2] for e in order]
+                "opened_at": np.array(at, "datetime64[us]"), "entry_id": number, "pinned": pins
             }
         )
 

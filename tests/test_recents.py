@@ -52,3 +52,33 @@ def test_state_over_batches_and_a_restart(spark, tmp_path):
         batch(k)
     assert run() == lists(rows, 5)
     assert spark.read.parquet(str(tmp_path / "out")).select(F.max("batch")).first()[0] >= 4
+
+
+def test_two_calls_of_state_a_batch():
+    """However many rows and entries an owner has, a batch reads its state once and writes it once."""
+    import pandas as pd
+
+    class State:
+        value, calls = None, 0
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    own, state = S.Recents(3), State()
+    own.init(state)
+    for n in range(1, 4):
+        rows = pd.DataFrame(
+            {"entry": [f"e{k % 9}" for k in range(40)], "opened_at": pd.to_datetime([60 * k + n for k in range(40)], unit="s"), "entry_id": range(40), "pinned": [k % 9 == 2 for k in range(40)]}
+        )
+        (got,) = own.handleInputRows((1,), iter([rows]), None)
+        assert state.calls == 2 * n
+        assert got["entry"].tolist() == ["e2", "e3", "e1", "e0"] and got["version"].tolist() == [n] * 4 and got["pinned"].tolist() == [True, False, False, False]
+        assert got["opened_at"].tolist()[1] == pd.Timestamp(60 * 39 + n, unit="s")
