@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOM = b"\xef\xbb\xbf"
+#: Bytes that Python decodes at once; longer content is a piece of its own.
+PIECE = 1 << 20
 
 
 def is_utf8(data: Column) -> Column:
@@ -55,8 +59,13 @@ def texts(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("content")
-            yield b.set_column(b.num_columns - 1, "text", pa.array([decode(x) for x in b.column(at).to_pylist()], pa.string()))
+            at, lo = b.schema.get_field_index("content"), 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while lo < b.num_rows:  # a few rows as Python's bytes and texts at once, whatever the batch holds
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PIECE, side="right")))
+                own = b.slice(lo, hi - lo)
+                yield own.set_column(own.num_columns - 1, "text", pa.array([decode(x.as_py()) for x in own.column(at)], pa.string()))
+                lo = hi
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return known.withColumn("text", utf8_text(F.col("content"))).unionByName(rest.mapInArrow(run, fields))

@@ -58,3 +58,21 @@ def test_texts_are_those_of_the_reader(spark, seed):
 def test_utf8_stays_in_the_jvm(spark):
     plan = spark.createDataFrame([(b"x",)], "content binary").where(E.is_utf8(F.col("content"))).select(E.utf8_text(F.col("content")))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_of_any_size_is_decoded_in_pieces(spark, monkeypatch):
+    """Python holds a few rows of a batch at once."""
+    files = spark.createDataFrame([(k, ("é" * 50_000).encode("utf-16")) for k in range(60)], "k int, content binary").coalesce(1)
+    frame = type(files)
+    real = frame.mapInArrow
+
+    def counted(self, run, fields):
+        def sized(batches):
+            for b in run(batches):
+                yield b.set_column(b.schema.get_field_index("k"), "k", __import__("pyarrow").array([b.num_rows] * b.num_rows, "int32"))
+
+        return real(self, sized, fields)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    got = E.texts(files).select("k", F.length("text").alias("n")).collect()
+    assert len(got) == 60 and {r["n"] for r in got} == {50_000} and max(r["k"] for r in got) <= 20
