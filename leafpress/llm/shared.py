@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,18 @@ def near_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return placed.join(F.broadcast(maps), bucket).where(may).drop(spot, bucket, bits)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, n: int) -> Iterator[None]:
+    """What is written meanwhile goes to Python at most so many rows at a time, as rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_key(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by ``cols`` and sort inside, for Python code that streams over runs of a key."""
     return df.repartition(partitions(df.sparkSession), *cols)

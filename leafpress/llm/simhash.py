@@ -12,7 +12,8 @@ component is dropped too, so a bucket yields a spanning forest and never all pai
 
 ``keep_one`` with a similarity: texts whose sets of shingles share a least hash are a bucket (``shared_minima``); the
 buckets' fingerprint tries are joined in the same way at a wide budget, and of the pairs that are left each is tested
-on its two sets before it links them (``similar_links``), so every link is verified. Of pairs at similarity 0.8 one in
+on its two sets before it links them (``similar_links``), so every link is verified. A bucket of more than ``HOT`` sets is
+dealt again by other least hashes, and what is still apart in it then meets shard by shard (``rest_links``). Of pairs at similarity 0.8 one in
 600 shares none of ``MINIMA`` least hashes.
 
 ``components``: alternating large-star and small-star over those links, all as joins and aggregates;
@@ -26,6 +27,7 @@ fingerprint and one set, held at once; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafpress.llm.shared import BLOCK_BYTES, WORD_BYTES, Runs, blocks, by_key, cut, fresh, mix, near_keys, own_exchange, partitions, table
+from leafpress.llm.shared import BLOCK_BYTES, WORD_BYTES, Runs, batches_of, blocks, by_key, cut, fresh, mix, near_keys, own_exchange, partitions, table
 
 BITS = 64
 BUDGET = 3
@@ -51,6 +53,8 @@ MINIMA = 4
 ORDERS = tuple(0x9E3779B97F4A7C15 * k & (1 << 64) - 1 for k in range(1, MINIMA + 1))
 #: A bucket with more sets is dealt again by its other least hashes.
 HOT = 1_000
+#: Marks the rows of a bucket with more sets, all of them.
+WHOLE = -2
 #: Differing bits at which fingerprints of sets of similarity 0.8 are still paired.
 WIDE = 24
 #: Node pairs that one step of the traversal holds.
@@ -154,14 +158,18 @@ class Forest:
 
 def trie_links(
     fps: np.ndarray, bounds: np.ndarray | None = None, budget: int = BUDGET, front: int = FRONT,
-    test: Callable[[int, int], bool] | None = None
+    test: Callable[[int, int], bool] | None = None, known: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links (indices) that span the components of all pairs within ``budget`` bits of a bucket, and that pass ``test`` if there is one.
 
-    A bucket's fingerprints lie between two ``bounds``, sorted and distinct; all buckets are traversed at once.
+    A bucket's fingerprints lie between two ``bounds``, sorted, and distinct if there is no test; all buckets are traversed
+    at once. Those with one label in ``known`` are one component from the start.
     """
     bounds = np.array([0, len(fps)]) if bounds is None else bounds
     forest, out = Forest(len(fps)), []
+    if known is not None and len(fps):
+        _, first, own = np.unique(known, return_index=True, return_inverse=True)
+        forest.up = first[own]
     none = np.zeros(0, np.int64)
     lo, hi = bounds[:-1], bounds[1:]
     lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
@@ -182,11 +190,12 @@ def trie_links(
         if not len(al):
             continue
         if level < 0 and test:
-            for a, b in zip(al.tolist(), bl.tolist(), strict=True):
-                x, y = forest.root(a), forest.root(b)
-                if x != y and test(a, b):
-                    forest.up[max(x, y)] = min(x, y)
-                    out.append((np.array([a]), np.array([b])))
+            for span in zip(al.tolist(), ah.tolist(), bl.tolist(), bh.tolist(), strict=True):
+                for a, b in itertools.product(range(*span[:2]), range(*span[2:])):  # equal fingerprints are one leaf
+                    x, y = forest.root(a), forest.root(b)
+                    if x != y and test(a, b):
+                        forest.up[max(x, y)] = min(x, y)
+                        out.append((np.array([a]), np.array([b])))
             continue
         if level < 0:
             made = forest.join(al, bl)
@@ -342,15 +351,36 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def shared_minima(sets: DataFrame, hot: int) -> DataFrame:
     """(a, b, c, d, code, fp): the buckets of ``sets`` (code, fp, minima) with two sets or more.
 
-    A bucket is a least hash (its order a, its value c); one of more than ``hot`` sets is dealt again by each of the
-    other least hashes (b, d), and as that is the last deal, a bucket may then have any size.
+    A bucket is a least hash (its order a, its value c, b = -1). One of more than ``hot`` sets is dealt again by each of
+    the other least hashes (b, d), which links most of what is alike in it; its rows are kept with b = -2 too, for the
+    pairs that share no other least hash (``rest_links``).
     """
     one = sets.select("code", "fp", "minima", F.posexplode("minima").alias("a", "c"))
     sizes = cut(one.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     some = one.join(own_exchange(sizes, "c"), ["a", "c"])
-    few = some.where(F.col("n") <= hot).select("a", F.lit(-1).alias("b"), "c", F.lit(0).cast("long").alias("d"), "code", "fp")
+    whole = F.when(F.col("n") <= hot, -1).otherwise(WHOLE)
+    every = some.select("a", whole.alias("b"), "c", F.lit(0).cast("long").alias("d"), "code", "fp")
     more = some.where(F.col("n") > hot).select("a", "c", "code", "fp", F.posexplode("minima").alias("b", "d")).where("a <> b")
-    return few.unionByName(more.select("a", "b", "c", "d", "code", "fp"))
+    return every.unionByName(more.select("a", "b", "c", "d", "code", "fp"))
+
+
+def tested_links(rows: list[tuple], bounds: list[int], similarity: float, budget: int, known: bool = False):
+    """Batches (a, b) of links in whole buckets of ``rows`` (fp, code, members, root); with ``known``, rows of one root are linked already."""
+    fps = np.array([x[0] for x in rows], np.int64).view(np.uint64)
+    order = np.lexsort((fps, np.repeat(np.arange(len(bounds)), np.diff([*bounds, len(rows)]))))
+    codes, sets = ([rows[k][i] for k in order.tolist()] for i in (1, 2))
+    roots = np.array([rows[k][3].hex() for k in order.tolist()]) if known else None
+
+    def alike(i: int, j: int) -> bool:
+        x, y = len(sets[i]), len(sets[j])
+        if min(x, y) < similarity * max(x, y):
+            return False
+        both = len(np.intersect1d(np.frombuffer(sets[i], np.uint32), np.frombuffer(sets[j], np.uint32), assume_unique=True))
+        return both >= similarity * ((x + y) // 4 - both)
+
+    a, b = trie_links(fps[order], np.array([*bounds, len(rows)]), budget, FRONT, alike, roots)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array([codes[k] for k in side.tolist()], pa.binary()) for side in (a, b)], ["a", "b"])
 
 
 def similar_links(buckets: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
@@ -365,33 +395,72 @@ def similar_links(buckets: DataFrame, sets: DataFrame, similarity: float, budget
             for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if row[:4] != now:
                     if size >= BLOCK_BYTES:
-                        yield from links(held, bounds)
+                        yield from tested_links(held, bounds, similarity, budget)
                         held, bounds, size = [], [], 0
                     now = row[:4]
                     bounds.append(len(held))
                 held.append(row[4:])
                 size += len(row[6]) + 64
         if held:
-            yield from links(held, bounds)
+            yield from tested_links(held, bounds, similarity, budget)
 
-    def links(held, bounds):
-        """Of whole buckets at once; their rows are sorted by fingerprint as a signed number."""
-        fps = np.array([x[0] for x in held], np.int64).view(np.uint64)
-        order = np.lexsort((fps, np.repeat(np.arange(len(bounds)), np.diff([*bounds, len(held)]))))
-        codes, sets = ([held[k][i] for k in order.tolist()] for i in (1, 2))
+    return dealt.mapInArrow(run, "a binary, b binary")
 
-        def alike(i: int, j: int) -> bool:
-            x, y = len(sets[i]), len(sets[j])
-            if min(x, y) < similarity * max(x, y):
-                return False
-            both = len(np.intersect1d(np.frombuffer(sets[i], np.uint32), np.frombuffer(sets[j], np.uint32), assume_unique=True))
-            return both >= similarity * ((x + y) // 4 - both)
 
-        a, b = trie_links(fps[order], np.array([*bounds, len(held)]), budget, FRONT, alike)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array([codes[k] for k in side.tolist()], pa.binary()) for side in (a, b)], ["a", "b"])
+def rest_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, budget: int, hot: int) -> DataFrame | None:
+    """(a, b): the links between components (``roots``: node, root) inside the whole hot ``buckets``; None where there are none to look for.
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    In each bucket the sets outside its largest component are dealt into packed shards of about ``hot`` sets, and those of
+    the largest one too; each two shards of which one is outside meet in one task, where the forest begins with the known
+    components. So no pair of a bucket is left out, two shards are held at once, and a bucket that is one component by
+    now costs nothing. The number of pairs of shards is quadratic only in the sets outside the largest component.
+    """
+    spark, at = buckets.sparkSession, ["a", "c"]
+    placed = buckets.join(own_exchange(roots, "node"), F.col("code") == F.col("node"), "left").select(*at, "code", "fp", F.coalesce("root", "code").alias("root"))
+    counts = placed.groupBy(*at, "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy(*at).agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    largest = cut(largest.select(*at, F.col("m.root").alias("bulk")))
+    if largest.isEmpty():
+        return None
+    held = placed.join(own_exchange(largest, "c"), at).join(own_exchange(sets, "code"), "code")
+    held = cut(held.withColumn("out", (F.col("root") != F.col("bulk")).cast("int")).select(*at, "out", "fp", "code", "members", "root"))
+    shards = F.greatest(F.ceil(F.count(F.lit(1)) / hot), F.ceil(F.sum(F.octet_length("members") + 64) / BLOCK_BYTES)).cast("int")
+    number = held.groupBy(*at).pivot("out", [0, 1]).agg(shards).toDF(*at, "n0", "n1")
+    salt = F.pmod(F.xxhash64("code"), F.when(F.col("out") == 1, F.col("n1")).otherwise(F.col("n0"))).cast("int")
+    packed = held.join(own_exchange(number, "c"), at).groupBy(*at, "n0", "n1", (salt + F.col("out") * F.col("n0")).alias("shard")).agg(
+        F.collect_list(F.struct("fp", "code", "members", "root")).alias("rows")
+    )
+    other = F.filter(F.sequence(F.lit(0), F.col("n0") + F.col("n1") - 1), lambda j: (j != F.col("shard")) & ((j >= F.col("n0")) | (F.col("shard") >= F.col("n0"))))
+    keys = [*at, "lo", "hi"]
+    pairs = packed.withColumn("other", F.explode(other)).select(*at, F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"), "rows")
+    pairs = pairs.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for *key, rows in zip(*(b.column(k) for k in range(5)), strict=True):
+                key = [x.as_py() for x in key]
+                if key != now:
+                    if held:
+                        yield from tested_links(held, [0], similarity, budget, True)
+                    now, held = key, []
+                held += [(x["fp"], x["code"], x["members"], x["root"]) for x in rows.as_py()]
+        if held:
+            yield from tested_links(held, [0], similarity, budget, True)
+
+    with batches_of(spark, 2):  # rows are shards
+        return cut(pairs.mapInArrow(run, "a binary, b binary"))
+
+
+def similar_roots(buckets: DataFrame, sets: DataFrame, similarity: float, budget: int, hot: int) -> DataFrame:
+    """(node, root) of the sets that have a link: components of all pairs of ``similarity`` that share a least hash, in buckets of any size."""
+    found = cut(similar_links(buckets.where(F.col("b") != WHOLE), sets, similarity, budget))
+    roots = components(found)
+    whole = buckets.where(F.col("b") == WHOLE)
+    if whole.isEmpty():
+        return roots
+    rest = rest_links(whole, sets, roots, similarity, budget, hot)
+    return roots if rest is None or rest.isEmpty() else components(found.unionByName(rest))
 
 
 def set_members(texts: DataFrame, shingle: int) -> DataFrame:
@@ -423,7 +492,7 @@ def similar_classes(docs: DataFrame, marked: DataFrame, *, shingle: int, similar
     wanted = cut(wanted)
     texts = near_keys(docs, wanted, "key").join(wanted, "key").dropDuplicates(["code"])
     sets = cut(set_members(texts, shingle))
-    roots = components(similar_links(buckets, sets, similarity, budget))
+    roots = similar_roots(buckets, sets, similarity, budget, hot)
     placed = nodes.join(roots, nodes.code == roots.node, "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(own_exchange(of_root, "root"), "root").select("code", "root", "component_id")

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -123,3 +124,20 @@ def test_run_leaves_one_table_a_stage(spark):
     before = len(shared.MADE)
     n = corpus_pipeline.run(spark, SF).count()
     assert n and len(shared.MADE) - before < 8  # the last stage's own tables and its input
+
+
+def test_pairs_in_a_hot_bucket_that_share_nothing_else(spark):
+    """12 sets with one least hash in common and no other: those alike are linked, whatever the bucket's size, through shards of any number."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6):
+        own = rng.choice(2**32, 100, replace=False).astype(np.uint32)
+        for twin in range(2):
+            own = np.sort(np.concatenate([own[: 100 - 5 * twin], rng.choice(2**32, 5 * twin).astype(np.uint32)]))
+            rows.append((bytes([2 * k + twin]), k % 2, [7, *(1000 + 10 * len(rows) + i for i in range(3))], own.tobytes()))
+    nodes = spark.createDataFrame(rows, "code binary, fp long, minima array<long>, members binary")
+    for hot in (100, 3, 1):  # one bucket, four shards a part, one set a shard
+        buckets = simhash.cut(simhash.shared_minima(nodes.select("code", "fp", "minima"), hot))
+        sets = simhash.cut(nodes.select("code", "members"))
+        got = {bytes(r["node"])[0]: bytes(r["root"])[0] for r in simhash.similar_roots(buckets, sets, 0.8, simhash.WIDE, hot).collect()}
+        assert got == {k: k // 2 * 2 for k in range(12)}
